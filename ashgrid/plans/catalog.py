@@ -85,6 +85,10 @@ def register(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (engines agree to about 12 digits, not bit for bit)."""
-    cols = [F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
-            for c, t in df.dtypes]
-    return df.select(*cols)
+    def r(c, t):
+        if t in ("double", "float"):
+            return F.round(F.col(c), digits).alias(c)
+        if t in ("array<double>", "array<float>"):
+            return F.transform(F.col(c), lambda x: F.round(x, digits)).alias(c)
+        return F.col(c)
+    return df.select(*[r(c, t) for c, t in df.dtypes])
