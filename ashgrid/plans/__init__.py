@@ -3,4 +3,4 @@
 
 def load_all():
     """Import every query module so that its ``register`` calls run."""
-    from ashgrid.plans import column_queries, sensor_queries  # noqa: F401
+    from ashgrid.plans import column_queries, join_queries, sensor_queries  # noqa: F401
