@@ -206,7 +206,7 @@ def share_at_least(df: DataFrame, c: str, threshold: float = 100.0) -> DataFrame
     the denominator."""
     return df.agg(F.count_if(F.col(c) >= threshold).alias("n_at_least"),
                   F.count(F.lit(1)).alias("n_total")).withColumn(
-        "share", F.col("n_at_least") / F.col("n_total"))
+        "share", F.try_divide(F.col("n_at_least").cast("double"), F.col("n_total").cast("double")))
 
 
 def daily_mean_grid(df: DataFrame, time: str, cell: Sequence[str], value: str) -> DataFrame:

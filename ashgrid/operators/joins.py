@@ -385,7 +385,7 @@ def locate_sample(idx: DataFrame, per_fire: DataFrame, *, index: str = "global_i
     q = idx.withColumn("_g", norm)
     bad = (F.col("_g") < 0) | (F.col("_g") >= total)
     q = q.withColumn("_g", F.when(bad, F.raise_error(F.lit("sample index out of range"))).otherwise(F.col("_g")))
-    ex = per_fire.select(*keys, F.col(offset).alias("_off"),
+    ex = per_fire.select(*keys, F.col(count), F.col(offset).alias("_off"),
                          F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("in_fire_idx")
                          ).filter(F.col(count) > 0)
     ex = ex.withColumn("_g", F.col("_off") + F.col("in_fire_idx"))

@@ -82,3 +82,32 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets
         F.sum(F.col("_w") * F.col("_cx") * F.col("_cx")).alias("_sxx"),
         F.sum(F.col("_w") * F.col("_cy") * F.col("_cy")).alias("_syy"))
     return agg.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias("spearman"))
+
+
+def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
+                        descending: bool = False, buckets: int = 512) -> DataFrame:
+    """Running totals over the distinct values of ``value`` within each key.
+
+    Returns one row per distinct (keys, value) with, for each column ``c`` in ``sums``,
+    ``c`` (the group's own total), ``c_before`` (total over values strictly earlier in the
+    order) and ``c_through`` (including this value).  Same bucketed plan as ``average_ranks``:
+    no window ever spans a whole key.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    ov = (-v) if descending else v
+    grouped = (df.filter(v.isNotNull()).groupBy(*keys, value)
+                 .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", ov))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = grouped.groupBy(*keys).agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_bounds"))
+    with_b = grouped.join(bounds, keys) if keys else grouped.crossJoin(bounds)
+    with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_o")))).drop("_bounds")
+    per_bucket = with_b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*keys, "_bucket", *[
+        F.coalesce(F.sum(f"_b_{c}").over(wk), F.lit(0)).alias(f"_off_{c}") for c in sums])
+    wb = Window.partitionBy(*keys, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    j = with_b.join(offsets, keys + ["_bucket"])
+    out = j.select(*keys, value, *sums, *[
+        (F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(wb), F.lit(0))).alias(f"{c}_before") for c in sums])
+    return out.select("*", *[(F.col(f"{c}_before") + F.col(c)).alias(f"{c}_through") for c in sums])

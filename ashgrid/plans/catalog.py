@@ -56,13 +56,19 @@ select page_id, url, octet_length(encode(html)) as bytes, md5(html) as md5,
 from pages""",
 }
 
-_VIEW_DEPS = {"sensor_obs": (), "fire": (), "grid_cell": (), "pixel_obs": (), "pred": (), "manifest": ()}
+ORACLE_VIEWS["raster"] = """
+select cast(2018 + fire_id % 4 as int) as year, fire_id, obs_date, y, x, v as b0,
+       ((v * 7) % 360 + 360) % 360 as b7, cast(floor(v) as int) % 18 as b16, cast(af_hhmm as double) as b22
+from pixel_obs"""
 
 
 def with_views(sql: str) -> str:
     """Prefix the fixture views that ``sql`` mentions as CTEs."""
     body = sql.strip()
     used = [v for v in ORACLE_VIEWS if re.search(rf"\b{v}\b", body)]
+    if "raster" in used and "pixel_obs" not in used:
+        used.insert(0, "pixel_obs")
+    used.sort(key=lambda v: v != "pixel_obs")
     if not used:
         return body
     ctes = ",\n".join(f"{v} as ({ORACLE_VIEWS[v].strip()})" for v in used)

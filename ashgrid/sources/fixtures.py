@@ -116,3 +116,18 @@ VIEWS = {
     "pred": pred,
     "manifest": manifest,
 }
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily fire rasters (16 x 16, sparse) with four bands named by index:
+    b0 (reflectance), b7 (wind direction, degrees), b16 (land cover class 0..17),
+    b22 (active-fire time hhmm, null when no detection).  Fires are spread over the
+    years 2018-2021 (year = 2018 + fire_id mod 4)."""
+    p = pixel_obs(spark, sf_dir)
+    v = F.col("v")
+    return p.select((F.lit(2018) + F.col("fire_id") % 4).cast("int").alias("year"), "fire_id", "obs_date", "y", "x",
+                    v.alias("b0"), F.pmod(v * 7, F.lit(360.0)).alias("b7"),
+                    (F.floor(v).cast("int") % 18).alias("b16"), F.col("af_hhmm").cast("double").alias("b22"))
+
+
+VIEWS["raster"] = raster
