@@ -3,4 +3,5 @@
 
 def load_all():
     """Import every query module so that its ``register`` calls run."""
-    from ashgrid.plans import column_queries, join_queries, pixel_queries, sensor_queries  # noqa: F401
+    from ashgrid.plans import (column_queries, eval_queries, join_queries, pixel_queries,  # noqa: F401
+                               sensor_queries)
