@@ -20,3 +20,80 @@ def padded_extent(df: DataFrame, group: str, pad: float = 0.1, lat: str = "lat",
         (F.min(lon) - pad).alias("lon_min"), (F.max(lon) + pad).alias("lon_max"),
         F.min(time).cast("date").cast("timestamp_ntz").alias("t0"),
         (F.max(time) + F.expr("interval 1 day")).cast("date").cast("timestamp_ntz").alias("t1"))
+
+
+# WGS84 equatorial radius (m) used for polygon areas on the sphere.
+AREA_RADIUS = 6378137.0
+
+# Outline of the contiguous United States (lon, lat), ring closed.
+USA_RING = [
+    (-125.1803892906456, 35.26328285844432), (-117.08916345892665, 33.2311514593429),
+    (-114.35640058749676, 32.92199940444295), (-110.88773544819885, 31.612036247094473),
+    (-108.91086200144109, 31.7082477979397), (-106.80030780089378, 32.42079476218232),
+    (-103.63413436750255, 29.786401496314422), (-101.87558377066483, 30.622527701868453),
+    (-99.40039768482492, 28.04018292597704), (-98.69085295525215, 26.724810345780593),
+    (-96.42355704777482, 26.216515704595633), (-80.68508661702214, 24.546812350183075),
+    (-75.56173032587596, 26.814533788629998), (-67.1540159827795, 44.40095539443753),
+    (-68.07548734644243, 46.981170472447374), (-69.17500995805074, 46.98158998130476),
+    (-70.7598785138901, 44.87172183866657), (-74.84994741250935, 44.748084983808),
+    (-77.62168256782745, 43.005725611950055), (-82.45987924104175, 41.41068867019324),
+    (-83.38318501671864, 42.09979904377044), (-82.5905167831457, 45.06163491639556),
+    (-84.83301910769038, 46.83552648258547), (-88.26350848510909, 48.143646480291835),
+    (-90.06706251069104, 47.553445811024204), (-95.03745451438925, 48.9881557770297),
+    (-98.45773319567587, 48.94699366043251), (-101.7018751401119, 48.98284560308372),
+    (-108.43164852530356, 48.81973606668503), (-115.07339190755627, 48.93699058308441),
+    (-121.82530604190744, 48.9830983403776), (-122.22085227110232, 48.63535795404536),
+    (-124.59504332589562, 47.695726563030405), (-125.1803892906456, 35.26328285844432),
+]
+
+
+def _edges(ring):
+    """Consecutive (x0, y0, x1, y1) of a closed ring column (array<struct<lon, lat>>)."""
+    r = col_of(ring)
+    return F.transform(F.sequence(F.lit(1), F.size(r) - 1),
+                       lambda i: F.struct(F.element_at(r, i)["lon"].alias("x0"), F.element_at(r, i)["lat"].alias("y0"),
+                                          F.element_at(r, i + 1)["lon"].alias("x1"), F.element_at(r, i + 1)["lat"].alias("y1")))
+
+
+def polygon_area(ring, radius: float = AREA_RADIUS) -> Column:
+    """Area (m^2) of a closed lon/lat ring on the sphere:
+    R^2 / 2 * |sum (lon1 - lon0) * (2 + sin lat0 + sin lat1)| with angles in radians."""
+    s = F.aggregate(_edges(ring), F.lit(0.0),
+                    lambda acc, e: acc + (F.radians(e["x1"]) - F.radians(e["x0"]))
+                    * (2 + F.sin(F.radians(e["y0"])) + F.sin(F.radians(e["y1"]))))
+    return F.abs(s) * (radius * radius / 2)
+
+
+def polygon_centroid(ring) -> tuple[Column, Column]:
+    """Planar (shoelace) centroid (lon, lat) of a closed ring."""
+    e = _edges(ring)
+
+    def total(f):
+        return F.aggregate(e, F.lit(0.0), lambda acc, s: acc + f(s))
+
+    cross = (lambda s: s["x0"] * s["y1"] - s["x1"] * s["y0"])
+    a = total(cross) / 2
+    cx = total(lambda s: (s["x0"] + s["x1"]) * cross(s)) / (6 * a)
+    cy = total(lambda s: (s["y0"] + s["y1"]) * cross(s)) / (6 * a)
+    return cx, cy
+
+
+def inside_ring(lon, lat, ring: Sequence[tuple[float, float]] = USA_RING) -> Column:
+    """Point-in-polygon by ray casting against a fixed ring (edges unrolled into the
+    expression, so it stays in generated code), with a bounding-box shortcut."""
+    x, y = col_of(lon), col_of(lat)
+    crossings = F.lit(0)
+    for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]):
+        if y0 == y1:
+            continue
+        hit = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+        crossings = crossings + hit.cast("int")
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    in_box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
+    return in_box & (crossings % 2 == 1)
+
+
+def points_in_region(df: DataFrame, lon: str = "lon", lat: str = "lat",
+                     ring: Sequence[tuple[float, float]] = USA_RING) -> DataFrame:
+    """Keep the features whose point lies in the region polygon."""
+    return df.filter(inside_ring(lon, lat, ring))

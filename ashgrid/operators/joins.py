@@ -174,36 +174,37 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
 
 
 def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
-                  value: str, id_col: str, *, lat: str = "lat", lon: str = "lon", cell_y: str = "y",
+                  value: str, id_col: str | Sequence[str], *, lat: str = "lat", lon: str = "lon", cell_y: str = "y",
                   cell_x: str = "x", out: str | None = None) -> DataFrame:
     """Bilinear interpolation at each reading; null outside the grid hull or when a
     corner with non-zero weight is missing.
 
-    Each reading is exploded into its (at most four) weighted corners, joined to the cells on
-    the integer index, and summed per reading id.
+    Each reading (identified by ``id_col``, one or more columns) is exploded into its (at most
+    four) weighted corners, joined to the cells on the integer index, and summed per reading.
     """
     out = out or value
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     py = (F.col(lat) - lat_axis.origin) / lat_axis.step
     px = (F.col(lon) - lon_axis.origin) / lon_axis.step
     inside = (F.col(lat).between(min(lat_axis.origin, lat_axis.last), max(lat_axis.origin, lat_axis.last))
               & F.col(lon).between(min(lon_axis.origin, lon_axis.last), max(lon_axis.origin, lon_axis.last)))
-    base = obs.select(F.col(id_col).alias("_id"), py.alias("_py"), px.alias("_px"), inside.alias("_in"))
+    base = obs.select(*ids, py.alias("_py"), px.alias("_px"), inside.alias("_in"))
     base = base.withColumns({"_y0": F.floor("_py"), "_x0": F.floor("_px")})
     base = base.withColumns({"_fy": F.col("_py") - F.col("_y0"), "_fx": F.col("_px") - F.col("_x0")})
     corners = F.array(*[
         F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"),
                  ((F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))).alias("w"))
         for dy in (0, 1) for dx in (0, 1)])
-    ex = (base.filter("_in").select("_id", "_y0", "_x0", F.explode(corners).alias("c"))
+    ex = (base.filter("_in").select(*ids, "_y0", "_x0", F.explode(corners).alias("c"))
               .filter(F.col("c.w") > 0)
-              .select("_id", (F.col("_y0") + F.col("c.dy")).cast("long").alias("_cy"),
+              .select(*ids, (F.col("_y0") + F.col("c.dy")).cast("long").alias("_cy"),
                       (F.col("_x0") + F.col("c.dx")).cast("long").alias("_cx"), F.col("c.w").alias("_w")))
     c = cells.select(F.col(cell_y).cast("long").alias("_cy"), F.col(cell_x).cast("long").alias("_cx"),
                      F.col(value).alias("_v"))
     j = ex.join(c, ["_cy", "_cx"], "left")
-    s = j.groupBy("_id").agg(
+    s = j.groupBy(*ids).agg(
         F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum(F.col("_w") * F.col("_v"))).alias(out))
-    return obs.join(s.withColumnRenamed("_id", id_col), id_col, "left")
+    return obs.join(s, ids, "left")
 
 
 def sample_projected(obs: DataFrame, cells: DataFrame, spec: LambertSpec, value: str = "pm25_tot",

@@ -380,3 +380,34 @@ def write_fire_stacks(pixels: DataFrame, path: str, keys: Sequence[str] = ("year
     keys = list(keys)
     (pixels.repartitionByRange(*keys, date).sortWithinPartitions(*keys, date, "y", "x")
            .write.mode("append").partitionBy(keys[0]).parquet(path))
+
+
+def first_step_of_day(df: DataFrame, time: str, cell: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """H3: per (day, cell) the values at the day's first time step (``min_by`` aggregate)."""
+    return df.groupBy(F.to_date(time).alias("date"), *cell).agg(
+        *[F.min_by(F.col(v), F.col(time)).alias(v) for v in values])
+
+
+def axes_from_grid(cells: DataFrame, y: str = "y", x: str = "x", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """H4: 1-D latitude axis from the first column and longitude axis from the first row of
+    2-D coordinate fields: (axis, idx, coord)."""
+    a = cells.filter(F.col(x) == 0).select(F.lit("lat").alias("axis"), F.col(y).alias("idx"), F.col(lat).alias("coord"))
+    b = cells.filter(F.col(y) == 0).select(F.lit("lon").alias("axis"), F.col(x).alias("idx"), F.col(lon).alias("coord"))
+    return a.unionByName(b)
+
+
+def resample_nearest(pixels: DataFrame, coarse: DataFrame, factor: int, values: Sequence[str], *,
+                     keys: Sequence[str] = (), y: str = "y", x: str = "x", cy: str = "gy", cx: str = "gx") -> DataFrame:
+    """H2: nearest-cell resampling of a coarse grid (cells ``factor`` pixels wide, aligned at
+    the origin) onto the pixel grid: index arithmetic and an equi-join."""
+    keys = list(keys)
+    p = pixels.withColumns({"_gy": F.floor(F.col(y) / factor), "_gx": F.floor(F.col(x) / factor)})
+    c = coarse.select(*keys, F.col(cy).alias("_gy"), F.col(cx).alias("_gx"), *values)
+    return p.join(c, [*keys, "_gy", "_gx"], "left").drop("_gy", "_gx")
+
+
+def resample_bilinear(pixels: DataFrame, cells: DataFrame, lat_axis, lon_axis, value: str,
+                      ids: Sequence[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """H1: bilinear resampling of a coarse grid at each pixel's coordinates (see C6)."""
+    from ashgrid.operators.joins import sample_linear
+    return sample_linear(pixels, cells, lat_axis, lon_axis, value, list(ids), lat=lat, lon=lon)
