@@ -19,6 +19,22 @@ from ashgrid.session import cut_lineage
 __all__ = ["average_ranks", "rank_correlation"]
 
 
+def _assign_buckets(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``: the number of per-key approximate quantile bounds below the value, so
+    buckets are value ranges (monotone in the value) holding similar numbers of distinct
+    values.  The bound table has one small array per key and is joined by key (without keys it
+    is a single row, broadcast)."""
+    if buckets <= 1:
+        return df.withColumn("_bucket", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    pa = F.percentile_approx(value, probs, 10 * buckets).alias("_bounds")
+    jk = keys or ["_one"]
+    src = df if keys else df.withColumn("_one", F.lit(0))
+    with_b = src.join(F.broadcast(src.groupBy(*jk).agg(pa)) if not keys else src.groupBy(*jk).agg(pa), jk)
+    b = F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col(value))), F.lit(0))
+    return with_b.withColumn("_bucket", b).drop("_bounds", *([] if keys else ["_one"]))
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 512,
                   weight: str | None = None) -> DataFrame:
     """One row per distinct (keys, value): ``n`` rows with that value, ``avg_rank`` (1-based,
@@ -32,13 +48,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int =
     w = F.col(weight) if weight else F.lit(1)
     counts = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, value).agg(F.sum(w).cast("long").alias("n")))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10 * buckets).alias("_bounds"))
-    with_b = (counts.join(bounds, keys) if keys else counts.crossJoin(bounds))
-    with_b = with_b.select(
-        *keys, value, "n",
-        F.size(F.filter("_bounds", lambda b: b < F.col(value))).alias("_bucket"))
+    with_b = _assign_buckets(counts, keys, value, buckets).select(*keys, value, "n", "_bucket")
     per_bucket = with_b.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
     offsets = per_bucket.select(
@@ -98,10 +108,7 @@ def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Se
     ov = (-v) if descending else v
     grouped = (df.filter(v.isNotNull()).groupBy(*keys, value)
                  .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", ov))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = grouped.groupBy(*keys).agg(F.percentile_approx("_o", probs, 10 * buckets).alias("_bounds"))
-    with_b = grouped.join(bounds, keys) if keys else grouped.crossJoin(bounds)
-    with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_o")))).drop("_bounds")
+    with_b = _assign_buckets(grouped, keys, "_o", buckets)
     per_bucket = with_b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "_bucket", *[
