@@ -78,19 +78,20 @@ def polygon_centroid(ring) -> tuple[Column, Column]:
     return cx, cy
 
 
-def inside_ring(lon, lat, ring: Sequence[tuple[float, float]] = USA_RING) -> Column:
-    """Point-in-polygon by ray casting against a fixed ring (edges unrolled into the
-    expression, so it stays in generated code), with a bounding-box shortcut."""
-    x, y = col_of(lon), col_of(lat)
-    crossings = F.lit(0)
+def inside_ring(lon: str, lat: str, ring: Sequence[tuple[float, float]] = USA_RING) -> Column:
+    """Point-in-polygon by ray casting against a fixed ring, with a bounding-box shortcut.
+
+    The edges are constants, so the crossing count is unrolled into one SQL expression
+    (built in a single call and compiled into generated code) instead of a loop over an array."""
+    terms = []
     for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]):
         if y0 == y1:
             continue
-        hit = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-        crossings = crossings + hit.cast("int")
+        terms.append(f"CASE WHEN (({y0!r} > `{lat}`) != ({y1!r} > `{lat}`)) AND "
+                     f"`{lon}` < ({x1 - x0!r}) * (`{lat}` - ({y0!r})) / ({y1 - y0!r}) + ({x0!r}) THEN 1 ELSE 0 END")
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    in_box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
-    return in_box & (crossings % 2 == 1)
+    box = (f"`{lon}` BETWEEN {min(xs)!r} AND {max(xs)!r} AND `{lat}` BETWEEN {min(ys)!r} AND {max(ys)!r}")
+    return F.expr(f"({box}) AND (({' + '.join(terms)}) % 2 = 1)")
 
 
 def points_in_region(df: DataFrame, lon: str = "lon", lat: str = "lat",

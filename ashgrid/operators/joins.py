@@ -95,12 +95,13 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
                              F.floor(_day_number(F.col("_fe")) / period_days))).alias("_cp"))
     o = obs
     if prefilter:
-        lo_t = fires.select(F.min(start)).scalar()
-        hi_t = fires.select(F.max(end)).scalar()
-        lat_lo = fires.select(F.min(fire_lat)).scalar() - half
-        lat_hi = fires.select(F.max(fire_lat)).scalar() + half
-        lon_lo = fires.select(F.min(fire_lon)).scalar() - half
-        lon_hi = fires.select(F.max(fire_lon)).scalar() + half
+        # one scalar subquery (run once, result inlined) for the global period and bounding box
+        b = fires.select(F.struct(F.min(start).alias("t0"), F.max(end).alias("t1"),
+                                  F.min(fire_lat).alias("la0"), F.max(fire_lat).alias("la1"),
+                                  F.min(fire_lon).alias("lo0"), F.max(fire_lon).alias("lo1"))).scalar()
+        lo_t, hi_t = b["t0"], b["t1"]
+        lat_lo, lat_hi = b["la0"] - half, b["la1"] + half
+        lon_lo, lon_hi = b["lo0"] - half, b["lo1"] + half
         o = o.filter(F.col(obs_time).between(lo_t, hi_t)
                      & F.col(obs_lat).between(lat_lo, lat_hi) & F.col(obs_lon).between(lon_lo, lon_hi))
     o = o.withColumns({

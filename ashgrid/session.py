@@ -31,13 +31,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a private folder is created and
-    registered, so a cluster run never falls back to a machine-local path silently.
+    Only a local-mode session without one (tests) gets a private temporary folder; on a
+    cluster a missing setting is an error, never a silent machine-local fallback.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/GCS/NFS) for this cluster")
         d = tempfile.mkdtemp(prefix="ashgrid-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
