@@ -157,18 +157,31 @@ def nearest_index(v, axis: RegularAxis) -> Column:
     return F.when(v.between(lo, hi), idx)
 
 
+def hours_since(time, origin) -> Column:
+    """Hours from a fixed wall-clock origin to a TIMESTAMP_NTZ column (fractional)."""
+    return micros_between(F.lit(origin).cast("timestamp_ntz"), col_of(time)) / 3.6e9
+
+
 def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
                    values: Sequence[str], *, lat: str = "lat", lon: str = "lon",
-                   cell_y: str = "y", cell_x: str = "x", extra_keys: Sequence[tuple[str, str]] = ()) -> DataFrame:
+                   cell_y: str = "y", cell_x: str = "x", extra_keys: Sequence[tuple[str, str]] = (),
+                   time_axis: RegularAxis | None = None, time: str = "time", cell_t: str = "t",
+                   time_origin=None) -> DataFrame:
     """Per-dimension nearest cell value (left join; outside the grid hull -> null).
 
-    ``extra_keys`` pairs (obs column, cell column) that must match exactly, e.g. the hour.
+    With ``time_axis`` (hours since ``time_origin``) the time step is chosen by nearest too,
+    as for hourly reanalysis grids; ``extra_keys`` pairs (obs column, cell column) that must
+    match exactly.  Ties at half steps go to the lower index on every axis.
     """
-    o = obs.withColumns({"_iy": nearest_index(lat, lat_axis), "_ix": nearest_index(lon, lon_axis)})
+    idx = {"_iy": nearest_index(lat, lat_axis), "_ix": nearest_index(lon, lon_axis)}
+    if time_axis is not None:
+        idx["_it"] = nearest_index(hours_since(time, time_origin), time_axis)
+    o = obs.withColumns(idx)
     c = cells.select(F.col(cell_y).alias("_iy"), F.col(cell_x).alias("_ix"),
+                     *([F.col(cell_t).alias("_it")] if time_axis is not None else []),
                      *[F.col(cc).alias(f"_k{i}") for i, (_, cc) in enumerate(extra_keys)],
                      *[F.col(v) for v in values])
-    cond = [o["_iy"] == c["_iy"], o["_ix"] == c["_ix"]]
+    cond = [o[k] == c[k] for k in idx]
     cond += [o[oc] == c[f"_k{i}"] for i, (oc, _) in enumerate(extra_keys)]
     j = o.join(c, cond, "left")
     return j.select(*[o[x] for x in obs.columns], *[c[v] for v in values])
@@ -176,33 +189,45 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
 
 def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
                   value: str, id_col: str | Sequence[str], *, lat: str = "lat", lon: str = "lon", cell_y: str = "y",
-                  cell_x: str = "x", out: str | None = None) -> DataFrame:
-    """Bilinear interpolation at each reading; null outside the grid hull or when a
-    corner with non-zero weight is missing.
-
-    Each reading (identified by ``id_col``, one or more columns) is exploded into its (at most
-    four) weighted corners, joined to the cells on the integer index, and summed per reading.
+                  cell_x: str = "x", out: str | None = None, time_axis: RegularAxis | None = None,
+                  time: str = "time", cell_t: str = "t", time_origin=None) -> DataFrame:
+    """Linear interpolation in lat and lon (and time, with ``time_axis`` in hours since
+    ``time_origin``); null outside the grid hull or when a corner with non-zero weight is
+    missing.
+
+    Each reading (identified by ``id_col``, one or more columns) is exploded into its weighted
+    corners (at most 4, or 8 with time), joined to the cells on the integer index, and summed
+    per reading.
     """
     out = out or value
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    py = (F.col(lat) - lat_axis.origin) / lat_axis.step
-    px = (F.col(lon) - lon_axis.origin) / lon_axis.step
-    inside = (F.col(lat).between(min(lat_axis.origin, lat_axis.last), max(lat_axis.origin, lat_axis.last))
-              & F.col(lon).between(min(lon_axis.origin, lon_axis.last), max(lon_axis.origin, lon_axis.last)))
-    base = obs.select(*ids, py.alias("_py"), px.alias("_px"), inside.alias("_in"))
-    base = base.withColumns({"_y0": F.floor("_py"), "_x0": F.floor("_px")})
-    base = base.withColumns({"_fy": F.col("_py") - F.col("_y0"), "_fx": F.col("_px") - F.col("_x0")})
-    corners = F.array(*[
-        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"),
-                 ((F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))).alias("w"))
-        for dy in (0, 1) for dx in (0, 1)])
-    ex = (base.filter("_in").select(*ids, "_y0", "_x0", F.explode(corners).alias("c"))
+    dims = [("y", F.col(lat), lat_axis, cell_y), ("x", F.col(lon), lon_axis, cell_x)]
+    if time_axis is not None:
+        dims.append(("t", hours_since(time, time_origin), time_axis, cell_t))
+    inside = F.lit(True)
+    cols = {}
+    for d, coord, ax, _ in dims:
+        inside = inside & coord.between(min(ax.origin, ax.last), max(ax.origin, ax.last))
+        pos = (coord - ax.origin) / ax.step
+        cols[f"_{d}0"] = F.floor(pos)
+        cols[f"_f{d}"] = pos - F.floor(pos)
+    base = obs.select(*ids, inside.alias("_in"), *[v.alias(k) for k, v in cols.items()])
+    combos = [()]
+    for _ in dims:
+        combos = [c + (b,) for c in combos for b in (0, 1)]
+    corner_structs = []
+    for combo in combos:
+        w = F.lit(1.0)
+        fields = []
+        for (d, _, _, _), b in zip(dims, combo):
+            w = w * (F.col(f"_f{d}") if b else 1 - F.col(f"_f{d}"))
+            fields.append((F.col(f"_{d}0") + b).cast("long").alias(f"_c{d}"))
+        corner_structs.append(F.struct(*fields, w.alias("w")))
+    ex = (base.filter("_in").select(*ids, F.explode(F.array(*corner_structs)).alias("c"))
               .filter(F.col("c.w") > 0)
-              .select(*ids, (F.col("_y0") + F.col("c.dy")).cast("long").alias("_cy"),
-                      (F.col("_x0") + F.col("c.dx")).cast("long").alias("_cx"), F.col("c.w").alias("_w")))
-    c = cells.select(F.col(cell_y).cast("long").alias("_cy"), F.col(cell_x).cast("long").alias("_cx"),
-                     F.col(value).alias("_v"))
-    j = ex.join(c, ["_cy", "_cx"], "left")
+              .select(*ids, *[F.col(f"c._c{d}").alias(f"_c{d}") for d, _, _, _ in dims], F.col("c.w").alias("_w")))
+    c = cells.select(*[F.col(cc).cast("long").alias(f"_c{d}") for d, _, _, cc in dims], F.col(value).alias("_v"))
+    j = ex.join(c, [f"_c{d}" for d, _, _, _ in dims], "left")
     s = j.groupBy(*ids).agg(
         F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum(F.col("_w") * F.col("_v"))).alias(out))
     return obs.join(s, ids, "left")
