@@ -354,23 +354,23 @@ CUBE_Y = J.RegularAxis(30.0, 0.5, 20)
 CUBE_X = J.RegularAxis(-120.0, 0.75, 37)
 
 
-def species_cube(spark, sf_dir):
-    """A 2-hourly aerosol cube (t, y, x) with five species in kg/m3, derived from events."""
+def species_cube(spark, sf_dir, step_hours: int = 2):
+    """An aerosol cube (t, y, x) with five species in kg/m3 at ``step_hours`` steps, from events."""
     from ashgrid.operators.joins import hours_since
     e = table(spark, sf_dir, "events")
     uid = F.col("user_id")
-    return (e.groupBy(F.floor(hours_since("ts", CUBE_ORIGIN) / 2).alias("t"), (uid % 20).alias("y"), (uid % 37).alias("x"))
+    return (e.groupBy(F.floor(hours_since("ts", CUBE_ORIGIN) / step_hours).alias("t"), (uid % 20).alias("y"), (uid % 37).alias("x"))
              .agg((F.avg("value") * 1e-9).alias("dust"), (F.max("value") * 5e-10).alias("oc"),
                   (F.min("value") * 2e-10).alias("bc"), (F.count(F.lit(1)) * 1e-10).alias("seasalt"),
                   (F.avg(F.col("event_id") % 7) * 1e-10).alias("so4")))
 
 
-_CUBE = """cube as (select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9) / 2) as t, user_id % 20 as y,
+_CUBE = """cube as (select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9) / {step}) as t, user_id % 20 as y,
   user_id % 37 as x, avg(value) * 1e-9 as dust, max(value) * 5e-10 as oc, min(value) * 2e-10 as bc,
   count(*) * 1e-10 as seasalt, avg(event_id % 7) * 1e-10 as so4 from events group by 1, 2, 3)"""
 
 
-@register("merra2_nearest", sql=f"""with {_CUBE},
+@register("merra2_nearest", sql=f"""with {_CUBE.format(step=2)},
 o as (select event_id, lat, lon, time, (epoch_us(time) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as h from sensor_obs),
 i as (select event_id, case when h between 0 and 718 then cast(ceil(h / 2 - 0.5) as bigint) end as it,
         case when lat between 30 and 39.5 then cast(ceil((lat - 30) / 0.5 - 0.5) as bigint) end as iy,
@@ -386,12 +386,12 @@ def q_merra2_nearest(spark, sf_dir):
     return rounded(s.select("event_id", pm25_from_species("dust", "oc", "bc", "seasalt", "so4").alias("merra2")))
 
 
-@register("trilinear_interp", sql=f"""with {_CUBE},
-o as (select event_id, 30 + (user_id % 20) * 0.5 + 0.1 * (user_id % 4) as plat,
-             -120 + (user_id % 37) * 0.75 + 0.2 * (user_id % 3) as plon,
+@register("trilinear_interp", sql=f"""with {_CUBE.format(step=24)},
+o as (select event_id, 30 + (user_id % 20) * 0.5 + case when user_id % 4 = 0 then 0.1 * (user_id % 3) else 0 end as plat,
+             -120 + (user_id % 37) * 0.75 + case when user_id % 4 = 0 then 0.2 * (user_id % 3) else 0 end as plon,
              (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as h from events),
-b as (select event_id, (plat - 30) / 0.5 as py, (plon + 120) / 0.75 as px, h / 2 as pt,
-        plat between 30 and 39.5 and plon between -120 and -120 + 36 * 0.75 and h between 0 and 718 as inside from o),
+b as (select event_id, (plat - 30) / 0.5 as py, (plon + 120) / 0.75 as px, h / 24 as pt,
+        plat between 30 and 39.5 and plon between -120 and -120 + 36 * 0.75 and h between 0 and 696 as inside from o),
 c as (select *, floor(py) as y0, floor(px) as x0, floor(pt) as t0, py - floor(py) as fy, px - floor(px) as fx,
         pt - floor(pt) as ft from b),
 k as (select c.event_id, cast(y0 + dy as bigint) as cy, cast(x0 + dx as bigint) as cx, cast(t0 + dt as bigint) as ct,
@@ -402,11 +402,13 @@ s as (select k.event_id, case when count(*) filter (where g.dust is null) = 0 th
       from k left join cube g on g.y = k.cy and g.x = k.cx and g.t = k.ct where k.w > 0 group by 1)
 select e.event_id, round(s.dust * 1e9, 6) as dust_ug from events e left join s on e.event_id = s.event_id""")
 def q_trilinear_interp(spark, sf_dir):
-    """C6 with time: linear interpolation of the cube in time, lat and lon (eight corners)."""
+    """C6 with time: linear interpolation of a daily cube in time, lat and lon (up to eight
+    corners; points off the station cells need spatial neighbours)."""
     e = table(spark, sf_dir, "events")
     uid = F.col("user_id")
-    pts = e.select("event_id", (F.lit(30.0) + (uid % 20) * 0.5 + 0.1 * (uid % 4)).alias("lat"),
-                   (F.lit(-120.0) + (uid % 37) * 0.75 + 0.2 * (uid % 3)).alias("lon"), F.col("ts").alias("time"))
-    s = J.sample_linear(pts, species_cube(spark, sf_dir), CUBE_Y, CUBE_X, "dust", "event_id",
-                        time_axis=CUBE_T, time_origin=CUBE_ORIGIN)
+    off = F.when(uid % 4 == 0, uid % 3).otherwise(F.lit(0))
+    pts = e.select("event_id", (F.lit(30.0) + (uid % 20) * 0.5 + 0.1 * off).alias("lat"),
+                   (F.lit(-120.0) + (uid % 37) * 0.75 + 0.2 * off).alias("lon"), F.col("ts").alias("time"))
+    s = J.sample_linear(pts, species_cube(spark, sf_dir, 24), CUBE_Y, CUBE_X, "dust", "event_id",
+                        time_axis=J.RegularAxis(0.0, 24.0, 30), time_origin=CUBE_ORIGIN)
     return rounded(s.select("event_id", (F.col("dust") * 1e9).alias("dust_ug")))
