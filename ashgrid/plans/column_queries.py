@@ -366,3 +366,14 @@ def q_raster_centre(spark, sf_dir):
                  F.when(geo, F.col("t0")).otherwise(G.web_mercator_y("t0")).alias("tp"))
     lon, lat = G.raster_centre("l", "bt", "r", "tp", "geo")
     return rounded(p.select("fire_id", lon.alias("lon"), lat.alias("lat")))
+
+
+@register("sensor_chunk", sql=f"""with {_RAW}
+select (case when length(cast(st as varchar)) < 2 then lpad(cast(st as varchar), 2, '0') else cast(st as varchar) end)
+  || (case when length(cast(co as varchar)) < 3 then lpad(cast(co as varchar), 3, '0') else cast(co as varchar) end)
+  || (case when length(cast(si as varchar)) < 4 then lpad(cast(si as varchar), 4, '0') else cast(si as varchar) end) as id,
+  cast(lat as double) as lat, cast(lon as double) as lon, try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') as time, value as pm25
+from raw where try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') is not null""")
+def q_sensor_chunk(spark, sf_dir):
+    """B1 + B2: a raw chunk normalised to (id, lat, lon, time, pm25), bad dates dropped."""
+    return C.sensor_chunk(raw_sensor_rows(spark, sf_dir))
