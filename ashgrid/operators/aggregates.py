@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashgrid.functions.columns import abs_error, positive_pairs, valid_pairs
+from ashgrid.functions.columns import abs_error, ntz_lit, positive_pairs, valid_pairs
 from ashgrid.functions.stats import mean_bias, rmse, safe_corr, safe_slope
 from ashgrid.operators.ranks import rank_correlation
 
@@ -266,7 +266,7 @@ def collect_areas(fires: DataFrame, start, end, min_area: float, area: str = "ar
     Returned as rows ordered by area (no list is gathered in one task); ``n_fires`` is the
     same on every row.
     """
-    f = fires.filter((F.col(area) >= min_area) & (F.col(idate) >= start) & (F.col(idate) < end))
+    f = fires.filter((F.col(area) >= min_area) & (F.col(idate) >= ntz_lit(start)) & (F.col(idate) < ntz_lit(end)))
     n = _scalar(f, F.count(F.lit(1)))
     return f.select(F.col(area), n.alias("n_fires")).orderBy(area)
 
@@ -275,4 +275,4 @@ def fires_in_range(fires: DataFrame, min_size: float, start, end, area: str = "a
                    idate: str = "idate", max_size: float = 1e20) -> DataFrame:
     """Area in [min_size, max_size) and ignition in [start, end)."""
     return fires.filter((F.col(area) >= min_size) & (F.col(area) < max_size)
-                        & (F.col(idate) >= start) & (F.col(idate) < end))
+                        & (F.col(idate) >= ntz_lit(start)) & (F.col(idate) < ntz_lit(end)))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashgrid.functions.columns import col_of, micros_between
+from ashgrid.functions.columns import col_of, micros_between, ntz_lit
 from ashgrid.functions.geo import LambertSpec, lambert_xy
 
 __all__ = [
@@ -159,7 +159,7 @@ def nearest_index(v, axis: RegularAxis) -> Column:
 
 def hours_since(time, origin) -> Column:
     """Hours from a fixed wall-clock origin to a TIMESTAMP_NTZ column (fractional)."""
-    return micros_between(F.lit(origin).cast("timestamp_ntz"), col_of(time)) / 3.6e9
+    return micros_between(ntz_lit(origin), col_of(time)) / 3.6e9
 
 
 def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
@@ -336,8 +336,8 @@ def in_calendar_windows(fires: DataFrame, start, end, width_days: float = 7.0, *
     t = F.col(idate)
     d = F.to_date(t)
     sunday = F.date_sub(d, F.dayofweek(d) - 1)                   # dayofweek: 1 = Sunday
-    s = F.to_date(F.lit(start))
-    e = F.to_date(F.lit(end))
+    s = F.to_date(ntz_lit(start))
+    e = F.to_date(ntz_lit(end))
     first = F.date_add(s, (8 - F.dayofweek(s)) % 7)
     last = F.date_sub(e, F.dayofweek(e) - 1)
     a = F.least(sunday, last)
@@ -354,7 +354,7 @@ def missing_cycles(listing: DataFrame, start, end, *, native: bool = False, url:
     else the fallback, else it is missing.  Returns the first ``first_n`` missing pairs by
     cycle with the number of cycles checked and of missing pairs on every row."""
     spark = listing.sparkSession
-    cyc = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 hour"))).alias("cycle"))
+    cyc = spark.range(1).select(F.explode(F.sequence(ntz_lit(start), ntz_lit(end), F.expr("interval 1 hour"))).alias("cycle"))
     kinds = ["wrfprsf00"] + (["wrfnatf00"] if native else [])
     cyc = cyc.select("cycle", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
 

@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashgrid.functions.columns import hour_floor
+from ashgrid.functions.columns import hour_floor, ntz_lit
 
 EPOCH_2024 = _dt.datetime(2024, 1, 1)
 
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _day0() -> Column:
-    return F.lit(EPOCH_2024).cast("timestamp_ntz")
+    return ntz_lit(EPOCH_2024)
 
 
 def sensor_obs(spark: SparkSession, sf_dir: str) -> DataFrame:

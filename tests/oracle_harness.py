@@ -95,6 +95,9 @@ if __name__ == "__main__":
     names = sys.argv[2:]
     spark = build_session("local[8]")
     spark.sparkContext.setLogLevel("OFF")
+    import os
+    if os.environ.get("SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     from __spark_entry__ import queries
     con = duck(sf)
     bad = 0
