@@ -42,6 +42,22 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     return F.broadcast(df) if n <= limit else df
 
 
+def needed_cells(cells: DataFrame, needed: DataFrame, keys: Sequence[str], prune: bool = True,
+                 limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Semi-join reduction of a (large) cell table to the cell keys some reading needs.
+
+    Gridded products are far larger than the readings sampled from them (every cell and hour
+    versus about 1,500 stations), so the distinct needed keys are counted and, when they fit
+    the broadcast limit, the cells are filtered map-side by a broadcast left-semi join before
+    any shuffle.  Beyond the limit the cells are joined as they are."""
+    if not prune:
+        return cells
+    k = needed.select(*keys).distinct()
+    if k.count() > limit:
+        return cells
+    return cells.join(F.broadcast(k), list(keys), "left_semi")
+
+
 def attach_exact(obs: DataFrame, est: DataFrame, on: Sequence[str] = ("lat", "lon", "time")) -> DataFrame:
     """Left equi-join of estimates onto readings; duplicate estimate keys multiply rows."""
     return obs.join(est, list(on), "left")
@@ -166,12 +182,13 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
                    values: Sequence[str], *, lat: str = "lat", lon: str = "lon",
                    cell_y: str = "y", cell_x: str = "x", extra_keys: Sequence[tuple[str, str]] = (),
                    time_axis: RegularAxis | None = None, time: str = "time", cell_t: str = "t",
-                   time_origin=None) -> DataFrame:
+                   time_origin=None, prune_cells: bool = True) -> DataFrame:
     """Per-dimension nearest cell value (left join; outside the grid hull -> null).
 
     With ``time_axis`` (hours since ``time_origin``) the time step is chosen by nearest too,
     as for hourly reanalysis grids; ``extra_keys`` pairs (obs column, cell column) that must
-    match exactly.  Ties at half steps go to the lower index on every axis.
+    match exactly.  Ties at half steps go to the lower index on every axis.  The cell table
+    is first reduced to the cells the readings need (``needed_cells``).
     """
     idx = {"_iy": nearest_index(lat, lat_axis), "_ix": nearest_index(lon, lon_axis)}
     if time_axis is not None:
@@ -181,6 +198,8 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
                      *([F.col(cell_t).alias("_it")] if time_axis is not None else []),
                      *[F.col(cc).alias(f"_k{i}") for i, (_, cc) in enumerate(extra_keys)],
                      *[F.col(v) for v in values])
+    if not extra_keys and not obs.isStreaming:
+        c = needed_cells(c, o.filter(F.col("_iy").isNotNull() & F.col("_ix").isNotNull()), list(idx), prune_cells)
     cond = [o[k] == c[k] for k in idx]
     cond += [o[oc] == c[f"_k{i}"] for i, (oc, _) in enumerate(extra_keys)]
     j = o.join(c, cond, "left")
@@ -190,7 +209,7 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
 def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
                   value: str, id_col: str | Sequence[str], *, lat: str = "lat", lon: str = "lon", cell_y: str = "y",
                   cell_x: str = "x", out: str | None = None, time_axis: RegularAxis | None = None,
-                  time: str = "time", cell_t: str = "t", time_origin=None) -> DataFrame:
+                  time: str = "time", cell_t: str = "t", time_origin=None, prune_cells: bool = True) -> DataFrame:
     """Linear interpolation in lat and lon (and time, with ``time_axis`` in hours since
     ``time_origin``); null outside the grid hull or when a corner with non-zero weight is
     missing.
@@ -227,7 +246,10 @@ def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_a
               .filter(F.col("c.w") > 0)
               .select(*ids, *[F.col(f"c._c{d}").alias(f"_c{d}") for d, _, _, _ in dims], F.col("c.w").alias("_w")))
     c = cells.select(*[F.col(cc).cast("long").alias(f"_c{d}") for d, _, _, cc in dims], F.col(value).alias("_v"))
-    j = ex.join(c, [f"_c{d}" for d, _, _, _ in dims], "left")
+    ckeys = [f"_c{d}" for d, _, _, _ in dims]
+    if not obs.isStreaming:
+        c = needed_cells(c, ex, ckeys, prune_cells)
+    j = ex.join(c, ckeys, "left")
     s = j.groupBy(*ids).agg(
         F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum(F.col("_w") * F.col("_v"))).alias(out))
     return obs.join(s, ids, "left")
