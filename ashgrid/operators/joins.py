@@ -42,15 +42,25 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     return F.broadcast(df) if n <= limit else df
 
 
+# Cell tables estimated below this size are joined as they are (pruning would cost more).
+PRUNE_MIN_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (from file sizes; no job is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def needed_cells(cells: DataFrame, needed: DataFrame, keys: Sequence[str], prune: bool = True,
-                 limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                 limit: int = BROADCAST_ROW_LIMIT, min_bytes: int = PRUNE_MIN_BYTES) -> DataFrame:
     """Semi-join reduction of a (large) cell table to the cell keys some reading needs.
 
     Gridded products are far larger than the readings sampled from them (every cell and hour
-    versus about 1,500 stations), so the distinct needed keys are counted and, when they fit
-    the broadcast limit, the cells are filtered map-side by a broadcast left-semi join before
-    any shuffle.  Beyond the limit the cells are joined as they are."""
-    if not prune:
+    versus about 1,500 stations).  When the planner estimates the cell table above
+    ``min_bytes``, the distinct needed keys are counted and, when they fit the broadcast
+    limit, the cells are filtered map-side by a broadcast left-semi join before any shuffle.
+    Small cell tables, and key sets beyond the limit, are joined as they are."""
+    if not prune or estimated_bytes(cells) < min_bytes:
         return cells
     k = needed.select(*keys).distinct()
     if k.count() > limit:

@@ -57,3 +57,15 @@ def test_stream_restart_does_not_duplicate(spark):
     late.to_csv(f"{base}/in/late.csv", index=False)
     stream_annotate(*args, schema=_raw_schema(), keep=["event_id"])
     assert spark.read.parquet(f"{base}/out").count() > n1
+
+
+def test_large_cell_tables_are_reduced_before_the_join(spark):
+    from ashgrid.operators import joins as J
+    from ashgrid.sources.fixtures import grid_cell, sensor_obs
+    obs = sensor_obs(spark, SF001)
+    ay, ax = J.RegularAxis(30.0, 0.25, 50), J.RegularAxis(-120.0, 0.75, 40)
+    small = J.sample_nearest(obs, grid_cell(spark, SF001), ay, ax, ["v"])
+    assert "LeftSemi" not in plan(small)
+    forced = J.needed_cells(grid_cell(spark, SF001), obs.select(F.lit(0).alias("y"), F.lit(1).alias("x")),
+                            ["y", "x"], min_bytes=0)
+    assert "LeftSemi" in plan(forced) and forced.count() == 1
