@@ -168,8 +168,8 @@ def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
     """Equal-width counts between min and max of ``c`` (nulls skipped); the last bin
     is closed.  Every bin is returned, empty ones with count 0: (bin, lo, hi, n)."""
     vals = df.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
-    mn = _scalar(vals, F.min("v"))
-    mx = _scalar(vals, F.max("v"))
+    st = vals.select(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()   # one subquery
+    mn, mx = st["mn"], st["mx"]
     width = (mx - mn) / bins
     idx = F.least(F.floor(F.try_divide(F.col("v") - mn, width)), F.lit(bins - 1))
     idx = F.coalesce(idx, F.lit(0)).cast("int")
@@ -190,10 +190,12 @@ def density(df: DataFrame, c: str, gridsize: int = 200, cut: float = 3.0) -> Dat
     emitted per grid point with ``explode`` (no join) and summed by grid index.
     """
     vals = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = _scalar(vals, F.count(F.lit(1)))
-    bw = _scalar(vals, F.stddev_samp("v")) * F.pow(n, F.lit(-0.2))
-    lo = _scalar(vals, F.min("v")) - bw * cut
-    hi = _scalar(vals, F.max("v")) + bw * cut
+    st = vals.select(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
+                              F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()   # one subquery
+    n = st["n"]
+    bw = st["sd"] * F.pow(n, F.lit(-0.2))
+    lo = st["mn"] - bw * cut
+    hi = st["mx"] + bw * cut
     step = (hi - lo) / (gridsize - 1)
     g = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
     pts = vals.select("v", g).withColumn("x", lo + F.col("g") * step)

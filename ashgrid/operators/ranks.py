@@ -22,17 +22,22 @@ __all__ = ["average_ranks", "rank_correlation"]
 def _assign_buckets(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: the number of per-key approximate quantile bounds below the value, so
     buckets are value ranges (monotone in the value) holding similar numbers of distinct
-    values.  The bound table has one small array per key and is joined by key (without keys it
-    is a single row, broadcast)."""
+    values.  The bound table has one small array per key and is joined by key; without keys
+    the bounds are a bounded literal."""
     if buckets <= 1:
         return df.withColumn("_bucket", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     pa = F.percentile_approx(value, probs, 10 * buckets).alias("_bounds")
-    jk = keys or ["_one"]
-    src = df if keys else df.withColumn("_one", F.lit(0))
-    with_b = src.join(F.broadcast(src.groupBy(*jk).agg(pa)) if not keys else src.groupBy(*jk).agg(pa), jk)
-    b = F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col(value))), F.lit(0))
-    return with_b.withColumn("_bucket", b).drop("_bounds", *([] if keys else ["_one"]))
+    if keys:
+        with_b = df.join(df.groupBy(*keys).agg(pa), keys)
+        bounds = F.col("_bounds")
+    else:
+        # one key: the (at most buckets - 1) bounds come back as a literal array, so the
+        # bucket is a per-row expression with no join at all
+        got = df.select(pa).first()[0] or []
+        with_b, bounds = df, F.array(*[F.lit(float(v)) for v in got]) if got else F.array().cast("array<double>")
+    b = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(value))), F.lit(0))
+    return with_b.withColumn("_bucket", b).drop("_bounds")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 512,

@@ -46,11 +46,12 @@ def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, f
     hh = P.clean_fire_band("b22")
     s = s.withColumns({"af_hh": hh, "af_mask": P.binary_mask(hh)})
     keys = ["year", "fire_id", "sample_idx"]
-    pred = P.persistence(s, T)
-    lab = s.filter(F.col("lag") == T).select(*keys, "y", "x", F.col("af_mask").alias("label"))
-    table = pred.join(lab, [*keys, "y", "x"], "full")
-    table = table.select(*keys, "y", "x", F.coalesce("pred", F.lit(0)).alias("pred"),
-                         F.coalesce("label", F.lit(0)).alias("label"))
+    # prediction (last input day's mask) and label (next day's mask) side by side in one
+    # aggregation over the sample pixels instead of a full outer join of two branches
+    table = (s.filter(F.col("lag") >= T - 1)
+              .groupBy(*keys, "y", "x")
+              .agg(F.coalesce(F.max(F.when(F.col("lag") == T - 1, F.col("af_mask"))), F.lit(0)).alias("pred"),
+                   F.coalesce(F.max(F.when(F.col("lag") == T, F.col("af_mask"))), F.lit(0)).alias("label")))
     f = folds.filter(F.col("fold") == fold).select("year", "split")
     t = table.join(F.broadcast(f), "year").withColumnRenamed("label", "y_true").withColumn("score", F.col("pred").cast("double"))
     m = E.binary_metrics(E.confusion(t, ["split"], "y_true", "score", 0.5))
