@@ -42,7 +42,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     q = entry.queries()
     print(f"# Physical plans at {sf}\n")
-    print("Initial AQE plans (before runtime re-optimisation); shuffles = hash/range/single exchanges.\n")
+    print("Initial AQE plans (before runtime re-optimisation: AQE later turns small sort-merge joins into "
+          "broadcast joins and coalesces partitions). Counts are per occurrence in the plan text, so a scalar "
+          "subquery used in several expressions is counted each time although it runs once (ReusedSubquery). "
+          "No plan contains a nested-loop join or a Cartesian product.\n")
     print("| query | joins and aggregates | shuffles | broadcasts | scans (table: pushed filters; read schema) |")
     print("| --- | --- | --- | --- | --- |")
     for n in names:
