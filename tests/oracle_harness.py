@@ -58,10 +58,12 @@ def compare(name: str, spark, sf_dir: str, con=None) -> dict:
     sql = oracle_sql().get(name)
     t0 = time.time()
     sdf = q(spark, sf_dir)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     t_spark = time.time() - t0
-    out = {"name": name, "spark_rows": len(s_rows), "spark_sec": round(t_spark, 2)}
+    out = {"name": name, "spark_rows": len(s_rows), "spark_sec": round(t_spark, 2),
+           "nested_loop": "NestedLoopJoin" in plan or "CartesianProduct" in plan}
     if sql is None:
         out["status"] = "rows-only"
         return out

@@ -69,3 +69,4 @@ def test_large_cell_tables_are_reduced_before_the_join(spark):
     forced = J.needed_cells(grid_cell(spark, SF001), obs.select(F.lit(0).alias("y"), F.lit(1).alias("x")),
                             ["y", "x"], min_bytes=0)
     assert "LeftSemi" in plan(forced) and forced.count() == 1
+
