@@ -81,17 +81,22 @@ def polygon_centroid(ring) -> tuple[Column, Column]:
 def inside_ring(lon: str, lat: str, ring: Sequence[tuple[float, float]] = USA_RING) -> Column:
     """Point-in-polygon by ray casting against a fixed ring, with a bounding-box shortcut.
 
-    The edges are constants, so the crossing count is unrolled into one SQL expression
-    (built in a single call and compiled into generated code) instead of a loop over an array."""
-    terms = []
-    for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]):
-        if y0 == y1:
-            continue
-        terms.append(f"CASE WHEN (({y0!r} > `{lat}`) != ({y1!r} > `{lat}`)) AND "
-                     f"`{lon}` < ({x1 - x0!r}) * (`{lat}` - ({y0!r})) / ({y1 - y0!r}) + ({x0!r}) THEN 1 ELSE 0 END")
+    The ring's non-horizontal edges are one constant array (a few hundred bytes, broadcast
+    with the plan); the crossing count is a fold over it, which keeps the generated code small
+    whatever the number of vertices."""
+    edges = [(x0, y0, x1, y1) for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]) if y0 != y1]
+    arr = F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("y0"),
+                             F.lit(float(c)).alias("x1"), F.lit(float(d)).alias("y1")) for a, b, c, d in edges])
+    x, y = F.col(lon), F.col(lat)
+
+    def step(acc, e):
+        hit = ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
+        return acc + hit.cast("int")
+
+    crossings = F.aggregate(arr, F.lit(0), step)
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    box = (f"`{lon}` BETWEEN {min(xs)!r} AND {max(xs)!r} AND `{lat}` BETWEEN {min(ys)!r} AND {max(ys)!r}")
-    return F.expr(f"({box}) AND (({' + '.join(terms)}) % 2 = 1)")
+    in_box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
+    return in_box & (crossings % 2 == 1)
 
 
 def points_in_region(df: DataFrame, lon: str = "lon", lat: str = "lat",
