@@ -12,18 +12,17 @@ Design rules used throughout:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import col_of, micros_between, ntz_lit
 from ashgrid.functions.geo import LambertSpec, lambert_xy
 
 __all__ = [
-    "BROADCAST_ROW_LIMIT", "maybe_broadcast", "attach_exact", "match_inner", "box_join",
+    "BROADCAST_ROW_LIMIT", "PRUNE_MIN_BYTES", "maybe_broadcast", "estimated_bytes", "needed_cells", "hours_since", "attach_exact", "match_inner", "box_join",
     "obs_near_fire", "obs_within_fire_box", "RegularAxis", "nearest_index", "sample_nearest",
     "sample_linear", "sample_projected", "sample_stations", "nearest_in_time",
     "append_grid_bands", "match_by_substring", "in_calendar_windows", "missing_cycles",
