@@ -23,8 +23,8 @@ from ashgrid.functions.geo import LambertSpec, lambert_xy
 
 __all__ = [
     "BROADCAST_ROW_LIMIT", "PRUNE_MIN_BYTES", "maybe_broadcast", "estimated_bytes", "needed_cells", "hours_since", "attach_exact", "match_inner", "box_join",
-    "obs_near_fire", "obs_within_fire_box", "RegularAxis", "nearest_index", "sample_nearest",
-    "sample_linear", "sample_projected", "sample_stations", "nearest_in_time",
+    "obs_near_fire", "obs_within_fire_box", "RegularAxis", "IrregularAxis", "nearest_index", "sample_nearest",
+    "IrregularAxis", "sample_linear", "sample_projected", "sample_stations", "nearest_in_time",
     "append_grid_bands", "match_by_substring", "in_calendar_windows", "missing_cycles",
     "subset_by_index", "coverage_by_year", "daily_perimeters_for", "locate_sample",
     "with_band_names", "BAND_NAMES",
@@ -172,13 +172,38 @@ class RegularAxis:
         return self.origin + (self.n - 1) * self.step
 
 
-def nearest_index(v, axis: RegularAxis) -> Column:
+@dataclass(frozen=True)
+class IrregularAxis:
+    """An axis with arbitrary increasing coordinates (e.g. a Gaussian latitude grid)."""
+
+    values: tuple[float, ...]
+
+    @property
+    def origin(self) -> float:
+        return self.values[0]
+
+    @property
+    def last(self) -> float:
+        return self.values[-1]
+
+
+def nearest_index(v, axis: RegularAxis | IrregularAxis) -> Column:
     """Index of the nearest axis point; ties go to the lower index; outside the axis hull
-    (beyond the first or last point) -> null."""
+    (beyond the first or last point) -> null.
+
+    Regular axes use index arithmetic; irregular axes (a short constant array shipped with the
+    plan) count the points below the value and pick the closer neighbour."""
     v = col_of(v)
+    lo, hi = min(axis.origin, axis.last), max(axis.origin, axis.last)
+    if isinstance(axis, IrregularAxis):
+        arr = F.array(*[F.lit(float(a)) for a in axis.values])
+        k = F.size(F.filter(arr, lambda a: a < v))                  # first index with a >= v
+        above = F.element_at(arr, k + 1)                             # element_at is 1-based
+        below = F.element_at(arr, F.greatest(k, F.lit(1)))
+        idx = F.when(k == 0, F.lit(0)).when((v - below) <= (above - v), k - 1).otherwise(k)
+        return F.when(v.between(lo, hi), idx.cast("long"))
     pos = (v - axis.origin) / axis.step
     idx = F.ceil(pos - 0.5).cast("long")
-    lo, hi = min(axis.origin, axis.last), max(axis.origin, axis.last)
     return F.when(v.between(lo, hi), idx)
 
 

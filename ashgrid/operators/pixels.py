@@ -134,6 +134,17 @@ def keep_burning(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("n_fire_pixels") > 1)
 
 
+def filter_report(counts: DataFrame) -> DataFrame:
+    """E6 report: for the ignition and burning subsets, samples kept, total and kept share
+    (one aggregation over the per-sample counts)."""
+    n = F.col("n_fire_pixels")
+    agg = counts.agg(F.count(F.lit(1)).alias("total"), F.count_if(n < 1).alias("ignition"),
+                     F.count_if(n > 1).alias("burning"))
+    long = agg.unpivot(["total"], ["ignition", "burning"], "subset", "kept")
+    return long.select("subset", "kept", "total",
+                       F.try_divide(F.col("kept").cast("double"), F.col("total").cast("double")).alias("share"))
+
+
 def persistence(sample_pixels: DataFrame, T: int, *, hh: str = "af_hh", mask: str = "af_mask",
                 keys: Sequence[str] = ("year", "fire_id", "sample_idx"), latest_only: bool = False) -> DataFrame:
     """Predict the label from the last input day: all of its fire pixels, or (latest_only)

@@ -116,6 +116,16 @@ def q_keep_ignition_burning(spark, sf_dir):
     return ig.unionByName(bu)
 
 
+@register("ignition_report", sql=f"""with {_SAMPLES},
+c as (select year, fire_id, sample_idx, count(*) filter (where af_mask = 1 and lag < {T}) as n from sp group by 1, 2, 3),
+a as (select count(*) as total, count(*) filter (where n < 1) as ignition, count(*) filter (where n > 1) as burning from c)
+select 'ignition' as subset, ignition as kept, total, round(ignition / total, 6) as share from a
+union all select 'burning', burning, total, round(burning / total, 6) from a""")
+def q_ignition_report(spark, sf_dir):
+    """E6 report: kept / total for the ignition and burning filters."""
+    return rounded(P.filter_report(P.fire_pixel_counts(sample_pixels(spark, sf_dir), T=T)))
+
+
 @register("persistence", sql=f"""with {_SAMPLES},
 last as (select * from sp where lag = {T - 1}),
 mx as (select year, fire_id, sample_idx, max(af_hh) as mx from last group by 1, 2, 3)

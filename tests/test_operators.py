@@ -297,3 +297,10 @@ def test_pr_curve_matches_brute_force(spark):
         tp, fp = int((pred & (y == 1)).sum()), int((pred & (y == 0)).sum())
         prec = tp / (tp + fp) if tp + fp else 1.0
         assert got[i] == (pytest.approx(prec), pytest.approx(tp / y.sum()))
+
+
+def test_nearest_index_irregular_axis(spark):
+    ax = J.IrregularAxis((0.0, 1.0, 3.0, 7.0))
+    df = ntz(spark, [(0.5,), (0.4,), (2.0,), (2.1,), (5.0,), (7.0,), (7.5,), (-1.0,), (0.0,)], "v double")
+    got = [r.i for r in df.select(J.nearest_index("v", ax).alias("i")).collect()]
+    assert got == [0, 0, 1, 2, 2, 3, None, None, 0]
