@@ -292,9 +292,9 @@ def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_a
 def sample_projected(obs: DataFrame, cells: DataFrame, spec: LambertSpec, value: str = "pm25_tot",
                      *, lat: str = "lat", lon: str = "lon", time: str = "time", cell_time: str = "time",
                      cell_row: str = "row", cell_col: str = "col", cell_lay: str = "lay",
-                     out: str | None = None) -> DataFrame:
+                     out: str | None = None, prune_cells: bool = True) -> DataFrame:
     """Lambert xy -> (row, col) by truncation toward zero, bounds check, exact time match,
-    layer 0; else null (left join)."""
+    layer 0; else null (left join).  Large cell tables are first reduced to the needed cells."""
     out = out or value
     x, y = lambert_xy(lon, lat, spec)
     colf = ((x - spec.xorig) / spec.xcell).cast("long")   # cast truncates toward zero
@@ -304,6 +304,9 @@ def sample_projected(obs: DataFrame, cells: DataFrame, spec: LambertSpec, value:
     c = cells.filter(F.col(cell_lay) == 0).select(
         F.col(cell_time).alias("_t"), F.col(cell_row).alias("_row"), F.col(cell_col).alias("_col"),
         F.col(value).alias(out))
+    if not obs.isStreaming:
+        need = o.filter(F.col("_row").isNotNull()).select(F.col(time).alias("_t"), "_row", "_col")
+        c = needed_cells(c, need, ["_t", "_row", "_col"], prune_cells)
     j = o.join(c, (o["_row"] == c["_row"]) & (o["_col"] == c["_col"]) & (o[time] == c["_t"]), "left")
     return j.select(*[o[x] for x in obs.columns], c[out])
 
