@@ -33,7 +33,7 @@ def image_index(pixels: DataFrame, keys: Sequence[str] = ("year", "fire_id"), da
     The window runs over one fire's images (one per day), never over pixels."""
     keys = list(keys)
     imgs = pixels.select(*keys, date).distinct()
-    return imgs.withColumn("img_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(date)) - 1)
+    return imgs.withColumn("img_idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(date)) - 1).cast("long"))
 
 
 def stack_inventory(files: DataFrame, fires: DataFrame | None = None, *, path: str = "path",
@@ -89,7 +89,7 @@ def samples(pixels: DataFrame, T: int, skip: int = 0, keys: Sequence[str] = ("ye
     idx = image_index(pixels, keys, date)
     cnt = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     lags = idx.join(cnt, keys).select(*keys, date, "img_idx", "_n",
-                                      F.explode(F.sequence(F.lit(0), F.lit(T))).alias("lag"))
+                                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(T).cast("long"))).alias("lag"))
     lags = lags.withColumn("sample_idx", F.col("img_idx") - skip - F.col("lag"))
     lags = lags.filter((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("_n") - skip - T))
     return pixels.join(lags.select(*keys, date, "sample_idx", "lag"), [*keys, date])
@@ -163,7 +163,7 @@ def persistence(sample_pixels: DataFrame, T: int, *, hh: str = "af_hh", mask: st
 
 def clean_fire_band(c) -> Column:
     """H5: active-fire time hhmm -> hour; missing (no detection) -> 0."""
-    return F.floor(F.coalesce(col_of(c), F.lit(0)) / 100)
+    return F.floor(F.coalesce(col_of(c), F.lit(0)) / 100).cast("double")
 
 
 def binary_mask(c) -> Column:
@@ -232,7 +232,7 @@ def best_of_k_crops(sample_pixels: DataFrame, k: int, n: int, H: int, W: int, se
         raise ValueError("crop must be smaller than the image")
     keys = list(keys)
     owners = sample_pixels.select(*keys).distinct()
-    cands = owners.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("crop_i"))
+    cands = owners.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("crop_i"))
     cands = cands.select(*keys, "crop_i", *crop_offsets(keys, k, H, W, n, seed))
     is_in = F.col("lag") < T
     hot = sample_pixels.filter((is_in & (F.col(fire) != 0)) | ((F.col("lag") == T) & (F.col(label) != 0)))
@@ -282,8 +282,8 @@ def zero_pad(df: DataFrame, H: int, W: int, size: int, keys: Sequence[str], valu
     keys = list(keys)
     owners = df.select(*keys).distinct()
     oh, ow = H + ph, W + pw
-    grid = (owners.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(oh - 1))).alias(y))
-                  .select(*keys, y, F.explode(F.sequence(F.lit(0), F.lit(ow - 1))).alias(x)))
+    grid = (owners.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(oh - 1).cast("long"))).alias(y))
+                  .select(*keys, y, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ow - 1).cast("long"))).alias(x)))
     src = df.select(*keys, (F.col(y) + top).alias(y), (F.col(x) + left).alias(x), *values)
     j = grid.join(src, [*keys, y, x], "left")
     return j.select(*keys, y, x, *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])

@@ -164,9 +164,9 @@ def weather_rows(spark, sf_dir):
 _WX = """wx as (select event_id as cell, ts as time, event_id % 256 as y, user_id % 64 as x,
   value / 10000 as qv, cast((event_id % 2000) - 1000 as double) as p,
   cast(80000 + (user_id % 200) * 100 as double) as pb, cast((event_id % 40) - 10 as double) as t,
-  value / 7 as rainnc, (event_id % 9) * 0.5 as rainc, (event_id % 21) - 10.0 as u10,
-  (user_id % 17) - 8.0 as v10, 260 + value / 10 as t2, value / 20000 as q2,
-  30 + (user_id % 20) * 0.5 as xlat, -120 + (user_id % 37) * 0.75 as xlong from events)"""
+  value / 7 as rainnc, cast((event_id % 9) * 0.5 as double) as rainc, cast((event_id % 21) - 10.0 as double) as u10,
+  cast((user_id % 17) - 8.0 as double) as v10, 260 + value / 10 as t2, value / 20000 as q2,
+  cast(30 + (user_id % 20) * 0.5 as double) as xlat, cast(-120 + (user_id % 37) * 0.75 as double) as xlong from events)"""
 
 _RH_SQL = """tk as (select cell, qv, p + pb as full_p, (t + 300) * pow((p + pb) / 100000.0, 287.05 / 1004.0) as temp_k from wx),
 es as (select *, 10 * 0.6112 * exp(17.67 * (temp_k - 273.15) / (temp_k - 29.65)) as es from tk)"""
@@ -330,8 +330,8 @@ def q_km_box(spark, sf_dir):
 
 
 @register("cell_coords", sql="""
-select y, x, round((x + 0.5) * 0.01 + (y + 0.5) * 0.0 + (-121.0), 6) as lon,
-       round((x + 0.5) * 0.0 + (y + 0.5) * (-0.01) + 41.0, 6) as lat from grid_cell""")
+select y, x, round(cast((x + 0.5) * 0.01 + (y + 0.5) * 0.0 + (-121.0) as double), 6) as lon,
+       round(cast((x + 0.5) * 0.0 + (y + 0.5) * (-0.01) + 41.0 as double), 6) as lat from grid_cell""")
 def q_cell_coords(spark, sf_dir):
     """Affine raster index -> pixel-centre coordinates."""
     g = grid_cell(spark, sf_dir)

@@ -38,7 +38,7 @@ def _write_raw_csv(spark, sf_dir, path, with_extra_column=False, parts=4):
 
 
 @register("read_sensor_files", sql=f"""with {_RAW}
-select event_id as "Site Num", d as "Date GMT", t as "Time GMT", cast(lat as double) as "Latitude", value as "Sample Measurement",
+select cast(event_id as integer) as "Site Num", d as "Date GMT", t as "Time GMT", cast(lat as double) as "Latitude", value as "Sample Measurement",
        case when event_id % 2 = 1 then 'FEM' end as "Method"
 from raw""")
 def q_read_sensor_files(spark, sf_dir):

@@ -156,8 +156,8 @@ def q_persistence_scores(spark, sf_dir):
     return rounded(persistence_scores(raster(spark, sf_dir), 2, 1, P.fold_table(spark), 0))
 
 
-_L4_SQL = """with daily as (select user_id * 10 as fire_id, event_id, ts as time, 30 + (event_id % 100) * 0.01 as lat,
-  -120 + (event_id % 50) * 0.02 as lon from events),
+_L4_SQL = """with daily as (select user_id * 10 as fire_id, event_id, ts as time, cast(30 + (event_id % 100) * 0.01 as double) as lat,
+  cast(-120 + (event_id % 50) * 0.02 as double) as lon from events),
 a as (select generate_series as anchor from generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)
       where dayofweek(generate_series) = 0),
 w as (select * from fire f where exists (select 1 from a where f.idate >= anchor and f.idate < anchor + interval 7 day)

@@ -172,8 +172,8 @@ def daily_records(spark, sf_dir):
                     (F.lit(30.0) + (eid % 100) * 0.01).alias("lat"), (F.lit(-120.0) + (eid % 50) * 0.02).alias("lon"))
 
 
-_DAILY = """daily as (select user_id * 10 as fire_id, event_id, ts as time, 30 + (event_id % 100) * 0.01 as lat,
-  -120 + (event_id % 50) * 0.02 as lon from events)"""
+_DAILY = """daily as (select user_id * 10 as fire_id, event_id, ts as time, cast(30 + (event_id % 100) * 0.01 as double) as lat,
+  cast(-120 + (event_id % 50) * 0.02 as double) as lon from events)"""
 
 
 @register("nearest_in_time", sql=f"""with {_DAILY},

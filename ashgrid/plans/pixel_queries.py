@@ -65,7 +65,7 @@ tot as (select sum(n_samples) as total from cnt),
 q as (select event_id, case when event_id % 4 = 0 then -(event_id % total) - 1 else event_id % total end as global_idx
       from events, tot),
 qn as (select event_id, global_idx, case when global_idx < 0 then global_idx + total else global_idx end as g from q, tot)
-select qn.event_id, qn.global_idx, o.year, o.fire_id, o.n_samples, cast(qn.g - o."offset" as int) as in_fire_idx
+select qn.event_id, cast(qn.global_idx as bigint) as global_idx, o.year, o.fire_id, o.n_samples, cast(qn.g - o."offset" as bigint) as in_fire_idx
 from qn join offs o on qn.g >= o."offset" and qn.g < o."offset" + o.n_samples""")
 def q_locate_sample(spark, sf_dir):
     """C17: global sample index (negative counts from the end) -> (year, fire, in-fire index)."""

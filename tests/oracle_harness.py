@@ -14,6 +14,9 @@ import time
 
 import duckdb
 
+import os as _os
+EXACT = bool(_os.environ.get("EXACT_FLOATS"))
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -25,15 +28,32 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def type_mismatches(sdf, con, sql) -> list[str]:
+    """Columns whose Spark type does not correspond to the oracle's DuckDB type."""
+    duck_types = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    bad = []
+    for c, t in sdf.dtypes:
+        want = SPARK_TO_DUCK.get(t, t.upper())
+        if t.startswith("array<"):
+            want = SPARK_TO_DUCK.get(t[6:-1], t[6:-1].upper()) + "[]"
+        if duck_types.get(c) != want:
+            bad.append(f"{c}: {t} vs {duck_types.get(c)}")
+    return bad
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5) + 0.0
+        return (round(v, 5) + 0.0) if not EXACT else v + 0.0
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 5) + 0.0
+        return (round(float(v), 5) + 0.0) if not EXACT else float(v)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
@@ -68,6 +88,7 @@ def compare(name: str, spark, sf_dir: str, con=None) -> dict:
         out["status"] = "rows-only"
         return out
     con = con or duck(sf_dir)
+    out["type_mismatches"] = type_mismatches(sdf, con, sql)
     rel = con.execute(sql)
     d_cols = [d[0] for d in rel.description]
     d_rows = [tuple(r) for r in rel.fetchall()]

@@ -25,6 +25,7 @@ def test_query_matches_oracle(spark, con, name):
     r = compare(name, spark, SF001, con)
     assert r["status"] in ("match", "rows-only"), r
     assert not r["nested_loop"], f"{name} plans a nested-loop join or Cartesian product"
+    assert not r.get("type_mismatches"), r["type_mismatches"]
 
 
 def test_entry_smoke(spark):
