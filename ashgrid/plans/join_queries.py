@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import hour_floor
@@ -259,7 +261,6 @@ from m order by cycle, kind limit 10""")
 def q_missing_cycles(spark, sf_dir):
     """Hourly cycles with pressure and native files; primary, else fallback host,
     else missing; first 10 missing pairs with the counts."""
-    from datetime import datetime
     return J.missing_cycles(file_listing(spark, sf_dir), datetime(2024, 1, 1), datetime(2024, 1, 30, 23),
                             native=True)
 
@@ -326,7 +327,6 @@ select area, (select count(*) from fire where area >= 20000000 and idate >= time
 from fire where area >= 20000000 and idate >= timestamp '2024-01-05' and idate < timestamp '2024-01-20'""")
 def q_collect_areas(spark, sf_dir):
     """Areas of large fires igniting in a date range, with their number."""
-    from datetime import datetime
     return agg.collect_areas(fire(spark, sf_dir), datetime(2024, 1, 5), datetime(2024, 1, 20), 2e7)
 
 
@@ -335,7 +335,6 @@ select fire_id from fire where area >= 10000000 and area < 1e20 and idate >= tim
   and idate < timestamp '2024-01-25'""")
 def q_fires_in_range(spark, sf_dir):
     """Area in [1e7, 1e20) and ignition in [start, end)."""
-    from datetime import datetime
     return agg.fires_in_range(fire(spark, sf_dir), 1e7, datetime(2024, 1, 3), datetime(2024, 1, 25)).select("fire_id")
 
 
@@ -348,7 +347,7 @@ def q_fires_per_year(spark, sf_dir):
 
 # ------------------------------------------------------------ time-varying grid (reanalysis cube)
 
-CUBE_ORIGIN = __import__("datetime").datetime(2024, 1, 1)
+CUBE_ORIGIN = datetime(2024, 1, 1)
 CUBE_T = J.RegularAxis(0.0, 2.0, 360)          # 2-hourly steps over 30 days
 CUBE_Y = J.RegularAxis(30.0, 0.5, 20)
 CUBE_X = J.RegularAxis(-120.0, 0.75, 37)
