@@ -304,3 +304,47 @@ def test_nearest_index_irregular_axis(spark):
     df = ntz(spark, [(0.5,), (0.4,), (2.0,), (2.1,), (5.0,), (7.0,), (7.5,), (-1.0,), (0.0,)], "v double")
     got = [r.i for r in df.select(J.nearest_index("v", ax).alias("i")).collect()]
     assert got == [0, 0, 1, 2, 2, 3, None, None, 0]
+
+
+def test_projected_cell_truncates_toward_zero_below_origin(spark):
+    # origin 6 km east of the projection centre: x = -6000 -> (x - xorig) / xcell = -0.5 -> 0
+    spec = G.LambertSpec(33, 45, -97, 40, 6000.0, -6000.0, 12000, 12000, 3, 3)
+    cells = ntz(spark, [(T0, 0, 0, 0, 2.5)], "time timestamp_ntz, lay int, row long, col long, pm25_tot double")
+    obs = ntz(spark, [(1, 40.0, -97.0, T0)], "id long, lat double, lon double, time timestamp_ntz")
+    assert J.sample_projected(obs, cells, spec).first().pm25_tot == 2.5
+
+
+def test_verify_files_decision_table(spark):
+    from ashgrid.operators.quality import verify_files
+    import hashlib
+    good = "abc"
+    h = hashlib.md5(good.encode()).hexdigest()
+    rows = [  # url, expected_bytes, manifest md5, etag -> expected status
+        ("ok", 3, h, h, "valid"),
+        ("size_wrong_tag_ok", 4, h, h, "valid"),            # data check fails, tag check passes
+        ("both_fail", 4, h, "deadbeef", "invalid_data"),
+        ("stale", 3, h, "0123abcd", "invalid_stale"),        # data ok, tag is a checksum but differs
+        ("tag_not_checksum", 3, h, "W/\"x-1\"", "valid"),    # tag ignored, no staleness
+        ("no_manifest_md5", 3, None, h, "invalid_stale"),
+    ]
+    manifest = spark.createDataFrame([r[:4] for r in rows], "url string, expected_bytes long, md5 string, etag string")
+    files = spark.createDataFrame([(r[0], bytearray(good.encode())) for r in rows], "url string, content binary")
+    got = {r.url: r.status for r in verify_files(manifest, files).collect()}
+    assert got == {r[0]: r[4] for r in rows}
+
+
+def test_missing_cycles_primary_then_fallback(spark):
+    listing = ntz(spark, [("https://p/hrrr/hrrr.20240101/conus/hrrr.t00z.wrfprsf00.grib2",),
+                          ("https://f/hrrr/hrrr.20240101/conus/hrrr.t01z.wrfprsf00.grib2",)], "url string")
+    out = J.missing_cycles(listing, dt.datetime(2024, 1, 1, 0), dt.datetime(2024, 1, 1, 3),
+                           primary_base="https://p/hrrr", fallback_base="https://f/hrrr").collect()
+    assert [r.cycle.hour for r in out] == [2, 3]
+    assert out[0].n_cycles == 4 and out[0].n_missing == 2
+
+
+def test_header_array_rows_drop_non_numeric_time(spark):
+    from ashgrid.sources.files import rows_from_header_array
+    doc = '[["time","pm25"],["0","2e-9"],["x","1e-9"],["3600000","4e-9"]]'
+    got = rows_from_header_array(ntz(spark, [(doc,)], "doc string")).collect()
+    assert [(r.row_idx, r.time, round(r.pm25, 9)) for r in got] == [
+        (0, dt.datetime(1970, 1, 1, 0), 2.0), (2, dt.datetime(1970, 1, 1, 1), 4.0)]
