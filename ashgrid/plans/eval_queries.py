@@ -15,7 +15,7 @@ _RATIOS = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(
 
 @register("binary_metrics", sql=f"with c as ({_CONF} from pred) select tp, fp, fn, tn, {_RATIOS} from c")
 def q_binary_metrics(spark, sf_dir):
-    """Confusion counts at 0.5 and precision, recall, F1, IoU."""
+    """Confusion counts at 0.5 and precision, recall, f1 score, IoU."""
     return rounded(E.binary_metrics(E.confusion(pred(spark, sf_dir))))
 
 

@@ -57,7 +57,7 @@ def q_agreement(spark, sf_dir):
     "year(time) as year, pm25 as truth, est_b as est, lat, lon, time from sensor_obs")
     + f"select cast(year as int) as year, {_METRICS_OUT} from m")
 def q_agreement_by_year(spark, sf_dir):
-    """Yearly agreement of one estimate."""
+    """D4 (+F1): yearly agreement of one estimate, ordered by year."""
     obs = sensor_obs(spark, sf_dir)
     return rounded(agg.agreement_by_year(obs, "pm25", "est_b"))
 
@@ -112,7 +112,7 @@ def q_correlation_by_bin(spark, sf_dir):
 select cast(floor(pm25 / 50) * 50 as double) as bin, count(*) as n
 from sensor_obs where pm25 is not null group by 1""")
 def q_count_by_bin(spark, sf_dir):
-    """Rows per 50-unit truth bin."""
+    """D8 (+F1): rows per 50-unit truth bin, ordered by bin."""
     return agg.count_by_bin(sensor_obs(spark, sf_dir), "pm25", 50.0)
 
 

@@ -70,3 +70,12 @@ def test_large_cell_tables_are_reduced_before_the_join(spark):
                             ["y", "x"], min_bytes=0)
     assert "LeftSemi" in plan(forced) and forced.count() == 1
 
+
+
+def test_every_survey_operator_has_a_query():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    r = subprocess.run([sys.executable, "tools/coverage.py"], capture_output=True, text=True, cwd=root)
+    assert r.returncode == 0, r.stdout[-500:]
