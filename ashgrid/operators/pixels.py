@@ -44,8 +44,7 @@ def stack_inventory(files: DataFrame, fires: DataFrame | None = None, *, path: s
     parsed = files.select(
         F.regexp_extract(p, r"(\d{4})/", 1).cast("int").alias("year"),
         F.regexp_extract(p, r"fire_(\d+)/", 1).cast("long").alias(fire_key),
-        F.try_to_timestamp(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})\.tif$", 1), F.lit("yyyy-MM-dd"))
-        .cast("timestamp_ntz").cast("date").alias("obs_date")).filter(F.col("obs_date").isNotNull())
+        F.try_to_date(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd").alias("obs_date")).filter(F.col("obs_date").isNotNull())
     inv = parsed.groupBy("year", fire_key).agg(F.count_distinct("obs_date").alias("n_images"),
                                                F.min("obs_date").alias("first_date"),
                                                F.max("obs_date").alias("last_date"))

@@ -84,8 +84,8 @@ def listing_to_fire_dates(df: DataFrame, xml: str = "xml") -> DataFrame:
     skipped."""
     rec = F.from_xml(F.col(xml), "dir string, file string")   # native XML reader, ~7x faster than xpath
     d, f = rec["dir"], rec["file"]
-    dt = F.try_to_timestamp(F.regexp_extract(f, r"^(\d{4}-\d{2}-\d{2})\.tif$", 1), F.lit("yyyy-MM-dd"))
-    rows = df.select(d.alias("fire"), dt.cast("timestamp_ntz").cast("date").alias("d")).filter(F.col("d").isNotNull())
+    dt = F.try_to_date(F.regexp_extract(f, r"^(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd")
+    rows = df.select(d.alias("fire"), dt.alias("d")).filter(F.col("d").isNotNull())
     return rows.groupBy("fire").agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"))
 
 

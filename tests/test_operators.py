@@ -348,3 +348,15 @@ def test_header_array_rows_drop_non_numeric_time(spark):
     got = rows_from_header_array(ntz(spark, [(doc,)], "doc string")).collect()
     assert [(r.row_idx, r.time, round(r.pm25, 9)) for r in got] == [
         (0, dt.datetime(1970, 1, 1, 0), 2.0), (2, dt.datetime(1970, 1, 1, 1), 4.0)]
+
+
+def test_parse_date_hour_ignores_session_zone_and_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = ntz(spark, [("2024-03-10", "02:00"), ("2024-01-31", "24:00"), ("2024-02-30", "01:00"), ("2024-01-01", "7")],
+                 "d string, t string")
+        got = [r.ts for r in df.select(C.parse_date_hour("d", "t").alias("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 2, 1, 0), None, None]
