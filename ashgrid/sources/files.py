@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ashgrid.functions.columns import from_epoch_ms, nan_to_null
+from ashgrid.functions.columns import from_epoch_ms, nan_to_null, try_parse_ntz
 
 __all__ = ["RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
            "listing_to_fire_dates", "rows_from_header_array", "write_matched_csv", "MATCHED_COLUMNS"]
@@ -65,7 +65,7 @@ def explode_fire_map(df: DataFrame, doc: str = "doc", control_keys: Sequence[str
     ex = ex.filter(~F.col("fire_name").isin(list(control_keys)))
     e = F.from_json(F.col("_v"), FIRE_ENTRY)
     return ex.select("fire_name", e["latitude"].alias("latitude"), e["longitude"].alias("longitude"),
-                     F.to_timestamp_ntz(e["start"]).alias("start"), F.to_timestamp_ntz(e["end"]).alias("end"), "year")
+                     try_parse_ntz(e["start"]).alias("start"), try_parse_ntz(e["end"]).alias("end"), "year")
 
 
 def read_cells(spark: SparkSession, path: str, start, end, variables: Sequence[str],

@@ -360,3 +360,9 @@ def test_parse_date_hour_ignores_session_zone_and_dst(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 2, 1, 0), None, None]
+
+
+def test_try_parse_ntz(spark):
+    df = ntz(spark, [("2024-07-04 13:05:09",), ("2024-07-04",), ("2024-07-04T01:02",), ("2024-13-01",), ("nope",), (None,)], "s string")
+    got = [r.t for r in df.select(C.try_parse_ntz("s").alias("t")).collect()]
+    assert got == [dt.datetime(2024, 7, 4, 13, 5, 9), dt.datetime(2024, 7, 4), dt.datetime(2024, 7, 4, 1, 2), None, None, None]
