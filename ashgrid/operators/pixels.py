@@ -42,8 +42,8 @@ def stack_inventory(files: DataFrame, fires: DataFrame | None = None, *, path: s
     images, first and last date; fires of the catalog without images are flagged."""
     p = F.col(path)
     parsed = files.select(
-        F.regexp_extract(p, r"(\d{4})/", 1).cast("int").alias("year"),
-        F.regexp_extract(p, r"fire_(\d+)/", 1).cast("long").alias(fire_key),
+        F.regexp_extract(p, r"(\d{4})/", 1).try_cast("int").alias("year"),
+        F.regexp_extract(p, r"fire_(\d+)/", 1).try_cast("long").alias(fire_key),
         F.try_to_date(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd").alias("obs_date")).filter(F.col("obs_date").isNotNull())
     inv = parsed.groupBy("year", fire_key).agg(F.count_distinct("obs_date").alias("n_images"),
                                                F.min("obs_date").alias("first_date"),

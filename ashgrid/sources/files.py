@@ -45,7 +45,7 @@ def read_coded_files(spark: SparkSession, glob: str, codes: Sequence[str], years
     df = spark.read.schema(schema).option("header", True).csv(glob)
     path = F.col("_metadata.file_path")
     df = df.withColumns({"code": F.regexp_extract(path, name_pattern, 1),
-                         "file_year": F.regexp_extract(path, name_pattern, 2).cast("int")})
+                         "file_year": F.regexp_extract(path, name_pattern, 2).try_cast("int")})
     return df.filter(F.col("code").isin(list(codes)) & F.col("file_year").isin(list(years)))
 
 
@@ -61,7 +61,7 @@ def explode_fire_map(df: DataFrame, doc: str = "doc", control_keys: Sequence[str
     one row per fire (fire_name, latitude, longitude, start, end, year); control keys dropped."""
     m = F.from_json(F.col(doc), T.MapType(T.StringType(), T.StringType()))
     ex = df.select(m.alias("_m")).select(
-        F.col("_m")["year"].cast("int").alias("year"), F.explode("_m").alias("fire_name", "_v"))
+        F.col("_m")["year"].try_cast("int").alias("year"), F.explode("_m").alias("fire_name", "_v"))
     ex = ex.filter(~F.col("fire_name").isin(list(control_keys)))
     e = F.from_json(F.col("_v"), FIRE_ENTRY)
     return ex.select("fire_name", e["latitude"].alias("latitude"), e["longitude"].alias("longitude"),
