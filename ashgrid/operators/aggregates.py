@@ -19,7 +19,7 @@ from ashgrid.functions.stats import mean_bias, rmse, safe_corr, safe_slope
 from ashgrid.operators.ranks import rank_correlation
 
 __all__ = [
-    "station_spans", "station_count", "unpivot_estimates", "agreement", "agreement_by_year",
+    "station_spans", "station_count", "unpivot_estimates", "agreement", "agreement_by_year", "agreement_by",
     "log_correlation_by_year", "correlation_by_bin", "count_by_bin", "correlation_above",
     "fires_per_year", "mean_error_by_hour", "mean_by_group", "first_location_by_group",
     "histogram", "density", "share_at_least", "daily_mean_grid", "missing_by_column",
@@ -92,6 +92,17 @@ def agreement_by_year(df: DataFrame, truth: str, est: str, time: str = "time", l
     return _metrics(base, ["year"], lat, lon, buckets).select("year", *METRIC_COLUMNS).orderBy("year")
 
 
+def agreement_by(df: DataFrame, truth: str, est: str, keys: Sequence[str], lo: float = 2.0,
+                 hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int = 512) -> DataFrame:
+    """D3 metrics of one estimate per arbitrary group (fire, station, season...); groups with
+    no valid rows are absent.  Ranks are computed per group in bucketed windows, so a group
+    holding most rows is still split across tasks."""
+    keys = list(keys)
+    base = df.select(*keys, F.col(truth).alias("truth"), F.col(est).alias("est"), lat, lon)
+    base = valid_pairs(base, "truth", "est", lo, hi, extra_not_null=(lat, lon))
+    return _metrics(base, keys, lat, lon, buckets).select(*keys, *METRIC_COLUMNS)
+
+
 def log_correlation_by_year(df: DataFrame, truth: str, est: str, time: str = "time",
                             lo: float = 0.0, hi: float = 100000.0,
                             before_year: int | None = None) -> DataFrame:

@@ -411,3 +411,23 @@ def q_trilinear_interp(spark, sf_dir):
     s = J.sample_linear(pts, species_cube(spark, sf_dir, 24), CUBE_Y, CUBE_X, "dust", "event_id",
                         time_axis=J.RegularAxis(0.0, 24.0, 30), time_origin=CUBE_ORIGIN)
     return rounded(s.select("event_id", (F.col("dust") * 1e9).alias("dust_ug")))
+
+
+def _agreement_by_fire_sql():
+    from ashgrid.plans.sensor_queries import _LONG, _METRICS_OUT
+    body = _LONG.format(lo=2, hi=1000, key="fire_id")
+    body = body.replace(
+        "select 'est_a' as source, pm25 as truth, est_a as est, lat, lon, time from sensor_obs\n  union all\n"
+        "  select 'est_b' as source, pm25 as truth, est_b as est, lat, lon, time from sensor_obs",
+        "select f.fire_id, o.pm25 as truth, o.est_a as est, o.lat, o.lon, o.time from sensor_obs o join fire f\n"
+        "    on abs(o.lat - f.lat) < 1.0 and abs(o.lon - f.lon) < 1.0 and o.time >= f.idate and o.time <= f.fdate")
+    return body + f"select fire_id, {_METRICS_OUT} from m"
+
+
+@register("agreement_by_fire", sql=_agreement_by_fire_sql())
+def q_agreement_by_fire(spark, sf_dir):
+    """D3 per fire (+C3, D12): agreement of one estimate with readings within +/-1 degree of each
+    fire during its period; one bucketed rank per fire."""
+    o = sensor_obs(spark, sf_dir).select("event_id", "lat", "lon", "time", "pm25", "est_a")
+    m = J.obs_near_fire(o, fire(spark, sf_dir), 1.0)
+    return rounded(agg.agreement_by(m, "pm25", "est_a", ["fire_id"]))

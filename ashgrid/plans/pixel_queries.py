@@ -78,6 +78,7 @@ def q_locate_sample(spark, sf_dir):
     return J.locate_sample(idx, offs).select("event_id", "global_idx", "year", "fire_id", "n_samples", "in_fire_idx")
 
 
+# Fixed values in the oracle below: the twelve (train, val, test) year splits, in fold order.
 @register("year_folds", sql=f"""with {_COUNTS},
 f as (select * from (values
   (0, 2018, 'train'), (0, 2019, 'train'), (0, 2020, 'val'), (0, 2021, 'test'),
