@@ -187,7 +187,7 @@ def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
     counts = vals.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(F.broadcast(counts), "bin", "left")
+    return (grid.join(F.broadcast(counts), "bin", "left")   # at most ``bins`` rows
                 .select("bin", (mn + F.col("bin") * width).alias("lo"),
                         (mn + (F.col("bin") + 1) * width).alias("hi"),
                         F.coalesce(F.col("n"), F.lit(0)).alias("n")))

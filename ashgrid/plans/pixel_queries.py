@@ -99,7 +99,7 @@ def q_year_folds(spark, sf_dir):
     """E5: samples and fires in the train / val / test years of each of the 12 folds."""
     c = P.sample_counts(raster(spark, sf_dir), T, SKIP)
     folds = P.fold_table(spark)
-    j = F.broadcast(folds).join(c, "year", "left")
+    j = F.broadcast(folds).join(c, "year", "left")   # fixed 48-row fold table
     return j.groupBy("fold", "split").agg(F.coalesce(F.sum("n_samples"), F.lit(0)).cast("long").alias("n_samples"),
                                           F.count("fire_id").alias("n_fires"))
 
