@@ -206,6 +206,30 @@ def q_stream_annotate(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("event_id", "time", "lat", "lon", "pm25", "cube", "v")
 
 
+@register("stream_annotate_linear", sql=_STREAM_SQL.replace(" as ix\n      from p, ax)", " as ix\n      from p, ax)") + """,
+b as (select event_id, time, lat, lon, pm25, cube, (lat - 30) / 0.25 as py, (lon + 120) / 0.75 as px,
+        lat between 30 and 30 + (select max(y) from grid_cell) * 0.25 and lon between -120 and -120 + 39 * 0.75 as inside
+      from i where time is not null),
+c as (select *, floor(py) as y0, floor(px) as x0, py - floor(py) as fy, px - floor(px) as fx from b),
+k as (select c.event_id, (case when dy = 1 then fy else 1 - fy end) * (case when dx = 1 then fx else 1 - fx end) as w,
+        cast(y0 + dy as bigint) as cy, cast(x0 + dx as bigint) as cx
+      from c, (values (0), (1)) a(dy), (values (0), (1)) b2(dx) where inside),
+s as (select k.event_id, case when count(*) filter (where g.v is null) = 0 then sum(k.w * g.v) end as v
+      from k left join grid_cell g on g.y = k.cy and g.x = k.cx where k.w > 0 group by 1)
+select b.event_id, b.time, b.lat, b.lon, b.pm25, b.cube, round(s.v, 6) as v from b left join s on b.event_id = s.event_id""")
+def q_stream_annotate_linear(spark, sf_dir):
+    """S1 with C6: the stream interpolates the grid bilinearly (one stateless stream-static
+    join per corner), as the source job's default linear interpolation."""
+    from ashgrid.streaming.annotate import stream_annotate
+    base = scratch(spark, "streaml")
+    _write_raw_csv(spark, sf_dir, f"{base}/in", parts=4)
+    ay, ax = _grid_axes(spark, sf_dir)
+    stream_annotate(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", grid_cell(spark, sf_dir), ay, ax, ["v"],
+                    schema=_raw_schema(), keep=["event_id"], method="linear")
+    out = spark.read.parquet(f"{base}/out").select("event_id", "time", "lat", "lon", "pm25", "cube", "v")
+    return rounded(out)
+
+
 def _raw_schema():
     # column order of raw_sensor_rows
     return T.StructType([

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ashgrid.functions.columns import normalise_sensor
-from ashgrid.operators.joins import RegularAxis, sample_nearest
+from ashgrid.operators.joins import RegularAxis, sample_linear_stateless, sample_nearest
 from ashgrid.operators.quality import quarantine
 from ashgrid.operators.sequences import cube_key
 from ashgrid.sources.files import RAW_SENSOR_SCHEMA
@@ -25,20 +25,26 @@ __all__ = ["annotated_stream", "stream_annotate", "stream_quarantine"]
 
 def annotated_stream(spark: SparkSession, src: str, grid: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
                      values: Sequence[str], schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (),
-                     max_files: int = 1, drop_bad_dates: bool = True) -> DataFrame:
-    """Streaming DataFrame of parsed readings with their cube key and nearest grid values."""
+                     max_files: int = 1, drop_bad_dates: bool = True, method: str = "nearest") -> DataFrame:
+    """Streaming DataFrame of parsed readings with their cube key and grid values, sampled at the
+    nearest cell or (``method="linear"``) interpolated bilinearly with stateless corner joins."""
     raw = (spark.readStream.schema(schema).option("header", True)
                 .option("maxFilesPerTrigger", max_files).csv(src))
     obs = normalise_sensor(raw, keep=keep, drop_bad_dates=drop_bad_dates)
     obs = obs.withColumn("cube", cube_key("lat", "lon", "time"))
+    if method == "linear":
+        for v in values:
+            obs = sample_linear_stateless(obs, grid, lat_axis, lon_axis, v)
+        return obs
     return sample_nearest(obs, grid, lat_axis, lon_axis, values)
 
 
 def stream_annotate(spark: SparkSession, src: str, out: str, checkpoint: str, grid: DataFrame,
                     lat_axis: RegularAxis, lon_axis: RegularAxis, values: Sequence[str],
-                    schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (), max_files: int = 1) -> None:
+                    schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (), max_files: int = 1,
+                    method: str = "nearest") -> None:
     """Annotate every sensor file under ``src`` and append to Parquet at ``out``."""
-    s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files)
+    s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, method=method)
     q = (s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
           .trigger(availableNow=True).start(out))
     q.awaitTermination()

@@ -366,3 +366,18 @@ def test_try_parse_ntz(spark):
     df = ntz(spark, [("2024-07-04 13:05:09",), ("2024-07-04",), ("2024-07-04T01:02",), ("2024-13-01",), ("nope",), (None,)], "s string")
     got = [r.t for r in df.select(C.try_parse_ntz("s").alias("t")).collect()]
     assert got == [dt.datetime(2024, 7, 4, 13, 5, 9), dt.datetime(2024, 7, 4), dt.datetime(2024, 7, 4, 1, 2), None, None, None]
+
+
+def test_stateless_bilinear_equals_grouped_bilinear(spark):
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(i, j, float(rng.normal())) for i in range(6) for j in range(7) if (i, j) != (3, 3)],
+                                  "y long, x long, v double")
+    pts = spark.createDataFrame([(k, float(rng.uniform(9.9, 12.6)), float(rng.uniform(-5.1, -1.9))) for k in range(300)]
+                                + [(1000, 11.5, -3.5), (1001, 10.0, -5.0)], "id long, lat double, lon double")
+    ay, ax = J.RegularAxis(10.0, 0.5, 6), J.RegularAxis(-5.0, 0.5, 7)
+    a = {r.id: r.v for r in J.sample_linear(pts, cells, ay, ax, "v", "id").collect()}
+    b = {r.id: r.v for r in J.sample_linear_stateless(pts, cells, ay, ax, "v").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], abs=1e-12), k
+    assert a[1000] is None and a[1001] is not None        # needs the missing (3, 3) cell / exact corner
