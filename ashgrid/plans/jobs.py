@@ -57,7 +57,8 @@ def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, f
               .agg(F.coalesce(F.max(F.when(F.col("lag") == T - 1, F.col("af_mask"))), F.lit(0)).alias("pred"),
                    F.coalesce(F.max(F.when(F.col("lag") == T, F.col("af_mask"))), F.lit(0)).alias("label")))
     f = folds.filter(F.col("fold") == fold).select("year", "split")
-    t = table.join(F.broadcast(f), "year")   # one fold: at most 8 (year, split) rows.withColumnRenamed("label", "y_true").withColumn("score", F.col("pred").cast("double"))
+    # one fold: at most 8 (year, split) rows are broadcast
+    t = table.join(F.broadcast(f), "year").withColumnRenamed("label", "y_true").withColumn("score", F.col("pred").cast("double"))
     m = E.binary_metrics(E.confusion(t, ["split"], "y_true", "score", 0.5))
     ap = E.average_precision(t, ["split"], "y_true", "score")
     return m.join(ap, "split", "left")
