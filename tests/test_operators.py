@@ -381,3 +381,28 @@ def test_stateless_bilinear_equals_grouped_bilinear(spark):
     for k in a:
         assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], abs=1e-12), k
     assert a[1000] is None and a[1001] is not None        # needs the missing (3, 3) cell / exact corner
+
+
+def test_calendar_windows_half_open(spark):
+    # January 2024: Sundays are the 7th, 14th, 21st, 28th; window [Sunday, Sunday + 1 day)
+    rows = [(1, dt.datetime(2024, 1, 7, 0, 0)), (2, dt.datetime(2024, 1, 7, 23, 59)), (3, dt.datetime(2024, 1, 8, 0, 0)),
+            (4, dt.datetime(2024, 1, 6, 23, 0)), (5, dt.datetime(2024, 1, 28, 12)), (6, dt.datetime(2024, 2, 4, 1))]
+    f = ntz(spark, rows, "fire_id long, idate timestamp_ntz")
+    got = sorted(r.fire_id for r in J.in_calendar_windows(f, "2024-01-01", "2024-01-31", 1.0).collect())
+    assert got == [1, 2, 5]                     # the 4 Feb Sunday is after the last anchor
+
+
+def test_zero_pad_puts_extra_row_bottom_right(spark):
+    img = spark.createDataFrame([(1, y, x, 1.0) for y in range(5) for x in range(5)], "k long, y long, x long, v double")
+    out = {(r.y, r.x): r.v for r in P.zero_pad(img, 5, 5, 8, ["k"], ["v"]).collect()}
+    assert len(out) == 64 and out[(1, 1)] == 1.0 and out[(5, 5)] == 1.0
+    assert out[(0, 0)] == 0 and out[(6, 6)] == 0 and out[(7, 7)] == 0
+
+
+def test_nearest_in_time_tolerance_is_inclusive(spark):
+    fires = ntz(spark, [(1, T0), (2, T0)], "fire_id long, idate timestamp_ntz")
+    daily = ntz(spark, [(1, T0 + dt.timedelta(hours=24), 1.0, 2.0, 1), (2, T0 - dt.timedelta(hours=24, seconds=1), 3.0, 4.0, 2),
+                        (1, T0 + dt.timedelta(hours=30), 9.0, 9.0, 3)],
+                "fire_id long, time timestamp_ntz, lat double, lon double, event_id long")
+    got = {r.fire_id: (r.lat, r.lon) for r in J.nearest_in_time(fires, daily, tie="event_id").collect()}
+    assert got == {1: (1.0, 2.0), 2: (None, None)}
