@@ -43,11 +43,18 @@ def stream_annotate(spark: SparkSession, src: str, out: str, checkpoint: str, gr
                     lat_axis: RegularAxis, lon_axis: RegularAxis, values: Sequence[str],
                     schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (), max_files: int = 1,
                     method: str = "nearest") -> None:
-    """Annotate every sensor file under ``src`` and append to Parquet at ``out``."""
-    s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, method=method)
-    q = (s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-          .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    """Annotate every sensor file under ``src`` and append to Parquet at ``out``.
+
+    The static grid is persisted for the life of the stream, so micro-batches do not re-read
+    it; it is released when the stream stops."""
+    grid = grid.persist()
+    try:
+        s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, method=method)
+        q = (s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+    finally:
+        grid.unpersist()
 
 
 def stream_quarantine(spark: SparkSession, src: str, out: str, checkpoint: str, grid: DataFrame,
@@ -56,6 +63,7 @@ def stream_quarantine(spark: SparkSession, src: str, out: str, checkpoint: str,
     """As S1, but rows failing a check go to ``out/rejected`` with a reason and the rest to
     ``out/good``; each micro-batch overwrites its own ``batch=<id>`` folder, so a retried batch
     does not duplicate rows."""
+    grid = grid.persist()
     s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, drop_bad_dates=False)
     rules = [("bad_time", F.col("time").isNull()), ("missing_value", F.col("pm25").isNull()),
              ("outside_grid", F.col(values[0]).isNull())]
@@ -66,6 +74,9 @@ def stream_quarantine(spark: SparkSession, src: str, out: str, checkpoint: str,
         tagged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
         tagged.unpersist()
 
-    q = (s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    try:
+        q = (s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        grid.unpersist()
