@@ -120,15 +120,15 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
                              F.floor(_day_number(F.col("_fe")) / period_days))).alias("_cp"))
     o = obs
     if prefilter:
-        # one scalar subquery (run once, result inlined) for the global period and bounding box
-        b = fires.select(F.struct(F.min(start).alias("t0"), F.max(end).alias("t1"),
-                                  F.min(fire_lat).alias("la0"), F.max(fire_lat).alias("la1"),
-                                  F.min(fire_lon).alias("lo0"), F.max(fire_lon).alias("lo1"))).scalar()
-        lo_t, hi_t = b["t0"], b["t1"]
-        lat_lo, lat_hi = b["la0"] - half, b["la1"] + half
-        lon_lo, lon_hi = b["lo0"] - half, b["lo1"] + half
-        o = o.filter(F.col(obs_time).between(lo_t, hi_t)
-                     & F.col(obs_lat).between(lat_lo, lat_hi) & F.col(obs_lon).between(lon_lo, lon_hi))
+        # the fires' global period and bounding box (six numbers) come back as literals, so the
+        # filter reaches the readings' scan (partition pruning / parquet pushdown on stored columns)
+        b = fires.agg(F.min(start).alias("t0"), F.max(end).alias("t1"),
+                      F.min(fire_lat).alias("la0"), F.max(fire_lat).alias("la1"),
+                      F.min(fire_lon).alias("lo0"), F.max(fire_lon).alias("lo1")).first()
+        if b["t0"] is not None:          # no fires: the join below is empty anyway
+            o = o.filter(F.col(obs_time).between(ntz_lit(b["t0"]), ntz_lit(b["t1"]))
+                         & F.col(obs_lat).between(b["la0"] - half, b["la1"] + half)
+                         & F.col(obs_lon).between(b["lo0"] - half, b["lo1"] + half))
     o = o.withColumns({
         "_cy": F.floor(F.col(obs_lat) / cell),
         "_cx": F.floor(F.col(obs_lon) / cell),

@@ -79,3 +79,17 @@ def test_every_survey_operator_has_a_query():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     r = subprocess.run([sys.executable, "tools/coverage.py"], capture_output=True, text=True, cwd=root)
     assert r.returncode == 0, r.stdout[-500:]
+
+
+def test_box_join_prefilter_reaches_the_scan(spark):
+    import datetime as dt
+    from ashgrid.operators import joins as J
+    t0 = dt.datetime(2024, 1, 1)
+    path = tempfile.mkdtemp(prefix="ashgrid-obs-") + "/obs"
+    spark.createDataFrame([(i, 30.0 + i % 5, -100.0 + i % 7, t0 + dt.timedelta(hours=i)) for i in range(200)],
+                          "event_id long, lat double, lon double, time timestamp_ntz").write.parquet(path)
+    fires = spark.createDataFrame([(1, 31.0, -98.0, t0 + dt.timedelta(days=2), t0 + dt.timedelta(days=3))],
+                                  "fire_id long, lat double, lon double, idate timestamp_ntz, fdate timestamp_ntz")
+    p = plan(J.obs_near_fire(spark.read.parquet(path), fires, 0.5))
+    scan = [l for l in p.splitlines() if "FileScan parquet" in l][0]
+    assert "GreaterThanOrEqual(time" in scan and "LessThanOrEqual(lat" in scan
