@@ -90,6 +90,12 @@ def test_box_join_prefilter_reaches_the_scan(spark):
                           "event_id long, lat double, lon double, time timestamp_ntz").write.parquet(path)
     fires = spark.createDataFrame([(1, 31.0, -98.0, t0 + dt.timedelta(days=2), t0 + dt.timedelta(days=3))],
                                   "fire_id long, lat double, lon double, idate timestamp_ntz, fdate timestamp_ntz")
-    p = plan(J.obs_near_fire(spark.read.parquet(path), fires, 0.5))
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        p = plan(J.obs_near_fire(spark.read.parquet(path), fires, 0.5))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
     scan = [l for l in p.splitlines() if "FileScan parquet" in l][0]
-    assert "GreaterThanOrEqual(time" in scan and "LessThanOrEqual(lat" in scan
+    pushed = scan[scan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(time" in pushed and "LessThanOrEqual(lat" in pushed
