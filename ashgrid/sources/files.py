@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ashgrid.functions.columns import from_epoch_ms, nan_to_null, try_parse_ntz
 
-__all__ = ["RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
+__all__ = ["list_files", "RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
            "listing_to_fire_dates", "rows_from_header_array", "write_matched_csv", "MATCHED_COLUMNS"]
 
 RAW_SENSOR_SCHEMA = T.StructType([
@@ -25,6 +25,14 @@ RAW_SENSOR_SCHEMA = T.StructType([
 ])
 
 
+def list_files(spark: SparkSession, root: str, glob: str = "*.tif") -> DataFrame:
+    """File listing as a DataFrame (path, length, modificationTime) for A5 / Q1, done by the
+    ``binaryFile`` source on the executors; the content column is not read unless selected."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                 .option("recursiveFileLookup", "true").load(root)
+                 .select("path", "length", "modificationTime"))
+
+
 def read_sensor_files(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType = RAW_SENSOR_SCHEMA,
                       extra: Sequence[tuple[Sequence[str] | str, T.StructType]] = ()) -> DataFrame:
     """A1: every CSV under ``paths`` appended into one table (explicit schema, header row).

@@ -406,3 +406,15 @@ def test_nearest_in_time_tolerance_is_inclusive(spark):
                 "fire_id long, time timestamp_ntz, lat double, lon double, event_id long")
     got = {r.fire_id: (r.lat, r.lon) for r in J.nearest_in_time(fires, daily, tie="event_id").collect()}
     assert got == {1: (1.0, 2.0), 2: (None, None)}
+
+
+def test_list_files_feeds_the_inventory(spark, tmp_path):
+    from ashgrid.sources.files import list_files
+    for rel in ["2019/fire_7/2019-08-01.tif", "2019/fire_7/2019-08-03.tif", "2019/fire_7/notes.txt", "2020/fire_9/x.tif"]:
+        f = tmp_path / rel
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"\\x00" * 10)
+    files = list_files(spark, str(tmp_path))
+    assert files.count() == 3
+    inv = {r.fire_id: (r.n_images, r.first_date) for r in P.stack_inventory(files).collect()}
+    assert inv == {7: (2, dt.date(2019, 8, 1))}            # x.tif has no date and is skipped
