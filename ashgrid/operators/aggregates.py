@@ -177,10 +177,13 @@ def _scalar(df: DataFrame, expr):
 
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
     """Equal-width counts between min and max of ``c`` (nulls skipped); the last bin
-    is closed.  Every bin is returned, empty ones with count 0: (bin, lo, hi, n)."""
+    is closed, and a constant column spans [v - 0.5, v + 0.5].  Every bin is returned, empty
+    ones with count 0: (bin, lo, hi, n)."""
     vals = df.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
     st = vals.select(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()   # one subquery
-    mn, mx = st["mn"], st["mx"]
+    same = st["mn"] == st["mx"]          # constant data: the range is widened by 0.5 each side
+    mn = F.when(same, st["mn"] - 0.5).otherwise(st["mn"])
+    mx = F.when(same, st["mx"] + 0.5).otherwise(st["mx"])
     width = (mx - mn) / bins
     idx = F.least(F.floor(F.try_divide(F.col("v") - mn, width)), F.lit(bins - 1))
     idx = F.coalesce(idx, F.lit(0)).cast("int")

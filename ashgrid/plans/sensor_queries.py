@@ -170,7 +170,8 @@ def q_station_count(spark, sf_dir):
 
 @register("histogram_error", sql="""
 with d as (select abs(pm25 - est_a) as v from sensor_obs where abs(pm25 - est_a) is not null),
-s as (select min(v) as mn, max(v) as mx from d),
+s as (select case when min(v) = max(v) then min(v) - 0.5 else min(v) end as mn,
+            case when min(v) = max(v) then max(v) + 0.5 else max(v) end as mx from d),
 c as (select cast(coalesce(least(floor((v - mn) / ((mx - mn) / 50)), 49), 0) as int) as bin, count(*) as n
       from d, s group by 1),
 g as (select cast(range as int) as bin from range(50))

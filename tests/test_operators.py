@@ -418,3 +418,19 @@ def test_list_files_feeds_the_inventory(spark, tmp_path):
     assert files.count() == 3
     inv = {r.fire_id: (r.n_images, r.first_date) for r in P.stack_inventory(files).collect()}
     assert inv == {7: (2, dt.date(2019, 8, 1))}            # x.tif has no date and is skipped
+
+
+def test_flatten_time_width(spark):
+    rows = [(2018, 1, 0, lag, 0, 0, float(lag), float(10 + lag), 3.0) for lag in range(4)]
+    sp = spark.createDataFrame(rows, "year int, fire_id long, sample_idx long, lag long, y long, x long, a double, b double, s double")
+    out = P.flatten_time(sp, 3, ["a", "b"], ["s"])
+    feats = [c for c in out.columns if c not in ("year", "fire_id", "sample_idx", "y", "x")]
+    assert len(feats) == 2 * (3 - 1) + 2 + 1                     # dyn * (T - 1) + dyn + static
+    r = out.first()
+    assert (r.a_t0, r.b_t1, r.a_t2, r.s_t2) == (0.0, 11.0, 2.0, 3.0)   # lag 3 (the label) is not an input
+
+
+def test_histogram_of_constant_values(spark):
+    df = ntz(spark, [(4.0,), (4.0,)], "v double")
+    h = {r.bin: r.n for r in A.histogram(df, "v", 3).collect()}
+    assert h == {0: 0, 1: 2, 2: 0}                  # range widened to [3.5, 4.5] as a histogram does
