@@ -213,7 +213,8 @@ def density(df: DataFrame, c: str, gridsize: int = 200, cut: float = 3.0) -> Dat
     step = (hi - lo) / (gridsize - 1)
     g = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
     pts = vals.select("v", g).withColumn("x", lo + F.col("g") * step)
-    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / bw, 2)) / (bw * math.sqrt(2 * math.pi))
+    # a zero bandwidth (constant or single value) has no density: null instead of a failure
+    k = F.try_divide(F.exp(-0.5 * F.pow(F.try_divide(F.col("x") - F.col("v"), bw), 2)), bw * math.sqrt(2 * math.pi))
     return pts.groupBy("g", "x").agg((F.sum(k) / n).alias("density")).orderBy("g")
 
 

@@ -434,3 +434,8 @@ def test_histogram_of_constant_values(spark):
     df = ntz(spark, [(4.0,), (4.0,)], "v double")
     h = {r.bin: r.n for r in A.histogram(df, "v", 3).collect()}
     assert h == {0: 0, 1: 2, 2: 0}                  # range widened to [3.5, 4.5] as a histogram does
+
+
+def test_density_of_constant_values_is_null_not_an_error(spark):
+    df = ntz(spark, [(4.0,), (4.0,)], "v double")
+    assert all(r.density is None for r in A.density(df, "v", 5).collect())
