@@ -33,7 +33,7 @@ def km_box(lon, lat, radius_m: float) -> Column:
     """Bounds of a metric buffer using metres per degree and cos(latitude) for longitude."""
     lon, lat = col_of(lon), col_of(lat)
     dlat = F.lit(radius_m / METRES_PER_DEGREE)
-    dlon = F.lit(radius_m) / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat)))
+    dlon = F.try_divide(F.lit(radius_m), F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat)))   # null at the poles
     return F.struct((lon - dlon).alias("min_lon"), (lat - dlat).alias("min_lat"),
                     (lon + dlon).alias("max_lon"), (lat + dlat).alias("max_lat"))
 

@@ -72,8 +72,9 @@ def polygon_centroid(ring) -> tuple[Column, Column]:
 
     cross = (lambda s: s["x0"] * s["y1"] - s["x1"] * s["y0"])
     a = total(cross) / 2
-    cx = total(lambda s: (s["x0"] + s["x1"]) * cross(s)) / (6 * a)
-    cy = total(lambda s: (s["y0"] + s["y1"]) * cross(s)) / (6 * a)
+    # a degenerate (zero-area) ring has no centroid: null rather than a division error
+    cx = F.try_divide(total(lambda s: (s["x0"] + s["x1"]) * cross(s)), 6 * a)
+    cy = F.try_divide(total(lambda s: (s["y0"] + s["y1"]) * cross(s)), 6 * a)
     return cx, cy
 
 
