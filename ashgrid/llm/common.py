@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ashgrid.session import cut_lineage
 
@@ -18,6 +21,15 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (stored, ``row_bytes`` wide) marked for broadcast if its measured size is within the
+    session's own broadcast threshold, else unchanged."""
+    said = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", said).groups()
+    limit = int(number) * 1024 ** " kmgt".index(unit or " ")
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

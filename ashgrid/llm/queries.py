@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ashgrid.llm.common import load
+from ashgrid.llm.credentials import scan_documents
+from ashgrid.llm.decontam import decontaminate
+from ashgrid.llm.html import extract_pages
+from ashgrid.llm.jaccard import near_duplicates
 from ashgrid.llm.mixing import mix_documents
+from ashgrid.llm.pii import replace_pii
 from ashgrid.llm.quality import score_documents
 from ashgrid.llm.sharding import shard_documents
+from ashgrid.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +47,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, sampling probability and draw of every document."""
     return mix_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by keyed surrogates."""
+    return replace_pii(load(spark, sf_dir, "documents"), key="ashgrid-surrogates")
+
+
+@query("op2_segment_topk")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all other vectors."""
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op4_linked_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, weak ones only next to a complementary part."""
+    return scan_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op5_winnowed_overlap")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op6_prefix_tree_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op8_text_ratio")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(load(spark, sf_dir, "pages"))
