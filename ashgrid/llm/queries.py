@@ -15,6 +15,7 @@ from ashgrid.llm.jaccard import near_duplicates
 from ashgrid.llm.mixing import mix_documents
 from ashgrid.llm.pii import replace_pii
 from ashgrid.llm.quality import score_documents
+from ashgrid.llm.repeats import remove_repeats
 from ashgrid.llm.sharding import shard_documents
 from ashgrid.llm.topk import top_k
 
@@ -83,3 +84,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(load(spark, sf_dir, "pages"))
+
+
+@query("op7_rlbwt_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 100-byte repeats of earlier text cover."""
+    return remove_repeats(load(spark, sf_dir, "documents"))
