@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ashgrid.llm.common import load
 from ashgrid.llm.credentials import scan_documents
 from ashgrid.llm.decontam import decontaminate
@@ -90,3 +91,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that 100-byte repeats of earlier text cover."""
     return remove_repeats(load(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality filter, near-duplicate removal, decontamination, mixing and sharding of all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
