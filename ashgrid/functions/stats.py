@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import col_of
 
-__all__ = ["safe_corr", "safe_slope", "rmse", "mean_bias", "paired"]
+__all__ = ["present", "safe_corr", "safe_slope", "rmse", "mean_bias", "paired"]
+
+
+def present(c) -> Column:
+    """A numeric column with NaN read as null, so that aggregates skip it."""
+    c = col_of(c)
+    return F.when(~F.isnan(c.cast("double")), c)
 
 
 def paired(x, y):
-    """Both columns restricted to rows where both are present."""
-    x, y = col_of(x), col_of(y)
+    """Both columns restricted to rows where both are present (NaN counts as missing)."""
+    x, y = present(x), present(y)
     both = x.isNotNull() & y.isNotNull()
     return F.when(both, x), F.when(both, y)
 
@@ -33,8 +39,8 @@ def safe_slope(y, x) -> Column:
 
 
 def rmse(truth, est) -> Column:
-    return F.sqrt(F.avg(F.pow(col_of(truth) - col_of(est), 2)))
+    return F.sqrt(F.avg(F.pow(present(truth) - present(est), 2)))
 
 
 def mean_bias(truth, est) -> Column:
-    return F.avg(col_of(truth) - col_of(est))
+    return F.avg(present(truth) - present(est))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import abs_error, ntz_lit, positive_pairs, valid_pairs
-from ashgrid.functions.stats import mean_bias, rmse, safe_corr, safe_slope
+from ashgrid.functions.stats import mean_bias, present, rmse, safe_corr, safe_slope
 from ashgrid.operators.ranks import rank_correlation
 
 __all__ = [
@@ -60,14 +60,14 @@ def _metric_aggs(lat: str, lon: str):
     ]
 
 
-def _metrics(long: DataFrame, keys: list[str], lat: str, lon: str, buckets: int) -> DataFrame:
+def _metrics(long: DataFrame, keys: list[str], lat: str, lon: str, buckets: int | None) -> DataFrame:
     base = long.groupBy(*keys).agg(*_metric_aggs(lat, lon))
     sp = rank_correlation(long, keys, "truth", "est", buckets)
     return base.join(sp, keys, "left")
 
 
 def agreement(df: DataFrame, truth: str, estimates: Sequence[str], lo: float = 2.0,
-              hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int = 512) -> DataFrame:
+              hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None) -> DataFrame:
     """D3: one row per estimate column: pearson, log_pearson, spearman, rmse,
     bias = mean(truth - est), slope of truth on est, n, stations.
 
@@ -84,7 +84,7 @@ def agreement(df: DataFrame, truth: str, estimates: Sequence[str], lo: float = 2
 
 def agreement_by_year(df: DataFrame, truth: str, est: str, time: str = "time", lo: float = 2.0,
                       hi: float = 1000.0, lat: str = "lat", lon: str = "lon",
-                      buckets: int = 512) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """The D3 metrics of one estimate per calendar year; years with no valid rows are
     absent; ordered by year."""
     base = df.select(F.year(time).alias("year"), F.col(truth).alias("truth"), F.col(est).alias("est"), lat, lon)
@@ -93,7 +93,7 @@ def agreement_by_year(df: DataFrame, truth: str, est: str, time: str = "time", l
 
 
 def agreement_by(df: DataFrame, truth: str, est: str, keys: Sequence[str], lo: float = 2.0,
-                 hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int = 512) -> DataFrame:
+                 hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None) -> DataFrame:
     """D3 metrics of one estimate per arbitrary group (fire, station, season...); groups with
     no valid rows are absent.  Ranks are computed per group in bucketed windows, so a group
     holding most rows is still split across tasks."""
@@ -119,7 +119,7 @@ def _bin(c: str, width: float):
 
 def correlation_by_bin(df: DataFrame, truth: str, est: str, width: float = 50.0) -> DataFrame:
     """Pearson correlation per truth bin floor(truth / width) * width; undefined bins dropped."""
-    return (df.filter(F.col(truth).isNotNull())
+    return (df.filter(present(truth).isNotNull())
               .groupBy(_bin(truth, width).alias("bin"))
               .agg(safe_corr(est, truth).alias("correlation"))
               .filter(F.col("correlation").isNotNull())
@@ -128,14 +128,14 @@ def correlation_by_bin(df: DataFrame, truth: str, est: str, width: float = 50.0)
 
 def count_by_bin(df: DataFrame, truth: str, width: float = 50.0) -> DataFrame:
     """Rows per truth bin, ordered by bin."""
-    return (df.filter(F.col(truth).isNotNull())
+    return (df.filter(present(truth).isNotNull())
               .groupBy(_bin(truth, width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
               .orderBy("bin"))
 
 
 def correlation_above(df: DataFrame, truth: str, est: str, threshold: float = 100.0) -> DataFrame:
     """Pearson correlation over rows with truth > threshold (one row)."""
-    return df.filter(F.col(truth) > threshold).agg(safe_corr(truth, est).alias("correlation"),
+    return df.filter(present(truth) > threshold).agg(safe_corr(truth, est).alias("correlation"),
                                                   F.count(F.lit(1)).alias("n"))
 
 
@@ -148,15 +148,15 @@ def fires_per_year(df: DataFrame, fire: str, time: str) -> DataFrame:
 def mean_error_by_hour(df: DataFrame, truth: str, est: str, time: str = "time") -> DataFrame:
     """Mean absolute error by hour of day."""
     return (df.groupBy(F.hour(time).alias("hour"))
-              .agg(F.avg(abs_error(truth, est)).alias("mean_abs_error")).orderBy("hour"))
+              .agg(F.avg(present(abs_error(truth, est))).alias("mean_abs_error")).orderBy("hour"))
 
 
 def mean_by_group(df: DataFrame, group: str, truth: str, est: str) -> DataFrame:
     """Mean absolute error, mean truth and mean estimate per fire (or any group)."""
     return df.groupBy(group).agg(
-        F.avg(abs_error(truth, est)).alias("mean_abs_error"),
-        F.avg(truth).alias("mean_truth"),
-        F.avg(est).alias("mean_est"))
+        F.avg(present(abs_error(truth, est))).alias("mean_abs_error"),
+        F.avg(present(truth)).alias("mean_truth"),
+        F.avg(present(est)).alias("mean_est"))
 
 
 def first_location_by_group(df: DataFrame, group: str, order: str, lat: str = "lat",
@@ -176,10 +176,10 @@ def _scalar(df: DataFrame, expr):
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
-    """Equal-width counts between min and max of ``c`` (nulls skipped); the last bin
+    """Equal-width counts between min and max of ``c`` (null and NaN skipped); the last bin
     is closed, and a constant column spans [v - 0.5, v + 0.5].  Every bin is returned, empty
     ones with count 0: (bin, lo, hi, n)."""
-    vals = df.select(F.col(c).alias("v")).filter(F.col("v").isNotNull())
+    vals = df.select(present(c).alias("v")).filter(F.col("v").isNotNull())
     st = vals.select(F.struct(F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()   # one subquery
     same = st["mn"] == st["mx"]          # constant data: the range is widened by 0.5 each side
     mn = F.when(same, st["mn"] - 0.5).otherwise(st["mn"])
@@ -203,7 +203,7 @@ def density(df: DataFrame, c: str, gridsize: int = 200, cut: float = 3.0) -> Dat
     Each value contributes to every grid point, so the work is n * gridsize; values are
     emitted per grid point with ``explode`` (no join) and summed by grid index.
     """
-    vals = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    vals = df.select(present(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
     st = vals.select(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
                               F.min("v").alias("mn"), F.max("v").alias("mx"))).scalar()   # one subquery
     n = st["n"]
@@ -228,7 +228,7 @@ def share_at_least(df: DataFrame, c: str, threshold: float = 100.0) -> DataFrame
 
 def daily_mean_grid(df: DataFrame, time: str, cell: Sequence[str], value: str) -> DataFrame:
     """Hourly grid -> daily mean per cell, missing values skipped."""
-    return df.groupBy(F.to_date(time).alias("date"), *cell).agg(F.avg(value).alias(value))
+    return df.groupBy(F.to_date(time).alias("date"), *cell).agg(F.avg(present(value)).alias(value))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def binary_metrics(conf: DataFrame) -> DataFrame:
 
 
 def average_precision(df: DataFrame, keys: Sequence[str] = (), label: str = "y", score: str = "score",
-                      buckets: int = 512) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """Step-wise area under the precision-recall curve over distinct scores:
     sum over thresholds (descending) of (R_k - R_{k-1}) * P_k.  Null without positives."""
     keys = list(keys)
@@ -88,6 +88,14 @@ def pr_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "y", score: s
                     F.coalesce(F.try_divide(tpc.cast("double"), F.col("_P").cast("double")), F.lit(0.0)).alias("recall"))
 
 
+def sigmoid(c) -> Column:
+    """Probability of a logit.  The metrics (I1-I4) take probabilities: raw model outputs go through
+    this first.  Undefined precision is 1 in ``pr_curve`` (nothing predicted, nothing wrong) and 0 in
+    ``binary_metrics``; the curve has its thresholds only, no added end point."""
+    z = F.col(c) if isinstance(c, str) else c
+    return 1 / (1 + F.exp(-z))
+
+
 def softplus(z: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
 
@@ -142,7 +150,7 @@ def jaccard(df: DataFrame, keys: Sequence[str] = (), label: str = "y", logit: st
 
 
 def lovasz_hinge(df: DataFrame, keys: Sequence[str] = (), label: str = "y", logit: str = "score",
-                 buckets: int = 512) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """I8: Lovasz hinge over all pixels of each key.
 
     Errors e = 1 - x * (2y - 1) sorted descending; the loss is sum(relu(e_i) * g_i) with g the

@@ -99,6 +99,43 @@ def inside_ring(lon: str, lat: str, ring: Sequence[tuple[float, float]] = USA_RI
     return in_box & (crossings % 2 == 1)
 
 
+def polygons_in_region(df: DataFrame, ring_col: str = "ring",
+                       ring: Sequence[tuple[float, float]] = USA_RING) -> DataFrame:
+    """Keep the features whose closed polygon (array<struct<lon, lat>>) intersects the region polygon:
+    a vertex of one lies inside the other, or two of their edges cross."""
+    poly = F.col(ring_col)
+    region = F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("y0"),
+                                F.lit(float(c)).alias("x1"), F.lit(float(d)).alias("y1"))
+                       for (a, b), (c, d) in zip(ring[:-1], ring[1:])])
+
+    def within(x, y, edges):
+        def step(acc, e):
+            # a horizontal edge never straddles y; the guarded division keeps it out of the arithmetic
+            at = F.try_divide((e["x1"] - e["x0"]) * (y - e["y0"]), e["y1"] - e["y0"]) + e["x0"]
+            return acc + (((e["y0"] > y) != (e["y1"] > y)) & (x < at)).cast("int")
+        return F.aggregate(edges, F.lit(0), lambda acc, e: F.coalesce(step(acc, e), acc)) % 2 == 1
+
+    def side(ax, ay, bx, by, cx, cy):
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+    def cross(a, b):
+        d1 = side(a["x0"], a["y0"], a["x1"], a["y1"], b["x0"], b["y0"])
+        d2 = side(a["x0"], a["y0"], a["x1"], a["y1"], b["x1"], b["y1"])
+        d3 = side(b["x0"], b["y0"], b["x1"], b["y1"], a["x0"], a["y0"])
+        d4 = side(b["x0"], b["y0"], b["x1"], b["y1"], a["x1"], a["y1"])
+        return (d1 * d2 < 0) & (d3 * d4 < 0)
+
+    edges = _edges(ring_col)
+    vertex_in = F.exists(poly, lambda v: within(v["lon"], v["lat"], region))
+    corner_in = F.exists(region, lambda r: within(r["x0"], r["y0"], edges))
+    crossing = F.exists(edges, lambda a: F.exists(region, lambda b: cross(a, b)))
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    lon, lat = F.transform(poly, lambda v: v["lon"]), F.transform(poly, lambda v: v["lat"])
+    near = ((F.array_max(lon) >= min(xs)) & (F.array_min(lon) <= max(xs))
+            & (F.array_max(lat) >= min(ys)) & (F.array_min(lat) <= max(ys)))
+    return df.filter(near & (vertex_in | corner_in | crossing))
+
+
 def points_in_region(df: DataFrame, lon: str = "lon", lat: str = "lat",
                      ring: Sequence[tuple[float, float]] = USA_RING) -> DataFrame:
     """Keep the features whose point lies in the region polygon."""

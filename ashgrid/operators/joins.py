@@ -4,10 +4,13 @@ Design rules used throughout:
   * Grid sampling (C5-C8, C10) turns coordinates into integer cell indexes and equi-joins;
     there is never a distance join.
   * Box / period restrictions (C3, C4) use a cell-binned range join (``box_join``).
-  * A side is broadcast only after its row count has been measured against a limit;
-    beyond it the join is a shuffle join and AQE's skew handling splits hot partitions.
-  * Substring matching (C11) is an equi-join on the substrings of the (short) names,
-    never a nested loop.
+  * No join side is forced to be broadcast: Catalyst and AQE choose from measured bytes, and
+    AQE's skew handling splits hot partitions of shuffle joins.  The only hints are on tables
+    of a fixed size (23 band names).
+  * Interpolation (C6) packs the corner values of a grid cell into one row, so a reading meets
+    its cell in one equi-join and the value is an expression.
+  * Substring matching (C11) is an equi-join on the substrings of the names that have the
+    length of some key, never a nested loop.
 """
 
 from __future__ import annotations
@@ -15,57 +18,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import col_of, micros_between, ntz_lit
 from ashgrid.functions.geo import LambertSpec, lambert_xy
 
 __all__ = [
-    "BROADCAST_ROW_LIMIT", "PRUNE_MIN_BYTES", "maybe_broadcast", "estimated_bytes", "needed_cells", "hours_since", "attach_exact", "match_inner", "box_join",
-    "obs_near_fire", "obs_within_fire_box", "RegularAxis", "IrregularAxis", "nearest_index", "sample_linear_stateless", "sample_nearest",
-    "IrregularAxis", "sample_linear", "sample_projected", "sample_stations", "nearest_in_time",
-    "append_grid_bands", "match_by_substring", "in_calendar_windows", "missing_cycles",
-    "subset_by_index", "coverage_by_year", "daily_perimeters_for", "locate_sample",
-    "with_band_names", "BAND_NAMES",
+    "hours_since", "attach_exact", "match_inner", "box_join", "obs_near_fire", "obs_within_fire_box",
+    "RegularAxis", "IrregularAxis", "nearest_index", "lower_index", "sample_nearest", "corner_table", "sample_linear",
+    "sample_projected", "sample_stations", "nearest_in_time", "append_grid_bands", "append_grid_fields",
+    "match_by_substring", "in_calendar_windows", "missing_cycles", "subset_by_index", "coverage_by_year",
+    "daily_perimeters_for", "locate_sample", "with_band_names", "BAND_NAMES",
 ]
 
-# Rows below which a join side is broadcast (after it has been counted).
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise leave the choice to
-    the planner (sort-merge join with AQE skew splitting)."""
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
-
-
-# Cell tables estimated below this size are joined as they are (pruning would cost more).
-PRUNE_MIN_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (from file sizes; no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def needed_cells(cells: DataFrame, needed: DataFrame, keys: Sequence[str], prune: bool = True,
-                 limit: int = BROADCAST_ROW_LIMIT, min_bytes: int = PRUNE_MIN_BYTES) -> DataFrame:
-    """Semi-join reduction of a (large) cell table to the cell keys some reading needs.
-
-    Gridded products are far larger than the readings sampled from them (every cell and hour
-    versus about 1,500 stations).  When the planner estimates the cell table above
-    ``min_bytes``, the distinct needed keys are counted and, when they fit the broadcast
-    limit, the cells are filtered map-side by a broadcast left-semi join before any shuffle.
-    Small cell tables, and key sets beyond the limit, are joined as they are."""
-    if not prune or estimated_bytes(cells) < min_bytes:
-        return cells
-    k = needed.select(*keys).distinct()
-    if k.count() > limit:
-        return cells
-    return cells.join(F.broadcast(k), list(keys), "left_semi")
-
 
 def attach_exact(obs: DataFrame, est: DataFrame, on: Sequence[str] = ("lat", "lon", "time")) -> DataFrame:
     """Left equi-join of estimates onto readings; duplicate estimate keys multiply rows."""
@@ -92,8 +58,7 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
              obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
              fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
              fire_cols: Sequence[str] = ("fire_id",), cell_deg: float | None = None,
-             period_days: int = 7, prefilter: bool = True,
-             broadcast_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+             period_days: int = 7, prefilter: bool = True) -> DataFrame:
     """Readings inside a fire's box (boundary excluded) during its period (closed).
 
     ``strict_box="abs"``: ``abs(dlat) < half and abs(dlon) < half``;
@@ -103,7 +68,8 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
     Plan: each fire is exploded into the (cell, period) bins its box and period touch; a
     reading has exactly one bin, so the equi-join on the bin yields each candidate pair
     once, and the exact predicate is applied after it.  Readings are first restricted to the
-    global period and bounding box of all fires (scalar subqueries, no join).
+    global period and bounding box of all fires; these six numbers are the only job that runs
+    while the plan is built.
     """
     cell = cell_deg or 2 * half
     f = fires.select(*[F.col(c) for c in fire_cols], F.col(fire_lat).alias("_flat"),
@@ -134,7 +100,6 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
         "_cx": F.floor(F.col(obs_lon) / cell),
         "_cp": F.floor(_day_number(F.col(obs_time)) / period_days),
     })
-    bins = maybe_broadcast(bins, broadcast_limit)
     j = o.join(bins, ["_cy", "_cx", "_cp"], "inner")
     la, lo = F.col(obs_lat), F.col(obs_lon)
     if strict_box == "abs":
@@ -216,13 +181,13 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
                    values: Sequence[str], *, lat: str = "lat", lon: str = "lon",
                    cell_y: str = "y", cell_x: str = "x", extra_keys: Sequence[tuple[str, str]] = (),
                    time_axis: RegularAxis | None = None, time: str = "time", cell_t: str = "t",
-                   time_origin=None, prune_cells: bool = True) -> DataFrame:
+                   time_origin=None) -> DataFrame:
     """Per-dimension nearest cell value (left join; outside the grid hull -> null).
 
     With ``time_axis`` (hours since ``time_origin``) the time step is chosen by nearest too,
     as for hourly reanalysis grids; ``extra_keys`` pairs (obs column, cell column) that must
-    match exactly.  Ties at half steps go to the lower index on every axis.  The cell table
-    is first reduced to the cells the readings need (``needed_cells``).
+    match exactly.  Ties at half steps go to the lower index on every axis.  One equi-join on
+    the integer cell; the readings are read once.
     """
     idx = {"_iy": nearest_index(lat, lat_axis), "_ix": nearest_index(lon, lon_axis)}
     if time_axis is not None:
@@ -231,99 +196,96 @@ def sample_nearest(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_
     c = cells.select(F.col(cell_y).alias("_iy"), F.col(cell_x).alias("_ix"),
                      *([F.col(cell_t).alias("_it")] if time_axis is not None else []),
                      *[F.col(cc).alias(f"_k{i}") for i, (_, cc) in enumerate(extra_keys)],
-                     *[F.col(v) for v in values])
-    if not extra_keys and not obs.isStreaming:
-        c = needed_cells(c, o.filter(F.col("_iy").isNotNull() & F.col("_ix").isNotNull()), list(idx), prune_cells)
+                     *[F.col(v).alias(f"_s{i}") for i, v in enumerate(values)])
     cond = [o[k] == c[k] for k in idx]
     cond += [o[oc] == c[f"_k{i}"] for i, (oc, _) in enumerate(extra_keys)]
     j = o.join(c, cond, "left")
-    return j.select(*[o[x] for x in obs.columns], *[c[v] for v in values])
+    return j.select(*[o[x] for x in obs.columns], *[F.col(f"_s{i}").alias(v) for i, v in enumerate(values)])
 
 
-def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
-                  value: str, id_col: str | Sequence[str], *, lat: str = "lat", lon: str = "lon", cell_y: str = "y",
-                  cell_x: str = "x", out: str | None = None, time_axis: RegularAxis | None = None,
-                  time: str = "time", cell_t: str = "t", time_origin=None, prune_cells: bool = True) -> DataFrame:
+def lower_index(v, axis: RegularAxis | IrregularAxis) -> tuple[Column, Column]:
+    """(index of the axis point at or below ``v``, fraction of the step above it in [0, 1));
+    null outside the axis hull."""
+    v = col_of(v)
+    inside = v.between(min(axis.origin, axis.last), max(axis.origin, axis.last))
+    if isinstance(axis, IrregularAxis):
+        arr = F.array(*[F.lit(float(a)) for a in axis.values])
+        k = F.size(F.filter(arr, lambda a: a <= v)) - 1
+        below, above = F.get(arr, k), F.get(arr, k + 1)
+        frac = F.when(v == below, F.lit(0.0)).otherwise((v - below) / (above - below))
+        return F.when(inside, k.cast("long")), F.when(inside, frac)
+    pos = (v - axis.origin) / axis.step
+    return F.when(inside, F.floor(pos).cast("long")), F.when(inside, pos - F.floor(pos))
+
+
+def corner_table(cells: DataFrame, values: Sequence[str], dims: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Cells with the values of their upper neighbours packed beside their own.
+
+    ``dims`` are the integer index columns; the result has ``keys``, ``dims`` and per value an array
+    ``<value>_corners`` of 2**len(dims) numbers, the last dimension varying fastest (null where a
+    neighbour is missing).  Every dimension takes one window along a grid line (a line's length is
+    the size of the axis), so a gridded product can be packed once and kept.  A cell whose own row
+    is missing needs no entry: its weight is never zero."""
+    out = cells.select(*keys, *[F.col(d).cast("long").alias(d) for d in dims],
+                       *[F.array(F.col(v).cast("double")).alias(f"{v}_corners") for v in values])
+    for d in reversed(dims):
+        line = Window.partitionBy(*keys, *[x for x in dims if x != d]).orderBy(d)
+        adjacent = F.lead(d).over(line) == F.col(d) + 1
+        packed = {}
+        for v in values:
+            own = F.col(f"{v}_corners")
+            none = F.transform(own, lambda x: F.lit(None).cast("double"))
+            packed[f"{v}_corners"] = F.concat(own, F.coalesce(F.when(adjacent, F.lead(own).over(line)), none))
+        out = out.select(*keys, *dims, *[c.alias(n) for n, c in packed.items()])
+    return out
+
+
+def sample_linear(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis | IrregularAxis,
+                  lon_axis: RegularAxis | IrregularAxis, values: str | Sequence[str], *, lat: str = "lat",
+                  lon: str = "lon", cell_y: str = "y", cell_x: str = "x", out: Sequence[str] | None = None,
+                  time_axis: RegularAxis | None = None, time: str = "time", cell_t: str = "t", time_origin=None,
+                  extra_keys: Sequence[tuple[str, str]] = (), packed: bool = False) -> DataFrame:
     """Linear interpolation in lat and lon (and time, with ``time_axis`` in hours since
-    ``time_origin``); null outside the grid hull or when a corner with non-zero weight is
-    missing.
-
-    Each reading (identified by ``id_col``, one or more columns) is exploded into its weighted
-    corners (at most 4, or 8 with time), joined to the cells on the integer index, and summed
-    per reading.
-    """
-    out = out or value
-    ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    dims = [("y", F.col(lat), lat_axis, cell_y), ("x", F.col(lon), lon_axis, cell_x)]
+    ``time_origin``); null outside the grid hull or when a corner with non-zero weight is missing.
+
+    A reading meets the packed corners of its cell (``corner_table``; pass ``packed=True`` when
+    ``cells`` is one already) in a single left equi-join, and the value is an expression of the
+    corners and the fractions: no explode, no aggregation, and repeated readings keep their rows.
+    The join keeps no state, so streams use the same function.  ``extra_keys`` pairs (reading
+    column, cell column) that must match exactly."""
+    values = [values] if isinstance(values, str) else list(values)
+    out = list(out) if out is not None else values
+    dims = [(cell_y, lower_index(lat, lat_axis)), (cell_x, lower_index(lon, lon_axis))]
     if time_axis is not None:
-        dims.append(("t", hours_since(time, time_origin), time_axis, cell_t))
-    inside = F.lit(True)
-    cols = {}
-    for d, coord, ax, _ in dims:
-        inside = inside & coord.between(min(ax.origin, ax.last), max(ax.origin, ax.last))
-        pos = (coord - ax.origin) / ax.step
-        cols[f"_{d}0"] = F.floor(pos)
-        cols[f"_f{d}"] = pos - F.floor(pos)
-    base = obs.select(*ids, inside.alias("_in"), *[v.alias(k) for k, v in cols.items()])
-    combos = [()]
-    for _ in dims:
-        combos = [c + (b,) for c in combos for b in (0, 1)]
-    corner_structs = []
-    for combo in combos:
-        w = F.lit(1.0)
-        fields = []
-        for (d, _, _, _), b in zip(dims, combo):
-            w = w * (F.col(f"_f{d}") if b else 1 - F.col(f"_f{d}"))
-            fields.append((F.col(f"_{d}0") + b).cast("long").alias(f"_c{d}"))
-        corner_structs.append(F.struct(*fields, w.alias("w")))
-    ex = (base.filter("_in").select(*ids, F.explode(F.array(*corner_structs)).alias("c"))
-              .filter(F.col("c.w") > 0)
-              .select(*ids, *[F.col(f"c._c{d}").alias(f"_c{d}") for d, _, _, _ in dims], F.col("c.w").alias("_w")))
-    c = cells.select(*[F.col(cc).cast("long").alias(f"_c{d}") for d, _, _, cc in dims], F.col(value).alias("_v"))
-    ckeys = [f"_c{d}" for d, _, _, _ in dims]
-    if not obs.isStreaming:
-        c = needed_cells(c, ex, ckeys, prune_cells)
-    j = ex.join(c, ckeys, "left")
-    s = j.groupBy(*ids).agg(
-        F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum(F.col("_w") * F.col("_v"))).alias(out))
-    return obs.join(s, ids, "left")
-
-
-def sample_linear_stateless(obs: DataFrame, cells: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
-                            value: str, *, lat: str = "lat", lon: str = "lon", cell_y: str = "y", cell_x: str = "x",
-                            out: str | None = None) -> DataFrame:
-    """C6 for streams: the same bilinear value as ``sample_linear``, computed with one
-    stream-static left join per corner instead of explode + group-by, so no state is kept
-    (a streaming aggregation would need a watermark).  Corners with zero weight are not
-    required; a needed corner that is missing gives null, as does a point outside the hull."""
-    out = out or value
-    py = (F.col(lat) - lat_axis.origin) / lat_axis.step
-    px = (F.col(lon) - lon_axis.origin) / lon_axis.step
-    inside = (F.col(lat).between(min(lat_axis.origin, lat_axis.last), max(lat_axis.origin, lat_axis.last))
-              & F.col(lon).between(min(lon_axis.origin, lon_axis.last), max(lon_axis.origin, lon_axis.last)))
-    o = obs.withColumns({"_y0": F.floor(py), "_x0": F.floor(px), "_in": inside})
-    o = o.withColumns({"_fy": py - F.col("_y0"), "_fx": px - F.col("_x0")})
-    total, missing = F.lit(0.0), F.lit(False)
-    for dy in (0, 1):
-        for dx in (0, 1):
-            k = f"_v{dy}{dx}"
-            c = cells.select(F.col(cell_y).cast("long").alias(f"_cy{k}"), F.col(cell_x).cast("long").alias(f"_cx{k}"),
-                             F.col(value).alias(k))
-            o = o.join(c, ((o["_y0"] + dy) == c[f"_cy{k}"]) & ((o["_x0"] + dx) == c[f"_cx{k}"]), "left") \
-                 .drop(f"_cy{k}", f"_cx{k}")
-            w = (F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))
-            total = total + F.when(w > 0, w * F.col(k)).otherwise(F.lit(0.0))
-            missing = missing | ((w > 0) & F.col(k).isNull())
-    res = F.when(F.col("_in") & ~missing, total)
-    return o.withColumn(out, res).drop("_y0", "_x0", "_in", "_fy", "_fx", "_v00", "_v01", "_v10", "_v11")
+        dims.insert(0, (cell_t, lower_index(hours_since(time, time_origin), time_axis)))
+    keys = [k for _, k in extra_keys]
+    grid = cells if packed else corner_table(cells, values, [d for d, _ in dims], keys)
+    g = grid.select(*[F.col(d).alias(f"_c{i}") for i, (d, _) in enumerate(dims)],
+                    *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                    *[F.col(f"{v}_corners").alias(f"_v{i}") for i, v in enumerate(values)])
+    o = obs.withColumns({f"_i{i}": idx for i, (_, (idx, _)) in enumerate(dims)}
+                        | {f"_f{i}": frac for i, (_, (_, frac)) in enumerate(dims)})
+    cond = [F.col(f"_i{i}") == F.col(f"_c{i}") for i in range(len(dims))]
+    cond += [o[oc] == F.col(f"_k{i}") for i, (oc, _) in enumerate(extra_keys)]
+    j = o.join(g, cond, "left")
+
+    def blend(corners, i=0, at=0):
+        """Interpolate along dimension i; the upper side counts only where its fraction is not 0."""
+        half = 1 << (len(dims) - i - 1)
+        low = F.get(corners, F.lit(at)) if i + 1 == len(dims) else blend(corners, i + 1, at)
+        high = F.get(corners, F.lit(at + half)) if i + 1 == len(dims) else blend(corners, i + 1, at + half)
+        f = F.col(f"_f{i}")
+        return F.when(f == 0, low).otherwise((1 - f) * low + f * high)
+
+    return j.select(*[o[c] for c in obs.columns], *[blend(F.col(f"_v{i}")).alias(n) for i, n in enumerate(out)])
 
 
 def sample_projected(obs: DataFrame, cells: DataFrame, spec: LambertSpec, value: str = "pm25_tot",
                      *, lat: str = "lat", lon: str = "lon", time: str = "time", cell_time: str = "time",
                      cell_row: str = "row", cell_col: str = "col", cell_lay: str = "lay",
-                     out: str | None = None, prune_cells: bool = True) -> DataFrame:
+                     out: str | None = None) -> DataFrame:
     """Lambert xy -> (row, col) by truncation toward zero, bounds check, exact time match,
-    layer 0; else null (left join).  Large cell tables are first reduced to the needed cells."""
+    layer 0; else null (left join)."""
     out = out or value
     x, y = lambert_xy(lon, lat, spec)
     colf = ((x - spec.xorig) / spec.xcell).cast("long")   # cast truncates toward zero
@@ -333,9 +295,6 @@ def sample_projected(obs: DataFrame, cells: DataFrame, spec: LambertSpec, value:
     c = cells.filter(F.col(cell_lay) == 0).select(
         F.col(cell_time).alias("_t"), F.col(cell_row).alias("_row"), F.col(cell_col).alias("_col"),
         F.col(value).alias(out))
-    if not obs.isStreaming:
-        need = o.filter(F.col("_row").isNotNull()).select(F.col(time).alias("_t"), "_row", "_col")
-        c = needed_cells(c, need, ["_t", "_row", "_col"], prune_cells)
     j = o.join(c, (o["_row"] == c["_row"]) & (o["_col"] == c["_col"]) & (o[time] == c["_t"]), "left")
     return j.select(*[o[x] for x in obs.columns], c[out])
 
@@ -345,8 +304,8 @@ def sample_stations(images: DataFrame, stations: DataFrame, lat_axis: RegularAxi
                     cell_y: str = "y", cell_x: str = "x") -> DataFrame:
     """Value of every image at every station (nearest cell).
 
-    Stations are few (about 1,500): each gets its cell index once and the station table is
-    broadcast after a size check; image cells are equi-joined on that index, so the result is
+    Each distinct station gets its cell index once; image cells are equi-joined on that index
+    (the planner broadcasts the stations when they are small), so the result is
     one row per (image, station) whose cell the image holds.  Stations outside the grid hull
     match no cell.
     """
@@ -354,7 +313,7 @@ def sample_stations(images: DataFrame, stations: DataFrame, lat_axis: RegularAxi
         {"_iy": nearest_index(lat, lat_axis), "_ix": nearest_index(lon, lon_axis)}).filter(
         F.col("_iy").isNotNull() & F.col("_ix").isNotNull())
     c = images.select(image_id, F.col(cell_y).alias("_iy"), F.col(cell_x).alias("_ix"), value)
-    return c.join(maybe_broadcast(st), ["_iy", "_ix"]).select(image_id, lat, lon, value)
+    return c.join(st, ["_iy", "_ix"]).select(image_id, lat, lon, value)
 
 
 def nearest_in_time(fires: DataFrame, daily: DataFrame, *, key: str = "fire_id", fire_time: str = "idate",
@@ -390,25 +349,46 @@ def append_grid_bands(pixels: DataFrame, grid: DataFrame, bands: Sequence[str],
     return j.select(*pixels.columns, *bands)
 
 
+def append_grid_fields(pixels: DataFrame, hourly: DataFrame, lat_axis: RegularAxis | IrregularAxis,
+                       lon_axis: RegularAxis | IrregularAxis, bilinear: Sequence[str], nearest: Sequence[str] = (), *,
+                       date: str = "obs_date", lat: str = "lat", lon: str = "lon", time: str = "time",
+                       cell_y: str = "y", cell_x: str = "x") -> DataFrame:
+    """C10 by coordinates (+D17, H1, H2): hourly grid fields reduced to daily values and appended to
+    each pixel by its latitude and longitude.  ``bilinear`` fields are daily means interpolated
+    bilinearly, ``nearest`` fields (flags, classes) come from the first step of the day at the
+    nearest cell.  NaN counts as missing.  Pixels on dates without a grid are skipped."""
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    daily = hourly.groupBy(F.to_date(time).alias("_day"), cell_y, cell_x).agg(
+        *[F.avg(clean(v)).alias(v) for v in bilinear],
+        *[F.min_by(F.col(v), F.col(time)).alias(v) for v in nearest])
+    days = hourly.select(F.to_date(time).alias(date)).distinct()
+    p = pixels.join(days, date, "left_semi")
+    if bilinear:
+        p = sample_linear(p, daily, lat_axis, lon_axis, bilinear, lat=lat, lon=lon, cell_y=cell_y, cell_x=cell_x,
+                          extra_keys=[(date, "_day")])
+    if nearest:
+        p = sample_nearest(p, daily, lat_axis, lon_axis, nearest, lat=lat, lon=lon, cell_y=cell_y, cell_x=cell_x,
+                           extra_keys=[(date, "_day")])
+    return p
+
+
 def match_by_substring(items: DataFrame, dirs: DataFrame, *, item_key: str = "fire_key",
-                       dir_name: str = "dir_name", max_len: int = 256) -> DataFrame:
+                       dir_name: str = "dir_name") -> DataFrame:
     """C11: for each item, the first directory (by name) whose name contains the item key;
     unmatched items keep nulls.
 
-    Substring containment is answered by an equi-join: every substring of a directory name
-    (names are short; length is checked against ``max_len``) is emitted once and joined to the
-    keys, so no item x directory pairs are formed.
+    Substring containment is answered by an equi-join: of every distinct directory name the
+    substrings of the lengths that occur among the keys are emitted and joined to the keys, so
+    no item x directory pairs are formed and names may have any length.
     """
+    keys = items.select(F.col(item_key).alias("_sub")).filter(F.col("_sub").isNotNull()).distinct()
+    lengths = keys.agg(F.collect_set(F.length("_sub"))).scalar()
     d = dirs.select(F.col(dir_name).alias("_dn")).distinct()
-    too_long = d.filter(F.length("_dn") > max_len).limit(1).count()
-    if too_long:
-        raise ValueError(f"directory names longer than {max_len} characters")
     n = F.length("_dn")
-    subs = (d.select("_dn", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("_s"))
-             .select("_dn", "_s", F.explode(F.sequence(F.lit(1), F.greatest(n - F.col("_s") + 1, F.lit(1)))).alias("_l"))
-             .select("_dn", F.substring("_dn", F.col("_s"), F.col("_l")).alias("_sub"))
-             .distinct())
-    keys = items.select(F.col(item_key).alias("_sub")).distinct()
+    subs = (d.withColumn("_all", lengths).select("_dn", n.alias("_n"), F.explode("_all").alias("_l"))
+             .filter(F.col("_l") <= F.col("_n"))
+             .select("_dn", "_l", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n") - F.col("_l") + 1, F.lit(1)))).alias("_s"))
+             .select("_dn", F.substring("_dn", F.col("_s"), F.col("_l")).alias("_sub")))
     hits = subs.join(keys, "_sub").groupBy("_sub").agg(F.min("_dn").alias(dir_name))
     return items.join(hits.withColumnRenamed("_sub", item_key), item_key, "left")
 

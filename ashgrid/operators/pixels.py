@@ -37,9 +37,10 @@ def image_index(pixels: DataFrame, keys: Sequence[str] = ("year", "fire_id"), da
 
 
 def stack_inventory(files: DataFrame, fires: DataFrame | None = None, *, path: str = "path",
-                    fire_key: str = "fire_id") -> DataFrame:
+                    fire_key: str = "fire_id", with_dates: bool = False) -> DataFrame:
     """A5: rasters listed as ``<year>/fire_<id>/<yyyy-MM-dd>.tif`` -> per fire: year, number of
-    images, first and last date; fires of the catalog without images are flagged."""
+    images, first and last date (and, ``with_dates``, the ordered dates: one per day of the fire);
+    fires of the catalog without images are flagged."""
     p = F.col(path)
     parsed = files.select(
         F.regexp_extract(p, r"(\d{4})/", 1).try_cast("int").alias("year"),
@@ -47,13 +48,14 @@ def stack_inventory(files: DataFrame, fires: DataFrame | None = None, *, path: s
         F.try_to_date(F.regexp_extract(p, r"(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd").alias("obs_date")).filter(F.col("obs_date").isNotNull())
     inv = parsed.groupBy("year", fire_key).agg(F.count_distinct("obs_date").alias("n_images"),
                                                F.min("obs_date").alias("first_date"),
-                                               F.max("obs_date").alias("last_date"))
+                                               F.max("obs_date").alias("last_date"),
+                                               *([F.array_sort(F.collect_set("obs_date")).alias("dates")] if with_dates else []))
     if fires is None:
         return inv.withColumn("has_images", F.lit(True))
     f = fires.select(fire_key).distinct()
     return (f.join(inv, fire_key, "left")
              .select(fire_key, "year", F.coalesce("n_images", F.lit(0)).alias("n_images"),
-                     "first_date", "last_date", F.col("n_images").isNotNull().alias("has_images")))
+                     "first_date", "last_date", *(["dates"] if with_dates else []), F.col("n_images").isNotNull().alias("has_images")))
 
 
 def sample_counts(images: DataFrame, T: int, skip: int = 0, keys: Sequence[str] = ("year", "fire_id"),
@@ -149,13 +151,22 @@ def persistence(sample_pixels: DataFrame, T: int, *, hh: str = "af_hh", mask: st
     """Predict the label from the last input day: all of its fire pixels, or (latest_only)
     only those detected at the day's latest hour; none when the day's maximum marks no fire.
 
-    The per-sample maximum is one aggregate joined back on the sample key."""
+    The per-sample maximum is a window over the pixels of one image (no second pass)."""
     last = sample_pixels.filter(F.col("lag") == T - 1)
     if not latest_only:
         return last.select(*keys, "y", "x", F.col(mask).cast("int").alias("pred"))
-    mx = last.groupBy(*keys).agg(F.max(hh).alias("_mx"))
-    j = last.join(mx, list(keys))
-    return j.select(*keys, "y", "x", ((F.col("_mx") > 0) & (F.col(hh) == F.col("_mx"))).cast("int").alias("pred"))
+    both = persistence_both(sample_pixels, T, hh=hh, mask=mask, keys=keys)
+    return both.select(*keys, "y", "x", F.col("pred_last").alias("pred"))
+
+
+def persistence_both(sample_pixels: DataFrame, T: int, *, hh: str = "af_hh", mask: str = "af_mask",
+                     keys: Sequence[str] = ("year", "fire_id", "sample_idx")) -> DataFrame:
+    """Both persistence predictions side by side (pred_all, pred_last) in one pass."""
+    last = sample_pixels.filter(F.col("lag") == T - 1)
+    top = F.max(hh).over(Window.partitionBy(*keys))
+    return last.withColumn("_mx", top).select(
+        *keys, "y", "x", F.col(mask).cast("int").alias("pred_all"),
+        ((F.col("_mx") > 0) & (F.col(hh) == F.col("_mx"))).cast("int").alias("pred_last"))
 
 
 # ---------------------------------------------------------------- per-pixel preprocessing
@@ -170,21 +181,31 @@ def binary_mask(c) -> Column:
     return (col_of(c) > 0).cast("int")
 
 
+def binary_label(c) -> Column:
+    """H6: 1 where the raw active-fire value is > 0 (a detection in the first hour counts, which the
+    floored hour would lose); missing -> 0."""
+    return (F.coalesce(col_of(c), F.lit(0)) > 0).cast("int")
+
+
 def degrees_to_sine(c) -> Column:
     """H7: sin of an angle given in degrees."""
     return F.sin(F.radians(col_of(c)))
 
 
 def standardise(df: DataFrame, stats: DataFrame, bands: dict[str, int], *, band: str = "band") -> DataFrame:
-    """H8: (x - mean) / std per band, missing -> 0 after scaling.
+    """H8: (x - mean) / std per band, missing (null or NaN) -> 0 after scaling.
 
-    ``stats`` is the per-band table of D19 (band, mean, std); each band's constants are scalar
-    subqueries, so no join touches the pixels."""
+    ``stats`` is the per-band table of D19 (band, mean, std).  It is computed once, whatever the number
+    of bands: its rows (one per band) come to the driver and go into the plan as constants."""
+    known = {r[band]: r for r in stats.select(band, "mean", "std").collect()}
     cols = {}
     for name, b in bands.items():
-        s = stats.filter(F.col(band) == b)
-        m, sd = s.select("mean").scalar(), s.select("std").scalar()
-        cols[name] = F.coalesce(F.try_divide(F.col(name) - m, sd), F.lit(0.0))
+        r = known.get(b)
+        if r is None or r["mean"] is None or r["std"] is None:
+            cols[name] = F.lit(0.0)
+            continue
+        x = F.when(~F.isnan(F.col(name).cast("double")), F.col(name))
+        cols[name] = F.coalesce(F.try_divide(x - F.lit(float(r["mean"])), F.lit(float(r["std"]))), F.lit(0.0))
     return df.withColumns(cols)
 
 
@@ -275,7 +296,8 @@ def rotate_90(df: DataFrame, k: int, n: int, degree_cols: Sequence[str] = (), y:
 def zero_pad(df: DataFrame, H: int, W: int, size: int, keys: Sequence[str], values: Sequence[str],
              y: str = "y", x: str = "x") -> DataFrame:
     """Pad each image to size x size with zeros; the extra row / column goes to the
-    bottom / right.  Every output pixel is materialised (dense), values missing -> 0."""
+    bottom / right.  Every output pixel is materialised (dense).  Only the border is zero: a value
+    missing inside the image stays missing, so that scaling (H8) reads it as the mean."""
     ph, pw = max(0, size - H), max(0, size - W)
     top, left = ph // 2, pw // 2
     keys = list(keys)
@@ -285,7 +307,8 @@ def zero_pad(df: DataFrame, H: int, W: int, size: int, keys: Sequence[str], valu
                   .select(*keys, y, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ow - 1).cast("long"))).alias(x)))
     src = df.select(*keys, (F.col(y) + top).alias(y), (F.col(x) + left).alias(x), *values)
     j = grid.join(src, [*keys, y, x], "left")
-    return j.select(*keys, y, x, *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
+    inside = F.col(y).between(top, top + H - 1) & F.col(x).between(left, left + W - 1)
+    return j.select(*keys, y, x, *[F.when(inside, F.col(v)).otherwise(F.lit(0)).alias(v) for v in values])
 
 
 def select_bands(df: DataFrame, keep: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -322,23 +345,26 @@ def focal_3x3(df: DataFrame, keys: Sequence[str], value: str, H: int, W: int,
               y: str = "y", x: str = "x") -> DataFrame:
     """The 3 x 3 neighbourhood of every pixel as nine columns n_{dy}{dx} (zero padding).
 
-    Each pixel sends its value to its nine neighbours (fixed fan-out 9) and one group-by per
-    target pixel pivots them; targets are the pixels present in the table."""
+    Separable: each pixel goes to the rows above and below it (three copies), one group-by makes the
+    column triple of every position, and a window along the image row reads the triples to the
+    left and right.  Targets are the positions that received their own centre."""
     keys = list(keys)
-    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    arr = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offs])
-    sent = df.select(*keys, y, x, value, F.explode(arr).alias("_o")).select(
-        *keys, (F.col(y) - F.col("_o.dy")).alias(y), (F.col(x) - F.col("_o.dx")).alias(x),
-        F.col("_o.dy").alias("dy"), F.col("_o.dx").alias("dx"), value)
-    sent = sent.filter(F.col(y).between(0, H - 1) & F.col(x).between(0, W - 1))
+    side = {-1: "m", 0: "z", 1: "p"}
+    sent = df.select(*keys, y, x, value, F.explode(F.array(*[F.lit(d) for d in side])).alias("_d")).withColumn(
+        y, F.col(y) - F.col("_d")).filter(F.col(y).between(0, H - 1) & F.col(x).between(0, W - 1))
+    column = sent.groupBy(*keys, y, x).agg(
+        *[F.max(F.when(F.col("_d") == d, F.col(value))).alias(f"_{s}") for d, s in side.items()],
+        F.max(F.col("_d") == 0).alias("_own"))
+    line = Window.partitionBy(*keys, y).orderBy(x)
+    near = {-1: F.lag(x).over(line) == F.col(x) - 1, 1: F.lead(x).over(line) == F.col(x) + 1}
 
-    def name(dy, dx):
-        return f"n_{'m' if dy < 0 else ('p' if dy > 0 else 'z')}{'m' if dx < 0 else ('p' if dx > 0 else 'z')}"
+    def at(s, dx):
+        c = F.col(f"_{s}")
+        v = c if dx == 0 else F.when(near[dx], (F.lag(c) if dx < 0 else F.lead(c)).over(line))
+        return F.coalesce(v, F.lit(0.0)).alias(f"n_{s}{side[dx]}")
 
-    g = sent.groupBy(*keys, y, x).agg(*[
-        F.coalesce(F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col(value))), F.lit(0.0)).alias(name(dy, dx))
-        for dy, dx in offs])
-    return g.join(df.select(*keys, y, x), [*keys, y, x], "left_semi")
+    out = column.select(*keys, y, x, "_own", *[at(s, dx) for s in side.values() for dx in side])
+    return out.filter("_own").drop("_own")
 
 
 def train_fire_classifier(features: DataFrame, feature_cols: Sequence[str], label: str = "label",
@@ -362,11 +388,14 @@ def predict_fire(va, model, features: DataFrame) -> DataFrame:
     return p.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
 
 
-def prediction_table(inputs: DataFrame, preds: DataFrame, labels: DataFrame,
+def prediction_table(sample_pixels: DataFrame, T: int, *, mask: str = "af_mask", pred: str | None = None,
                      keys: Sequence[str] = ("year", "fire_id", "sample_idx")) -> DataFrame:
-    """Input fire mask, prediction and label side by side per (sample, y, x)."""
-    k = [*keys, "y", "x"]
-    return inputs.join(preds, k, "full").join(labels, k, "full")
+    """Input fire mask, prediction and label side by side per (sample, y, x), from one aggregation
+    over the sample pixels.  The prediction is column ``pred`` of the last input day, by default the
+    persistence of its mask."""
+    at = lambda lag, c: F.max(F.when(F.col("lag") == lag, F.col(c))).cast("int")
+    return (sample_pixels.filter(F.col("lag") >= T - 1).groupBy(*keys, "y", "x")
+            .agg(at(T - 1, mask).alias("input_mask"), at(T - 1, pred or mask).alias("pred"), at(T, mask).alias("label")))
 
 
 def pack_fire_stack(pixels: DataFrame, existing: DataFrame | None = None, *,
@@ -417,7 +446,7 @@ def resample_nearest(pixels: DataFrame, coarse: DataFrame, factor: int, values:
 
 
 def resample_bilinear(pixels: DataFrame, cells: DataFrame, lat_axis, lon_axis, value: str,
-                      ids: Sequence[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+                      lat: str = "lat", lon: str = "lon") -> DataFrame:
     """H1: bilinear resampling of a coarse grid at each pixel's coordinates (see C6)."""
     from ashgrid.operators.joins import sample_linear
-    return sample_linear(pixels, cells, lat_axis, lon_axis, value, list(ids), lat=lat, lon=lon)
+    return sample_linear(pixels, cells, lat_axis, lon_axis, value, lat=lat, lon=lon)

@@ -1,106 +1,120 @@
 """Average ranks and rank correlation without a single-partition window.
 
-``rank() over (order by v)`` puts a whole group into one task.  Here values are first
-collapsed to (key, value, multiplicity), cut into value-range buckets from approximate
-quantiles of the distinct values, and ranked inside each bucket on top of a per-bucket
-offset.  A hot value is one row after the first aggregate, a hot key is spread over
-``buckets`` window partitions.
+``rank() over (order by v)`` puts a whole group into one task.  Here the value axis is cut into
+ranges that hold about ``ROWS_PER_BUCKET`` rows each (quantiles of all keys together, so a large
+key is cut finely and a small one needs no cut), values are ranked inside (key, range) windows,
+and each range starts at the offset of the ranges below it.  The number of ranges follows the
+measured number of rows; the bounds come to the driver as that many numbers and go back into the
+plan as a binary search, so assigning a range shuffles nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashgrid.session import cut_lineage
 
-__all__ = ["average_ranks", "rank_correlation"]
-
-
-def _assign_buckets(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``: the number of per-key approximate quantile bounds below the value, so
-    buckets are value ranges (monotone in the value) holding similar numbers of distinct
-    values.  The bound table has one small array per key and is joined by key; without keys
-    the bounds are a bounded literal."""
-    if buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    pa = F.percentile_approx(value, probs, 10 * buckets).alias("_bounds")
-    if keys:
-        with_b = df.join(df.groupBy(*keys).agg(pa), keys)
-        bounds = F.col("_bounds")
-    else:
-        # one key: the (at most buckets - 1) bounds come back as a literal array, so the
-        # bucket is a per-row expression with no join at all
-        got = df.select(pa).first()[0] or []
-        with_b, bounds = df, F.array(*[F.lit(float(v)) for v in got]) if got else F.array().cast("array<double>")
-    b = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(value))), F.lit(0))
-    return with_b.withColumn("_bucket", b).drop("_bounds")
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 512,
+__all__ = ["average_ranks", "rank_correlation", "cumulative_by_value", "ROWS_PER_BUCKET"]
+
+ROWS_PER_BUCKET = 100_000
+
+
+def with_buckets(df: DataFrame, values: Sequence[str], buckets: int | None = None,
+                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` with ``<value>_bucket`` for each value: the index of its range, monotone in the value.
+
+    ``df`` should be materialised: it is read for a row count and, when more than one range is
+    needed, for the quantiles (both are the only jobs that run while a rank plan is built)."""
+    n = buckets or -(-df.count() // rows_per_bucket)
+    names = [f"{v}_bucket" for v in values]
+    if n <= 1:
+        return df.withColumns({name: F.lit(0) for name in names})
+    probs = [i / n for i in range(1, n)]
+    got = df.agg(*[F.percentile_approx(F.col(v).cast("double"), probs, 20 * n).alias(v) for v in values]).first()
+    out = df
+    for v, name in zip(values, names):
+        # half-open ranges (.., b], expressed on the negated axis, where Bucketizer's are [-b, ..)
+        cuts = sorted({-float(b) for b in got[v] or []})
+        if not cuts:
+            out = out.withColumn(name, F.lit(0))
+            continue
+        splits = [-float("inf"), *cuts, float("inf")]
+        out = out.withColumn("_axis", -F.col(v).cast("double"))
+        out = Bucketizer(splits=splits, inputCol="_axis", outputCol="_range", handleInvalid="keep").transform(out)
+        out = out.withColumn(name, (F.lit(len(splits)) - F.col("_range")).cast("int")).drop("_axis", "_range")
+    return out
+
+
+def _ranked(df: DataFrame, keys: list[str], value: str, weight: str, rank: str, total: str) -> DataFrame:
+    """``df`` (with ``<value>_bucket``) plus ``rank``, the average rank of the value among the weighted
+    rows of its key, and ``total``, the key's weight.  One window per (key, range)."""
+    b = f"{value}_bucket"
+    per = df.groupBy(*keys, b).agg(F.sum(weight).alias("_bn"))
+    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()  # as many rows as ranges
+    offsets = per.select(
+        *[F.col(k).alias(f"_o_{k}") for k in keys], F.col(b).alias("_o_bucket"),
+        F.coalesce(F.sum("_bn").over(wk.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bn").over(wk).alias(total))
+    part = Window.partitionBy(*keys, b)
+    upto = F.sum(weight).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum(weight).over(Window.partitionBy(*keys, b, value))
+    r = df.withColumns({"_upto": upto, "_tied": tied})
+    same = r[b] == F.col("_o_bucket")
+    for k in keys:
+        same = same & r[k].eqNullSafe(F.col(f"_o_{k}"))
+    j = r.join(offsets, same)
+    return j.withColumn(rank, F.col("_off") + F.col("_upto") - (F.col("_tied") - 1) / 2.0).drop(
+        "_upto", "_tied", "_off", "_o_bucket", *[f"_o_{k}" for k in keys])
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None,
                   weight: str | None = None) -> DataFrame:
     """One row per distinct (keys, value): ``n`` rows with that value, ``avg_rank`` (1-based,
     ties share the mean of their positions), ``centered`` = avg_rank - (total + 1) / 2 where ``total`` is
     the key's row count (the mean rank is exactly (total + 1) / 2), and ``total``.
 
-    Null values are not ranked.  ``weight`` names a column of row multiplicities when the
+    Null and NaN values are not ranked.  ``weight`` names a column of row multiplicities when the
     input is already pre-aggregated.
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
-    counts = (df.filter(F.col(value).isNotNull())
-                .groupBy(*keys, value).agg(F.sum(w).cast("long").alias("n")))
-    with_b = _assign_buckets(counts, keys, value, buckets).select(*keys, value, "n", "_bucket")
-    per_bucket = with_b.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_bn"))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    offsets = per_bucket.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_bn").over(wk.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_bn").over(wk).alias("total"))
-    wb = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = with_b.join(offsets, keys + ["_bucket"]).select(
-        *keys, value, "n", "total",
-        (F.col("_off") + F.coalesce(F.sum("n").over(wb), F.lit(0)) + (F.col("n") + 1) / 2.0)
-        .alias("avg_rank"))
-    return ranked.withColumn("centered", F.col("avg_rank") - (F.col("total") + 1) / 2.0)
-
-
-def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int = 512) -> DataFrame:
-    """Spearman correlation per key over rows where both x and y are present.
-
-    Rows are first collapsed to distinct (key, x, y) pairs with a multiplicity, then each
-    side's centred average rank is attached by equi-join; the correlation of centred ranks
-    needs no mean subtraction, so the weighted sums are numerically stable.
+    v = F.col(value)
+    counts = cut_lineage(df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+                         .groupBy(*keys, value).agg(F.sum(w).cast("long").alias("n")))
+    ranked = _ranked(with_buckets(counts, [value], buckets), keys, value, "n", "avg_rank", "total")
+    return ranked.select(*keys, value, "n", "total", "avg_rank",
+                         (F.col("avg_rank") - (F.col("total") + 1) / 2.0).alias("centered"))
+
+
+def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
+    """Spearman correlation per key over rows where both x and y are present (null and NaN are not).
+
+    Rows are first collapsed to distinct (key, x, y) pairs with a multiplicity, then each side is
+    ranked in place by one bucketed window; the correlation of centred ranks needs no mean
+    subtraction, so the weighted sums are numerically stable.
     Returns (keys..., spearman); null when either side is constant.
     """
     keys = list(keys)
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    # The collapsed pairs are read by several branches below; materialise them once in the
-    # shared checkpoint folder so the source is scanned once and lineage stays short.
-    pairs = cut_lineage(pairs)
-    # Both sides ranked in one pass: (keys, side, value, weight).
-    sides = pairs.select(*keys, "_w", F.col(x).cast("double").alias("_vx"),
-                         F.col(y).cast("double").alias("_vy")) \
-                 .unpivot([*keys, "_w"], ["_vx", "_vy"], "_side", "_v")
-    r = average_ranks(sides, [*keys, "_side"], "_v", buckets, weight="_w")
-    rx = r.filter(F.col("_side") == "_vx").select(*keys, F.col("_v").alias(x), F.col("centered").alias("_cx"))
-    ry = r.filter(F.col("_side") == "_vy").select(*keys, F.col("_v").alias(y), F.col("centered").alias("_cy"))
-    pairs = pairs.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), "_w")
-    j = pairs.join(rx, keys + [x]).join(ry, keys + [y])
-    agg = j.groupBy(*keys).agg(
-        F.sum(F.col("_w") * F.col("_cx") * F.col("_cy")).alias("_sxy"),
-        F.sum(F.col("_w") * F.col("_cx") * F.col("_cx")).alias("_sxx"),
-        F.sum(F.col("_w") * F.col("_cy") * F.col("_cy")).alias("_syy"))
+    vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.filter(vx.isNotNull() & vy.isNotNull() & ~F.isnan(vx) & ~F.isnan(vy))
+    # the collapsed pairs are read for the bounds and for the ranks: materialised once in the
+    # shared checkpoint folder, so the source is scanned once and lineage stays short
+    pairs = cut_lineage(both.groupBy(*keys, vx.alias("_x"), vy.alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
+    r = _ranked(with_buckets(pairs, ["_x", "_y"], buckets), keys, "_x", "_w", "_rx", "_n")
+    r = _ranked(r, keys, "_y", "_w", "_ry", "_m")
+    cx, cy = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_m") + 1) / 2.0
+    agg = r.groupBy(*keys).agg(
+        F.sum(F.col("_w") * cx * cy).alias("_sxy"), F.sum(F.col("_w") * cx * cx).alias("_sxx"),
+        F.sum(F.col("_w") * cy * cy).alias("_syy"))
     return agg.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias("spearman"))
 
 
 def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
-                        descending: bool = False, buckets: int = 512) -> DataFrame:
+                        descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Running totals over the distinct values of ``value`` within each key.
 
     Returns one row per distinct (keys, value) with, for each column ``c`` in ``sums``,
@@ -111,9 +125,9 @@ def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Se
     keys = list(keys)
     v = F.col(value)
     ov = (-v) if descending else v
-    grouped = (df.filter(v.isNotNull()).groupBy(*keys, value)
-                 .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", ov))
-    with_b = _assign_buckets(grouped, keys, "_o", buckets)
+    grouped = cut_lineage(df.filter(v.isNotNull()).groupBy(*keys, value)
+                          .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", ov))
+    with_b = with_buckets(grouped, ["_o"], buckets).withColumnRenamed("_o_bucket", "_bucket")
     per_bucket = with_b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "_bucket", *[

@@ -27,10 +27,11 @@ def best_per_time(images, time: str, forecast_hour: str, tie: list[str]):
 
 
 def sample_n(df, n: int, key: str, seed: int = 42):
-    """A fixed-size pseudo-random sample: the ``n`` rows with the smallest seeded
-    ``xxhash64`` of the key (a top-n, so only n rows per task reach the final merge).
-    Raises when fewer than ``n`` rows exist."""
-    have = df.limit(n).count()
-    if have < n:
-        raise ValueError(f"cannot sample {n} rows from {have}")
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """A fixed-size pseudo-random sample: the ``n`` rows with the smallest seeded modular hash of
+    the integer key (ties by key; a top-n, so only n rows per task reach the final merge).  The
+    hash is plain integer arithmetic, so any engine draws the same rows.  A table with fewer than
+    ``n`` rows is returned whole."""
+    prime = 2147483647
+    k = F.pmod(F.col(key).cast("long"), F.lit(prime))
+    h = F.pmod(F.pmod(k * 48271 + seed * 69621, F.lit(prime)) * 16807 + 12345, F.lit(prime))
+    return df.orderBy(h, F.col(key)).limit(n)

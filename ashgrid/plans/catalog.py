@@ -33,7 +33,7 @@ select c_custkey as fire_id,
        timestamp '2024-01-01 00:00:00' + to_days(cast(c_custkey % 25 as int)) as idate,
        timestamp '2024-01-01 00:00:00' + to_days(cast(c_custkey % 25 + c_custkey % 5 + 1 as int)) as fdate,
        c_acctbal*10000 as area
-from customer where c_custkey % 10 = 0""",
+from customer""",
     "grid_cell": """
 select (p_partkey // 40) as y, p_partkey % 40 as x,
        cast(30 + (p_partkey // 40)*0.25 as double) as lat,

@@ -23,7 +23,8 @@ from ashgrid.plans.catalog import register, rounded
 from ashgrid.plans.column_queries import image_rows, raw_sensor_rows, weather_rows, _RAW, _IMG, _WX
 from ashgrid.session import checkpoint_root
 from ashgrid.sources import files as SRC
-from ashgrid.sources.fixtures import fire, grid_cell, manifest, raster, sensor_obs, table
+from ashgrid.sources.fixtures import (CUBE_T, CUBE_X, CUBE_Y, EPOCH_2024, fire, grid_cell, manifest, raster, reading_cube,
+                                      sensor_obs, table)
 
 
 def scratch(spark, name: str) -> str:
@@ -56,14 +57,14 @@ def q_read_sensor_files(spark, sf_dir):
 
 @register("read_coded_files", sql=f"""with {_RAW}
 select event_id as site, case when event_id % 3 = 0 then '88101' else '88502' end as code, 2024 as file_year
-from raw where event_id % 3 = 0""")
+from raw""")
 def q_read_coded_files(spark, sf_dir):
-    """A2: parameter code and year taken from the file path; only code 88101 kept."""
+    """A2: parameter code and year taken from the file path; both codes are read."""
     base = scratch(spark, "coded_csv")
     r = raw_sensor_rows(spark, sf_dir).select(*SRC.RAW_SENSOR_SCHEMA.fieldNames())
     r.filter(F.col("Site Num") % 3 == 0).write.option("header", True).csv(f"{base}/hourly_88101_2024")
     r.filter(F.col("Site Num") % 3 != 0).write.option("header", True).csv(f"{base}/hourly_88502_2024")
-    df = SRC.read_coded_files(spark, f"{base}/hourly_*_*", ["88101"], [2024])
+    df = SRC.read_coded_files(spark, f"{base}/hourly_*_*", ["88101", "88502"], [2024])
     return df.select(F.col("Site Num").cast("long").alias("site"), "code", "file_year")
 
 
@@ -182,52 +183,56 @@ def _grid_axes(spark, sf_dir):
 
 
 _STREAM_SQL = f"""with {_RAW},
-p as (select event_id, try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') as time, cast(lat as double) as lat,
+p as (select event_id, lpad(cast(st as varchar), 2, '0') || lpad(cast(co as varchar), 3, '0')
+               || case when length(cast(si as varchar)) < 4 then lpad(cast(si as varchar), 4, '0') else cast(si as varchar) end as site,
+             try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') as time, cast(lat as double) as lat,
              cast(lon as double) as lon, value as pm25 from raw),
-ax as (select max(y) as ymax from grid_cell),
-i as (select p.*, cast(floor(lat + 90) as bigint) || '_' || cast(floor(lon + 180) as bigint) || '_' || strftime(time, '%Y%m') as cube,
-        case when lat between 30 and 30 + ymax * 0.25 then cast(ceil((lat - 30) / 0.25 - 0.5) as bigint) end as iy,
-        case when lon between -120 and -120 + 39 * 0.75 then cast(ceil((lon + 120) / 0.75 - 0.5) as bigint) end as ix
-      from p, ax)"""
-
-
-@register("stream_annotate", sql=_STREAM_SQL + """
-select i.event_id, i.time, i.lat, i.lon, i.pm25, i.cube, g.v from i left join grid_cell g on g.y = i.iy and g.x = i.ix
-where i.time is not null""")
+cells as (select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9) / __STEP__) as t, user_id % 20 as y, user_id % 37 as x,
+                 avg(value) as v from events group by 1, 2, 3),
+h as (select *, (epoch_us(time) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as hours,
+        cast(floor(lat + 90) as bigint) || '_' || cast(floor(lon + 180) as bigint) || '_' || strftime(time, '%Y%m') as cube from p),
+i as (select *, case when hours between 0 and 717 then cast(ceil(hours / 3 - 0.5) as bigint) end as it,
+        case when lat between 30 and 39.5 then cast(ceil((lat - 30) / 0.5 - 0.5) as bigint) end as iy,
+        case when lon between -120 and -120 + 36 * 0.75 then cast(ceil((lon + 120) / 0.75 - 0.5) as bigint) end as ix
+      from h)"""
+
+
+@register("stream_annotate", sql=_STREAM_SQL.replace("__STEP__", "3") + """
+select i.event_id, i.site, i.time, i.lat, i.lon, i.pm25, i.cube, round(g.v, 6) as v
+from i left join cells g on g.t = i.it and g.y = i.iy and g.x = i.ix where i.time is not null""")
 def q_stream_annotate(spark, sf_dir):
-    """Sensor CSV files streamed one file per trigger, cube-keyed, joined to the grid,
-    appended to Parquet with a checkpoint; the output table is returned."""
+    """S1 (C5 with time): sensor CSV files streamed, given site id and cube key, joined to the cube at
+    their position and time, appended to Parquet with a checkpoint; the output is returned."""
     from ashgrid.streaming.annotate import stream_annotate
     base = scratch(spark, "stream")
     _write_raw_csv(spark, sf_dir, f"{base}/in", with_extra_column=False, parts=4)
-    ay, ax = _grid_axes(spark, sf_dir)
-    stream_annotate(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", grid_cell(spark, sf_dir), ay, ax, ["v"],
-                    schema=_raw_schema(), keep=["event_id"])
-    return spark.read.parquet(f"{base}/out").select("event_id", "time", "lat", "lon", "pm25", "cube", "v")
+    stream_annotate(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", reading_cube(spark, sf_dir), CUBE_Y, CUBE_X, ["v"],
+                    schema=_raw_schema(), keep=["event_id"], time_axis=CUBE_T, time_origin=EPOCH_2024)
+    return rounded(spark.read.parquet(f"{base}/out").select("event_id", "site", "time", "lat", "lon", "pm25", "cube", "v"))
 
 
-@register("stream_annotate_linear", sql=_STREAM_SQL.replace(" as ix\n      from p, ax)", " as ix\n      from p, ax)") + """,
-b as (select event_id, time, lat, lon, pm25, cube, (lat - 30) / 0.25 as py, (lon + 120) / 0.75 as px,
-        lat between 30 and 30 + (select max(y) from grid_cell) * 0.25 and lon between -120 and -120 + 39 * 0.75 as inside
+@register("stream_annotate_linear", sql=_STREAM_SQL.replace("__STEP__", "24") + """,
+b as (select event_id, site, time, lat, lon, pm25, cube, (lat - 30) / 0.5 as py, (lon + 120) / 0.75 as px, hours / 24 as pt,
+        lat between 30 and 39.5 and lon between -120 and -120 + 36 * 0.75 and hours between 0 and 696 as inside
       from i where time is not null),
-c as (select *, floor(py) as y0, floor(px) as x0, py - floor(py) as fy, px - floor(px) as fx from b),
-k as (select c.event_id, (case when dy = 1 then fy else 1 - fy end) * (case when dx = 1 then fx else 1 - fx end) as w,
-        cast(y0 + dy as bigint) as cy, cast(x0 + dx as bigint) as cx
-      from c, (values (0), (1)) a(dy), (values (0), (1)) b2(dx) where inside),
+c as (select *, floor(py) as y0, floor(px) as x0, floor(pt) as t0, py - floor(py) as fy, px - floor(px) as fx, pt - floor(pt) as ft from b),
+k as (select c.event_id, (case when dy = 1 then fy else 1 - fy end) * (case when dx = 1 then fx else 1 - fx end)
+        * (case when dt = 1 then ft else 1 - ft end) as w,
+        cast(y0 + dy as bigint) as cy, cast(x0 + dx as bigint) as cx, cast(t0 + dt as bigint) as ct
+      from c, (values (0), (1)) a(dy), (values (0), (1)) b2(dx), (values (0), (1)) b3(dt) where inside),
 s as (select k.event_id, case when count(*) filter (where g.v is null) = 0 then sum(k.w * g.v) end as v
-      from k left join grid_cell g on g.y = k.cy and g.x = k.cx where k.w > 0 group by 1)
-select b.event_id, b.time, b.lat, b.lon, b.pm25, b.cube, round(s.v, 6) as v from b left join s on b.event_id = s.event_id""")
+      from k left join cells g on g.y = k.cy and g.x = k.cx and g.t = k.ct where k.w > 0 group by 1)
+select b.event_id, b.site, b.time, b.lat, b.lon, b.pm25, b.cube, round(s.v, 6) as v from b left join s on b.event_id = s.event_id""")
 def q_stream_annotate_linear(spark, sf_dir):
-    """S1 with C6: the stream interpolates the grid bilinearly (one stateless stream-static
-    join per corner), as the source job's default linear interpolation."""
+    """S1 with C6: the stream interpolates a daily cube in time, latitude and longitude (one stateless
+    stream-static join on the packed corners)."""
     from ashgrid.streaming.annotate import stream_annotate
     base = scratch(spark, "streaml")
     _write_raw_csv(spark, sf_dir, f"{base}/in", parts=4)
-    ay, ax = _grid_axes(spark, sf_dir)
-    stream_annotate(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", grid_cell(spark, sf_dir), ay, ax, ["v"],
-                    schema=_raw_schema(), keep=["event_id"], method="linear")
-    out = spark.read.parquet(f"{base}/out").select("event_id", "time", "lat", "lon", "pm25", "cube", "v")
-    return rounded(out)
+    stream_annotate(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", reading_cube(spark, sf_dir, 24), CUBE_Y, CUBE_X, ["v"],
+                    schema=_raw_schema(), keep=["event_id"], method="linear",
+                    time_axis=J.RegularAxis(0.0, 24.0, 30), time_origin=EPOCH_2024)
+    return rounded(spark.read.parquet(f"{base}/out").select("event_id", "site", "time", "lat", "lon", "pm25", "cube", "v"))
 
 
 def _raw_schema():
@@ -240,19 +245,18 @@ def _raw_schema():
         T.StructField("Site Num", T.LongType())])
 
 
-@register("stream_quarantine", sql=_STREAM_SQL + """
+@register("stream_quarantine", sql=_STREAM_SQL.replace("__STEP__", "3") + """
 select i.event_id, case when i.time is null then 'bad_time' when i.pm25 is null then 'missing_value'
   when g.v is null then 'outside_grid' end as reason
-from i left join grid_cell g on g.y = i.iy and g.x = i.ix""")
+from i left join cells g on g.t = i.it and g.y = i.iy and g.x = i.ix""")
 def q_stream_quarantine(spark, sf_dir):
     """The streamed rows split into good and rejected sinks per micro-batch; returns every
     row with its rejection reason (null for good rows)."""
     from ashgrid.streaming.annotate import stream_quarantine
     base = scratch(spark, "streamq")
     _write_raw_csv(spark, sf_dir, f"{base}/in", parts=4)
-    ay, ax = _grid_axes(spark, sf_dir)
-    stream_quarantine(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", grid_cell(spark, sf_dir), ay, ax, ["v"],
-                      schema=_raw_schema(), keep=["event_id"])
+    stream_quarantine(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", reading_cube(spark, sf_dir), CUBE_Y, CUBE_X, ["v"],
+                      schema=_raw_schema(), keep=["event_id"], time_axis=CUBE_T, time_origin=EPOCH_2024)
     good = spark.read.parquet(f"{base}/out/good").select("event_id", F.lit(None).cast("string").alias("reason"))
     bad = spark.read.parquet(f"{base}/out/rejected").select("event_id", "reason")
     return good.unionByName(bad)
@@ -315,12 +319,53 @@ def q_best_per_time(spark, sf_dir):
         "valid_time", "image_id", "forecast_hour")
 
 
-@register("sample_n")
+@register("sample_n", sql="""
+select * from fire order by (((fire_id % 2147483647) * 48271 + 42 * 69621) % 2147483647 * 16807 + 12345) % 2147483647, fire_id
+limit 200""")
 def q_sample_n(spark, sf_dir):
-    """A fixed-size seeded sample of fires (rows-only check).  The reference draws 200 from
-    its catalog; 10 here so the smallest fixture catalog (15 fires at sf0.001) can serve it."""
+    """A seeded sample of 200 fires (all of them where the catalog is smaller)."""
     from ashgrid.operators.sequences import sample_n
-    return sample_n(fire(spark, sf_dir), 10, "fire_id", seed=42)
+    return sample_n(fire(spark, sf_dir), 200, "fire_id", seed=42)
+
+
+def _nested_listing(spark, sf_dir):
+    """One directory tree per year and month, with junk names among the files."""
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    name = (F.when(eid % 13 == 0, F.lit("readme.txt")).when(eid % 29 == 0, F.lit("2024-13-45.tif"))
+            .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".tif"))))
+    f = e.select(F.date_format("ts", "yyyy-MM").alias("tree"), F.date_format("ts", "yyyy").alias("year"),
+                 (F.col("user_id") % 8).alias("fire"), name.alias("name")).distinct()
+    fires = f.groupBy("tree", "year", "fire").agg(F.concat(
+        F.lit('<directory name="'), F.when(F.col("fire") == 5, F.lit("other_")).otherwise(F.lit("fire_")), F.col("fire").cast("string"),
+        F.lit('">'), F.array_join(F.collect_list(F.concat(F.lit('<file name="'), "name", F.lit('"/>'))), ""), F.lit("</directory>")).alias("x"))
+    years = fires.groupBy("tree", "year").agg(F.concat(F.lit('<directory name="'), F.col("year"), F.lit('">'),
+                                                       F.array_join(F.collect_list("x"), ""), F.lit("</directory>")).alias("x"))
+    return years.select(F.concat(F.lit('<tree><directory name=".">'), "x", F.lit("</directory></tree>")).alias("xml"))
+
+
+@register("nested_listing_to_fire_dates", sql="""
+select cast(user_id % 8 as varchar) as fire_id, min(cast(ts as date)) as start_date, max(cast(ts as date)) as end_date,
+       list_sort(list(distinct cast(ts as date))) as dates
+from events where event_id % 13 != 0 and event_id % 29 != 0 and user_id % 8 != 5 group by 1""")
+def q_nested_listing(spark, sf_dir):
+    """Nested directory trees -> first, last and all image dates per fire."""
+    return SRC.nested_listing_to_fire_dates(_nested_listing(spark, sf_dir))
+
+
+@register("ragged_header_rows", sql="""
+select event_id, cast(event_id % 2 as int) as row_idx, case when event_id % 2 = 0 then epoch_ms(1704067200000 + event_id * 60000) end as time,
+       case when event_id % 2 = 0 then round(value, 6) end as pm25, case when event_id % 2 = 1 then 'ragged' end as reason
+from events""")
+def q_ragged_header_rows(spark, sf_dir):
+    """Rows shorter than their header are kept apart with a reason instead of failing the job."""
+    e = table(spark, sf_dir, "events")
+    ms = (F.lit(1704067200000) + F.col("event_id") * 60000).cast("string")
+    good = F.array(ms, (F.col("value") * 1e-9).cast("string"))
+    bad = F.array(F.lit("n/a"), F.lit("1e-9"))
+    doc = F.to_json(F.when(F.col("event_id") % 2 == 0, F.array(F.array(F.lit("time"), F.lit("pm25")), good, bad))
+                    .otherwise(F.array(F.array(F.lit("time"), F.lit("pm25")), bad, F.array(ms))))
+    return rounded(SRC.rows_from_header_array(e.select("event_id", doc.alias("doc")), keep=["event_id"], keep_ragged=True))
 
 
 @register("distinct_stations", sql="select distinct lat, lon from sensor_obs")
@@ -380,4 +425,4 @@ def q_resample_bilinear(spark, sf_dir):
     r = r.withColumns({"lat": 30 + F.col("y") * 0.05 + F.col("fire_id") * 0.3,
                        "lon": -120 + F.col("x") * 0.1 + F.col("fire_id") * 0.5})
     ay, ax = _grid_axes(spark, sf_dir)
-    return rounded(resample_bilinear(r, grid_cell(spark, sf_dir), ay, ax, "v", ["fire_id", "y", "x"]).drop("lat", "lon"))
+    return rounded(resample_bilinear(r, grid_cell(spark, sf_dir), ay, ax, "v").drop("lat", "lon"))

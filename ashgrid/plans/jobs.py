@@ -20,15 +20,20 @@ from ashgrid.operators import joins as J
 from ashgrid.operators import pixels as P
 from ashgrid.plans.catalog import register, rounded
 from ashgrid.session import cut_lineage
-from ashgrid.sources.fixtures import fire, grid_cell, raster, sensor_obs
+from ashgrid.sources.fixtures import CUBE_T, CUBE_X, CUBE_Y, EPOCH_2024, fire, raster, reading_cube, sensor_obs
 
 
 def attach_grid_to_sensors(raw: DataFrame, cells: DataFrame, lat_axis: J.RegularAxis, lon_axis: J.RegularAxis,
-                           value: str = "v", qflag: str = "qflag", keep: Sequence[str] = ()) -> DataFrame:
-    """L1: raw sensor rows -> parsed readings with the nearest bias-corrected grid value,
-    kept only for accepted quality flags."""
-    obs = C.normalise_sensor(raw, keep=keep)
-    s = J.sample_nearest(obs, cells, lat_axis, lon_axis, [value, qflag])
+                           value: str = "v", qflag: str = "qflag", keep: Sequence[str] = (),
+                           time_axis: J.RegularAxis | None = None, time_origin=None) -> DataFrame:
+    """L1: raw sensor rows -> parsed readings with their site id and the bias-corrected grid value at the
+    nearest cell and time step, kept only for accepted quality flags.
+
+    ``cells`` is a (t, y, x) cube when ``time_axis`` (hours since ``time_origin``) is given; a grid
+    without time has (y, x) only."""
+    raw = raw.withColumn("site", C.site_id("State Code", "County Code", "Site Num"))
+    obs = C.normalise_sensor(raw, keep=[*keep, "site"])
+    s = J.sample_nearest(obs, cells, lat_axis, lon_axis, [value, qflag], time_axis=time_axis, time_origin=time_origin)
     return s.withColumn(value, C.mask_quality(value, qflag)).drop(qflag)
 
 
@@ -76,32 +81,51 @@ def select_fires(fires: DataFrame, daily: DataFrame, start, end, min_size: float
     return C.require(located, ["lat", "lon"])
 
 
-# ------------------------------------------------------------------ registered job queries
+def select_fires_by_perimeter(fires: DataFrame, collections: DataFrame, start, end, min_size: float,
+                              tie: str | None = None) -> DataFrame:
+    """L4 from perimeters: ``fires`` (fire_id, idate, fdate, ring) whose polygon meets the region and whose
+    own area lies in the size range, ignited in [start, end), with the coordinates of the daily
+    record (of any yearly collection the fire spans) nearest the ignition within 24 h; fires
+    without coordinates are dropped.  Records with a ``ring`` are located by its centroid."""
+    f = GEO.polygons_in_region(fires).withColumn("area_m2", GEO.polygon_area("ring"))
+    f = agg.fires_in_range(f, min_size, start, end, area="area_m2")
+    daily = J.daily_perimeters_for(f, collections)
+    if "ring" in daily.columns:
+        lon, lat = GEO.polygon_centroid("ring")
+        daily = daily.withColumns({"lon": lon, "lat": lat})
+    located = J.nearest_in_time(f.select("fire_id", "idate", "area_m2"), daily, tie=tie)
+    return C.require(located, ["lat", "lon"])
 
-def _axes(spark, sf_dir):
-    ny = grid_cell(spark, sf_dir).agg(F.max("y")).first()[0] + 1
-    return J.RegularAxis(30.0, 0.25, ny), J.RegularAxis(-120.0, 0.75, 40)
 
+# ------------------------------------------------------------------ registered job queries
 
 _L1_SQL = """with raw as (select event_id,
   case when event_id % 17 = 0 then 'bad-date' else strftime(ts, '%Y-%m-%d') end as d,
-  lpad(cast(hour(ts) as varchar), 2, '0') || ':00' as t,
+  lpad(cast(hour(ts) as varchar), 2, '0') || ':00' as t, cast(user_id % 56 as varchar) as st,
+  cast(event_id % 1000 as varchar) as co, cast(event_id as varchar) as si,
   30 + (user_id % 20) * 0.5 as lat, -120 + (user_id % 37) * 0.75 as lon, value from events),
-p as (select event_id, try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') as time, cast(lat as double) as lat,
+p as (select event_id, case when length(st) < 2 then lpad(st, 2, '0') else st end
+               || case when length(co) < 3 then lpad(co, 3, '0') else co end
+               || case when length(si) < 4 then lpad(si, 4, '0') else si end as site,
+             try_strptime(d || ' ' || t, '%Y-%m-%d %H:%M') as time, cast(lat as double) as lat,
              cast(lon as double) as lon, value as pm25 from raw),
-ax as (select max(y) as ymax from grid_cell),
-i as (select p.*, case when lat between 30 and 30 + ymax * 0.25 then cast(ceil((lat - 30) / 0.25 - 0.5) as bigint) end as iy,
-        case when lon between -120 and -120 + 39 * 0.75 then cast(ceil((lon + 120) / 0.75 - 0.5) as bigint) end as ix from p, ax)
-select i.event_id, i.time, i.lat, i.lon, i.pm25, case when g.qflag in (3, 4) then g.v end as v
-from i left join grid_cell g on g.y = i.iy and g.x = i.ix where i.time is not null"""
+cube as (select floor(((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 3.6e9) / 3) as t, user_id % 20 as y, user_id % 37 as x,
+                avg(value) as v, min(event_id % 5) as qflag from events group by 1, 2, 3),
+h as (select *, (epoch_us(time) - epoch_us(timestamp '2024-01-01')) / 3.6e9 as hours from p),
+i as (select *, case when hours between 0 and 717 then cast(ceil(hours / 3 - 0.5) as bigint) end as it,
+        case when lat between 30 and 39.5 then cast(ceil((lat - 30) / 0.5 - 0.5) as bigint) end as iy,
+        case when lon between -120 and -120 + 36 * 0.75 then cast(ceil((lon + 120) / 0.75 - 0.5) as bigint) end as ix from h)
+select i.event_id, i.site, i.time, i.lat, i.lon, i.pm25, case when g.qflag in (3, 4) then round(g.v, 6) end as v
+from i left join cube g on g.t = i.it and g.y = i.iy and g.x = i.ix where i.time is not null"""
 
 
 @register("sensor_grid_attach", sql=_L1_SQL)
 def q_sensor_grid_attach(spark, sf_dir):
-    """L1: raw readings parsed, nearest grid value attached, quality-masked."""
+    """L1 (C5 with time, B1, B2, B9): raw readings parsed, the 3-hourly cube sampled at each reading's
+    position and time, quality-masked."""
     from ashgrid.plans.column_queries import raw_sensor_rows
-    ay, ax = _axes(spark, sf_dir)
-    return attach_grid_to_sensors(raw_sensor_rows(spark, sf_dir), grid_cell(spark, sf_dir), ay, ax, keep=["event_id"])
+    return rounded(attach_grid_to_sensors(raw_sensor_rows(spark, sf_dir), reading_cube(spark, sf_dir), CUBE_Y, CUBE_X,
+                                          keep=["event_id"], time_axis=CUBE_T, time_origin=EPOCH_2024))
 
 
 def _l2_sql():

@@ -16,7 +16,7 @@ from ashgrid.sources.fixtures import fire, grid_cell, pixel_obs, sensor_obs, tab
 
 def estimates(spark, sf_dir):
     """A gridded-estimate table keyed like the readings (lat, lon, hour), with duplicate keys."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click"))
+    e = table(spark, sf_dir, "events")
     uid = F.col("user_id")
     return e.select(F.col("event_id").alias("id"),
                     (F.lit(30.0) + (uid % 20) * 0.5).alias("lat"), (F.lit(-120.0) + (uid % 37) * 0.75).alias("lon"),
@@ -25,7 +25,7 @@ def estimates(spark, sf_dir):
 
 _EST = """est as (select event_id as id, cast(30 + (user_id % 20) * 0.5 as double) as lat,
   cast(-120 + (user_id % 37) * 0.75 as double) as lon, date_trunc('hour', ts) as time, value * 0.9 as pm25
-  from events where event_type in ('view', 'click'))"""
+  from events)"""
 
 
 @register("attach_exact", sql=f"""with {_EST}
@@ -112,7 +112,7 @@ def q_sample_linear(spark, sf_dir):
     pts = o.select("station_id", (F.col("lat") + 0.1 * (F.col("station_id") % 3)).alias("lat"),
                    (F.col("lon") + 0.3 * (F.col("station_id") % 4)).alias("lon")).distinct()
     ay, ax = _grid_axes(spark, sf_dir)
-    return rounded(J.sample_linear(pts, grid_cell(spark, sf_dir), ay, ax, "v", "station_id"))
+    return rounded(J.sample_linear(pts, grid_cell(spark, sf_dir), ay, ax, "v"))
 
 
 def projected_cells(spark, sf_dir):
@@ -194,7 +194,7 @@ def q_nearest_in_time(spark, sf_dir):
 
 def daily_grid(spark, sf_dir):
     """A coarse daily weather grid (4 x 4 pixel cells) with two days absent."""
-    e = table(spark, sf_dir, "events").filter(~F.dayofmonth("ts").isin(3, 17) & (F.col("event_type") != "view"))
+    e = table(spark, sf_dir, "events").filter(~F.dayofmonth("ts").isin(3, 17))
     eid = F.col("event_id")
     return (e.groupBy(F.col("ts").cast("date").alias("date"), F.floor((eid % 256) / 64).alias("gy"),
                       F.floor((eid % 16) / 4).alias("gx"))
@@ -203,7 +203,7 @@ def daily_grid(spark, sf_dir):
 
 _DGRID = """dgrid as (select cast(ts as date) as date, floor((event_id % 256) / 64) as gy, floor((event_id % 16) / 4) as gx,
   avg(value) as temp, max(value) as wind from events
-  where dayofmonth(ts) not in (3, 17) and event_type != 'view' group by 1, 2, 3)"""
+  where dayofmonth(ts) not in (3, 17) group by 1, 2, 3)"""
 
 
 @register("append_grid_bands", sql=f"""with {_DGRID}
@@ -408,7 +408,7 @@ def q_trilinear_interp(spark, sf_dir):
     off = F.when(uid % 4 == 0, uid % 3).otherwise(F.lit(0))
     pts = e.select("event_id", (F.lit(30.0) + (uid % 20) * 0.5 + 0.1 * off).alias("lat"),
                    (F.lit(-120.0) + (uid % 37) * 0.75 + 0.2 * off).alias("lon"), F.col("ts").alias("time"))
-    s = J.sample_linear(pts, species_cube(spark, sf_dir, 24), CUBE_Y, CUBE_X, "dust", "event_id",
+    s = J.sample_linear(pts, species_cube(spark, sf_dir, 24), CUBE_Y, CUBE_X, "dust",
                         time_axis=J.RegularAxis(0.0, 24.0, 30), time_origin=CUBE_ORIGIN)
     return rounded(s.select("event_id", (F.col("dust") * 1e9).alias("dust_ug")))
 

@@ -99,7 +99,7 @@ def q_year_folds(spark, sf_dir):
     """E5: samples and fires in the train / val / test years of each of the 12 folds."""
     c = P.sample_counts(raster(spark, sf_dir), T, SKIP)
     folds = P.fold_table(spark)
-    j = F.broadcast(folds).join(c, "year", "left")   # fixed 48-row fold table
+    j = folds.join(c, "year", "left")
     return j.groupBy("fold", "split").agg(F.coalesce(F.sum("n_samples"), F.lit(0)).cast("long").alias("n_samples"),
                                           F.count("fire_id").alias("n_fires"))
 
@@ -136,10 +136,7 @@ from last l join mx m on l.year = m.year and l.fire_id = m.fire_id and l.sample_
 def q_persistence(spark, sf_dir):
     """Persistence predictions: all fire pixels of the last input day, and only those of
     its latest detection hour."""
-    sp = sample_pixels(spark, sf_dir)
-    a = P.persistence(sp, T).withColumnRenamed("pred", "pred_all")
-    b = P.persistence(sp, T, latest_only=True).withColumnRenamed("pred", "pred_last")
-    return a.join(b, [*KEYS, "y", "x"])
+    return P.persistence_both(sample_pixels(spark, sf_dir), T)
 
 
 _STATS = """long as (select year, 0 as band, b0 as v from raster union all select year, 7, b7 from raster
@@ -232,7 +229,7 @@ def q_flip_rotate(spark, sf_dir):
 @register("zero_pad", sql="""
 with o as (select distinct fire_id, obs_date from raster),
 g as (select fire_id, obs_date, yy.y, xx.x from o, range(0, 20) as yy(y), range(0, 20) as xx(x))
-select g.fire_id, g.obs_date, g.y, g.x, coalesce(r.b0, 0) as b0
+select g.fire_id, g.obs_date, g.y, g.x, case when g.y between 2 and 17 and g.x between 2 and 17 then r.b0 else 0 end as b0
 from g left join raster r on r.fire_id = g.fire_id and r.obs_date = g.obs_date and r.y + 2 = g.y and r.x + 2 = g.x""")
 def q_zero_pad(spark, sf_dir):
     """Zero padding of the 16 x 16 rasters to 20 x 20."""
@@ -295,7 +292,8 @@ def q_fire_classifier(spark, sf_dir):
     lab = r.select("fire_id", "obs_date", "y", "x", P.binary_mask(P.clean_fire_band("b22")).cast("double").alias("label"))
     d = feats.join(lab, ["fire_id", "obs_date", "y", "x"])
     cols = [c for c in feats.columns if c.startswith("n_")]
-    va, model = P.train_fire_classifier(d, cols, "label", pos_weight=10.0, max_iter=20)
+    weight = agg.positive_weight(agg.band_statistics(raster_long(spark, sf_dir), [2018, 2019])).first()["pos_weight"]  # one number
+    va, model = P.train_fire_classifier(d, cols, "label", pos_weight=weight, max_iter=50)
     return P.predict_fire(va, model, d).select("fire_id", "obs_date", "y", "x", "label", F.round("score", 6).alias("score"))
 
 
@@ -308,11 +306,31 @@ select coalesce(i.year, l.year) as year, coalesce(i.fire_id, l.fire_id) as fire_
 from i full join l on i.year = l.year and i.fire_id = l.fire_id and i.sample_idx = l.sample_idx and i.y = l.y and i.x = l.x""")
 def q_prediction_table(spark, sf_dir):
     """Input mask, persistence prediction and label per (sample, pixel)."""
-    sp = sample_pixels(spark, sf_dir)
-    inputs = sp.filter(F.col("lag") == T - 1).select(*KEYS, "y", "x", F.col("af_mask").alias("input_mask"))
-    preds = P.persistence(sp, T)
-    labels = sp.filter(F.col("lag") == T).select(*KEYS, "y", "x", F.col("af_mask").alias("label"))
-    return P.prediction_table(inputs, preds, labels)
+    return P.prediction_table(sample_pixels(spark, sf_dir), T)
+
+
+@register("zero_pad_missing", sql="""
+with o as (select distinct fire_id, obs_date from raster),
+g as (select fire_id, obs_date, yy.y, xx.x from o, range(0, 20) as yy(y), range(0, 20) as xx(x))
+select g.fire_id, g.obs_date, g.y, g.x, case when g.y between 2 and 17 and g.x between 2 and 17 then r.b22 else 0 end as b22
+from g left join raster r on r.fire_id = g.fire_id and r.obs_date = g.obs_date and r.y + 2 = g.y and r.x + 2 = g.x""")
+def q_zero_pad_missing(spark, sf_dir):
+    """A band with missing values inside the image: the border is zero, the inside stays missing."""
+    r = raster(spark, sf_dir)
+    return P.zero_pad(r, HW, HW, 20, ["fire_id", "obs_date"], ["b22"])
+
+
+@register("binary_label", sql="""
+select fire_id, obs_date, y, x, cast(coalesce(hhmm, 0) > 0 as int) as label,
+       cast(floor(coalesce(hhmm, 0) / 100) > 0 as int) as floored
+from (select fire_id, obs_date, y, x, case when b22 is null then null when x % 2 = 0 then cast(30 as double) else b22 end as hhmm from raster)""")
+def q_binary_label(spark, sf_dir):
+    """H5, H6: the label from the raw detection time (half past midnight counts) beside the mask of the
+    floored hour (where it does not)."""
+    hhmm = F.when(F.col("b22").isNotNull(), F.when(F.col("x") % 2 == 0, F.lit(30.0)).otherwise(F.col("b22")))
+    r = raster(spark, sf_dir).select("fire_id", "obs_date", "y", "x", hhmm.alias("hhmm"))
+    return r.select("fire_id", "obs_date", "y", "x", P.binary_label("hhmm").alias("label"),
+                    P.binary_mask(P.clean_fire_band("hhmm")).alias("floored"))
 
 
 @register("with_band_names", sql="""

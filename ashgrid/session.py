@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "ashgrid", driver_memory: str = "16g") -> SparkSession:
-    """Session used by tests and the bench; a cluster passes its own master and settings."""
+    """Session used by tests and the bench; a cluster passes its own master and settings.
+
+    The number of shuffle partitions is set only when given, or to 8 for a local master; on a
+    cluster Spark's own setting holds (AQE only ever lowers it).  Checkpoint files are removed
+    when nothing refers to them any more."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if shuffle_partitions is None and (master or "").startswith("local"):
+        shuffle_partitions = 8
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -34,16 +43,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a local-mode session without one (tests) gets a private temporary folder; on a
     cluster a missing setting is an error, never a silent machine-local fallback.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+    sc = spark.sparkContext
+    have, named = sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
+    if have:
+        return named or have
+    if not named:
+        if not (sc.master == "local" or (sc.master or "").startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/GCS/NFS) for this cluster")
-        d = tempfile.mkdtemp(prefix="ashgrid-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        named = tempfile.mkdtemp(prefix="ashgrid-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)  # a private folder of this local session
+    sc.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,5 +62,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_root(spark), "tables", name)

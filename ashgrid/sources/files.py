@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from ashgrid.functions.columns import from_epoch_ms, nan_to_null, try_parse_ntz
 
 __all__ = ["list_files", "RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
-           "listing_to_fire_dates", "rows_from_header_array", "write_matched_csv", "MATCHED_COLUMNS"]
+           "listing_to_fire_dates", "nested_listing_to_fire_dates", "rows_from_header_array", "write_matched_csv", "MATCHED_COLUMNS"]
 
+# The column names of the hourly sensor files.
 RAW_SENSOR_SCHEMA = T.StructType([
     T.StructField("State Code", T.IntegerType()), T.StructField("County Code", T.IntegerType()),
     T.StructField("Site Num", T.IntegerType()), T.StructField("Latitude", T.DoubleType()),
@@ -39,12 +40,18 @@ def read_sensor_files(spark: SparkSession, paths: Sequence[str] | str, schema: T
 
     Folders whose files carry a different column set are given in ``extra`` with their own
     schema and appended by name; columns missing on one side are null."""
-    df = spark.read.schema(schema).option("header", True).csv(paths)
+    df = _without_nan(spark.read.schema(schema).option("header", True).csv(paths))
     for p, s in extra:
-        df = df.unionByName(spark.read.schema(s).option("header", True).csv(p), allowMissingColumns=True)
+        df = df.unionByName(_without_nan(spark.read.schema(s).option("header", True).csv(p)), allowMissingColumns=True)
     return df
 
 
+def _without_nan(df: DataFrame) -> DataFrame:
+    """NaN in any floating-point column becomes null (missing values at ingest)."""
+    return df.select(*[nan_to_null(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
+                       for c, t in df.dtypes])
+
+
 def read_coded_files(spark: SparkSession, glob: str, codes: Sequence[str], years: Sequence[int],
                      schema: T.StructType = RAW_SENSOR_SCHEMA,
                      name_pattern: str = r"hourly_(\d+)_(\d{4})") -> DataFrame:
@@ -54,13 +61,14 @@ def read_coded_files(spark: SparkSession, glob: str, codes: Sequence[str], years
     path = F.col("_metadata.file_path")
     df = df.withColumns({"code": F.regexp_extract(path, name_pattern, 1),
                          "file_year": F.regexp_extract(path, name_pattern, 2).try_cast("int")})
-    return df.filter(F.col("code").isin(list(codes)) & F.col("file_year").isin(list(years)))
+    return _without_nan(df.filter(F.col("code").isin(list(codes)) & F.col("file_year").isin(list(years))))
 
 
 FIRE_ENTRY = T.StructType([
     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
     T.StructField("start", T.StringType()), T.StructField("end", T.StringType()),
 ])
+# Keys of a fire map that name settings, not fires.
 CONTROL_KEYS = ("output_bucket", "rectangular_size", "year")
 
 
@@ -97,21 +105,48 @@ def listing_to_fire_dates(df: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.groupBy("fire").agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"))
 
 
+def nested_listing_to_fire_dates(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """A6, nested form: a directory tree as one XML document per row, ``<tree><directory name=".">``
+    holding year directories, these ``fire_<id>`` directories, these ``<file name="yyyy-MM-dd.tif"/>``
+    -> per fire id the first and last valid image date and the ordered dates.  Other directories
+    and files are skipped; a fire listed in several trees is merged."""
+    file = "array<struct<_name: string>>"
+    fire = f"array<struct<_name: string, file: {file}>>"
+    year = f"array<struct<_name: string, directory: {fire}>>"
+    tree = F.from_xml(F.col(xml), f"directory array<struct<_name: string, directory: {year}>>")
+    base = df.select(F.explode(tree["directory"]).alias("d")).filter(F.col("d._name") == ".")
+    years = base.select(F.explode("d.directory").alias("d"))
+    fires = years.select(F.explode("d.directory").alias("d")).filter(F.col("d._name").startswith("fire_"))
+    files = fires.select(F.regexp_replace("d._name", "^fire_", "").alias("fire_id"), F.explode("d.file").alias("f"))
+    day = F.try_to_date(F.regexp_extract("f._name", r"^(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd")
+    return files.select("fire_id", day.alias("d")).filter(F.col("d").isNotNull()).groupBy("fire_id").agg(
+        F.min("d").alias("start_date"), F.max("d").alias("end_date"), F.array_sort(F.collect_set("d")).alias("dates"))
+
+
 def rows_from_header_array(df: DataFrame, doc: str = "doc", keep: Sequence[str] = (),
-                           time_col: str = "time", value_col: str = "pm25", scale: float = 1e9) -> DataFrame:
+                           time_col: str = "time", value_col: str = "pm25", scale: float = 1e9,
+                           keep_ragged: bool = False) -> DataFrame:
     """JSON arrays whose first inner array is the header -> one row per data array;
-    rows whose time is not numeric are dropped; epoch ms -> timestamp; value scaled."""
+    rows whose time is not numeric are dropped; epoch ms -> timestamp; value scaled.
+
+    A row shorter or longer than the header cannot be matched to its columns: it is dropped too, or,
+    with ``keep_ragged``, kept with null time and value and ``reason`` = 'ragged' for quarantine (Q3)."""
     arr = F.from_json(F.col(doc), T.ArrayType(T.ArrayType(T.StringType())))
     x = df.select(*keep, arr.alias("_a")).select(*keep, F.col("_a")[0].alias("_h"),
                                                   F.posexplode("_a").alias("_pos", "_row"))
-    x = x.filter(F.col("_pos") > 0).select(*keep, "_pos", F.map_from_arrays("_h", "_row").alias("_m"))
+    fits = F.size("_h") == F.size("_row")
+    x = x.filter(F.col("_pos") > 0).select(*keep, "_pos", (~fits).alias("_ragged"),
+                                           F.when(fits, F.map_from_arrays("_h", "_row")).alias("_m"))
     t = F.col("_m")[time_col].try_cast("long")
     v = F.col("_m")[value_col].try_cast("double")
-    return (x.filter(t.isNotNull())
+    wanted = (t.isNotNull() | F.col("_ragged")) if keep_ragged else t.isNotNull()
+    return (x.filter(wanted)
              .select(*keep, (F.col("_pos") - 1).alias("row_idx"), from_epoch_ms(t).alias("time"),
-                     (v * scale).alias(value_col)))
+                     (v * scale).alias(value_col),
+                     *([F.when(F.col("_ragged"), F.lit("ragged")).alias("reason")] if keep_ragged else [])))
 
 
+# The header of the matched-pairs file.
 MATCHED_COLUMNS = ["fire_name", "sensor_id", "sat_id", "lat", "lon", "time", "sensor_pm25", "sat_pm25"]
 
 

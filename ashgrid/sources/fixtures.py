@@ -12,7 +12,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashgrid.functions.columns import hour_floor, ntz_lit
+from ashgrid.functions.columns import hour_floor, micros_between, ntz_lit
+from ashgrid.operators.joins import RegularAxis
 
 EPOCH_2024 = _dt.datetime(2024, 1, 1)
 
@@ -43,7 +44,7 @@ def sensor_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fire catalog: fire_id, lat, lon, idate, fdate, area."""
-    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 10 == 0)
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
         k.alias("fire_id"),
@@ -108,6 +109,20 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# axes of ``reading_cube``: 3-hourly steps over 30 days on the stations' half-degree lattice
+CUBE_T = RegularAxis(0.0, 3.0, 240)
+CUBE_Y = RegularAxis(30.0, 0.5, 20)
+CUBE_X = RegularAxis(-120.0, 0.75, 37)
+
+
+def reading_cube(spark: SparkSession, sf_dir: str, step_hours: int = 3) -> DataFrame:
+    """A gridded estimate (t, y, x) with a quality flag: step of ``step_hours`` since 2024-01-01, v, qflag."""
+    e = table(spark, sf_dir, "events")
+    hours = micros_between(_day0(), F.col("ts")) / 3.6e9
+    return (e.groupBy(F.floor(hours / step_hours).alias("t"), (F.col("user_id") % 20).alias("y"), (F.col("user_id") % 37).alias("x"))
+             .agg(F.avg("value").alias("v"), F.min(F.col("event_id") % 5).alias("qflag")))
+
+
 VIEWS = {
     "sensor_obs": sensor_obs,
     "fire": fire,

@@ -1,9 +1,10 @@
 """The sensor annotation job as a Structured Streaming query.
 
-Sensor CSV files are read in bounded chunks (``maxFilesPerTrigger``), parsed, keyed by the
-1-degree x month cube, joined to the static grid (stream-static equi-join on the cell index)
-and appended to Parquet with a checkpoint, so a restarted or failed run resumes where it
-stopped.  ``trigger(availableNow=True)`` drains the backlog and stops.
+Sensor CSV files are read in bounded chunks (``maxBytesPerTrigger``), parsed, given their site id and
+the key of their 1-degree x month cube, joined to the grid at their position and time
+(stream-static equi-join on the cell index) and appended to Parquet with a checkpoint, so a
+restarted or failed run resumes where it stopped.  ``trigger(availableNow=True)`` drains the
+backlog and stops.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ashgrid.functions.columns import normalise_sensor
-from ashgrid.operators.joins import RegularAxis, sample_linear_stateless, sample_nearest
+from ashgrid.functions.columns import normalise_sensor, site_id
+from ashgrid.operators.joins import RegularAxis, corner_table, sample_linear, sample_nearest
 from ashgrid.operators.quality import quarantine
 from ashgrid.operators.sequences import cube_key
 from ashgrid.sources.files import RAW_SENSOR_SCHEMA
@@ -23,33 +24,49 @@ from ashgrid.sources.files import RAW_SENSOR_SCHEMA
 __all__ = ["annotated_stream", "stream_annotate", "stream_quarantine"]
 
 
+BYTES_PER_TRIGGER = 1 << 30
+
+
+def static_grid(grid: DataFrame, values: Sequence[str], method: str, timed: bool) -> DataFrame:
+    """The grid as the stream joins it: cells for nearest sampling, packed corners for linear."""
+    if method != "linear":
+        return grid
+    return corner_table(grid, values, [*(["t"] if timed else []), "y", "x"])
+
+
 def annotated_stream(spark: SparkSession, src: str, grid: DataFrame, lat_axis: RegularAxis, lon_axis: RegularAxis,
                      values: Sequence[str], schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (),
-                     max_files: int = 1, drop_bad_dates: bool = True, method: str = "nearest") -> DataFrame:
-    """Streaming DataFrame of parsed readings with their cube key and grid values, sampled at the
-    nearest cell or (``method="linear"``) interpolated bilinearly with stateless corner joins."""
+                     max_bytes: int = BYTES_PER_TRIGGER, drop_bad_dates: bool = True, method: str = "nearest",
+                     time_axis: RegularAxis | None = None, time_origin=None) -> DataFrame:
+    """Streaming DataFrame of parsed readings with site id, cube key and grid values, sampled at the
+    nearest cell or (``method="linear"``, ``grid`` packed by ``static_grid``) interpolated.
+
+    With ``time_axis`` (hours since ``time_origin``) the grid has a step index ``t`` and is sampled at
+    each reading's time as well.  One stateless join either way."""
     raw = (spark.readStream.schema(schema).option("header", True)
-                .option("maxFilesPerTrigger", max_files).csv(src))
-    obs = normalise_sensor(raw, keep=keep, drop_bad_dates=drop_bad_dates)
+                .option("maxBytesPerTrigger", max_bytes).csv(src))
+    raw = raw.withColumn("site", site_id("State Code", "County Code", "Site Num"))
+    obs = normalise_sensor(raw, keep=[*keep, "site"], drop_bad_dates=drop_bad_dates)
     obs = obs.withColumn("cube", cube_key("lat", "lon", "time"))
+    timed = dict(time_axis=time_axis, time_origin=time_origin) if time_axis is not None else {}
     if method == "linear":
-        for v in values:
-            obs = sample_linear_stateless(obs, grid, lat_axis, lon_axis, v)
-        return obs
-    return sample_nearest(obs, grid, lat_axis, lon_axis, values)
+        return sample_linear(obs, grid, lat_axis, lon_axis, values, packed=True, **timed)
+    return sample_nearest(obs, grid, lat_axis, lon_axis, values, **timed)
 
 
 def stream_annotate(spark: SparkSession, src: str, out: str, checkpoint: str, grid: DataFrame,
                     lat_axis: RegularAxis, lon_axis: RegularAxis, values: Sequence[str],
-                    schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (), max_files: int = 1,
-                    method: str = "nearest") -> None:
+                    schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (),
+                    max_bytes: int = BYTES_PER_TRIGGER, method: str = "nearest",
+                    time_axis: RegularAxis | None = None, time_origin=None) -> None:
     """Annotate every sensor file under ``src`` and append to Parquet at ``out``.
 
     The static grid is persisted for the life of the stream, so micro-batches do not re-read
     it; it is released when the stream stops."""
-    grid = grid.persist()
+    grid = static_grid(grid, values, method, time_axis is not None).persist()
     try:
-        s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, method=method)
+        s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_bytes, method=method,
+                             time_axis=time_axis, time_origin=time_origin)
         q = (s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
               .trigger(availableNow=True).start(out))
         q.awaitTermination()
@@ -59,12 +76,14 @@ def stream_annotate(spark: SparkSession, src: str, out: str, checkpoint: str, gr
 
 def stream_quarantine(spark: SparkSession, src: str, out: str, checkpoint: str, grid: DataFrame,
                       lat_axis: RegularAxis, lon_axis: RegularAxis, values: Sequence[str],
-                      schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (), max_files: int = 1) -> None:
+                      schema: T.StructType = RAW_SENSOR_SCHEMA, keep: Sequence[str] = (),
+                      max_bytes: int = BYTES_PER_TRIGGER, time_axis: RegularAxis | None = None, time_origin=None) -> None:
     """As S1, but rows failing a check go to ``out/rejected`` with a reason and the rest to
     ``out/good``; each micro-batch overwrites its own ``batch=<id>`` folder, so a retried batch
-    does not duplicate rows."""
+    does not duplicate rows.  ``out/report/batch=<id>`` has rows and rejections per cube."""
     grid = grid.persist()
-    s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_files, drop_bad_dates=False)
+    s = annotated_stream(spark, src, grid, lat_axis, lon_axis, values, schema, keep, max_bytes, drop_bad_dates=False,
+                         time_axis=time_axis, time_origin=time_origin)
     rules = [("bad_time", F.col("time").isNull()), ("missing_value", F.col("pm25").isNull()),
              ("outside_grid", F.col(values[0]).isNull())]
 
@@ -72,6 +91,8 @@ def stream_quarantine(spark: SparkSession, src: str, out: str, checkpoint: str,
         tagged = quarantine(batch, rules).persist()
         tagged.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(f"{out}/good/batch={batch_id}")
         tagged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
+        (tagged.groupBy("cube").agg(F.count(F.lit(1)).alias("rows"), F.count("reason").alias("rejected"))
+               .write.mode("overwrite").parquet(f"{out}/report/batch={batch_id}"))
         tagged.unpersist()
 
     try:

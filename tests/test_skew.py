@@ -44,7 +44,7 @@ def test_box_join_exact_under_hot_cell(spark):
     obs = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz"))
     fdf = spark.createDataFrame(fires).withColumns({"idate": F.col("idate").cast("timestamp_ntz"),
                                                     "fdate": F.col("fdate").cast("timestamp_ntz")})
-    got = sorted((r.event_id, r.fire_id) for r in J.obs_near_fire(obs, fdf, 1.0, broadcast_limit=0).collect())
+    got = sorted((r.event_id, r.fire_id) for r in J.obs_near_fire(obs, fdf, 1.0).collect())
     exp = sorted((int(o.event_id), int(f.fire_id)) for o in pdf.itertuples() for f in fires.itertuples()
                  if abs(o.lat - f.lat) < 1 and abs(o.lon - f.lon) < 1 and f.idate <= o.time <= f.fdate)
     assert got == exp and len(got) > 1000
