@@ -117,7 +117,7 @@ FIELD_Y, FIELD_X = J.RegularAxis(30.0, 1.5, 6), J.RegularAxis(-120.0, 3.0, 6)
 
 
 @register("append_grid_fields", sql="""
-with hourly as (select ts as time, event_id % 6 as y, (event_id // 6) % 6 as x, case when event_id % 17 = 0 then null else value end as v,
+with hourly as (select ts as time, event_id % 6 as y, (event_id // 6) % 6 as x, case when event_id % 17 = 0 then null else value * 0.73105857863 end as v,
     (event_id % 6 + (event_id // 6) % 6 + dayofmonth(ts)) % 5 as qflag from events where dayofmonth(ts) not in (3, 17)),
 d as (select cast(time as date) as day, y, x, avg(v) as v, min(qflag) as qflag from hourly group by 1, 2, 3),
 p as (select fire_id, obs_date, y, x, 30 + fire_id * 0.8 + y * 0.07 as lat, -120 + fire_id * 1.5 + x * 0.11 as lon from pixel_obs
@@ -139,7 +139,7 @@ def q_append_grid_fields(spark, sf_dir):
     i = F.col("event_id")
     y, x = i % 6, F.floor(i / 6) % 6
     hourly = e.select(F.col("ts").alias("time"), y.alias("gy"), x.alias("gx"),
-                      F.when(i % 17 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"),
+                      F.when(i % 17 == 0, F.lit(float("nan"))).otherwise(F.col("value") * 0.73105857863).alias("v"),
                       ((y + x + F.dayofmonth("ts")) % 5).alias("qflag"))
     p = pixel_obs(spark, sf_dir).select("fire_id", "obs_date", "y", "x", (30 + F.col("fire_id") * 0.8 + F.col("y") * 0.07).alias("lat"),
                                         (-120 + F.col("fire_id") * 1.5 + F.col("x") * 0.11).alias("lon"))
