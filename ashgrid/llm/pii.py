@@ -32,19 +32,21 @@ GIVEN_M = ("John James Peter Paul Thomas Michael David Robert William Hans Klaus
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _WORD = r"\p{L}\p{N}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++(?<=[\p{L}\p{N}_%+-])@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![.%+-])[\p{L}\p{N}._%+-]++(?<=[\p{L}\p{N}_%+-])@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-PHONE = (r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])"
-         r"|(?<![\w)])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
-         r"|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
-         r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)")
-CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"
-PERSON = (rf"(?<![{_WORD}])(?:{'|'.join(TITLES_F + TITLES_M)})\.?\s{_NAME}(?:\s{_NAME})?"
-          rf"|(?<![{_WORD}])(?:{'|'.join(GIVEN_F + GIVEN_M)})\s{_NAME}")
-ENTITY = "|".join([EMAIL, IP, SSN, PHONE, CARD, IBAN, PERSON])
+IP = rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+PHONE = (r"(?<!\+)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])"
+         r"|(?<!\))\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+         r"|(?<![.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+         r"|(?<!\+)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)")
+CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
+PERSON = (rf"(?:{'|'.join(TITLES_F + TITLES_M)})\.?\s{_NAME}(?:\s{_NAME})?"
+          rf"|(?:{'|'.join(GIVEN_F + GIVEN_M)})\s{_NAME}")
+# one look back keeps the search out of words, and one look ahead picks the kinds that can start here
+ENTITY = (rf"(?<![{_WORD}_])(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z]{{2}}[0-9])(?:{IBAN})"
+          rf"|(?=[\p{{Lu}}гκ])(?:{PERSON}))")
 
 # surrogate letters per script, and syllables for names
 SCRIPTS = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -92,20 +94,23 @@ def _solo(hits: str) -> str:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with entities: d_id, d_key, text, hits (surfaces in order), parts (the
-    text around them, one more than hits)."""
+    """The rows of ``docs`` with entities: d_id, d_key, hits (surfaces in order)."""
     text = F.col("text").cast("string")
-    base = (docs.select(F.col("doc_id").alias("d_id"), F.xxhash64(text).alias("d_key"), text.alias("text"))
-            .withColumn("hits", matches(F.col("text"))).filter(F.size("hits") > 0)
-            .withColumn("solo", F.expr(_solo("hits"))))
+    base = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64(text).alias("d_key"), text.alias("text"))
+    return with_parts(base.filter(F.col("text").rlike(ENTITY)), "text").select("d_id", "d_key", "hits")
+
+
+def with_parts(base: DataFrame, text: str) -> DataFrame:
+    """``base`` plus hits (the surfaces of column ``text`` in order) and parts (the text around them, one
+    more than hits)."""
+    base = base.withColumn("hits", matches(F.col(text))).withColumn("solo", F.expr(_solo("hits")))
     more = F.concat(F.lit(ENTITY + rf"|(?<![{_WORD}])(?=\p{{Lu}})(?:"),
                     F.array_join(F.transform("solo", lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"),
                     F.lit(rf")(?![{_WORD}])"))
     plain = F.size("solo") == 0
-    return base.select(
-        "d_id", "d_key", "text",
-        F.when(plain, F.col("hits")).otherwise(F.regexp_extract_all("text", more, F.lit(0))).alias("hits"),
-        F.when(plain, F.split("text", ENTITY, -1)).otherwise(F.split("text", more, -1)).alias("parts"))
+    return base.withColumns({
+        "parts": F.when(plain, F.split(text, ENTITY, -1)).otherwise(F.split(F.col(text), more, -1)),
+        "hits": F.when(plain, F.col("hits")).otherwise(F.regexp_extract_all(text, more, F.lit(0)))})
 
 
 def words_of_mentions(found: DataFrame) -> DataFrame:
@@ -239,9 +244,11 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     kinds = F.array_join(F.transform(F.array_distinct("kinds"), lambda k: F.concat(
         k, F.lit(":"), F.size(F.filter("kinds", lambda x: x == k)).cast("string"))), ",")
     pieces = F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit(""))))
-    changed = found.join(per, same).select(F.col("d_id").alias("doc_id"), F.array_join(pieces, "").alias("text"),
-                                           F.size("hits").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    # only documents with entities are matched again; the others pass through the join as they are
     text = F.col("text").cast("string")
-    clean = docs.select("doc_id", text.alias("text")).filter(F.coalesce(F.size(matches(F.col("text"))), F.lit(0)) <= 0).select(
-        "doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    return changed.unionByName(clean)
+    base = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64(text).alias("d_key"), text.alias("text"))
+    met = with_parts(base.join(per, same, "left").withColumn("text_", F.when(F.col("news").isNotNull(), F.col("text"))), "text_")
+    hit = F.col("news").isNotNull()
+    return met.select(F.col("d_id").alias("doc_id"), F.when(hit, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"),
+                      F.when(hit, F.size("hits")).otherwise(F.lit(0)).cast("long").alias("n_entities"),
+                      F.when(hit, kinds).otherwise(F.lit("")).alias("kinds"))
