@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ashgrid.llm import oracles
 from ashgrid.llm.common import load
 from ashgrid.llm.credentials import scan_documents
 from ashgrid.llm.decontam import decontaminate
@@ -57,7 +58,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(load(spark, sf_dir, "documents"), key="ashgrid-surrogates")
 
 
-@query("op2_segment_topk")
+@query("op2_segment_topk", oracles.TOP_K)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all other vectors."""
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -69,13 +70,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(load(spark, sf_dir, "documents"))
 
 
-@query("op5_winnowed_overlap")
+@query("op5_winnowed_overlap", oracles.DECONTAMINATION)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-@query("op6_prefix_tree_join")
+@query("op6_prefix_tree_join", oracles.NEAR_DUPLICATES)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(load(spark, sf_dir, "documents"))

@@ -257,3 +257,12 @@ def test_surrogates_are_distinct(spark):
     tiny = [(i, f"ssn 000-00-{i:04d}") for i in range(300)]
     got = [r.text for r in replace_pii(docs_of(spark, tiny), "k").collect()]
     assert len(set(got)) == 300
+
+
+# ------------------------------------------------------------------ SQL oracles
+
+@pytest.mark.parametrize("name", ["op2_segment_topk", "op5_winnowed_overlap", "op6_prefix_tree_join"])
+def test_query_matches_its_oracle(spark, name):
+    from oracle_harness import compare, duck
+    r = compare(name, spark, SF, duck(SF))
+    assert r["status"] == "match" and not r["type_mismatches"], r
