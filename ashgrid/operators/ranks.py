@@ -91,7 +91,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int |
 
 
 def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Spearman correlation per key over rows where both x and y are present (null and NaN are not).
+    """Spearman correlation per key over rows where both x and y are present (null and NaN are not).
 
     Rows are first collapsed to distinct (key, x, y) pairs with a multiplicity, then each side is
     ranked in place by one bucketed window; the correlation of centred ranks needs no mean

@@ -1,4 +1,9 @@
-"""Map every SURVEY §2 operator ID to the registered queries whose docstring names it.
+"""Map every SURVEY §2 operator ID to the registered queries that call the operator.
+
+Every query is built on the smallest tables under a profile hook that records the library functions
+it enters; a function implements the IDs before the colon of its docstring.  Sorts and set
+operations (F1-F5) are Spark built-ins without a function of their own: for them the query's
+docstring counts.
 
 python tools/coverage.py > docs/COVERAGE.md ; exits non-zero when an ID has no query.
 """
@@ -11,8 +16,7 @@ import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-
-ID = re.compile(r"\b([A-IQS])(\d{1,2})\b")
+SMALL = "/root/testdata/sf0.001"
 
 
 def survey_ids() -> list[tuple[str, str]]:
@@ -35,24 +39,67 @@ def expand(doc: str) -> set[str]:
     return ids
 
 
+def implemented() -> dict[object, set[str]]:
+    """Code object -> the IDs named before the colon of its function's docstring."""
+    import importlib
+    import inspect
+    import pkgutil
+    out = {}
+    for part in ("functions", "operators", "sources", "streaming"):
+        pkg = importlib.import_module(f"ashgrid.{part}")
+        for m in pkgutil.iter_modules(pkg.__path__):
+            mod = importlib.import_module(f"ashgrid.{part}.{m.name}")
+            for _, fn in inspect.getmembers(mod, inspect.isfunction):
+                ids = expand((fn.__doc__ or "").split(":")[0])
+                if fn.__module__ == mod.__name__ and ids:
+                    out[fn.__code__] = ids
+    return out
+
+
+def called_ids(queries) -> dict[str, set[str]]:
+    """Query name -> IDs of the functions it calls while it is built."""
+    from ashgrid.session import build_session
+    spark = build_session("local[4]", driver_memory="4g")
+    spark.sparkContext.setLogLevel("OFF")
+    known, out = implemented(), {}
+    for name, fn in queries.items():
+        seen: set[str] = set()
+
+        def hook(frame, event, arg, seen=seen):
+            if event == "call":
+                seen.update(known.get(frame.f_code, ()))
+
+        sys.setprofile(hook)
+        try:
+            fn(spark, SMALL)
+        finally:
+            sys.setprofile(None)
+        out[name] = seen
+    spark.stop()
+    return out
+
+
 def main() -> int:
-    import __spark_entry__ as entry
-    qs, oracles = entry.queries(), entry.oracle_sql()
+    from ashgrid.plans import load_all
+    from ashgrid.plans.catalog import ORACLES, QUERIES
+    load_all()
+    calls = called_ids(QUERIES)
     by_id: dict[str, list[str]] = {}
-    for name, fn in qs.items():
-        for i in expand(fn.__doc__):
+    for name, fn in QUERIES.items():
+        built_in = {i for i in expand(fn.__doc__) if i.startswith("F")}
+        for i in calls[name] | built_in:
             by_id.setdefault(i, []).append(name)
     rows, missing = [], []
     for i, op in survey_ids():
         names = sorted(by_id.get(i, []))
         if not names:
             missing.append(i)
-        checks = ", ".join(f"`{n}`{'' if n in oracles else ' (rows-only)'}" for n in names)
+        checks = ", ".join(f"`{n}`{'' if n in ORACLES else ' (rows-only)'}" for n in names)
         rows.append(f"| {i} | {op} | {checks or '—'} |")
     print("# Coverage of SURVEY §2\n")
     print("Generated by `python tools/coverage.py`: every operator ID and the registered queries "
-          "(`__spark_entry__.queries()`) whose docstring names it; all but the rows-only ones have a "
-          "DuckDB oracle in `oracle_sql()`.\n")
+          "(`__spark_entry__.queries()`) that call a function implementing it while they are built; all but "
+          "the rows-only ones have a DuckDB oracle in `oracle_sql()`.\n")
     print("| ID | operator | queries |")
     print("| --- | --- | --- |")
     print("\n".join(rows))

@@ -35,28 +35,42 @@ def summarise(df) -> dict:
 
 def main() -> None:
     from ashgrid.session import build_session
-    import __spark_entry__ as entry
+    from ashgrid.plans import load_all
+    from ashgrid.plans.catalog import QUERIES as q
+    load_all()
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    names = sys.argv[2:] or sorted(entry.queries())
+    names = sys.argv[2:] or sorted(q)
     spark = build_session("local[8]")
     spark.sparkContext.setLogLevel("OFF")
-    q = entry.queries()
+    pieces: list[dict] = []  # plans that end in a checkpoint while the query is built
+    frame = type(spark.range(0))
+    plain = frame.checkpoint
+
+    def checkpoint(self, *a, **k):
+        pieces.append(summarise(self))
+        return plain(self, *a, **k)
+
+    frame.checkpoint = checkpoint
     print(f"# Physical plans at {sf}\n")
     print("Initial AQE plans (before runtime re-optimisation: AQE later turns small sort-merge joins into "
           "broadcast joins and coalesces partitions). Counts are per occurrence in the plan text, so a scalar "
           "subquery used in several expressions is counted each time although it runs once (ReusedSubquery). "
-          "No plan contains a nested-loop join or a Cartesian product.\n")
+          "No plan contains a nested-loop join or a Cartesian product.  A query that cuts its lineage has a row "
+          "for every plan that ends in a checkpoint, numbered in order, before the row of its result.\n")
     print("| query | joins and aggregates | shuffles | broadcasts | scans (table: pushed filters; read schema) |")
     print("| --- | --- | --- | --- | --- |")
     for n in names:
+        pieces.clear()
         try:
-            s = summarise(q[n](spark, sf))
+            last = summarise(q[n](spark, sf))
         except Exception as e:  # report and continue
             print(f"| {n} | error: {type(e).__name__} | | | |")
             continue
-        nodes = ", ".join(f"{k}×{v}" for k, v in s["nodes"].items())
-        scans = "<br>".join(f"{t}: {pf or '—'}; {rs}" for t, pf, rs in sorted(set(s["scans"])))
-        print(f"| {n} | {nodes} | {s['shuffles']} | {s['broadcasts']} | {scans} |")
+        for k, s in enumerate([*pieces, last], 1):
+            name = n if s is last else f"{n} ({k})"
+            nodes = ", ".join(f"{k}×{v}" for k, v in s["nodes"].items())
+            scans = "<br>".join(f"{t}: {pf or '—'}; {rs}" for t, pf, rs in sorted(set(s["scans"])))
+            print(f"| {name} | {nodes} | {s['shuffles']} | {s['broadcasts']} | {scans} |")
     spark.stop()
 
 
