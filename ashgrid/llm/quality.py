@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ashgrid.llm.common import spans_of, stored, utf8
+from ashgrid.llm.common import RollingHash, spans_of, stored, utf8
 
 MAX_TRAIN_ROWS = 200_000
 PARTS = 16
@@ -58,7 +58,6 @@ def _distinct_share(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 def _word_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit key per [s, e): enough to tell words or lines apart in a statistic."""
-    from ashgrid.llm.common import RollingHash
     return RollingHash(data).of(s, e)
 
 
