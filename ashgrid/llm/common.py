@@ -65,16 +65,18 @@ def spans_of(starts: np.ndarray, ends: np.ndarray, limit: int):
         i = j
 
 
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (the public splitmix64 steps)."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * MIX1
-    h = h ^ (h >> np.uint64(27))
-    h = h * MIX2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> _S30)
+    h *= _MIX1
+    h ^= h >> _S27
+    h *= _MIX2
+    h ^= h >> _S31
+    return h
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,6 +96,7 @@ class RollingHash:
     @classmethod
     def _grow(cls, n: int) -> None:
         if len(cls._power) < n:
+            n = 1 << (n - 1).bit_length()
             for name, base in (("_power", _BASE), ("_inverse", _INVERSE)):
                 full = np.full(n, base, np.uint64)
                 full[0] = 1
@@ -101,11 +104,22 @@ class RollingHash:
 
     def __init__(self, data: np.ndarray):
         self._grow(len(data) + 1)
+        term = self._table[data]
+        term *= self._power[:len(data)]
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._table[data] * self._power[:len(data)], out=self.sums[1:])
+        np.cumsum(term, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self._inverse[starts])
+        h = self.sums[ends]
+        h -= self.sums[starts]
+        h *= self._inverse[starts]
+        return mix(h)
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of the ``k`` bytes from every position on."""
+        h = self.sums[k:] - self.sums[:-k]
+        h *= self._inverse[:len(h)]
+        return mix(h)
 
 
 def longs(values: np.ndarray) -> pa.Array:

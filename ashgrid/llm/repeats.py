@@ -14,8 +14,8 @@ A byte goes when a string of ``span`` bytes that covers it also starts earlier i
    of its text position, of the position before it in suffix order, and of their common length.
    Streaming the text through the samples gives every position's matching statistic; windows that
    match over ``span`` bytes form groups of which all but the first are repeats.
-   Anchor hashes with very many different regions go through window hashes instead, grouped by
-   Spark with map-side combination, which is exact as well.
+   An anchor hash whose regions alone would overfill a bucket goes through window hashes instead,
+   grouped by Spark with map-side combination, which is exact as well.
 4. The marks of a document are merged into removed runs.
 """
 
@@ -34,35 +34,35 @@ SPAN, GRAM = 100, 32
 MANY = 512                 # regions of one anchor hash beyond which windows are hashed
 BUCKET_BYTES = 1 << 20     # bytes of regions indexed together
 KEY_BITS = 18
+CHUNK = 1 << 18            # bytes of text whose hashes a task holds at once
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the first minimum of every ``width`` consecutive values (doubling passes)."""
-    n = len(values) - width + 1
-    val, at, have = values, np.arange(len(values), dtype=np.int32), 1
+def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Index of the first smallest of every ``width`` consecutive hashes (their upper 33 bits count).
+
+    Hash and index share one number, so doubling passes of plain minima do it."""
+    low = np.uint64((1 << 31) - 1)
+    val = hashes & ~low
+    val |= np.arange(len(hashes), dtype=np.uint64)
+    have = 1
     while have < width:
         step = min(have, width - have)
-        m = len(values) - have - step + 1
-        left, right = val[:m], val[step:step + m]
-        take = right < left
-        val = np.where(take, right, left)
-        at = np.where(take, at[step:step + m], at[:m])
+        val = np.minimum(val[:-step], val[step:])
         have += step
-    return at[:n]
+    return (val & low).astype(np.int64)
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM):
     """Regions of the rows [starts, ends) of ``raw``: (owner, first window start in the row, number of
     windows, anchor hash, hash of the region's bytes)."""
-    base, stop = int(starts.min(initial=0)), int(ends.max(initial=0))
+    base, stop = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
     data = raw[base:stop]
     s, e = starts - base, ends - base
     empty = np.empty(0, np.int64)
     if len(data) < span:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     rolling = RollingHash(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = rolling.of(at, at + gram)
+    grams = rolling.grams(gram)
     low = sliding_argmin(grams, span - gram + 1)          # per window start of the whole buffer
     owner = np.full(len(low), -1, np.int32)
     for k in np.flatnonzero(e - s >= span):               # windows that lie inside one row
@@ -176,50 +176,54 @@ def _order_key(docs: DataFrame) -> DataFrame:
                        text.alias("text"))
 
 
-def region_rows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, flush: int = 1 << 19) -> DataFrame:
-    """g, rh, d, at, seen: one row per region.  ``at`` packs (key, windows, first start) so that
-    (d, at) orders as (doc_id, key, ...) only within one text; ``seen`` marks regions for which this
-    task has an earlier equal one, so frequent regions are combined before the shuffle.  A text
-    that the task has met under a smaller or equal doc_id is left out (see ``copies``)."""
-    def run(batches):
-        met: dict[bytes, int] = {}
-        held, n = [], 0
-
-        def out():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            g, rh, d, key, start, count = cols
-            by = np.lexsort((start, key, d, rh, g))
-            g, rh, d, key, start, count = (c[by] for c in (g, rh, d, key, start, count))
-            seen = np.zeros(len(g), bool)
-            seen[1:] = (g[1:] == g[:-1]) & (rh[1:] == rh[:-1])
-            return pa.RecordBatch.from_arrays(
-                [longs(np.where(seen, mix(g + mix(d.view(np.uint64) + start.astype(np.uint64))), g)), longs(rh), pa.array(d, pa.int64()),
-                 pa.array((key << 38) | (count << 31) | start, pa.int64()), pa.array(seen)],
-                ["g", "rh", "d", "at", "seen"])
-
-        for b in batches:
-            raw, starts, ends = utf8(b.column(2))
-            d = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            use = []
-            for k in np.flatnonzero(ends - starts >= span):
-                name = hashlib.md5(raw[starts[k]:ends[k]], usedforsecurity=False).digest()
-                if name not in met or d[k] < met[name]:
-                    met[name] = int(d[k])
-                    use.append(k)
-            use = np.array(use, np.int64)
-            for i, j in spans_of(starts[use], ends[use], 1 << 20):
-                rows = use[i:j]
-                own, start, count, g, rh = anchors(raw, starts[rows], ends[rows], span, gram)
-                held.append((g, rh, d[rows][own], key[rows][own], start, count))
-                n += len(g)
+def _region_batches(batches, span: int, gram: int, flush: int):
+    """Arrow batches (d, key, text) -> (g, rh, d, at, seen); see ``region_rows``."""
+    met: dict[bytes, int] = {}
+    held, n = [], 0
+
+    def out():
+        g, rh, d, key, start, count = (np.concatenate(c) for c in zip(*held))
+        by = np.lexsort((start, key, d, rh, g))
+        g, rh, d = g[by], rh[by], d[by]
+        seen = np.zeros(len(g), bool)
+        seen[1:] = (g[1:] == g[:-1]) & (rh[1:] == rh[:-1])
+        at = ((key << 38) | (count << 31) | start)[by]
+        apart = mix(g + mix(d.view(np.uint64) + (at & 0x7FFFFFFF).astype(np.uint64)))
+        return pa.RecordBatch.from_arrays(
+            [longs(np.where(seen, apart, g)), longs(rh), pa.array(d, pa.int64()), pa.array(at, pa.int64()), pa.array(seen)],
+            ["g", "rh", "d", "at", "seen"])
+
+    for b in batches:
+        raw, starts, ends = utf8(b.column(2))
+        d = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        use = []
+        for k in np.flatnonzero(ends - starts >= span):
+            name = hashlib.md5(raw[starts[k]:ends[k]], usedforsecurity=False).digest()
+            if name not in met or d[k] < met[name]:
+                met[name] = int(d[k])
+                use.append(k)
+        use = np.array(use, np.int64)
+        for i, j in spans_of(starts[use], ends[use], CHUNK):
+            rows = use[i:j]
+            own, start, count, g, rh = anchors(raw, starts[rows], ends[rows], span, gram)
+            held.append((g, rh, d[rows][own], key[rows][own], start, count))
+            n += len(g)
             if n >= flush:
                 yield out()
                 held, n = [], 0
-        if held:
-            yield out()
+    if held:
+        yield out()
+
 
-    return _order_key(docs).select("d", "key", "text").mapInArrow(run, "g long, rh long, d long, at long, seen boolean")
+def region_rows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, flush: int = 1 << 17) -> DataFrame:
+    """g, rh, d, at, seen: one row per region.  ``at`` packs (key, windows, first start); ``seen``
+    marks regions for which this task has an earlier equal one among the last ``flush`` regions, so
+    frequent regions are combined before the shuffle (they get a hash of their own to travel
+    with).  A text that the task has met under a smaller or equal doc_id is left out (see
+    ``copies``)."""
+    return _order_key(docs).select("d", "key", "text").mapInArrow(
+        lambda batches: _region_batches(batches, span, gram, flush), "g long, rh long, d long, at long, seen boolean")
 
 
 _START, _COUNT, _KEY = "cast(at & 2147483647 as int)", "cast((at >> 31) & 127 as int)", "cast(at >> 38 as int)"
@@ -229,7 +233,8 @@ def candidate_regions(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     """g, d, key, start, count, whole: regions that are repeats as a whole (``whole``), and the first
     region of each kind where an anchor hash has several kinds (not ``whole``)."""
     rows = region_rows(docs, span, gram).repartition("g")
-    rank = F.row_number().over(Window.partitionBy("g", "rh").orderBy("d", F.expr(_KEY), F.expr(_START)))
+    rank = F.rank().over(Window.partitionBy("g", "rh")  # equal for repeated rows of one document
+                         .orderBy("d", F.expr(_KEY), F.expr(_START)))
     of_g = Window.partitionBy("g")
     met = rows.withColumn("rank", rank).withColumn("lo", F.min("rh").over(of_g)).withColumn("hi", F.max("rh").over(of_g))
     whole = F.col("seen") | (F.col("rank") > 1)
@@ -289,7 +294,7 @@ def _indexed(pieces: DataFrame, buckets: int, span: int) -> DataFrame:
 
 
 def _hashed(pieces: DataFrame, span: int) -> DataFrame:
-    """The same by window hashes, for anchor hashes with very many kinds of regions."""
+    """The same by window hashes, for anchor hashes whose regions do not fit a bucket."""
     def windows(batches):
         for b in batches:
             raw, s, e = utf8(b.column(4))
