@@ -98,3 +98,22 @@ def q_training_samples(spark, sf_dir):
     px = raster23(spark, sf_dir)
     stats = agg.band_statistics(bands_long(px), [2018, 2019])
     return rounded(TR.training_samples(px, stats, T, SKIP, crop=CROP, height=HW, width=HW))
+
+
+def _names_oracle() -> str:
+    from ashgrid.operators.joins import BAND_NAMES
+    union = "\nunion all ".join(f"select fire_id, obs_date, y, x, {i} as band, {_band_sql(i)} as v from raster" for i in range(23))
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(BAND_NAMES))
+    return f"""with long as ({union}),
+names as (select * from (values {names}) t(band, band_name))
+select n.band_name, cast(l.band as int) as band, count(*) as n, count(v) as present, round(avg(v), 6) as mean
+from long l left join names n on l.band = n.band group by 1, 2"""
+
+
+@register("band_summary", sql=_names_oracle())
+def q_band_summary(spark, sf_dir):
+    """C18 over all 23 bands: named bands with their number of pixels, present values and mean."""
+    from ashgrid.operators.joins import with_band_names
+    long = bands_long(raster23(spark, sf_dir))
+    named = with_band_names(long)
+    return rounded(named.groupBy("band_name", "band").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("present"), F.avg("v").alias("mean")))
