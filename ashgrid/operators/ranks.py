@@ -31,8 +31,10 @@ def with_buckets(df: DataFrame, values: Sequence[str], buckets: int | None = Non
     needed, for the quantiles (both are the only jobs that run while a rank plan is built)."""
     n = buckets or -(-df.count() // rows_per_bucket)
     names = [f"{v}_bucket" for v in values]
+    # one range: 0 for every value, yet not a constant, so that joins on the range stay equi-joins
+    only = lambda v: F.col(v).isNull().cast("int")
     if n <= 1:
-        return df.withColumns({name: F.lit(0) for name in names})
+        return df.withColumns({name: only(v) for v, name in zip(values, names)})
     probs = [i / n for i in range(1, n)]
     got = df.agg(*[F.percentile_approx(F.col(v).cast("double"), probs, 20 * n).alias(v) for v in values]).first()
     out = df
@@ -40,7 +42,7 @@ def with_buckets(df: DataFrame, values: Sequence[str], buckets: int | None = Non
         # half-open ranges (.., b], expressed on the negated axis, where Bucketizer's are [-b, ..)
         cuts = sorted({-float(b) for b in got[v] or []})
         if not cuts:
-            out = out.withColumn(name, F.lit(0))
+            out = out.withColumn(name, only(v))
             continue
         splits = [-float("inf"), *cuts, float("inf")]
         out = out.withColumn("_axis", -F.col(v).cast("double"))

@@ -140,9 +140,9 @@ def test_lambert_origin_and_truncation(spark):
 
 def test_relative_humidity_by_hand(spark):
     # worked by hand at 1000 hPa, where temperature equals potential temperature:
-    # 273.15 K: e = 6.112 hPa, saturation ratio 0.622 * 6.112 / (1000 - 0.378 * 6.112) = 0.00381045
-    # 300.00 K: e = 6.112 * exp(17.67 * 26.85 / 270.35) = 35.34853 hPa, ratio 0.02228452
-    rows = [(0, 0.00381045 / 2, 0.0, 100000.0, -26.85), (1, 0.02228452 / 4, 0.0, 100000.0, 0.0),
+    # 273.15 K: e = 6.112 hPa, saturation ratio 0.622 * 6.112 / (1000 - 0.378 * 6.112) = 0.00381047
+    # 300.00 K: e = 6.112 * exp(17.67 * 26.85 / 270.35) = 35.34520 hPa, ratio 0.02228242
+    rows = [(0, 0.00381047 / 2, 0.0, 100000.0, -26.85), (1, 0.02228242 / 4, 0.0, 100000.0, 0.0),
             (2, 0.5, 500.0, 99500.0, 0.0), (3, -0.1, 0.0, 100000.0, 0.0)]
     df = spark.createDataFrame(rows, "i int, qv double, p double, pb double, t double")
     got = [r.rh for r in df.orderBy("i").select(C.relative_humidity("qv", "p", "pb", "t").alias("rh")).collect()]
@@ -352,12 +352,13 @@ def test_parse_date_hour_ignores_session_zone_and_dst(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
-        df = ntz(spark, [("2024-03-10", "02:00"), ("2024-01-31", "24:00"), ("2024-02-30", "01:00"), ("2024-01-01", "7")],
+        df = ntz(spark, [("2024-03-10", "02:00"), ("2024-01-31", "24:00"), ("2024-02-30", "01:00"), ("2024-01-01", "7"),
+                         ("2024-01-01", "7h"), ("2024-01-01", "31")],
                  "d string, t string")
         got = [r.ts for r in df.select(C.parse_date_hour("d", "t").alias("ts")).collect()]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert got == [dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 2, 1, 0), None, None]
+    assert got == [dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 2, 1, 0), None, dt.datetime(2024, 1, 1, 7), None, None]
 
 
 def test_try_parse_ntz(spark):
