@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ashgrid.llm.common import stored
+
 AXES = ("source", "lang", "topic")
 NONE = "(none)"
 
@@ -82,15 +84,14 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def cell_table(docs: DataFrame, topic=content_class, targets: dict[str, dict[str, float]] | None = None,
-               power: float = 0.7, keep: float = 0.8) -> DataFrame:
-    """(m_source, m_lang, m_topic, weight, prob) for every cell of ``docs``.
+def cell_table(at: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7,
+               keep: float = 0.8) -> DataFrame:
+    """(m_source, m_lang, m_topic, m_weight, m_prob) for every cell of ``at`` (see ``cells_of``).
 
     ``targets`` maps an axis to shares per value; a missing axis gets its tempered shares.  Values
     without a share (or absent from the corpus) weigh nothing.  The cells that come to the driver
     are as many as source x language x topic values occur together; documents do not."""
-    spark = docs.sparkSession
-    at = cells_of(docs, topic)
+    spark = at.sparkSession
     got = at.groupBy(*[f"m_{a}" for a in AXES]).agg(F.sum("m_tokens").alias("tokens")).collect()
     got = sorted(got, key=lambda r: tuple(r[:3]))
     tokens = np.array([float(r["tokens"]) for r in got])
@@ -113,6 +114,7 @@ def cell_table(docs: DataFrame, topic=content_class, targets: dict[str, dict[str
 
 
 def cells_of(docs: DataFrame, topic=content_class) -> DataFrame:
+    """doc_id, the cell (m_source, m_lang, m_topic) and m_tokens of every document."""
     text = F.col("text").cast("string")
     return docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("m_source"),
                        F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("m_lang"),
@@ -126,8 +128,9 @@ def mix_documents(docs: DataFrame, topic=content_class, targets=None, power: flo
     Null source or language form a value of their own, '(none)'; a null text has no tokens.  Rows
     with equal doc_id are drawn together.  The cell table (source x language x topic values that
     occur) is the only thing broadcast."""
-    cells = cell_table(docs, topic, targets, power, keep)
-    met = cells_of(docs, topic).join(F.broadcast(cells), [f"m_{a}" for a in AXES], "left")
+    at = stored(cells_of(docs, topic))  # a few short columns; the texts are read once
+    cells = cell_table(at, targets, power, keep)
+    met = at.join(F.broadcast(cells), [f"m_{a}" for a in AXES], "left")
     return met.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"),
                       F.col("m_topic").alias("topic"), F.col("m_tokens").alias("n_tokens"),
                       F.col("m_weight").alias("weight"), F.col("m_prob").alias("prob"),
@@ -137,7 +140,7 @@ def mix_documents(docs: DataFrame, topic=content_class, targets=None, power: flo
 def sample_documents(docs: DataFrame, topic=content_class, targets=None, power: float = 0.7, keep: float = 0.8,
                      seed: int = 17) -> DataFrame:
     """The drawn rows of ``docs`` with all their columns."""
-    cells = cell_table(docs, topic, targets, power, keep)
+    cells = cell_table(cells_of(docs, topic), targets, power, keep)
     names = docs.columns
     text = F.col("d.text").cast("string")
     hit = ((F.coalesce(F.col("d.source").cast("string"), F.lit(NONE)) == F.col("c.m_source"))
