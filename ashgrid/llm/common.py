@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +19,19 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (stored, ``row_bytes`` wide) marked for broadcast if its measured size is within the
-    session's own broadcast threshold, else unchanged."""
-    said = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", said).groups()
-    limit = int(number) * 1024 ** " kmgt".index(unit or " ")
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``key`` may occur among ``wanted_key`` (no wanted row is lost), so
+    that a join that follows moves little else.
+
+    A bitmap of ``bits`` bits, built by Spark and broadcast (its size is fixed); it fills up as
+    ``wanted`` grows, and lets more rows through, never fewer."""
+    place = lambda c: F.pmod(c, F.lit(bits)) + 1
+    maps = wanted.select(place(F.col(wanted_key)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("map_no")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map_bits"))
+    at = F.bitmap_bit_position(place(F.col(key)))
+    byte = F.conv(F.hex(F.substring("map_bits", F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    met = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(F.col(key))) == F.col("map_no"))
+    return met.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("map_no", "map_bits")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -203,8 +203,8 @@ def repeat_rows(seed):
 def test_repeat_removal_matches_brute_force(spark, monkeypatch):
     from ashgrid.llm import repeats as module
     rows = repeat_rows(1) + [r for r in ODD if r[0] != 5]
-    for many in (module.MANY, 2):  # also with nearly every region going through window hashes
-        monkeypatch.setattr(module, "MANY", many)
+    for size in (module.BUCKET_BYTES, 300):  # also with most regions going through window hashes
+        monkeypatch.setattr(module, "BUCKET_BYTES", size)
         out = remove_repeats(docs_of(spark, rows), with_text=True).collect()
         got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str)
         assert got == repeats(rows)
@@ -281,3 +281,20 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.collect() == []
+
+
+def test_every_holder_of_a_shared_shingle_is_listed(spark):
+    from ashgrid.llm.jaccard import BUCKETS, shared_prefixes, shingle_sets
+    rng = random.Random(6)
+    common = prose(rng, 5)
+    texts = [common + " " + prose(rng, rng.randint(3, 9), 10 ** 6) for _ in range(40)] + [prose(rng, 8, 10 ** 6) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    raw = common.encode()
+    token = int(shingle_sets(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0].view(np.int64)[0])
+    counters = np.zeros(BUCKETS, np.uint32)
+    held = [s for s in (set(x.view(np.int64).tolist()) for t in texts for x in shingle_sets(
+        np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t.encode())]))) if token in s]
+    in_prefix = sum(sorted(np.uint64(v % 2 ** 64) for v in s).index(np.uint64(token % 2 ** 64)) <= len(s) - -(-len(s) * 3 // 4) for s in held)
+    for flush in (1 << 17, 30):  # one run per task, or several
+        rows = shared_prefixes(df, counters, flush=flush).filter(F.col("token") == token).collect()
+        assert len(rows) == len({r.sid for r in rows}) == in_prefix > 3
