@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from ashgrid.llm.common import RollingHash, longs, mix, shuffle_width, spans_of, stored, utf8
 
 SPAN, GRAM = 100, 32
-MANY = 512                 # regions of one anchor hash beyond which windows are hashed
 BUCKET_BYTES = 1 << 20     # bytes of regions indexed together
 KEY_BITS = 18
 CHUNK = 1 << 18            # bytes of text whose hashes a task holds at once
@@ -80,6 +79,16 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = S
     return own, first - s[own], count, g, mix(region + offset * np.uint64(0x9E37) + count.astype(np.uint64))
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Rank of each key among the distinct ones, from 0."""
+    by = np.argsort(key)
+    key = key[by]
+    rank = np.empty(len(key), np.int32)
+    if len(key):
+        rank[by] = np.r_[0, np.cumsum(key[1:] != key[:-1], dtype=np.int32)]
+    return rank
+
+
 class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of a list of byte strings, with samples at the
     heads of its runs.
@@ -95,28 +104,30 @@ class RunLengthIndex:
         self.begin = np.r_[0, np.cumsum(size)]
         n = int(self.begin[-1])
         text = np.concatenate(strings) if n else np.empty(0, np.uint8)
-        self.piece = np.repeat(np.arange(len(strings)), size)
-        left = self.begin[1:][self.piece] - np.arange(n) if n else np.empty(0, np.int64)
+        self.piece = np.repeat(np.arange(len(strings), dtype=np.int32), size)
+        left = (np.repeat(self.begin[1:], size) - np.arange(n)).astype(np.int32)
         packed = np.zeros(n, np.uint64)
         for k in range(8):  # eight letters at once, padded beyond the string's end
-            here = np.zeros(n, np.uint64)
-            here[:n - k] = text[k:]
-            here[left <= k] = 0
-            packed = (packed << np.uint64(8)) | here
-        levels, rank, h = [], np.unique(packed, return_inverse=True)[1].astype(np.int64), 8
+            packed <<= np.uint64(8)
+            inside = np.flatnonzero(left > k)
+            packed[inside] |= text[inside + k]
+        levels, rank, h = [], _dense(packed), 8
         depth = int(size.max(initial=0))
         while True:
-            levels.append((h, rank.astype(np.int32)))
+            levels.append((h, rank))
             if h >= depth:
                 break
-            nxt = np.zeros(n, np.int64)
+            key = rank.astype(np.int64) << 32
             inside = np.flatnonzero(left > h)
-            nxt[inside] = rank[inside + h] + 1
-            rank = np.unique((rank << 32) | nxt, return_inverse=True)[1].astype(np.int64)
+            key[inside] |= rank[inside + h] + 1
+            rank = _dense(key)
             h *= 2
-        order = np.lexsort((self.piece, left, rank))
-        before = np.full(n, -1, np.int64)
-        inner = np.flatnonzero(np.arange(n) != self.begin[:-1][self.piece]) if n else np.empty(0, np.int64)
+        # equal suffixes: the shorter first, then by position
+        order = np.argsort((rank.astype(np.int64) << 32) | left, kind="stable").astype(np.int32)
+        before = np.full(n, -1, np.int16)
+        inner = np.ones(n, bool)
+        inner[self.begin[:-1][size > 0]] = False
+        inner = np.flatnonzero(inner)
         before[inner] = text[inner - 1]
         bwt = before[order]
         head = np.ones(n, bool)
@@ -124,8 +135,8 @@ class RunLengthIndex:
         self.order, self.left = order, left
         self.runs = np.flatnonzero(head)
         self.symbols = bwt[self.runs]
-        at = order[self.runs]
-        prev = np.where(self.runs > 0, order[self.runs - 1], -1)
+        at = order[self.runs].astype(np.int64)
+        prev = np.where(self.runs > 0, order[self.runs - 1], -1).astype(np.int64)
         length = self._common(packed, levels, at, prev)
         by = np.argsort(at)
         self.sample_at, self.sample_prev, self.sample_len = at[by], prev[by], length[by]
@@ -153,8 +164,8 @@ class RunLengthIndex:
         n = len(self.order)
         if not n:
             return np.empty(0, np.int64)
-        at = np.searchsorted(self.sample_at, np.arange(n), "right") - 1
-        return np.maximum(self.sample_len[at] - (np.arange(n) - self.sample_at[at]), 0)
+        step = np.diff(np.r_[self.sample_at, n])  # positions that follow each sample
+        return np.maximum(np.repeat(self.sample_len + self.sample_at, step) - np.arange(n), 0)
 
     def repeats(self, span: int) -> np.ndarray:
         """Text positions (ascending) whose ``span`` letters also occur at a smaller position."""
@@ -331,12 +342,12 @@ def repeat_marks(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
     found = stored(candidate_regions(docs, span, gram))
     cols = ["d", "key", "start", "count"]
     open_ = found.filter(~F.col("whole"))
-    kinds = open_.groupBy("g").agg(F.count("*").alias("kinds"), F.sum(F.col("count") + span - 1).alias("size"))
+    kinds = open_.groupBy("g").agg(F.sum(F.col("count") + span - 1).alias("size"))
     total = kinds.agg(F.sum("size")).first()[0] or 0
-    many = open_.join(kinds.filter(F.col("kinds") > MANY).select("g", F.lit(True).alias("many")), "g", "left").select(
+    many = open_.join(kinds.filter(F.col("size") > BUCKET_BYTES).select("g", F.lit(True).alias("many")), "g", "left").select(
         "g", "d", "key", "start", "count", F.coalesce("many", F.lit(False)).alias("many"))
     pieces = stored(region_bytes(docs, many, span))
-    buckets = max(shuffle_width(docs.sparkSession), -(-total // BUCKET_BYTES))
+    buckets = max(shuffle_width(docs.sparkSession), -(-2 * total // BUCKET_BYTES))  # half full on average
     inner = _indexed(pieces.filter(~F.col("many")), buckets, span).unionByName(_hashed(pieces.filter("many"), span))
     return found.filter("whole").select(*cols).unionByName(inner.select(*cols)).unionByName(copies(docs, span))
 
