@@ -48,15 +48,16 @@ def test_rank_window_is_bucketed(spark):
 def test_building_grid_sampling_runs_no_job(spark):
     from ashgrid.operators import joins as J
     from ashgrid.sources.fixtures import CUBE_T, CUBE_X, CUBE_Y, EPOCH_2024, reading_cube, sensor_obs
-    obs = sensor_obs(spark, SF001)
+    obs, cube = sensor_obs(spark, SF001), reading_cube(spark, SF001)  # opening a file reads its footer in a job
+    keys = spark.createDataFrame([("ab",)], "fire_key string")
+    names = spark.createDataFrame([("x" * 5000 + "ab",)], "dir_name string")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("plan-only", "no job expected")
     try:
         timed = dict(time_axis=CUBE_T, time_origin=EPOCH_2024)
-        a = J.sample_nearest(obs, reading_cube(spark, SF001), CUBE_Y, CUBE_X, ["v"], **timed)
-        b = J.sample_linear(obs, reading_cube(spark, SF001), CUBE_Y, CUBE_X, "v", **timed)
-        c = J.match_by_substring(spark.createDataFrame([("ab",)], "fire_key string"),
-                                 spark.createDataFrame([("x" * 5000 + "ab",)], "dir_name string"))
+        a = J.sample_nearest(obs, cube, CUBE_Y, CUBE_X, ["v"], **timed)
+        b = J.sample_linear(obs, cube, CUBE_Y, CUBE_X, "v", **timed)
+        c = J.match_by_substring(keys, names)
         assert not tracker.getJobIdsForGroup("plan-only")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
