@@ -32,7 +32,6 @@ from ashgrid.llm.common import RollingHash, longs, mix, shuffle_width, spans_of,
 
 SPAN, GRAM = 100, 32
 BUCKET_BYTES = 1 << 20     # bytes of regions indexed together
-KEY_BITS = 18
 CHUNK = 1 << 18            # bytes of text whose hashes a task holds at once
 
 
@@ -180,29 +179,28 @@ class RunLengthIndex:
 
 
 def _order_key(docs: DataFrame) -> DataFrame:
-    """d (doc_id as a long, null first), key (hash of the text) and text."""
+    """d (doc_id as a long, null first), key (64-bit hash of the text) and text."""
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
-                       F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).cast("int").alias("key"),
-                       text.alias("text"))
+                       F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _region_batches(batches, span: int, gram: int, flush: int):
-    """Arrow batches (d, key, text) -> (g, rh, d, at, seen); see ``region_rows``."""
+    """Arrow batches (d, key, text) -> (g, rh, d, key, at); see ``region_rows``."""
     met: dict[bytes, int] = {}
     held, n = [], 0
 
     def out():
         g, rh, d, key, start, count = (np.concatenate(c) for c in zip(*held))
         by = np.lexsort((start, key, d, rh, g))
-        g, rh, d = g[by], rh[by], d[by]
         seen = np.zeros(len(g), bool)
-        seen[1:] = (g[1:] == g[:-1]) & (rh[1:] == rh[:-1])
-        at = ((key << 38) | (count << 31) | start)[by]
-        apart = mix(g + mix(d.view(np.uint64) + (at & 0x7FFFFFFF).astype(np.uint64)))
+        seen[by[1:]] = (g[by[1:]] == g[by[:-1]]) & (rh[by[1:]] == rh[by[:-1]])
+        apart = mix(g + mix(d.view(np.uint64) + mix(key.view(np.uint64) + start.astype(np.uint64))))
+        # rows stay in the order of the texts, so d and key repeat from row to row and compress
         return pa.RecordBatch.from_arrays(
-            [longs(np.where(seen, apart, g)), longs(rh), pa.array(d, pa.int64()), pa.array(at, pa.int64()), pa.array(seen)],
-            ["g", "rh", "d", "at", "seen"])
+            [longs(np.where(seen, apart, g)), longs(rh), pa.array(d, pa.int64()), pa.array(key, pa.int64()),
+             pa.array((seen.astype(np.int64) << 38) | (count << 31) | start, pa.int64())],
+            ["g", "rh", "d", "key", "at"])
 
     for b in batches:
         raw, starts, ends = utf8(b.column(2))
@@ -228,16 +226,16 @@ def _region_batches(batches, span: int, gram: int, flush: int):
 
 
 def region_rows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, flush: int = 1 << 17) -> DataFrame:
-    """g, rh, d, at, seen: one row per region.  ``at`` packs (key, windows, first start); ``seen``
+    """g, rh, d, key, at: one row per region.  ``at`` packs (seen, windows, first start); ``seen``
     marks regions for which this task has an earlier equal one among the last ``flush`` regions, so
     frequent regions are combined before the shuffle (they get a hash of their own to travel
     with).  A text that the task has met under a smaller or equal doc_id is left out (see
     ``copies``)."""
     return _order_key(docs).select("d", "key", "text").mapInArrow(
-        lambda batches: _region_batches(batches, span, gram, flush), "g long, rh long, d long, at long, seen boolean")
+        lambda batches: _region_batches(batches, span, gram, flush), "g long, rh long, d long, key long, at long")
 
 
-_START, _COUNT, _KEY = "cast(at & 2147483647 as int)", "cast((at >> 31) & 127 as int)", "cast(at >> 38 as int)"
+_START, _COUNT, _SEEN = "cast(at & 2147483647 as int)", "cast((at >> 31) & 127 as int)", "(at >> 38) = 1"
 
 
 def candidate_regions(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -245,12 +243,12 @@ def candidate_regions(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     region of each kind where an anchor hash has several kinds (not ``whole``)."""
     rows = region_rows(docs, span, gram).repartition("g")
     rank = F.rank().over(Window.partitionBy("g", "rh")  # equal for repeated rows of one document
-                         .orderBy("d", F.expr(_KEY), F.expr(_START)))
+                         .orderBy("d", "key", F.expr(_START)))
     of_g = Window.partitionBy("g")
     met = rows.withColumn("rank", rank).withColumn("lo", F.min("rh").over(of_g)).withColumn("hi", F.max("rh").over(of_g))
-    whole = F.col("seen") | (F.col("rank") > 1)
+    whole = F.expr(_SEEN) | (F.col("rank") > 1)
     return met.filter(whole | (F.col("lo") < F.col("hi"))).select(
-        "g", "d", F.expr(_KEY).alias("key"), F.expr(_START).alias("start"), F.expr(_COUNT).alias("count"), whole.alias("whole"))
+        "g", "d", "key", F.expr(_START).alias("start"), F.expr(_COUNT).alias("count"), whole.alias("whole"))
 
 
 def region_bytes(docs: DataFrame, regions: DataFrame, span: int = SPAN) -> DataFrame:
@@ -272,11 +270,11 @@ def region_bytes(docs: DataFrame, regions: DataFrame, span: int = SPAN) -> DataF
                 ok = s + c + span - 1 <= size
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g[ok], pa.int64()), pa.array(np.full(ok.sum(), d[k]), pa.int64()),
-                     pa.array(np.full(ok.sum(), key[k]), pa.int32()), pa.array(s[ok], pa.int32()), pa.array(m[ok].astype(bool)),
+                     pa.array(np.full(ok.sum(), key[k]), pa.int64()), pa.array(s[ok], pa.int32()), pa.array(m[ok].astype(bool)),
                      pa.array([raw[base + x:base + x + y + span - 1].tobytes() for x, y in zip(s[ok], c[ok])], pa.binary())],
                     ["g", "d", "key", "start", "many", "bytes"])
 
-    rows = met.mapInArrow(cut, "g long, d long, key int, start int, many boolean, bytes binary")
+    rows = met.mapInArrow(cut, "g long, d long, key long, start int, many boolean, bytes binary")
     return rows.dropDuplicates(["d", "key", "start"])  # repeated rows are one document
 
 
@@ -295,13 +293,13 @@ def _indexed(pieces: DataFrame, buckets: int, span: int) -> DataFrame:
         new[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
         at = np.flatnonzero(new)
         row = by[own[at]]
-        return pa.table({"d": pa.array(d[row], pa.int64()), "key": pa.array(key[row], pa.int32()),
+        return pa.table({"d": pa.array(d[row], pa.int64()), "key": pa.array(key[row], pa.int64()),
                          "start": pa.array(start[row] + off[at], pa.int32()),
                          "count": pa.array(np.diff(np.r_[at, len(hit)]), pa.int32())})
 
     return (pieces.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
             .select("bucket", "d", "key", "start", "bytes").groupBy("bucket")
-            .applyInArrow(index, "d long, key int, start int, count int"))
+            .applyInArrow(index, "d long, key long, start int, count int"))
 
 
 def _hashed(pieces: DataFrame, span: int) -> DataFrame:
@@ -315,15 +313,16 @@ def _hashed(pieces: DataFrame, span: int) -> DataFrame:
                 h = RollingHash(raw[s[k]:e[k]]).of(at, at + span)
                 yield pa.RecordBatch.from_arrays(
                     [longs(h), pa.array(np.full(n, b.column(1)[k].as_py()), pa.int64()),
-                     pa.array(np.full(n, b.column(2)[k].as_py()), pa.int32()), pa.array(b.column(3)[k].as_py() + at, pa.int32())],
+                     pa.array(np.full(n, b.column(2)[k].as_py()), pa.int64()), pa.array(b.column(3)[k].as_py() + at, pa.int32())],
                     ["h", "d", "key", "start"])
 
-    rows = stored(pieces.select("g", "d", "key", "start", "bytes").mapInArrow(windows, "h long, d long, key int, start int"))
-    # the earliest occurrence of a window by three plain minima, which combine before the shuffle
+    rows = stored(pieces.select("g", "d", "key", "start", "bytes").mapInArrow(windows, "h long, d long, key long, start int"))
+    # the earliest occurrence of a window: the smallest document by a plain minimum, which combines before
+    # the shuffle, then the smallest (key, start) in it
     d0 = rows.groupBy("h").agg(F.min("d").alias("d0"), F.count("*").alias("n")).filter("n > 1").drop("n")
     at_d0 = rows.join(d0, "h")
-    p0 = at_d0.filter("d = d0").groupBy("h").agg(F.min((F.col("key").cast("long") * (1 << 31)) + F.col("start")).alias("p0"))
-    late = at_d0.join(p0, "h").filter((F.col("d") > F.col("d0")) | (F.col("key").cast("long") * (1 << 31) + F.col("start") > F.col("p0")))
+    p0 = at_d0.filter("d = d0").groupBy("h").agg(F.min(F.struct("key", "start")).alias("p0"))
+    late = at_d0.join(p0, "h").filter((F.col("d") > F.col("d0")) | (F.struct("key", "start") > F.col("p0")))
     return late.select("d", "key", "start", F.lit(1).alias("count"))
 
 
@@ -375,7 +374,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
-                       F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).cast("int").alias("key"), text.alias("text"))
+                       F.xxhash64(text).alias("key"), text.alias("text"))
     met = base.join(marks, (F.col("d") == F.col("m_d")) & (F.col("key") == F.col("m_key")), "left").select("doc_id", "text", "marks")
 
     def finish(batches):

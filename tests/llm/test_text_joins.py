@@ -221,6 +221,20 @@ def test_periodic_text_and_repeated_ids(spark):
     assert sorted(r.n_removed > 0 for r in out) == [False, True]
 
 
+def test_many_texts_under_one_null_id_stay_apart(spark):
+    rng = random.Random(12)
+    own = [f"{rng.getrandbits(900):x}" for _ in range(6000)]
+    texts = own + [t[:120] + f"z{rng.getrandbits(400):x}" for t in own[:1500]]
+    out = remove_repeats(docs_of(spark, [(None, t) for t in texts]), with_text=True).collect()
+    assert sorted(r.n_bytes for r in out) == sorted(map(len, texts))
+    # of the two texts that share 120 bytes one loses exactly those, no other text loses any
+    cut = sorted(r.kept.decode() for r in out if r.n_removed)
+    assert [r.n_removed for r in out if r.n_removed] == [120] * 1500
+    pairs = {t[120:]: k for k, t in enumerate(own[:1500])} | {t[120:]: k for k, t in enumerate(texts[6000:])}
+    assert sorted(pairs[c] for c in cut) == list(range(1500))
+    assert not {r.kept.decode() for r in out if not r.n_removed} - set(texts)
+
+
 def test_run_length_index_streams_the_matching_statistics():
     rng = random.Random(3)
     part = bytes(rng.randrange(97, 101) for _ in range(60))
