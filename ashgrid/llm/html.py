@@ -6,9 +6,10 @@ the "line" of the ratio is one rendered block, however the source is wrapped.  A
 text outside links over its number of tags; lines of page furniture (menus, page headers and
 footers, sidebars, notices, adverts, forms, reader comments) count as having no text.  The ratios
 are smoothed along the page with a Gaussian; runs above the threshold are the content clusters.
-The heaviest cluster names the content region: the article (or main) element it lies in, all of
-whose lines are returned, or, on a page without one, the lines from the first to the last line
-above the threshold around it.
+All clusters and all article (or main) elements together name the content region: their smallest
+common ancestor, or the outermost article or main around that.  All its lines but furniture are
+returned; where the ancestor is no article or main, its ends are cut at the first line beyond the
+clusters that is mostly links.
 """
 
 from __future__ import annotations
@@ -48,13 +49,18 @@ def _hinted(value: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Turns a page into lines: (text, link characters, tags, regions), where regions are the open
-    elements that matter (content containers, furniture)."""
+    """Turns a page into lines: (text, link characters, tags, regions, element), where regions are the open
+    elements that matter (content containers, furniture) and element is the innermost open one.
+
+    ``elements`` holds per element (tag, enclosing element or -1, region or -1), ``spans`` its lines [from, to)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], int]] = []
         self.stack: list[tuple[str, int]] = []      # (tag, region or -1)
+        self.path: list[int] = []                   # the elements of the stack
+        self.elements: list[tuple[str, int, int]] = []
+        self.spans: list[list[int]] = []
         self.regions: list[tuple[str, int]] = []    # (kind, number of enclosing content regions)
         self.holds: set[int] = set()                # furniture by hint that holds a content container
         self.open: tuple[int, ...] = ()
@@ -67,7 +73,8 @@ class _Lines(HTMLParser):
     def cut(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, min(self.link_chars, len(text)), self.tags, self.open))
+            self.lines.append((text, min(self.link_chars, len(text)), self.tags, self.open,
+                               self.path[-1] if self.path else -1))
         self.parts, self.link_chars, self.tags = [], 0, 0
 
     def _region(self, tag: str, attrs: dict) -> str | None:
@@ -94,15 +101,19 @@ class _Lines(HTMLParser):
         region = -1
         kind = self._region(tag, {k: (v or "") for k, v in attrs})
         if kind:
+            self.cut()  # the text before an inline region is not part of it
             region = len(self.regions)
             self.regions.append((kind, len(self.open)))
             if kind == "content":
-                self.holds.update(r for r in self.open if self.regions[r][0] == "hint")
+                self.holds.update(r for r in self.open if self.regions[r][0] in ("hint", "part"))
             self.open = (*self.open, region)
         if tag in SILENT:
             self.silent += 1
         if tag == "a":
             self.links += 1
+        self.elements.append((tag, self.path[-1] if self.path else -1, region))
+        self.spans.append([len(self.lines), -1])
+        self.path.append(len(self.elements) - 1)
         self.stack.append((tag, region))
 
     def handle_startendtag(self, tag, attrs):
@@ -111,9 +122,11 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def _pop(self):
+        if self.stack[-1][1] >= 0 or self.stack[-1][0] in BLOCK:
+            self.cut()
         tag, region = self.stack.pop()
+        self.spans[self.path.pop()][1] = len(self.lines)
         if region >= 0:
-            self.cut()
             self.open = tuple(r for r in self.open if r != region)
         if tag in SILENT:
             self.silent -= 1
@@ -150,6 +163,13 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel)[half:half + len(x)] / weight
 
 
+def _ancestors(p: _Lines, e: int):
+    """``e`` and the elements around it, innermost first."""
+    while e >= 0:
+        yield e
+        e = p.elements[e][1]
+
+
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.25) -> str:
     """The main text of one page: its lines joined by a newline; empty without any.
 
@@ -160,13 +180,15 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.25) ->
     p.feed(html)
     p.close()
     p.cut()
+    while p.stack:
+        p._pop()
     lines = p.lines
     if not lines:
         return ""
     kinds = [k for k, _ in p.regions]
     furniture = {i for i, k in enumerate(kinds) if k == "furniture" or k == "hint" and i not in p.holds}
-    good = np.array([not furniture.intersection(r) for *_, r in lines])
-    ratio = np.array([(len(t) - link) / max(1, tags) for t, link, tags, _ in lines], float) * good
+    good = np.array([not furniture.intersection(r) for *_, r, _ in lines])
+    ratio = np.array([(len(t) - link) / max(1, tags) for t, link, tags, *_ in lines], float) * good
     flat = smooth(ratio, sigma) if good.any() else ratio
     level = threshold * flat[ratio > 0].mean() if (ratio > 0).any() else 0.0
     above = good & (flat > level)
@@ -174,33 +196,26 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.25) ->
         above = good
     if not above.any():
         return ""
-    # clusters: runs of lines above the threshold (furniture between them does not end a run)
-    cluster, runs, prev = np.full(len(lines), -1), 0, False
-    for i in range(len(lines)):
-        if above[i]:
-            runs += not prev
-            cluster[i] = runs - 1
-        prev = bool(above[i]) or prev and not good[i]
-    size = np.array([len(t) - link for t, link, *_ in lines], float)
-    mass = np.bincount(cluster[above], weights=size[above] + 1e-9, minlength=runs)
-    core = np.flatnonzero(cluster == int(mass.argmax()))
-    # the content element that holds most of all selected text
-    weight: dict[int, float] = {}
-    for i in np.flatnonzero(above):
-        for r in lines[i][3]:
-            if kinds[r] == "content":
-                weight[r] = weight.get(r, 0.0) + size[i] + 1e-9
-    if weight:
-        # the innermost element that holds at least half of what the heaviest one holds
-        most = max(weight.values())
-        region = max((r for r, w in weight.items() if w >= 0.5 * most), key=lambda r: (p.regions[r][1], weight[r], -r))
-        return "\n".join(t for (t, _, _, r), ok in zip(lines, good) if ok and region in r)
-    lo, hi = int(core.min()), int(core.max())
-    while lo > 0 and (above[lo - 1] or not good[lo - 1] and above[:lo].any()):
-        lo -= 1
-    while hi + 1 < len(lines) and (above[hi + 1] or not good[hi + 1] and above[hi + 1:].any()):
+    named = np.array([any(kinds[r] == "content" for r in rs) for *_, rs, _ in lines])
+    linked = good & np.array([2 * link >= len(t) for t, link, *_ in lines])
+    core = np.flatnonzero(above & ~linked | good & named)
+    if not len(core):
+        core = np.flatnonzero(above)
+    lo, hi = int(core[0]), int(core[-1])
+    # in page order the common ancestor of the first and the last line is that of all between them
+    around = set(_ancestors(p, lines[lo][4]))
+    up = [e for e in _ancestors(p, lines[hi][4]) if e in around]
+    content = [e for e in up if p.elements[e][2] >= 0 and kinds[p.elements[e][2]] == "content"]
+    if content:
+        lo, hi = p.spans[content[-1]]
+    else:
+        first, last = p.spans[up[0]] if up else (0, len(lines))
+        while lo > first and not linked[lo - 1]:
+            lo -= 1
+        while hi + 1 < last and not linked[hi + 1]:
+            hi += 1
         hi += 1
-    return "\n".join(lines[i][0] for i in range(lo, hi + 1) if good[i])
+    return "\n".join(lines[i][0] for i in range(lo, hi) if good[i])
 
 
 def _extract(batches):

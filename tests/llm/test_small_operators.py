@@ -173,6 +173,21 @@ def test_page_text_keeps_the_article_only():
     assert [main_text(x) for x in (None, "", "<p>", "<script>x", "just text")] == ["", "", "", "", "just text"]
 
 
+def test_page_text_keeps_every_content_cluster():
+    long = ["".join(f"{w}{k} " for k in range(60)).strip() for w in "abcd"]
+    p = [f"<p>{x}</p>" for x in long]
+    want = lambda *x: "\n".join(x)
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert main_text(f"<body>{menu}<main><h1>Title</h1><p>Lede.</p><article>{p[0]}{p[1]}{p[2]}</article><section>{p[3]}</section></main>") == \
+        want("Title", "Lede.", *long)
+    assert main_text(f"<body><article>{p[0]}{p[1]}{p[2]}</article><article>{p[3]}<p>End.</p></article>{menu}</body>") == want(*long, "End.")
+    poem = [f"line {k}" for k in range(9)]
+    short = "".join(f"<li>{x}</li>" for x in poem)
+    assert main_text(f"<body>{menu}<div>{p[0]}{p[1]}<ul>{short}</ul>{p[2]}</div>{menu}</body>") == want(long[0], long[1], *poem, long[2])
+    assert main_text(f"<body>{menu}<p>{long[0]}<p>{long[1]}<ul>{short}</ul>{menu}</body>") == want(long[0], long[1], *poem)
+    assert main_text(f"<body><p>Before <span class=ad>buy</span> after {long[0]}</p></body>") == want("Before", f"after {long[0]}")
+
+
 def test_pages_against_their_articles(spark):
     import html
     for r in entry.queries()["op8_text_ratio"](spark, "/root/testdata/sf0.01").join(
