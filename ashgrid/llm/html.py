@@ -10,6 +10,11 @@ All clusters and all article (or main) elements together name the content region
 common ancestor, or the outermost article or main around that.  All its lines but furniture are
 returned; where the ancestor is no article or main, its ends are cut at the first line beyond the
 clusters that is mostly links.
+
+A class or id hints at furniture.  A hint does not hold for an element around an article or main, for
+one with half of the page's text (a whole-word hint such as "comments": only on a page without other
+article or main), nor, unless it is a whole word, for an article.  A page that would lose every line
+is read without hints, then without the furniture that holds half of its text, then without any.
 """
 
 from __future__ import annotations
@@ -35,17 +40,17 @@ sidebar sidebars aside related recommended share sharing social comment comments
 menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar widget widgets
 pagination pager tags outbrain taboola""".split())
 CONTENT = {"article", "main"}
+HEAD = set("base basefont bgsound head link meta noscript script style template title".split())
 CLOSES_P = BLOCK - {"br", "button", "option", "optgroup", "select", "textarea", "iframe", "noscript"}
 
 
-def _hinted(value: str) -> bool:
-    for token in value.lower().split():
-        if token in HINTS:
-            return True
-        parts = re.split(r"[-_:]+", token)
-        if len(parts) > 1 and (parts[0] in HINTS or parts[-1] in HINTS):
-            return True
-    return False
+def _hinted(value: str) -> str | None:
+    """"hint" if a whole word of ``value`` hints at furniture, "part" if the first or last part of one does."""
+    tokens = value.lower().split()
+    if any(t in HINTS for t in tokens):
+        return "hint"
+    parts = [re.split(r"[-_:]+", t) for t in tokens]
+    return "part" if any(len(x) > 1 and (x[0] in HINTS or x[-1] in HINTS) for x in parts) else None
 
 
 class _Lines(HTMLParser):
@@ -80,17 +85,24 @@ class _Lines(HTMLParser):
     def _region(self, tag: str, attrs: dict) -> str | None:
         if tag in CONTENT or attrs.get("role") in ("main", "article"):
             words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-            return "furniture" if tag == "article" and _hinted(words) else "content"
+            return "hint" if tag == "article" and _hinted(words) == "hint" else "content"
         if tag in FURNITURE or attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return "furniture"
         if tag == "header":  # the header of the page; an article's own header is part of the article
             return None if any(self.regions[r][0] == "content" for r in self.open) else "furniture"
         if tag in BLOCK and tag not in ("html", "body") or tag in ("span", "ins"):
-            if _hinted(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
-                return "hint"
+            return _hinted(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
         return None
 
+    def _end_head(self):
+        """Ends an open head whose end tag was left out; what a noscript or template holds stays in it."""
+        tags = [t for t, _ in self.stack]
+        if "head" in tags and not {"noscript", "template"}.intersection(tags[tags.index("head"):]):
+            self._close("head")
+
     def handle_starttag(self, tag, attrs):
+        if self.silent and tag not in HEAD:
+            self._end_head()
         if tag in CLOSES_P and any(t == "p" for t, _ in self.stack[-4:]):
             self._close("p", within=4)
         if tag in BLOCK:
@@ -150,6 +162,8 @@ class _Lines(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data):
+        if self.silent and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -163,6 +177,43 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, kernel)[half:half + len(x)] / weight
 
 
+def _outside_furniture(p: _Lines) -> np.ndarray:
+    """Whether each line lies outside page furniture (see the head of this file)."""
+    lines, kinds = p.lines, [k for k, _ in p.regions]
+    free = lambda gone: np.array([gone.isdisjoint(r) for *_, r, _ in lines])
+    size = [len(t) - link for t, link, *_ in lines]
+
+    def heavy(rows: np.ndarray) -> set[int]:
+        """Regions with at least half of the text of ``rows``."""
+        weight: dict[int, int] = {}
+        for i in np.flatnonzero(rows):
+            for r in lines[i][3]:
+                weight[r] = weight.get(r, 0) + size[i]
+        total = sum(size[i] for i in np.flatnonzero(rows))
+        return {r for r, w in weight.items() if total and 2 * w >= total}
+
+    hard = {r for r, k in enumerate(kinds) if k == "furniture"}
+    hints = {r for r, k in enumerate(kinds) if k in ("hint", "part")} - p.holds
+    outside = free(hard)
+    most = heavy(outside)
+    hints -= {r for r in most if kinds[r] == "part"}
+    content = {r for r, k in enumerate(kinds) if k == "content"}
+    good = free(hard | hints)
+    if not any(ok and not content.isdisjoint(r) for ok, (*_, r, _) in zip(good, lines)):
+        # no other article: hinted ones count, unless they stand in a hinted wrapper
+        top = {r for e, (tag, _, r) in enumerate(p.elements) if tag == "article" and r in hints
+               and not any(p.elements[x][2] in hints for x in _ancestors(p, p.elements[e][1]))}
+        good = free(hard | hints - most - top)
+    everything = np.ones(len(lines), bool)
+    text = np.array(size) > 0
+    for rescue in (lambda: outside, lambda: free(hard - heavy(everything)), lambda: everything):
+        if good.any():
+            break
+        good = rescue()
+        good = good if (good & text).any() else np.zeros(len(lines), bool)
+    return good
+
+
 def _ancestors(p: _Lines, e: int):
     """``e`` and the elements around it, innermost first."""
     while e >= 0:
@@ -185,9 +236,7 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.25) ->
     lines = p.lines
     if not lines:
         return ""
-    kinds = [k for k, _ in p.regions]
-    furniture = {i for i, k in enumerate(kinds) if k == "furniture" or k == "hint" and i not in p.holds}
-    good = np.array([not furniture.intersection(r) for *_, r, _ in lines])
+    good = _outside_furniture(p)
     ratio = np.array([(len(t) - link) / max(1, tags) for t, link, tags, *_ in lines], float) * good
     flat = smooth(ratio, sigma) if good.any() else ratio
     level = threshold * flat[ratio > 0].mean() if (ratio > 0).any() else 0.0
@@ -196,6 +245,7 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.25) ->
         above = good
     if not above.any():
         return ""
+    kinds = [k for k, _ in p.regions]
     named = np.array([any(kinds[r] == "content" for r in rs) for *_, rs, _ in lines])
     linked = good & np.array([2 * link >= len(t) for t, link, *_ in lines])
     core = np.flatnonzero(above & ~linked | good & named)

@@ -188,6 +188,23 @@ def test_page_text_keeps_every_content_cluster():
     assert main_text(f"<body><p>Before <span class=ad>buy</span> after {long[0]}</p></body>") == want("Before", f"after {long[0]}")
 
 
+def test_pages_do_not_come_out_empty():
+    body = "some words of the text " * 20
+    page = f"<p>{body}</p><p>The end.</p>"
+    want = body.strip() + "\nThe end."
+    assert main_text(f"<head><title>t</title><body>{page}") == want
+    assert main_text(f"<html><head><meta charset=x><title>t</title><noscript><img src=x></noscript><link href=x>{page}") == want
+    assert main_text("<head><title>t</title>" + body) == body.strip()
+    for open_, close in (("<article class='post comments-open'>", "</article>"), ("<article class='category-advertising'>", "</article>"),
+                         ("<article class='post comments'>", "</article>"), ("<div class='page has-sidebar'>", "</div>"),
+                         ("<div class=widget>", "</div>"), ("<form>", "</form>"), ("<aside>", "</aside>")):
+        assert main_text(f"<body><nav><a href=a>One</a></nav>{open_}{page}{close}</body>") == want
+    two = "<article class='post comments'>%s</article>" % page
+    assert main_text(f"<body>{two}{two}<div class=comments><p>{body * 9}</p></div></body>").startswith(want + "\n" + want)
+    assert main_text(f"<article>{page}</article><div id=comments class=comments-area><p>{body * 9}</p></div>") == want
+    assert main_text("<body><nav><a href=a>One</a></nav></body>") == ""
+
+
 def test_pages_against_their_articles(spark):
     import html
     for r in entry.queries()["op8_text_ratio"](spark, "/root/testdata/sf0.01").join(
