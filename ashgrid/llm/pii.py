@@ -1,6 +1,6 @@
 """PII surrogates (DataFrame and SQL functions only).
 
-Entities (e-mail addresses, phone numbers, card numbers, IPv4 addresses, social security numbers,
+Entities (e-mail addresses, phone numbers, card numbers, IPv4 and IPv6 addresses, social security numbers,
 IBANs, person names) are found by one alternation over the whole text.  Every distinct entity of the
 corpus gets one keyed surrogate of its kind:
 
@@ -22,31 +22,63 @@ from pyspark.sql import functions as F
 
 from ashgrid.llm.common import stored
 
-# fixed values: titles and common given names by gender
-TITLES_F = "Mrs Ms Miss Madame Mme Frau Señora Sra Signora Госпожа госпожа Г-жа г-жа Κυρία κυρία".split()
-TITLES_M = "Mr Mister Monsieur Herr Señor Sr Signor Господин господин Г-н г-н Κύριος κύριος".split()
+# fixed values: titles and common given names by gender (the last titles say none)
+TITLES_F = ("Mrs Ms Miss Madame Mme Frau Señora Sra Signora Госпожа госпожа Г-жа г-жа Κυρία κυρία "
+            "Dame Lady Mademoiselle Mlle Signorina Doña السيدة الآنسة גברת גב׳ श्रीमती सुश्री").split()
+TITLES_M = ("Mr Mister Monsieur Herr Señor Sr Signor Господин господин Г-н г-н Κύριος κύριος "
+            "Sir Lord Don السيد מר श्री").split()
+TITLES_N = ("Dr Doctor Prof Professor Rev Reverend Judge Justice Senator Captain Colonel Доктор доктор Профессор профессор "
+            "الدكتور الدكتورة الأستاذ ד״ר פרופ׳ डॉ").split()
 GIVEN_F = ("Mary Anna Anne Maria Marie Emma Sophie Laura Julia Sarah Alice Elena Olga Susan Linda Karen Petra Claudia "
-           "Carmen Lucia Isabel Мария Анна Елена Ольга Наталья Татьяна Μαρία Ελένη Άννα").split()
+           "Carmen Lucia Isabel Мария Анна Елена Ольга Наталья Татьяна Μαρία Ελένη Άννα "
+           "Jennifer Patricia Elizabeth Barbara Jessica Margaret Lisa Nancy Betty Sandra Ashley Kimberly Emily Donna Michelle Carol "
+           "Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Katherine "
+           "Catherine Christine Samantha Debra Rachel Carolyn Janet Heather Diane Julie Joyce Victoria Kelly Christina Joan Evelyn "
+           "Lauren Judith Megan Andrea Cheryl Hannah Jacqueline Martha Gloria Teresa Ann Sara Madison Kathryn Janice Alicia Abigail "
+           "Sophia Frances Jean-Marie Judy Isabella Julie Denise Amber Danielle Marilyn Beverly Theresa Diana Natalie Brittany "
+           "Charlotte Kayla Alexis Lori Ingrid Helga Ursula Monika Sabine Birgit Katharina Camille Chloé Amélie Élodie Hélène "
+           "Margaux Francesca Giulia Chiara Valentina Paola Rosa Ana Sofía María Lucía Pilar Beatriz Inés Fatima Aisha Priya "
+           "Светлана Ирина Екатерина Юлия Людмила Κατερίνα Σοφία Ιωάννα").split()
 GIVEN_M = ("John James Peter Paul Thomas Michael David Robert William Hans Klaus Pierre Jean Carlos Juan Pedro Luis "
-           "Antonio Иван Пётр Сергей Алексей Дмитрий Андрей Γιώργος Νίκος Δημήτρης").split()
-
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+           "Antonio Иван Пётр Сергей Алексей Дмитрий Андрей Γιώργος Νίκος Δημήτρης "
+           "Kevin Richard Joseph Charles Christopher Daniel Matthew Anthony Steven Andrew Joshua Kenneth Brian George Timothy Ronald "
+           "Jason Edward Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory "
+           "Alexander Patrick Jack Dennis Jerry Tyler Aaron Jose Adam Nathan Henry Zachary Douglas Kyle Noah Ethan Jeremy "
+           "Walter Keith Roger Terry Sean Gerald Carl Harold Dylan Arthur Lawrence Jordan Jesse Bryan Bruce Gabriel Logan Alan "
+           "Albert Willie Vincent Philip Ralph Eugene Russell Wolfgang Jürgen Stefan Andreas Matthias Heinrich Friedrich Günther "
+           "François Philippe Jacques Michel Laurent Olivier Guillaume Marco Giovanni Giuseppe Luca Francesco Alessandro José "
+           "Javier Miguel Fernando Diego Pablo Ángel Mohammed Muhammad Ahmed Omar Ali Raj Rahul Михаил Александр Николай Владимир "
+           "Евгений Κώστας Γιάννης Παναγιώτης").split()
+
+# a cased name starts with a capital; Arabic, Hebrew and Devanagari know no case (marks belong to the word)
+_UNICASE = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}&&[\p{L}\p{M}]]"
+_NAME = rf"(?:\p{{Lu}}[\p{{L}}'’-]+|{_UNICASE}{{2,}}+)"
+# Han, kana and Hangul names stand before an honorific (Han ones without spaces start with a common surname)
+_HAN_FIRST = "王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫胡朱高林何郭马馬罗羅梁宋郑鄭谢謝韩韓唐冯馮于董萧程曹袁邓鄧许許傅沈曾彭吕呂苏蘇卢盧蒋蔡贾丁魏薛叶葉余潘杜戴夏"
+EAST = (rf"(?:(?<!\p{{L}})\p{{IsHan}}{{1,4}}|[{_HAN_FIRST}]\p{{IsHan}}{{0,2}}?)(?=先生|女士|小姐|教授|医生|さん|さま|様|氏)"
+        r"|(?<!\p{L})(?:\p{IsHiragana}{2,6}?|[\p{IsKatakana}ー]{2,8})(?=さん|さま|様|氏)|(?<!\p{L})\p{IsHangul}{2,4}?(?=\s?(?:씨|님|선생))")
+CONTEXT = r"(?<=\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ww]ritten by|I am called) )"
 _WORD = r"\p{L}\p{N}"
 EMAIL = r"(?<![.%+-])[\p{L}\p{N}._%+-]++(?<=[\p{L}\p{N}_%+-])@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+IPV6 = (rf"(?<!:)(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}(?::{_HEX4}){{0,6}})?::(?:{_HEX4}(?::{_HEX4}){{0,6}})?)"
+        r"(?![\w:]|\.\d)")
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 PHONE = (r"(?<!\+)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])"
          r"|(?<!\))\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
-         r"|(?<![.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+         r"|(?<![.+-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+         r"|(?<![.+-]|\d )(?:1 )?\d{3} \d{3} \d{4}(?![\w-]| \d)"
+         r"|(?<![.+-]|\d )0(?:\d{1,4}(?: \d{3,4}){2}|\d{2,4}(?:-\d{3,4}){2}|\d(?:[ .]\d{2}){4})(?![\w-]| \d)"
          r"|(?<!\+)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)")
 CARD = r"(?<!\.)\d(?:[ -]?\d){12,18}(?!\w)"
-PERSON = (rf"(?:{'|'.join(TITLES_F + TITLES_M)})\.?\s{_NAME}(?:\s{_NAME})?"
-          rf"|(?:{'|'.join(GIVEN_F + GIVEN_M)})\s{_NAME}")
+PERSON = (rf"(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.?\s(?:{_NAME}(?:\s\p{{Lu}}[\p{{L}}'’-]+)?)"
+          rf"|(?:{'|'.join(GIVEN_F + GIVEN_M)})\s{_NAME}|{CONTEXT}{_NAME}(?:\s{_NAME})?")
 # one look back keeps the search out of words, and one look ahead picks the kinds that can start here
-ENTITY = (rf"(?<![{_WORD}_])(?:{EMAIL}|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z]{{2}}[0-9])(?:{IBAN})"
-          rf"|(?=[\p{{Lu}}гκ])(?:{PERSON}))")
+ENTITY = (rf"(?<![{_WORD}_])(?:{EMAIL}|(?=[0-9A-Fa-f]{{0,4}}:)(?:{IPV6})|(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[A-Z]{{2}}[0-9])(?:{IBAN})"
+          rf"|(?=[\p{{Lu}}гκдп]|{_UNICASE})(?:{PERSON}))|(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}])(?:{EAST})")
 
 # surrogate letters per script, and syllables for names
 SCRIPTS = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -70,6 +102,7 @@ def _sql(s: str) -> str:
 def kind_of(surface: str) -> str:
     """SQL for the kind of a matched surface."""
     return f"""case when contains({surface}, '@') then 'email'
+        when contains({surface}, ':') then 'ipv6'
         when {surface} rlike {_sql(r'^\p{L}{2}\d{2} ?[A-Z0-9]')} then 'iban'
         when {surface} rlike {_sql(r'^\p{L}')} then 'name'
         when {surface} rlike {_sql(r'^\d{1,3}(\.\d{1,3}){3}$')} then 'ip'
@@ -87,7 +120,7 @@ def matches(text: Column) -> Column:
 
 def _solo(hits: str) -> str:
     """SQL: distinct name words of the person mentions among ``hits``."""
-    titles = _sql("^(?:" + "|".join(TITLES_F + TITLES_M) + r")\.?$")
+    titles = _sql("^(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.?$")
     return f"""array_distinct(filter(flatten(transform(filter({hits}, x -> x rlike {_sql(r'^\p{L}+\.?\s|^\p{L}-\p{L}+\.?\s')}
         and not contains(x, '@')), x -> split(x, {_sql(r'\s+')}))),
         w -> not w rlike {titles} and w rlike {_sql('^' + _NAME + '$')}))"""
@@ -104,7 +137,7 @@ def with_parts(base: DataFrame, text: str) -> DataFrame:
     """``base`` plus hits (the surfaces of column ``text`` in order) and parts (the text around them, one
     more than hits)."""
     base = base.withColumn("hits", matches(F.col(text))).withColumn("solo", F.expr(_solo("hits")))
-    more = F.concat(F.lit(ENTITY + rf"|(?<![{_WORD}])(?=\p{{Lu}})(?:"),
+    more = F.concat(F.lit(ENTITY + rf"|(?<![{_WORD}])(?=[\p{{Lu}}\p{{Lo}}])(?:"),
                     F.array_join(F.transform("solo", lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"),
                     F.lit(rf")(?![{_WORD}])"))
     plain = F.size("solo") == 0
@@ -116,13 +149,14 @@ def with_parts(base: DataFrame, text: str) -> DataFrame:
 def words_of_mentions(found: DataFrame) -> DataFrame:
     """d_id, d_key, i, j, kind, norm, attr, surface: one row per entity mention, one per word for
     names.  attr: for names the role seen here (3 female given name, 2 male, 1 given, 0 surname)."""
-    f_title, m_title = (_sql(f"^(?:{'|'.join(t)})\\.?$") for t in (TITLES_F, TITLES_M))
+    f_title, m_title, n_title = (_sql(f"^(?:{'|'.join(t)})\\.?$") for t in (TITLES_F, TITLES_M, TITLES_N))
     f_given, m_given = (_sql(f"^(?:{'|'.join(g)})$") for g in (GIVEN_F, GIVEN_M))
     one = found.select("d_id", "d_key", F.posexplode("hits").alias("i", "surface")).distinct()
     one = one.withColumn("kind", F.expr(kind_of("surface")))
     words = F.expr(f"if(kind = 'name', split(surface, {_sql(r'(?<=\s)|(?=\s)')}), array(surface))")
     one = one.withColumn("words", words).withColumn("title", F.expr(
-        f"case when kind <> 'name' then 0 when words[0] rlike {f_title} then 3 when words[0] rlike {m_title} then 2 else 0 end"))
+        f"case when kind <> 'name' then 0 when words[0] rlike {f_title} then 3 when words[0] rlike {m_title} then 2 "
+        f"when words[0] rlike {n_title} and size(words) > 1 then 1 else 0 end"))
     w = one.select("d_id", "d_key", "i", "kind", "title", F.size("words").alias("n"),
                    F.posexplode("words").alias("j", "surface"))
     digits = F.regexp_replace("surface", r"\D", "")
@@ -159,15 +193,17 @@ def _luhn(digits: str) -> str:
 
 def _name(attr: str) -> str:
     """SQL: a pronounceable name in the script of ``norm``, with an ending of the gender in attr."""
+    # every fourth attempt adds a syllable (a letter where there are none), so the names never run out
     def build(script):
         con, vow = SYLLABLES[script]
+        more = f"if(attempt < 4, '', array_join(transform(sequence(1, cast(attempt div 4 as int)), k -> concat({_pick(con, '100 + k')}, {_pick(vow, '200 + k')})), ''))"
         syl = lambda k: f"{_pick(con, 10 + k)}, {_pick(vow, 20 + k)}"
         end = lambda g: f"element_at(array({', '.join(_sql(e) for e in ENDINGS[script][g])}), cast(pmod(xxhash64(seed, 30), 4) as int) + 1)"
-        return (f"concat({syl(0)}, {syl(1)}, if({attr} in (2, 3), '', concat({syl(2)})), "
+        return (f"concat({syl(0)}, {syl(1)}, {more}, if({attr} in (2, 3), '', concat({syl(2)})), "
                 f"case {attr} when 3 then {end('f')} when 2 then {end('m')} else {end('')} end)")
     return f"""case when norm rlike '\\\\p{{IsCyrillic}}' then {build('cyrillic')}
         when norm rlike '\\\\p{{IsGreek}}' then {build('greek')}
-        when norm rlike '\\\\p{{IsLatin}}' then {build('latin')} else {_shape('norm')} end"""
+        when norm rlike '\\\\p{{IsLatin}}' then {build('latin')} else {_shape("rpad(norm, cast(length(norm) + attempt div 4 as int), norm)")} end"""
 
 
 def candidate(key: str) -> Column:
@@ -177,7 +213,9 @@ def candidate(key: str) -> Column:
     tail = "j >= length(norm) - instr(reverse(norm), '.')"
     card = f"""if({_luhn('norm')} = 0, transform(array(concat(left({_shape('norm')}, length(norm) - 1), '0')), b ->
         concat(left(b, length(b) - 1), cast(pmod(10 - {_luhn('b')}, 10) as string)))[0], {_shape('norm')})"""
-    body = F.expr(f"""case kind when 'email' then {_shape('norm', tail)} when 'iban' then {_shape('norm', 'j < 2')}
+    hexed = lambda x: f"array_join(transform(split({x}, ''), (c, j) -> case when c rlike '[0-9]' then {_pick('0123456789', 'j')} when c rlike '[a-f]' then {_pick('abcdef', 'j')} else c end), '')"
+    ipv6 = f"if(attempt < 4, {hexed('norm')}, {hexed(_sql('0000:' * 7 + '0000'))})"  # a short form has few values
+    body = F.expr(f"""case kind when 'ipv6' then {ipv6} when 'email' then {_shape('norm', tail)} when 'iban' then {_shape('norm', 'j < 2')}
         when 'ip' then concat_ws('.', {octet(0, 1, 223)}, {octet(1, 0, 256)}, {octet(2, 0, 256)}, {octet(3, 1, 254)})
         when 'card' then {card} when 'name' then {_name('attr')} else {_shape('norm')} end""")
     return seed, body
@@ -219,7 +257,7 @@ def _pour() -> Column:
     spaced = """aggregate(split(surface, ''), struct('' as o, 0 as k), (a, c) -> if(c = ' ',
         struct(concat(a.o, c) as o, a.k as k), struct(concat(a.o, substr(sur, a.k + 1, 1)) as o, a.k + 1 as k)), a -> a.o)"""
     named = "if(surface = upper(surface) and length(surface) > 1, upper(sur), concat(upper(left(sur, 1)), substr(sur, 2)))"
-    return F.expr(f"""case kind when 'keep' then surface when 'ip' then sur when 'email' then {letters}
+    return F.expr(f"""case kind when 'keep' then surface when 'ip' then sur when 'email' then {letters} when 'ipv6' then {letters}
         when 'iban' then {spaced} when 'name' then {named} else {digits} end""")
 
 

@@ -281,6 +281,29 @@ def test_surrogates_keep_format_and_identity(spark):
     assert replace_pii(docs_of(spark, []), "k").collect() == []
 
 
+def test_wider_entities_are_replaced(spark):
+    rows = ["Jennifer Brown wrote.", "Dr. Kevin Lee, Prof. Okonkwo and Sir Walter Raleigh.", "call 415 555 2671 now", "020 7946 0958",
+            "1-800-555-1234", "on 2001:db8:85a3::8a2e:370:7334 or fe80::1", "my name is Zebulon Quist", "السيد محمد", "מר כהן", "श्री शर्मा",
+            "田中さん", "你好王小明先生", "김민수 씨", "タナカさん"]
+    got = {r.doc_id: r for r in replace_pii(docs_of(spark, list(enumerate(rows))), "k").collect()}
+    gone = [["Jennifer", "Brown"], ["Kevin", "Lee", "Okonkwo", "Raleigh"], ["415 555 2671"], ["020 7946 0958"], ["800-555-1234"],
+            ["2001:db8", "fe80"], ["Zebulon", "Quist"], ["محمد"], ["כהן"], ["शर्मा"], ["田中"], ["王小明"], ["김민수"], ["タナカ"]]
+    left = [(i, w, got[i].text) for i, ws in enumerate(gone) for w in ws if w in got[i].text]
+    assert left == []
+    assert [got[i].kinds.split(":")[0] for i in range(len(rows))] == ["name"] * 2 + ["phone"] * 3 + ["ipv6"] + ["name"] * 8
+    assert got[1].text.startswith("Dr. ") and " Prof. " in got[1].text and re.fullmatch(r"\d\d\d \d{4} \d{4}", got[3].text)
+    assert got[11].text.startswith("你好") and got[11].text.endswith("先生") and got[12].text.endswith(" 씨")
+    same = ["12:30", "std::vector a::b", "Chapter 100 200 30", "the judge said", "1.2.3"]
+    assert sorted(r.text for r in replace_pii(docs_of(spark, list(enumerate(same))), "k").collect()) == sorted(same)
+
+
+def test_short_formats_never_run_out_of_surrogates(spark):
+    rows = [(i, f"田{chr(0x4e00 + i)}さん") for i in range(900)] + [(1000 + i, f"{chr(0x5200 + i)}さん") for i in range(60)]
+    rows += [(2000 + i, f"at ::{i}") for i in range(10)]
+    out = {r.doc_id: r.text for r in replace_pii(docs_of(spark, rows), "k").collect()}
+    assert len(set(out.values())) == len(rows) and not set(out.values()) & {t for _, t in rows}
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(5)
     phones = sorted({f"({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04d}" for _ in range(800)})
