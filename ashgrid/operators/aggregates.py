@@ -256,24 +256,31 @@ LANDCOVER_BAND = 16
 
 def band_statistics(pixels_long: DataFrame, years: Sequence[int], band: str = "band",
                     value: str = "v", year: str = "year",
-                    not_standardised: Sequence[int] = (*DEGREE_BANDS, LANDCOVER_BAND)) -> DataFrame:
+                    not_standardised: Sequence[int] = (*DEGREE_BANDS, LANDCOVER_BAND),
+                    folds: DataFrame | None = None) -> DataFrame:
     """Per band mean, population std and missing rate over the training years.
 
+    With ``folds`` (fold, year, split) per fold and band, over the fold's own training years among ``years``.
+
     Bands that must not be standardised (angles, land cover) get mean 0 and std 1.
     Input is the long pixel table (year, band, v) with nulls for missing pixels.
     """
-    f = pixels_long.filter(F.col(year).isin(list(years)))
-    s = f.groupBy(band).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+    f, keys = pixels_long.filter(F.col(year).isin(list(years))), [band]
+    if folds is not None:  # a few (fold, year) rows
+        train = folds.filter("split = 'train'").select("fold", F.col("year").alias(year))
+        f, keys = f.join(F.broadcast(train), year), ["fold", band]
+    s = f.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
                             F.avg(F.col(value).isNull().cast("double")).alias("missing_rate"))
     keep = ~F.col(band).isin(list(not_standardised))
-    return s.select(band, F.when(keep, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"),
+    return s.select(*keys, F.when(keep, F.col("mean")).otherwise(F.lit(0.0)).alias("mean"),
                     F.when(keep, F.col("std")).otherwise(F.lit(1.0)).alias("std"), "missing_rate")
 
 
-def positive_weight(stats: DataFrame, fire_band: int = 22, band: str = "band") -> DataFrame:
-    """Positive-class weight 1 / (1 - missing rate of the active-fire band)."""
+def positive_weight(stats: DataFrame, fire_band: int = 22, band: str = "band",
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """Positive-class weight 1 / (1 - missing rate of the active-fire band), per ``keys`` of the statistics."""
     return stats.filter(F.col(band) == fire_band).select(
-        F.try_divide(F.lit(1.0), 1 - F.col("missing_rate")).alias("pos_weight"))
+        *keys, F.try_divide(F.lit(1.0), 1 - F.col("missing_rate")).alias("pos_weight"))
 
 
 def collect_areas(fires: DataFrame, start, end, min_area: float, area: str = "area",

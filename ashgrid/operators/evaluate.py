@@ -101,7 +101,7 @@ def softplus(z: Column) -> Column:
 
 
 def bce(df: DataFrame, keys: Sequence[str] = (), label: str = "y", logit: str = "score",
-        pos_weight: float = 1.0) -> DataFrame:
+        pos_weight: float | Column = 1.0) -> DataFrame:
     """Mean of pos_weight * y * -log(sigmoid(x)) + (1 - y) * -log(1 - sigmoid(x))."""
     x, y = F.col(logit), F.col(label)
     loss = pos_weight * y * softplus(-x) + (1 - y) * softplus(x)

@@ -210,16 +210,20 @@ select c.fold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as
 from c left join ap on c.fold = ap.fold""")
 def q_fold_scores(spark, sf_dir):
     """I9 (I1-I3, I5, D20): logits of the last input hour scored on the test year of all twelve folds in one
-    pass, mapped through a sigmoid, with the weight of the training years' fire band."""
+    pass, mapped through a sigmoid, with the weight of the fire band in each fold's own training years."""
     sp = sample_pixels(spark, sf_dir)
     at = lambda lag, c: F.coalesce(F.max(F.when(F.col("lag") == lag, F.col(c))), F.lit(0))
     t = sp.filter(F.col("lag") >= T - 1).groupBy("year", "fire_id", "sample_idx", "y", "x").agg(
         at(T - 1, "af_hh").alias("hh"), at(T, "af_mask").alias("y_true"))
-    weight = agg.positive_weight(agg.band_statistics(raster_long(spark, sf_dir), [2018, 2019])).first()["pos_weight"]
-    test = P.fold_table(spark).filter("split = 'test'").select("fold", "year")
+    folds = P.fold_table(spark)
+    years = sorted({y for _, y, _ in P.year_folds()})
+    fires = raster_long(spark, sf_dir).filter("band = 22")
+    weight = agg.positive_weight(agg.band_statistics(fires, years, folds=folds), keys=["fold"])
+    test = folds.filter("split = 'test'").select("fold", "year")
     scored = t.join(test, "year").select("fold", F.col("y_true").alias("y"), ((F.col("hh") - 6) / 6.0).alias("logit"))
     m = E.metrics_by_group(scored.withColumn("score", E.sigmoid("logit")), ["fold"])
-    return rounded(m.join(E.bce(scored, ["fold"], logit="logit", pos_weight=weight), "fold"))
+    weighted = scored.join(F.broadcast(weight), "fold", "left")  # one number per fold
+    return rounded(m.join(E.bce(weighted, ["fold"], logit="logit", pos_weight=F.col("pos_weight")), "fold"))
 
 
 @register("fire_dates", sql="""

@@ -48,9 +48,9 @@ def agreement_in_fire_boxes(obs: DataFrame, fires: DataFrame, truth: str, estima
     return agg.agreement(inside, truth, estimates, lo, hi)
 
 
-def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, fold: int = 0) -> DataFrame:
+def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, fold: int | None = 0) -> DataFrame:
     """L3: samples -> cleaned fire band -> persistence prediction vs next-day label ->
-    confusion counts, precision / recall / F1 / IoU and average precision per split of a fold."""
+    confusion counts, precision / recall / F1 / IoU and average precision per split of a fold, or with ``fold`` None per fold and split of all folds."""
     s = P.samples(pixels, T, skip)
     hh = P.clean_fire_band("b22")
     s = s.withColumns({"af_hh": hh, "af_mask": P.binary_mask(hh)})
@@ -61,12 +61,13 @@ def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, f
               .groupBy(*keys, "y", "x")
               .agg(F.coalesce(F.max(F.when(F.col("lag") == T - 1, F.col("af_mask"))), F.lit(0)).alias("pred"),
                    F.coalesce(F.max(F.when(F.col("lag") == T, F.col("af_mask"))), F.lit(0)).alias("label")))
-    f = folds.filter(F.col("fold") == fold).select("year", "split")
-    # one fold: at most 8 (year, split) rows are broadcast
+    by = ["split"] if fold is not None else ["fold", "split"]
+    f = (folds if fold is None else folds.filter(F.col("fold") == fold)).select("year", *by)
+    # a few (year, split) rows per fold are broadcast
     t = table.join(F.broadcast(f), "year").withColumnRenamed("label", "y_true").withColumn("score", F.col("pred").cast("double"))
-    m = E.binary_metrics(E.confusion(t, ["split"], "y_true", "score", 0.5))
-    ap = E.average_precision(t, ["split"], "y_true", "score")
-    return m.join(ap, "split", "left")
+    m = E.binary_metrics(E.confusion(t, by, "y_true", "score", 0.5))
+    ap = E.average_precision(t, by, "y_true", "score")
+    return m.join(ap, by, "left")
 
 
 def select_fires(fires: DataFrame, daily: DataFrame, start, end, min_size: float,

@@ -80,3 +80,34 @@ def test_ragged_rows_do_not_fail_the_job(spark):
     assert [r.row_idx for r in SRC.rows_from_header_array(df).collect()] == [0]
     kept = SRC.rows_from_header_array(df, keep_ragged=True).collect()
     assert sorted((r.row_idx, r.reason) for r in kept) == [(0, None), (1, "ragged"), (3, "ragged")]
+
+
+def test_every_fold_has_the_weight_of_its_own_training_years(spark):
+    """The corrected form of the registered SQL: the weight w per fold, over the fold's training years."""
+    import __spark_entry__ as entry
+    from conftest import SF001
+    from oracle_harness import duck
+    sql = entry.oracle_sql()["fold_scores"]
+    for old, new in (("w as (select 1.0 / (1 - missing_rate) as pos_weight from st where band = 22)",
+                      """w as (select f.fold, count(*) * 1.0 / count(long.v) as pos_weight from long join f on f.year = long.year
+                               where band = 22 and split = 'train' group by 1)"""),
+                     ("avg((select pos_weight from w) * y", "avg(pos_weight * y"), ("as bce from s group by 1", "as bce from s join w using (fold) group by 1")):
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    want = {r[0]: r[1:] for r in duck(SF001).execute(sql).fetchall()}
+    got = {r[0]: r[1:] for r in entry.queries()["fold_scores"](spark, SF001).collect()}
+    assert len(want) == 12 and set(got) == set(want) and len({w[-1] for w in want.values()}) > 4
+    for fold in want:
+        assert got[fold] == pytest.approx(want[fold], abs=2e-6), fold
+
+
+def test_persistence_scores_of_all_folds(spark):
+    from conftest import SF0001
+    from ashgrid.plans.jobs import persistence_scores
+    from ashgrid.sources.fixtures import raster
+    r, folds = raster(spark, SF0001), P.fold_table(spark)
+    every = {(x.fold, x.split): tuple(x)[2:] for x in persistence_scores(r, 2, 1, folds, None).collect()}
+    assert {k for k, _ in every} == set(range(12))
+    for fold in (0, 7):
+        one = {(fold, x.split): tuple(x)[1:] for x in persistence_scores(r, 2, 1, folds, fold).collect()}
+        assert one == {k: v for k, v in every.items() if k[0] == fold}
