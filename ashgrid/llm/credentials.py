@@ -3,7 +3,8 @@
 Base patterns (assignments, access identifiers, hexadecimal runs) are reported wherever they occur.
 Weak candidates (user names and client ids, bare mixed strings, endpoints) are reported only when a
 complementary part lies within their scope: an identifier or an endpoint needs a secret nearby, a
-bare string needs an identifier or an endpoint.  Parts meet in an interval join: every part is
+bare string needs an identifier or an endpoint.  A weak candidate inside a base match is part of that
+match and not reported again.  Parts meet in an interval join: every part is
 registered in the fixed-width cells it covers, weak parts look into the cells their scope covers,
 and the exact distance is the join condition, so no part meets the whole document.
 
@@ -76,8 +77,8 @@ def parts_of(docs: DataFrame) -> DataFrame:
 
 
 def linked(parts: DataFrame, scope: int = SCOPE, cell: int = CELL) -> DataFrame:
-    """The weak parts that have a complementary part at most ``scope`` code points away and do not
-    overlap a base match."""
+    """The weak parts that have a complementary part at most ``scope`` code points away and lie in no
+    base match as a whole (one that contains or crosses a base match stays)."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
     other = parts.select("d_id", "d_key", F.col("kind").alias("o_kind"), F.col("role").alias("o_role"),
                          F.col("start").alias("o_start"), F.col("end").alias("o_end"),
@@ -87,7 +88,7 @@ def linked(parts: DataFrame, scope: int = SCOPE, cell: int = CELL) -> DataFrame:
     near = (F.col("o_start") <= F.col("end") + scope) & (F.col("o_end") >= F.col("start") - scope)
     same = F.col("w.d_id").eqNullSafe(F.col("o.d_id")) & (F.col("w.d_key") == F.col("o.d_key")) & (
         F.col("w.cell") == F.col("o.cell"))
-    covers = F.col("o_kind").isin(*BASE) & (F.col("o_start") < F.col("end")) & (F.col("o_end") > F.col("start"))
+    covers = F.col("o_kind").isin(*BASE) & (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end"))
     fits = (F.col("role") != F.col("o_role")) & ((F.col("role") == "secret") | (F.col("o_role") == "secret"))
     met = weak.alias("w").join(other.alias("o"), same & near & (covers | fits))
     keys = [F.col(f"w.{c}").alias(c) for c in ("d_id", "d_key", "kind", "role", "i", "start", "end")]

@@ -256,6 +256,16 @@ def test_weak_parts_need_a_complement(spark):
     assert scan_documents(docs_of(spark, rows)).count() == len(rows)
 
 
+def test_an_endpoint_around_its_secret_is_linked(spark):
+    urls = ["https://host/v1?token=AbCdEf0123456789", "mongodb://h/db?password=AbCdEf0123456789"]
+    rows = [(i, f"see {u} there") for i, u in enumerate(urls)] + [(9, "password=https://example.com/abcdef"), (10, "token=Qw3rTyUiOp4sDfGhJkLzXc user=alice")]
+    got = {r.doc_id: r for r in scan_documents(docs_of(spark, rows)).collect()}
+    for i, u in enumerate(urls):
+        at = u.index("token" if i == 0 else "password")
+        assert got[i].spans == f"endpoint:4:{4 + len(u)},assign:{4 + at}:{4 + len(u)}" and got[i].n_linked == 1
+    assert [s.split(":")[0] for s in got[10].spans.split(",")] == ["assign", "ident"]  # the bare string is inside the assignment
+
+
 # ------------------------------------------------------------------ PII
 
 def test_surrogates_keep_format_and_identity(spark):
