@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ashgrid.llm import oracles
 from ashgrid.llm.common import load
+from ashgrid.llm.conversations import conversation_trie
 from ashgrid.llm.credentials import scan_documents
 from ashgrid.llm.decontam import decontaminate
 from ashgrid.llm.html import extract_pages
@@ -18,8 +19,10 @@ from ashgrid.llm.mixing import mix_documents
 from ashgrid.llm.pii import replace_pii
 from ashgrid.llm.quality import score_documents
 from ashgrid.llm.repeats import remove_repeats
+from ashgrid.llm.runs import run_digest, with_planted_period
 from ashgrid.llm.sharding import shard_documents
 from ashgrid.llm.topk import top_k
+from ashgrid.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +97,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
 
 
+@query("op11_prefix_trie", oracles.PREFIX_TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+@query("op12_lyndon_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with a planted period."""
+    docs = load(spark, sf_dir, "documents")
+    return run_digest(docs.select("doc_id", with_planted_period(F.col("text"), F.col("doc_id")).alias("text")))
+
+
+@query("op13_url_ratio", oracles.URL_FILTER)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules and by the ratio of two character models."""
+    return filter_urls(load(spark, sf_dir, "pages"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality filter, near-duplicate removal, decontamination, mixing and sharding of all documents."""
