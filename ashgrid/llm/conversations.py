@@ -209,39 +209,51 @@ def _prefixes(products: DataFrame, convs: DataFrame, monoid: Monoid) -> DataFram
     return root.unionByName(heads).unionByName(tails)
 
 
+def _packed(rows, names: list[str], text: str, size: int = 1 << 20):
+    """Rows (depth, fp, ...) as Arrow batches of about ``size`` characters of ``text``."""
+    schema = pa.schema([(n, pa.string() if n == text else pa.int64()) for n in names])
+    held, n = [], 0
+    for r in rows:
+        held.append(dict(zip(names, r)))
+        n += 64 + len(held[-1][text])
+        if n >= size:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def _blocks(batches):
     """Sorted (depth, fp, conv_id) -> depth, fp, first, body: the ids of a node, comma-joined in pieces."""
-    def out(key, ids):
-        return pa.RecordBatch.from_pydict({"depth": [key[0]], "fp": [key[1]], "first": [ids[0]], "body": [",".join(map(str, ids))]},
-                                          pa.schema([("depth", pa.int64()), ("fp", pa.int64()), ("first", pa.int64()), ("body", pa.string())]))
-    key, ids = None, []
-    for b in batches:
-        for d, f, c in zip(*(b.column(x).to_pylist() for x in range(3))):
-            if (d, f) != key or len(ids) == BLOCK:
-                if ids:
-                    yield out(key, ids)
-                key, ids = (d, f), []
-            ids.append(c)
-    if ids:
-        yield out(key, ids)
+    def rows():
+        key, ids = None, []
+        for b in batches:
+            for d, f, c in zip(*(b.column(x).to_pylist() for x in range(3))):
+                if (d, f) != key or len(ids) == BLOCK:
+                    if ids:
+                        yield *key, ids[0], ",".join(map(str, ids))
+                    key, ids = (d, f), []
+                ids.append(c)
+        if ids:
+            yield *key, ids[0], ",".join(map(str, ids))
+    return _packed(rows(), ["depth", "fp", "first", "body"], "body")
 
 
 def _digests(batches):
     """Sorted pieces -> depth, fp, ends_sha256; a list is hashed piece by piece, never held whole."""
-    def out(key, h):
-        return pa.RecordBatch.from_pydict({"depth": [key[0]], "fp": [key[1]], "ends_sha256": [h.hexdigest()]},
-                                          pa.schema([("depth", pa.int64()), ("fp", pa.int64()), ("ends_sha256", pa.string())]))
-    key, h = None, None
-    for b in batches:
-        for d, f, body in zip(*(b.column(x).to_pylist() for x in ("depth", "fp", "body"))):
-            if (d, f) == key:
-                h.update(b"," + body.encode())
-                continue
-            if h is not None:
-                yield out(key, h)
-            key, h = (d, f), hashlib.sha256(body.encode())
-    if h is not None:
-        yield out(key, h)
+    def rows():
+        key, h = None, None
+        for b in batches:
+            for d, f, body in zip(*(b.column(x).to_pylist() for x in ("depth", "fp", "body"))):
+                if (d, f) == key:
+                    h.update(b"," + body.encode())
+                    continue
+                if h is not None:
+                    yield *key, h.hexdigest()
+                key, h = (d, f), hashlib.sha256(body.encode())
+        if h is not None:
+            yield *key, h.hexdigest()
+    return _packed(rows(), ["depth", "fp", "ends_sha256"], "ends_sha256")
 
 
 def _ends(prefixes: DataFrame) -> DataFrame:
