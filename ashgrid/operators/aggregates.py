@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashgrid.functions.columns import abs_error, ntz_lit, positive_pairs, valid_pairs
-from ashgrid.functions.stats import mean_bias, present, rmse, safe_corr, safe_slope
+from ashgrid.functions.stats import (mean_bias, present, rmse, safe_corr, safe_slope, weighted_corr, weighted_mean,
+                                     weighted_slope)
 from ashgrid.operators.ranks import rank_correlation
 
 __all__ = [
@@ -47,36 +48,51 @@ def unpivot_estimates(df: DataFrame, truth: str, estimates: Sequence[str],
     return long.withColumnRenamed(truth, "truth")
 
 
-def _metric_aggs(lat: str, lon: str):
+def _metric_aggs(lat: str, lon: str, weight: str | None = None):
     t, e = F.col("truth"), F.col("est")
+    stations = F.count_distinct(F.col(lat), F.col(lon)).alias("stations")
+    if weight is None:
+        return [
+            safe_corr(t, e).alias("pearson"),
+            safe_corr(F.ln(t), F.ln(e)).alias("log_pearson"),
+            rmse(t, e).alias("rmse"),
+            mean_bias(t, e).alias("bias"),
+            safe_slope(t, e).alias("slope"),
+            F.count(F.lit(1)).alias("n"),
+            stations,
+        ]
+    w = F.col(weight)
     return [
-        safe_corr(t, e).alias("pearson"),
-        safe_corr(F.ln(t), F.ln(e)).alias("log_pearson"),
-        rmse(t, e).alias("rmse"),
-        mean_bias(t, e).alias("bias"),
-        safe_slope(t, e).alias("slope"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.col(lat), F.col(lon)).alias("stations"),
+        weighted_corr(t, e, w).alias("pearson"),
+        weighted_corr(F.ln(t), F.ln(e), w).alias("log_pearson"),
+        F.sqrt(weighted_mean(F.pow(present(t) - present(e), 2), w)).alias("rmse"),
+        weighted_mean(present(t) - present(e), w).alias("bias"),
+        weighted_slope(t, e, w).alias("slope"),
+        F.sum(w).alias("n"),
+        stations,
     ]
 
 
-def _metrics(long: DataFrame, keys: list[str], lat: str, lon: str, buckets: int | None) -> DataFrame:
-    base = long.groupBy(*keys).agg(*_metric_aggs(lat, lon))
-    sp = rank_correlation(long, keys, "truth", "est", buckets)
+def _metrics(long: DataFrame, keys: list[str], lat: str, lon: str, buckets: int | None, weight: str | None = None) -> DataFrame:
+    base = long.groupBy(*keys).agg(*_metric_aggs(lat, lon, weight))
+    sp = rank_correlation(long, keys, "truth", "est", buckets, weight)
     return base.join(sp, keys, "left")
 
 
 def agreement(df: DataFrame, truth: str, estimates: Sequence[str], lo: float = 2.0,
-              hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None) -> DataFrame:
+              hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None,
+              weight: str | None = None) -> DataFrame:
     """D3: one row per estimate column: pearson, log_pearson, spearman, rmse,
     bias = mean(truth - est), slope of truth on est, n, stations.
 
     Rows enter an estimate's subset when truth, estimate and location are present and
     both values lie in [lo, hi].  An estimate with an empty subset keeps its row, all nulls.
+    ``weight`` names a whole-number column that says how often a row counts (1 or more).
     """
-    long = unpivot_estimates(df, truth, estimates, keep=(lat, lon))
+    keep = (lat, lon) if weight is None else (lat, lon, weight)
+    long = unpivot_estimates(df, truth, estimates, keep=keep)
     long = valid_pairs(long, "truth", "est", lo, hi, extra_not_null=(lat, lon))
-    m = _metrics(long, ["source"], lat, lon, buckets)
+    m = _metrics(long, ["source"], lat, lon, buckets, weight)
     spark = df.sparkSession
     sources = spark.createDataFrame([(s,) for s in estimates], "source string")
     return sources.join(m, "source", "left").select("source", *METRIC_COLUMNS)

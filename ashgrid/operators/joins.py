@@ -3,7 +3,8 @@
 Design rules used throughout:
   * Grid sampling (C5-C8, C10) turns coordinates into integer cell indexes and equi-joins;
     there is never a distance join.
-  * Box / period restrictions (C3, C4) use a cell-binned range join (``box_join``).
+  * Box / period restrictions use a cell-binned range join (C3, ``box_join``); where only the number of
+    fires around a reading counts (C4, L2), differences per place and period (``covering_fires``).
   * No join side is forced to be broadcast: Catalyst and AQE choose from measured bytes, and
     AQE's skew handling splits hot partitions of shuffle joins.  The only hints are on tables
     of a fixed size (23 band names).
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from ashgrid.functions.columns import col_of, micros_between, ntz_lit
 from ashgrid.functions.geo import LambertSpec, lambert_xy
 
 __all__ = [
-    "hours_since", "attach_exact", "match_inner", "box_join", "obs_near_fire", "obs_within_fire_box",
+    "hours_since", "attach_exact", "match_inner", "box_join", "obs_near_fire", "covering_fires",
+    "obs_within_fire_box",
     "RegularAxis", "IrregularAxis", "nearest_index", "lower_index", "sample_nearest", "corner_table", "sample_linear",
     "sample_projected", "sample_stations", "nearest_in_time", "append_grid_bands", "append_grid_fields",
     "match_by_substring", "in_calendar_windows", "missing_cycles", "subset_by_index", "coverage_by_year",
@@ -54,6 +57,44 @@ def _day_number(ts: Column) -> Column:
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
 
 
+def _fire_bins(fires: DataFrame, half: float, cell: float, period_days: int, fire_cols: Sequence[str], fire_lat: str, fire_lon: str,
+               start: str, end: str) -> DataFrame:
+    """One row per fire and (cell, period) bin that its box and period touch."""
+    f = fires.select(*[F.col(c) for c in fire_cols], F.col(fire_lat).alias("_flat"),
+                     F.col(fire_lon).alias("_flon"), F.col(start).alias("_fs"), F.col(end).alias("_fe"))
+    for name, c in (("_cy", "_flat"), ("_cx", "_flon")):
+        f = f.select("*", F.explode(F.sequence(F.floor((F.col(c) - half) / cell), F.floor((F.col(c) + half) / cell))).alias(name))
+    return f.select("*", F.explode(F.sequence(F.floor(_day_number(F.col("_fs")) / period_days),
+                                              F.floor(_day_number(F.col("_fe")) / period_days))).alias("_cp"))
+
+
+def _bin_of(lat: str, lon: str, time: str, cell: float, period_days: int) -> dict[str, Column]:
+    """The one bin of a reading."""
+    return {"_cy": F.floor(F.col(lat) / cell), "_cx": F.floor(F.col(lon) / cell),
+            "_cp": F.floor(_day_number(F.col(time)) / period_days)}
+
+
+def _near_any_fire(obs: DataFrame, fires: DataFrame, half: float, lat: str, lon: str, time: str, fire_lat: str, fire_lon: str,
+                   start: str, end: str) -> DataFrame:
+    """Readings in the fires' global period and bounding box.  These six numbers come back as literals, so
+    the filter reaches the readings' scan (partition pruning / parquet pushdown on stored columns)."""
+    b = fires.agg(F.min(start).alias("t0"), F.max(end).alias("t1"),
+                  F.min(fire_lat).alias("la0"), F.max(fire_lat).alias("la1"),
+                  F.min(fire_lon).alias("lo0"), F.max(fire_lon).alias("lo1")).first()
+    if b["t0"] is None:          # no fires: the join that follows is empty anyway
+        return obs
+    return obs.filter(F.col(time).between(ntz_lit(b["t0"]), ntz_lit(b["t1"]))
+                      & F.col(lat).between(b["la0"] - half, b["la1"] + half)
+                      & F.col(lon).between(b["lo0"] - half, b["lo1"] + half))
+
+
+def _in_box(la: Column, lo: Column, half: float, strict_box: str) -> Column:
+    if strict_box == "abs":
+        return (F.abs(la - F.col("_flat")) < half) & (F.abs(lo - F.col("_flon")) < half)
+    return ((lo > F.col("_flon") - half) & (lo < F.col("_flon") + half)
+            & (la > F.col("_flat") - half) & (la < F.col("_flat") + half))
+
+
 def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str = "abs",
              obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
              fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
@@ -72,41 +113,10 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
     while the plan is built.
     """
     cell = cell_deg or 2 * half
-    f = fires.select(*[F.col(c) for c in fire_cols], F.col(fire_lat).alias("_flat"),
-                     F.col(fire_lon).alias("_flon"), F.col(start).alias("_fs"), F.col(end).alias("_fe"))
-    bins = f.select(
-        "*",
-        F.explode(F.sequence(F.floor((F.col("_flat") - half) / cell), F.floor((F.col("_flat") + half) / cell))).alias("_cy"))
-    bins = bins.select(
-        "*",
-        F.explode(F.sequence(F.floor((F.col("_flon") - half) / cell), F.floor((F.col("_flon") + half) / cell))).alias("_cx"))
-    bins = bins.select(
-        "*",
-        F.explode(F.sequence(F.floor(_day_number(F.col("_fs")) / period_days),
-                             F.floor(_day_number(F.col("_fe")) / period_days))).alias("_cp"))
-    o = obs
-    if prefilter:
-        # the fires' global period and bounding box (six numbers) come back as literals, so the
-        # filter reaches the readings' scan (partition pruning / parquet pushdown on stored columns)
-        b = fires.agg(F.min(start).alias("t0"), F.max(end).alias("t1"),
-                      F.min(fire_lat).alias("la0"), F.max(fire_lat).alias("la1"),
-                      F.min(fire_lon).alias("lo0"), F.max(fire_lon).alias("lo1")).first()
-        if b["t0"] is not None:          # no fires: the join below is empty anyway
-            o = o.filter(F.col(obs_time).between(ntz_lit(b["t0"]), ntz_lit(b["t1"]))
-                         & F.col(obs_lat).between(b["la0"] - half, b["la1"] + half)
-                         & F.col(obs_lon).between(b["lo0"] - half, b["lo1"] + half))
-    o = o.withColumns({
-        "_cy": F.floor(F.col(obs_lat) / cell),
-        "_cx": F.floor(F.col(obs_lon) / cell),
-        "_cp": F.floor(_day_number(F.col(obs_time)) / period_days),
-    })
-    j = o.join(bins, ["_cy", "_cx", "_cp"], "inner")
-    la, lo = F.col(obs_lat), F.col(obs_lon)
-    if strict_box == "abs":
-        inside = (F.abs(la - F.col("_flat")) < half) & (F.abs(lo - F.col("_flon")) < half)
-    else:
-        inside = ((lo > F.col("_flon") - half) & (lo < F.col("_flon") + half)
-                  & (la > F.col("_flat") - half) & (la < F.col("_flat") + half))
+    bins = _fire_bins(fires, half, cell, period_days, fire_cols, fire_lat, fire_lon, start, end)
+    o = _near_any_fire(obs, fires, half, obs_lat, obs_lon, obs_time, fire_lat, fire_lon, start, end) if prefilter else obs
+    j = o.withColumns(_bin_of(obs_lat, obs_lon, obs_time, cell, period_days)).join(bins, ["_cy", "_cx", "_cp"], "inner")
+    inside = _in_box(F.col(obs_lat), F.col(obs_lon), half, strict_box)
     during = (F.col(obs_time) >= F.col("_fs")) & (F.col(obs_time) <= F.col("_fe"))
     return j.filter(inside & during).drop("_cy", "_cx", "_cp", "_flat", "_flon", "_fs", "_fe")
 
@@ -117,11 +127,44 @@ def obs_near_fire(obs: DataFrame, fires: DataFrame, half: float = 0.5, **kw) ->
     return box_join(obs, fires, half, strict_box="abs", **kw)
 
 
+def covering_fires(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str = "bounds",
+                   obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
+                   fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
+                   cell_deg: float | None = None, period_days: int = 7, out: str = "n_fires") -> DataFrame:
+    """Readings inside at least one fire's box during its period, once each, with the number of such fires.
+
+    Interval stabbing by differences: a fire adds one at its start and takes one away after its end.  The
+    differences are summed per place and period, where a place is a distinct (lat, lon) that has readings in
+    the period, and a reading's count is the sum of those up to its time.  So a reading meets one row, never
+    its fires; fires meet places, which are as many as the stations, not the readings.  Per place and
+    period, fires that start or end at one instant are one difference."""
+    cell = cell_deg or 2 * half
+    o = _near_any_fire(obs, fires, half, obs_lat, obs_lon, obs_time, fire_lat, fire_lon, start, end)
+    bins = _fire_bins(fires, half, cell, period_days, (), fire_lat, fire_lon, start, end)
+    at = _bin_of(obs_lat, obs_lon, obs_time, cell, period_days)
+    places = o.select(F.col(obs_lat).alias("_la"), F.col(obs_lon).alias("_lo"), *[c.alias(n) for n, c in at.items()]).distinct()
+    met = places.join(bins, ["_cy", "_cx", "_cp"]).filter(_in_box(F.col("_la"), F.col("_lo"), half, strict_box) & (F.col("_fs") <= F.col("_fe")))
+    # instants in half microseconds since 1970: a start counts from 2 t on, an end from 2 t + 1 on
+    zero = ntz_lit(datetime(1970, 1, 1))
+    instant = lambda t: 2 * micros_between(zero, t)
+    length = 2 * 86_400_000_000 * period_days
+    changes = met.select("_la", "_lo", "_cp", F.explode(F.array(
+        F.struct(F.greatest(instant(F.col("_fs")), F.col("_cp") * length).alias("k"), F.lit(1).cast("long").alias("d")),
+        F.struct((instant(F.col("_fe")) + 1).alias("k"), F.lit(-1).cast("long").alias("d")))).alias("s")).filter(
+        F.col("s.k") < (F.col("_cp") + 1) * length)
+    steps = changes.groupBy("_la", "_lo", "_cp", F.col("s.k").alias("k")).agg(F.sum("s.d").alias("d")).groupBy("_la", "_lo", "_cp").agg(
+        F.collect_list(F.struct("k", "d")).alias("_steps"))
+    j = o.withColumn("_op", at["_cp"]).join(steps, (F.col(obs_lat) == F.col("_la")) & (F.col(obs_lon) == F.col("_lo"))
+                                            & (F.col("_op") == F.col("_cp")))
+    passed = F.aggregate("_steps", F.lit(0).cast("long"), lambda n, x: n + F.when(x["k"] <= instant(F.col(obs_time)), x["d"]).otherwise(0))
+    return j.withColumn(out, passed).filter(F.col(out) > 0).select(*obs.columns, out)
+
+
 def obs_within_fire_box(obs: DataFrame, fires: DataFrame, half: float = 1.0, **kw) -> DataFrame:
     """C4: readings within a fire's +/-1 degree box (boundary excluded) during its period;
     overlapping boxes keep duplicates; only the reading columns are returned."""
-    cols = obs.columns
-    return box_join(obs, fires, half, strict_box="bounds", **kw).select(*cols)
+    counted = covering_fires(obs, fires, half, strict_box="bounds", out="_n_fires", **kw)
+    return counted.select(*obs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_n_fires").cast("int"))).alias("_copy")).drop("_copy")
 
 
 @dataclass(frozen=True)

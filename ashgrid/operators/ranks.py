@@ -1,76 +1,179 @@
-"""Average ranks and rank correlation without a single-partition window.
-
-``rank() over (order by v)`` puts a whole group into one task.  Here the value axis is cut into
-ranges that hold about ``ROWS_PER_BUCKET`` rows each (quantiles of all keys together, so a large
-key is cut finely and a small one needs no cut), values are ranked inside (key, range) windows,
-and each range starts at the offset of the ranges below it.  The number of ranges follows the
-measured number of rows; the bounds come to the driver as that many numbers and go back into the
-plan as a binary search, so assigning a range shuffles nothing.
+"""Running totals, average ranks and rank correlation without a single-partition window.
+
+``rank() over (order by v)`` puts a whole group into one task.  Here the rows are sorted over all
+partitions by (key, value), every partition sums its own rows, and what a partition needs from
+those before it (the sums of a key, or of equal values, that lie across a boundary) is worked out
+from one row per partition.  That is all the driver sees, however many rows, keys or values there are;
+the bounds of the ranges stay inside Spark's range partitioning.  Equal values may be spread over
+many partitions by further sort columns, so a value that a third of the rows hold is no hot spot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashgrid.session import cut_lineage
 
-__all__ = ["average_ranks", "rank_correlation", "cumulative_by_value", "ROWS_PER_BUCKET"]
-
-ROWS_PER_BUCKET = 100_000
-
-
-def with_buckets(df: DataFrame, values: Sequence[str], buckets: int | None = None,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``df`` with ``<value>_bucket`` for each value: the index of its range, monotone in the value.
-
-    ``df`` should be materialised: it is read for a row count and, when more than one range is
-    needed, for the quantiles (both are the only jobs that run while a rank plan is built)."""
-    n = buckets or -(-df.count() // rows_per_bucket)
-    names = [f"{v}_bucket" for v in values]
-    # one range: 0 for every value, yet not a constant, so that joins on the range stay equi-joins
-    only = lambda v: F.col(v).isNull().cast("int")
-    if n <= 1:
-        return df.withColumns({name: only(v) for v, name in zip(values, names)})
-    probs = [i / n for i in range(1, n)]
-    got = df.agg(*[F.percentile_approx(F.col(v).cast("double"), probs, 20 * n).alias(v) for v in values]).first()
-    out = df
-    for v, name in zip(values, names):
-        # half-open ranges (.., b], expressed on the negated axis, where Bucketizer's are [-b, ..)
-        cuts = sorted({-float(b) for b in got[v] or []})
-        if not cuts:
-            out = out.withColumn(name, only(v))
-            continue
-        splits = [-float("inf"), *cuts, float("inf")]
-        out = out.withColumn("_axis", -F.col(v).cast("double"))
-        out = Bucketizer(splits=splits, inputCol="_axis", outputCol="_range", handleInvalid="keep").transform(out)
-        out = out.withColumn(name, (F.lit(len(splits)) - F.col("_range")).cast("int")).drop("_axis", "_range")
+__all__ = ["running_totals", "average_ranks", "rank_correlation", "cumulative_by_value"]
+
+FIRST_KEY, FIRST_TIE, LAST_TIE = 1, 2, 4   # which edge of its partition a row belongs to
+
+
+def _changed(a: pa.Array) -> np.ndarray:
+    """Whether each element but the first differs from the one before (null equals null, NaN equals NaN)."""
+    x, y = a.slice(1), a.slice(0, len(a) - 1)
+    out = np.asarray(pc.fill_null(pc.not_equal(x, y), False)) | (np.asarray(x.is_null()) != np.asarray(y.is_null()))
+    if pa.types.is_floating(a.type):
+        nan = [np.asarray(pc.fill_null(pc.is_nan(v), False)) for v in (x, y)]
+        out &= ~(nan[0] & nan[1])
     return out
 
 
-def _ranked(df: DataFrame, keys: list[str], value: str, weight: str, rank: str, total: str) -> DataFrame:
-    """``df`` (with ``<value>_bucket``) plus ``rank``, the average rank of the value among the weighted
-    rows of its key, and ``total``, the key's weight.  One window per (key, range)."""
-    b = f"{value}_bucket"
-    per = df.groupBy(*keys, b).agg(F.sum(weight).alias("_bn"))
-    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()  # as many rows as ranges
-    offsets = per.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys], F.col(b).alias("_o_bucket"),
-        F.coalesce(F.sum("_bn").over(wk.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bn").over(wk).alias(total))
-    part = Window.partitionBy(*keys, b)
-    upto = F.sum(weight).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = F.sum(weight).over(Window.partitionBy(*keys, b, value))
-    r = df.withColumns({"_upto": upto, "_tied": tied})
-    same = r[b] == F.col("_o_bucket")
-    for k in keys:
-        same = same & r[k].eqNullSafe(F.col(f"_o_{k}"))
-    j = r.join(offsets, same)
-    return j.withColumn(rank, F.col("_off") + F.col("_upto") - (F.col("_tied") - 1) / 2.0).drop(
-        "_upto", "_tied", "_off", "_o_bucket", *[f"_o_{k}" for k in keys])
+def _scan(batches, keys: list[str], value: str, sums: list[str]):
+    """Sorted rows of one partition -> the rows with, per sum, the total of smaller values of the same key
+    (``_before``) and of equal values (``_tied``) within the partition, the partition and the row's edges.
+
+    A group of equal values is held until it ends, everything else streams."""
+    from pyspark import TaskContext
+    pid = TaskContext.get().partitionId()
+    seen = {c: 0 for c in sums}          # totals of the open key so far
+    last = None                          # the last finished row
+    state = {"first_tie": True, "first_key": True}
+
+    def flags(t):
+        n = t.num_rows
+        new_key = np.zeros(n, bool)
+        for k in keys:
+            new_key[1:] |= _changed(t.column(k).combine_chunks())
+        new_tie = new_key.copy()
+        new_tie[1:] |= _changed(t.column(value).combine_chunks())
+        return new_key, new_tie
+
+    def finish(t, new_key, new_tie, at_end):
+        nonlocal last
+        new_key, new_tie = new_key.copy(), new_tie.copy()
+        new_tie[0] = True
+        new_key[0] = last is None or any(_changed(pa.concat_arrays([last.column(k).combine_chunks(), t.column(k).slice(0, 1).combine_chunks()]))[0]
+                                         for k in keys)
+        starts = np.flatnonzero(new_tie)
+        tie = np.cumsum(new_tie) - 1
+        key_of = np.cumsum(new_key[starts])          # 0: the key that was open before
+        opens = np.r_[0, np.flatnonzero(new_key[starts][1:]) + 1]
+        extra = []
+        for c in sums:
+            w = t.column(c).to_numpy().astype(np.int64)
+            total = np.add.reduceat(w, starts)
+            before = np.cumsum(total) - total
+            base = np.zeros(int(key_of[-1]) + 1, np.int64)
+            base[key_of[opens]] = before[opens]
+            before = before - base[key_of] + np.where(key_of == 0, seen[c], 0)
+            seen[c] = int(before[-1] + total[-1])
+            extra += [pa.array(before[tie]), pa.array(total[tie])]
+        edge = np.zeros(len(tie), np.int32)
+        if state["first_tie"]:
+            edge[tie == 0] |= FIRST_TIE
+            state["first_tie"] = False
+            first_open = key_of == key_of[0]
+        else:
+            first_open = key_of == 0
+        if state["first_key"]:
+            edge[first_open[tie]] |= FIRST_KEY
+            state["first_key"] = bool(first_open[-1])
+        if at_end:
+            edge[tie == tie[-1]] |= LAST_TIE
+        last = t.slice(t.num_rows - 1, 1)
+        named = list(zip(t.schema.names, t.columns)) + list(zip([f"{c}{s}" for c in sums for s in ("_before", "_tied")], extra))
+        named += [("_pid", pa.array(np.full(len(tie), pid, np.int32))), ("_edge", pa.array(edge))]
+        return pa.table(dict(named)).combine_chunks().to_batches()
+
+    open_rows = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if open_rows is None else pa.concat_tables([open_rows, t])
+        new_key, new_tie = flags(t)
+        cut = int(np.flatnonzero(new_tie)[-1]) if new_tie.any() else 0
+        if cut:
+            yield from finish(t.slice(0, cut), new_key[:cut], new_tie[:cut], False)
+        open_rows = t.slice(cut)
+    if open_rows is not None:
+        new_key, new_tie = flags(open_rows)
+        yield from finish(open_rows, new_key, new_tie, True)
+
+
+def _carries(edges: list, sums: list[str]) -> list[tuple]:
+    """Per partition: what its first key had before it, and totals of equal values across its two boundaries."""
+    out, groups, open_group, key, had = {}, [], None, None, None
+    for e in edges:
+        single_key, single_tie = bool(e.last_edge & FIRST_KEY), bool(e.last_edge & FIRST_TIE)
+        add = had if key is not None and key == e.first.k else [0] * len(sums)
+        out[e["_pid"]] = {"add": add, "first_before": None, "first_total": None, "last_total": None}
+        if open_group is not None and open_group["tie"] == e.first:
+            open_group["total"] = [a + b for a, b in zip(open_group["total"], e.first_tied)]
+            open_group["at"].append((e["_pid"], "first"))
+        elif single_tie:
+            open_group = {"tie": e.first, "before": add, "total": list(e.first_tied), "at": [(e["_pid"], "first")]}
+            groups.append(open_group)
+        if single_tie:
+            open_group["at"].append((e["_pid"], "last"))
+        else:
+            shift = add if single_key else [0] * len(sums)
+            open_group = {"tie": e.last, "before": [b + s for b, s in zip(e.last_before, shift)], "total": list(e.last_tied),
+                          "at": [(e["_pid"], "last")]}
+            groups.append(open_group)
+        key = e.last.k
+        had = [b + t + (a if single_key else 0) for b, t, a in zip(e.last_before, e.last_tied, add)]
+    for g in groups:
+        if len({p for p, _ in g["at"]}) > 1:
+            for p, side in g["at"]:
+                out[p][f"{side}_total"] = g["total"]
+                if side == "first":
+                    out[p]["first_before"] = g["before"]
+    return [(p, c["add"], c["first_before"], c["first_total"], c["last_total"]) for p, c in out.items()]
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], spread: Sequence[str] = (),
+                   buckets: int | None = None) -> DataFrame:
+    """``df`` with, for each whole-number column c of ``sums``, ``c_before`` (the total of c over rows of the
+    same keys with a smaller ``value``) and ``c_tied`` (over those with an equal one, the row included).
+
+    ``spread`` names further columns that may deal rows of one value to several partitions; ``buckets`` sets
+    the number of partitions (default: Spark's, which AQE lowers).  ``df`` should be materialised: it is
+    read for the range bounds and then sorted."""
+    keys, sums = list(keys), list(sums)
+    order = [*keys, value, *spread]
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}{s}", T.LongType()) for c in sums for s in ("_before", "_tied")],
+                           T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.IntegerType())])
+    local = cut_lineage(ranged.sortWithinPartitions(*order).mapInArrow(lambda b: _scan(b, keys, value, sums), schema))
+    at = lambda bit: F.col("_edge").bitwiseAND(bit) > 0
+    tie = F.struct(F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).alias("v"))
+    each = lambda s: F.array(*[F.col(f"{c}{s}") for c in sums])
+    edges = local.filter(at(FIRST_TIE) | at(LAST_TIE)).groupBy("_pid").agg(
+        F.any_value(F.when(at(FIRST_TIE), tie), True).alias("first"), F.any_value(F.when(at(FIRST_TIE), each("_tied")), True).alias("first_tied"),
+        F.any_value(F.when(at(LAST_TIE), tie), True).alias("last"), F.any_value(F.when(at(LAST_TIE), each("_tied")), True).alias("last_tied"),
+        F.any_value(F.when(at(LAST_TIE), each("_before")), True).alias("last_before"),
+        F.max(F.when(at(LAST_TIE), F.col("_edge"))).alias("last_edge"))
+    carried = _carries(sorted(edges.collect(), key=lambda e: e["_pid"]), sums)
+    if len(carried) < 2:
+        return local.drop("_pid", "_edge")
+    carry = df.sparkSession.createDataFrame(carried, "_pid int, _add array<long>, _fb array<long>, _ft array<long>, _lt array<long>")
+    met = local.join(carry, "_pid")
+    first, lasts = at(FIRST_TIE) & F.col("_ft").isNotNull(), at(LAST_TIE) & F.col("_lt").isNotNull()
+    done = {}
+    for i, c in enumerate(sums):
+        done[f"{c}_before"] = F.when(first, F.get("_fb", F.lit(i))).otherwise(
+            F.col(f"{c}_before") + F.when(at(FIRST_KEY), F.get("_add", F.lit(i))).otherwise(0))
+        done[f"{c}_tied"] = F.when(first, F.get("_ft", F.lit(i))).when(lasts, F.get("_lt", F.lit(i))).otherwise(F.col(f"{c}_tied"))
+    return met.withColumns(done).select(*df.columns, *done)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None,
@@ -87,55 +190,61 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int |
     v = F.col(value)
     counts = cut_lineage(df.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
                          .groupBy(*keys, value).agg(F.sum(w).cast("long").alias("n")))
-    ranked = _ranked(with_buckets(counts, [value], buckets), keys, value, "n", "avg_rank", "total")
-    return ranked.select(*keys, value, "n", "total", "avg_rank",
-                         (F.col("avg_rank") - (F.col("total") + 1) / 2.0).alias("centered"))
-
-
-def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    r = running_totals(counts, keys, value, ["n"], buckets=buckets)
+    if keys:
+        named = totals.select("total", *[F.col(k).alias(f"_t_{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_t_{i}"))
+        r = r.join(named, same)
+    else:
+        r = r.withColumn("total", totals.scalar())
+    rank = F.col("n_before") + (F.col("n") + 1) / 2.0
+    return r.select(*keys, value, "n", "total", rank.alias("avg_rank"), (rank - (F.col("total") + 1) / 2.0).alias("centered"))
+
+
+def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int | None = None,
+                     weight: str | None = None) -> DataFrame:
     """Spearman correlation per key over rows where both x and y are present (null and NaN are not).
 
-    Rows are first collapsed to distinct (key, x, y) pairs with a multiplicity, then each side is
-    ranked in place by one bucketed window; the correlation of centred ranks needs no mean
-    subtraction, so the weighted sums are numerically stable.
+    Rows are first collapsed to distinct (key, x, y) pairs with a multiplicity (the sum of ``weight`` if
+    given), then sorted and ranked in place by x and by y, each spread by the other: four shuffles.
+    The mean of the ranks is known, (n + 1) / 2.
     Returns (keys..., spearman); null when either side is constant.
     """
     keys = list(keys)
     vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
     both = df.filter(vx.isNotNull() & vy.isNotNull() & ~F.isnan(vx) & ~F.isnan(vy))
-    # the collapsed pairs are read for the bounds and for the ranks: materialised once in the
+    # the collapsed pairs are read for the bounds and for the sort: materialised once in the
     # shared checkpoint folder, so the source is scanned once and lineage stays short
-    pairs = cut_lineage(both.groupBy(*keys, vx.alias("_x"), vy.alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
-    r = _ranked(with_buckets(pairs, ["_x", "_y"], buckets), keys, "_x", "_w", "_rx", "_n")
-    r = _ranked(r, keys, "_y", "_w", "_ry", "_m")
-    cx, cy = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_m") + 1) / 2.0
+    count = F.sum(F.col(weight)).cast("long") if weight else F.count(F.lit(1))
+    pairs = cut_lineage(both.groupBy(*keys, vx.alias("_x"), vy.alias("_y")).agg(count.alias("_w")))
+    rank = F.col("_w_before") + (F.col("_w_tied") + 1) / 2.0
+    r = running_totals(pairs, keys, "_x", ["_w"], ["_y"], buckets).withColumn("_rx", rank).drop("_w_before", "_w_tied")
+    r = running_totals(r, keys, "_y", ["_w"], ["_x"], buckets).withColumn("_ry", rank)
+    n, w = F.sum("_w"), F.col("_w")
+    both_means = n * F.pow((n + 1) / 2.0, 2)
     agg = r.groupBy(*keys).agg(
-        F.sum(F.col("_w") * cx * cy).alias("_sxy"), F.sum(F.col("_w") * cx * cx).alias("_sxx"),
-        F.sum(F.col("_w") * cy * cy).alias("_syy"))
-    return agg.select(*keys, F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))).alias("spearman"))
+        (F.sum(w * F.col("_rx") * F.col("_ry")) - both_means).alias("_sxy"), (F.sum(w * F.col("_rx") * F.col("_rx")) - both_means).alias("_sxx"),
+        (F.sum(w * F.col("_ry") * F.col("_ry")) - both_means).alias("_syy"),
+        ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("_varies"))
+    return agg.select(*keys, F.when(F.col("_varies"), F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx")) * F.sqrt(F.col("_syy")))).alias("spearman"))
 
 
 def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
                         descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Running totals over the distinct values of ``value`` within each key.
 
-    Returns one row per distinct (keys, value) with, for each column ``c`` in ``sums``,
+    Returns one row per distinct (keys, value) with, for each whole-number column ``c`` in ``sums``,
     ``c`` (the group's own total), ``c_before`` (total over values strictly earlier in the
-    order) and ``c_through`` (including this value).  Same bucketed plan as ``average_ranks``:
-    no window ever spans a whole key.
+    order) and ``c_through`` (including this value).  See ``running_totals``: no window ever
+    spans a whole key.
     """
-    keys = list(keys)
+    keys, sums = list(keys), list(sums)
     v = F.col(value)
-    ov = (-v) if descending else v
     grouped = cut_lineage(df.filter(v.isNotNull()).groupBy(*keys, value)
-                          .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", ov))
-    with_b = with_buckets(grouped, ["_o"], buckets).withColumnRenamed("_o_bucket", "_bucket")
-    per_bucket = with_b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
-    wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "_bucket", *[
-        F.coalesce(F.sum(f"_b_{c}").over(wk), F.lit(0)).alias(f"_off_{c}") for c in sums])
-    wb = Window.partitionBy(*keys, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    j = with_b.join(offsets, keys + ["_bucket"])
-    out = j.select(*keys, value, *sums, *[
-        (F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(wb), F.lit(0))).alias(f"{c}_before") for c in sums])
-    return out.select("*", *[(F.col(f"{c}_before") + F.col(c)).alias(f"{c}_through") for c in sums])
+                          .agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_o", -v if descending else v))
+    out = running_totals(grouped, keys, "_o", sums, buckets=buckets)
+    return out.select(*keys, value, *sums, *[f"{c}_before" for c in sums],
+                      *[(F.col(f"{c}_before") + F.col(c)).alias(f"{c}_through") for c in sums])

@@ -39,13 +39,13 @@ def attach_grid_to_sensors(raw: DataFrame, cells: DataFrame, lat_axis: J.Regular
 
 def agreement_in_fire_boxes(obs: DataFrame, fires: DataFrame, truth: str, estimates: Sequence[str],
                             half: float = 1.0, lo: float = 2.0, hi: float = 1000.0) -> DataFrame:
-    """L2: readings inside fire boxes during the fires (duplicates where boxes overlap, as in
-    the source) -> agreement metrics per estimate."""
-    inside = J.obs_within_fire_box(obs, fires, half).select(truth, *estimates, "lat", "lon")
-    # the metric branches (moments, distinct stations, ranks) all read the joined rows: cut
-    # lineage there so the readings are scanned and box-joined once
+    """L2: readings inside fire boxes during the fires (counted once per box, as in the source) ->
+    agreement metrics per estimate, as sums weighted by the number of boxes."""
+    inside = J.covering_fires(obs, fires, half).select(truth, *estimates, "lat", "lon", "n_fires")
+    # the metric branches (moments, distinct stations, ranks) all read these rows: cut
+    # lineage there so the readings are scanned once; every reading is there once
     inside = cut_lineage(inside)
-    return agg.agreement(inside, truth, estimates, lo, hi)
+    return agg.agreement(inside, truth, estimates, lo, hi, weight="n_fires")
 
 
 def persistence_scores(pixels: DataFrame, T: int, skip: int, folds: DataFrame, fold: int | None = 0) -> DataFrame:

@@ -16,12 +16,15 @@ def test_range_joins_are_equi_joins(spark):
     from ashgrid.operators import joins as J
     from ashgrid.sources.fixtures import fire, sensor_obs
     # the flagship's box join sits behind a checkpoint: its plan is looked at before that
-    for half, join in ((0.5, J.obs_near_fire), (1.0, J.obs_within_fire_box)):
+    for half, join in ((0.5, J.obs_near_fire), (1.0, J.covering_fires)):
         p = plan(join(sensor_obs(spark, SF001), fire(spark, SF001), half))
         assert "Generate explode" in p and "FileScan parquet" in p
         joins = [l for l in p.splitlines() if "Join" in l]
         assert joins and not any("NestedLoop" in l or "Cartesian" in l for l in joins)
-        assert all("_cy" in l and "_cx" in l and "_cp" in l for l in joins)
+        binned = [l for l in joins if "_cy" in l and "_cx" in l and "_cp" in l]
+        assert len(binned) == 1
+        # a reading meets the changes of its place and period; only places meet fires
+        assert all("_la" in l and "_lo" in l and "_cp" in l for l in joins if l not in binned)
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
@@ -31,18 +34,22 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     assert "GreaterThanOrEqual(value,2.0)" in scan
 
 
-def test_rank_window_is_bucketed(spark):
-    from ashgrid.operators.ranks import average_ranks, with_buckets
+def test_ranks_use_no_window_and_spread_a_hot_value(spark):
+    from ashgrid.operators.ranks import _scan, average_ranks, running_totals
     df = spark.range(5000).selectExpr("id % 3 as k", "id % 700 as v")
     p = plan(average_ranks(df, ["k"], "v", buckets=8))
-    # the value-level ranking windows are partitioned by (key, range), never by the key alone
-    windows = [l for l in p.splitlines() if " Window [" in l and "sum(n" in l and "ROWS" not in l.upper().split("ORDER")[0]]
-    value_windows = [l for l in windows if "_upto" in l or "_tied" in l]
-    assert value_windows and all("v_bucket" in l.split("]", 1)[1] for l in value_windows)
-    # and no range holds many more rows than asked for, whatever the distribution
-    skewed = spark.range(20000).selectExpr("cast(pow(id, 3) as double) as v")
-    sizes = [r["count"] for r in with_buckets(skewed, ["v"], rows_per_bucket=1000).groupBy("v_bucket").count().collect()]
-    assert len(sizes) >= 15 and max(sizes) <= 2000
+    assert "Window" not in p and "NestedLoop" not in p
+    # a value that two thirds of the rows hold lies in many partitions, and its totals are still exact
+    hot = spark.range(6000).selectExpr("0 as k", "case when id % 3 = 0 then id else 9 end as v", "1L as w", "id as s")
+    parts = hot.repartitionByRange(12, "k", "v", "s").sortWithinPartitions("k", "v", "s").mapInArrow(
+        lambda b: _scan(b, ["k"], "v", ["w"]), "k int, v long, w long, s long, w_before long, w_tied long, _pid int, _edge int")
+    assert parts.filter("v = 9").select("_pid").distinct().count() >= 7
+    got = running_totals(hot, ["k"], "v", ["w"], ["s"], buckets=12)
+    assert got.columns == ["k", "v", "w", "s", "w_before", "w_tied"]
+    nine = got.filter("v = 9").agg(F.min("w_before"), F.max("w_before"), F.min("w_tied"), F.max("w_tied")).first()
+    assert tuple(nine) == (3, 3, 4001, 4001)
+    late = got.filter("v = 5997").first()
+    assert (late.w_before, late.w_tied) == (5999, 1)
 
 
 def test_building_grid_sampling_runs_no_job(spark):

@@ -48,3 +48,47 @@ def test_box_join_exact_under_hot_cell(spark):
     exp = sorted((int(o.event_id), int(f.fire_id)) for o in pdf.itertuples() for f in fires.itertuples()
                  if abs(o.lat - f.lat) < 1 and abs(o.lon - f.lon) < 1 and f.idate <= o.time <= f.fdate)
     assert got == exp and len(got) > 1000
+
+
+def _fire_table(spark, rows):
+    return spark.createDataFrame(rows, "fire_id long, lat double, lon double, idate timestamp_ntz, fdate timestamp_ntz")
+
+
+def _covered_by_hand(obs, fires, half):
+    return {o.event_id: n for o in obs.itertuples() if (n := sum(
+        f[2] - half < o.lon < f[2] + half and f[1] - half < o.lat < f[1] + half and f[3] <= o.time <= f[4] for f in fires))}
+
+
+def test_covering_fires_match_brute_force_under_a_hot_station(spark):
+    rng = np.random.default_rng(9)
+    pdf = _skewed()
+    # period edges, boxes on the stations' lattice (their sides are excluded), instants within a day, null and reversed periods
+    fires = [(i, 30 + int(rng.integers(0, 21)) * 0.25, -110 + int(rng.integers(0, 25)) * 0.25, s := T0 + dt.timedelta(hours=int(rng.integers(-200, 480))),
+              s + dt.timedelta(hours=int(rng.integers(0, 400)), microseconds=int(rng.integers(0, 2)))) for i in range(150)]
+    fires += [(200, 31.0, -109.0, T0 + dt.timedelta(hours=7), T0 + dt.timedelta(hours=7)), (201, 31.0, -109.0, T0 + dt.timedelta(days=9), T0)]
+    obs = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    expected = _covered_by_hand(pdf, fires, 1.0)
+    got = J.covering_fires(obs, _fire_table(spark, fires), 1.0)
+    assert {r.event_id: r.n_fires for r in got.collect()} == expected and max(expected.values()) > 8
+    twice = J.covering_fires(obs.unionByName(obs), _fire_table(spark, fires), 1.0).groupBy("event_id").count().filter("count <> 2").count()
+    assert twice == 0
+    copies = J.obs_within_fire_box(obs, _fire_table(spark, fires), 1.0)
+    assert copies.columns == obs.columns
+    assert {r.event_id: r["count"] for r in copies.groupBy("event_id").count().collect()} == expected
+    odd = spark.createDataFrame([(1, None, -109.0, 5.0, 5.0, T0), (2, 31.0, float("nan"), 5.0, 5.0, T0), (3, 31.0, -109.0, 5.0, 5.0, None)],
+                                "event_id long, lat double, lon double, truth double, est double, time timestamp_ntz")
+    assert J.covering_fires(odd, _fire_table(spark, fires), 1.0).count() == 0
+    assert J.covering_fires(obs, _fire_table(spark, []), 1.0).count() == 0
+
+
+def test_weighted_agreement_equals_agreement_of_copies(spark):
+    pdf = _skewed(2000).assign(n=np.random.default_rng(1).integers(1, 9, 2000))
+    df = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    copies = spark.createDataFrame(pdf.loc[pdf.index.repeat(pdf.n)]).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    a = A.agreement(df, "truth", ["est"], 2, 1000, weight="n").first()
+    b = A.agreement(copies, "truth", ["est"], 2, 1000).first()
+    for c in A.METRIC_COLUMNS:
+        assert a[c] == pytest.approx(b[c], abs=1e-9), c
+    flat = df.withColumns({"truth": F.lit(7.1), "est": F.lit(7.3)})
+    r = A.agreement(flat, "truth", ["est"], 2, 1000, weight="n").first()
+    assert r.pearson is None and r.slope is None and r.spearman is None and r.rmse == pytest.approx(0.2)
