@@ -363,16 +363,36 @@ def nearest_in_time(fires: DataFrame, daily: DataFrame, *, key: str = "fire_id",
                     daily_time: str = "time", take: Sequence[str] = ("lat", "lon"),
                     tolerance_hours: float = 24.0, tie: str | None = None) -> DataFrame:
     """Per fire, the daily record with the same key nearest in time (ties: earlier
-    record, then ``tie``); farther than the tolerance -> nulls.  Fires keep their row."""
-    f = fires.select(key, fire_time)
-    d = daily.select(key, F.col(daily_time).alias("_dt"), *take, *([tie] if tie else []))
-    j = f.join(d, key, "inner")
-    dist = F.abs(micros_between(F.col(fire_time), F.col("_dt")))
-    order = F.struct(dist.alias("d"), F.col("_dt").alias("t"), *([F.col(tie).alias("k")] if tie else []))
-    best = j.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in take]), order).alias("_b"),
-                              F.min(dist).alias("_d"))
-    best = best.filter(F.col("_d") <= int(tolerance_hours * 3600 * 1e6)).select(key, "_b.*")
-    return fires.join(best, key, "left")
+    record, then ``tie``); farther than the tolerance -> nulls.  Fires keep their row.
+
+    An as-of merge: records and fires are put into one column of time slices (the tolerance wide), a
+    record into its own slice and the two beside it, so each (key, slice) holds all records a fire of
+    that slice may take.  There the two tables are sorted by time once, and running windows carry the
+    last record up to a fire and the first one after it.  No fire meets all records of its key, and a
+    key with very many records is split by time.  Records of one key and time are one row before."""
+    span = int(tolerance_hours * 3600 * 1e6)
+    at = lambda t: micros_between(ntz_lit(datetime(1970, 1, 1)), F.col(t))
+    slice_of = lambda t: F.floor(t / max(span, 1))
+    val = F.struct(*[F.col(c) for c in take])
+    one = daily.filter(F.col(key).isNotNull() & F.col(daily_time).isNotNull()).groupBy(F.col(key).alias("_k"), at(daily_time).alias("_t")).agg(
+        (F.min_by(val, F.col(tie)) if tie else F.min(val)).alias("_v"))
+    rec = one.select("_k", "_t", F.explode(F.array(*[slice_of(F.col("_t")) + d for d in (-1, 0, 1)])).alias("_s"), "_v",
+                     F.lit(None).cast(fires.schema[key].dataType).alias("_fire"))
+    f = fires.filter(F.col(key).isNotNull() & F.col(fire_time).isNotNull()).select(F.col(key).alias("_k"), at(fire_time).alias("_t")).distinct()
+    ask = f.select("_k", "_t", slice_of(F.col("_t")).alias("_s"), F.lit(None).cast(rec.schema["_v"].dataType).alias("_v"), F.col("_k").alias("_fire"))
+    both = rec.unionByName(ask)
+    hit = F.when(F.col("_fire").isNull(), F.struct("_t", "_v"))
+    # at one instant the record comes first, so "up to" includes it
+    w = Window.partitionBy("_k", "_s").orderBy("_t", F.col("_fire").isNotNull())
+    before = F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(hit, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.select("_k", "_t", "_fire", before.alias("_b"), after.alias("_a")).filter("_fire is not null")
+    db, da = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")
+    take_before = F.col("_a").isNull() | (db <= da)
+    best = near.select("_k", F.col("_t").alias("_ft"), F.when(take_before, db).otherwise(da).alias("_d"),
+                       F.when(take_before, F.col("_b._v")).otherwise(F.col("_a._v")).alias("_v")).filter(F.col("_d") <= span)
+    j = fires.withColumn("_at", at(fire_time)).join(best, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_ft")), "left")
+    return j.select(*fires.columns, *[F.col("_v")[c].alias(c) for c in take])
 
 
 def append_grid_bands(pixels: DataFrame, grid: DataFrame, bands: Sequence[str], *,

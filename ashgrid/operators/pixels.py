@@ -118,10 +118,12 @@ def fold_table(spark, extended: bool = False) -> DataFrame:
 
 
 def fire_pixel_counts(sample_pixels: DataFrame, mask: str = "af_mask",
-                      keys: Sequence[str] = ("year", "fire_id", "sample_idx"), T: int = 1) -> DataFrame:
-    """Per sample, the number of input pixels (lags < T) whose binary fire mask is 1."""
+                      keys: Sequence[str] = ("year", "fire_id", "sample_idx"), T: int = 1, last_day_only: bool = False) -> DataFrame:
+    """Per sample, the number of input pixels (lags < T, or only the last input day's, as in samples
+    flattened over time) whose binary fire mask is 1.  A sample without a pixel on its last day has none."""
     inp = sample_pixels.filter(F.col("lag") < T)
-    return inp.groupBy(*keys).agg(F.count_if(F.col(mask) == 1).alias("n_fire_pixels"))
+    burns = (F.col(mask) == 1) & (F.col("lag") == T - 1) if last_day_only else F.col(mask) == 1
+    return inp.groupBy(*keys).agg(F.count_if(burns).alias("n_fire_pixels"))
 
 
 def keep_ignition(counts: DataFrame) -> DataFrame:

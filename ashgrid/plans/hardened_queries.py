@@ -193,13 +193,14 @@ _FOLDS_SQL = f"""f as (select * from (values {', '.join(repr(r) for r in P.year_
 t as (select year, fire_id, sample_idx, y, x, coalesce(max(case when lag = {T - 1} then af_hh end), 0) as hh,
              coalesce(max(case when lag = {T} then af_mask end), 0) as label
       from sp where lag >= {T - 1} group by 1, 2, 3, 4, 5),
-w as (select 1.0 / (1 - missing_rate) as pos_weight from st where band = 22),
+w as (select f.fold, count(*) * 1.0 / count(long.v) as pos_weight from long join f on f.year = long.year
+      where band = 22 and split = 'train' group by 1),
 s as (select f.fold, t.label as y, (t.hh - 6) / 6.0 as logit, 1 / (1 + exp(-(t.hh - 6) / 6.0)) as score
       from t join f on f.year = t.year and f.split = 'test'),
 c as (select fold, count(*) filter (where score > 0.5 and y = 1) as tp, count(*) filter (where score > 0.5 and y = 0) as fp,
         count(*) filter (where score <= 0.5 and y = 1) as fn, count(*) filter (where score <= 0.5 and y = 0) as tn,
-        avg((select pos_weight from w) * y * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
-            + (1 - y) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))) as bce from s group by 1),
+        avg(pos_weight * y * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
+            + (1 - y) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))) as bce from s join w using (fold) group by 1),
 g as (select fold, score, sum(y) as pos, sum(1 - y) as neg from s group by 1, 2),
 cc as (select fold, pos, sum(pos) over (partition by fold order by score desc) as ctp, sum(neg) over (partition by fold order by score desc) as cfp from g),
 pt as (select fold, sum(y) as p_total from s group by 1),

@@ -280,15 +280,16 @@ e as (select a.fire_id, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from rings a
 
 @register("polygon_area_centroid", sql=f"""with {_RING_SQL}
 select fire_id,
-  round(abs(sum((radians(x1) - radians(x0)) * (2 + sin(radians(y0)) + sin(radians(y1))))) * 6378137.0 * 6378137.0 / 2, 2) as area_m2,
+  round(abs(sum((radians(x1) - radians(x0)) * (2 + sin(radians(y0)) + sin(radians(y1))))) * 6378137.0 * 6378137.0 / 2, 0) as area_m2,
   round(sum((x0 + x1) * (x0 * y1 - x1 * y0)) / (6 * sum(x0 * y1 - x1 * y0) / 2), 6) as c_lon,
   round(sum((y0 + y1) * (x0 * y1 - x1 * y0)) / (6 * sum(x0 * y1 - x1 * y0) / 2), 6) as c_lat
 from e group by fire_id""")
 def q_polygon_area_centroid(spark, sf_dir):
-    """Spherical area and planar centroid of each fire's perimeter ring."""
+    """Spherical area (to whole square metres, which doubles hold at this size) and planar centroid of
+    each fire's perimeter ring."""
     r = fire_rings(spark, sf_dir)
     cx, cy = GEO.polygon_centroid("ring")
-    return rounded(r.select("fire_id", F.round(GEO.polygon_area("ring"), 2).alias("area_m2"),
+    return rounded(r.select("fire_id", F.round(GEO.polygon_area("ring"), 0).alias("area_m2"),
                             cx.alias("c_lon"), cy.alias("c_lat")))
 
 

@@ -163,27 +163,28 @@ lb as (select year, fire_id, sample_idx, y, x, m as label from sp where lag = 2)
 t as (select coalesce(pr.year, lb.year) as year, coalesce(pred, 0) as pred, coalesce(label, 0) as y
       from pr full join lb on pr.year = lb.year and pr.fire_id = lb.fire_id and pr.sample_idx = lb.sample_idx
        and pr.y = lb.y and pr.x = lb.x),
-f as (select * from (values (2018, 'train'), (2019, 'train'), (2020, 'val'), (2021, 'test')) v(year, split)),
-tf as (select f.split, cast(t.pred as double) as score, t.y from t join f on t.year = f.year),
-c as (select split, count(*) filter (where score > 0.5 and y = 1) as tp, count(*) filter (where score > 0.5 and y = 0) as fp,
+f as (select * from (values __FOLDS__) v(fold, year, split)),
+tf as (select f.fold, f.split, cast(t.pred as double) as score, t.y from t join f on t.year = f.year),
+c as (select fold, split, count(*) filter (where score > 0.5 and y = 1) as tp, count(*) filter (where score > 0.5 and y = 0) as fp,
         count(*) filter (where score <= 0.5 and y = 1) as fn, count(*) filter (where score <= 0.5 and y = 0) as tn
-      from tf group by split),
-g as (select split, score, sum(y) as pos, sum(1 - y) as neg from tf group by 1, 2),
-cc as (select split, pos, sum(pos) over (partition by split order by score desc) as ctp,
-        sum(neg) over (partition by split order by score desc) as cfp from g),
-pt as (select split, sum(y) as p_total from tf group by 1),
-ap as (select cc.split, sum(pos / p_total * ctp / (ctp + cfp)) as average_precision from cc join pt on cc.split = pt.split group by 1)
-select c.split, tp, fp, fn, tn,
+      from tf group by fold, split),
+g as (select fold, split, score, sum(y) as pos, sum(1 - y) as neg from tf group by 1, 2, 3),
+cc as (select fold, split, pos, sum(pos) over (partition by fold, split order by score desc) as ctp,
+        sum(neg) over (partition by fold, split order by score desc) as cfp from g),
+pt as (select fold, split, sum(y) as p_total from tf group by 1, 2),
+ap as (select cc.fold, cc.split, sum(pos / p_total * ctp / (ctp + cfp)) as average_precision
+       from cc join pt on cc.fold = pt.fold and cc.split = pt.split group by 1, 2)
+select c.fold, c.split, tp, fp, fn, tn,
   round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall,
   round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) as iou,
   round(ap.average_precision, 6) as average_precision
-from c left join ap on c.split = ap.split"""
+from c left join ap on c.fold = ap.fold and c.split = ap.split"""
 
 
-@register("persistence_scores", sql=_L3_SQL)
+@register("persistence_scores", sql=_L3_SQL.replace("__FOLDS__", ", ".join(repr(r) for r in P.year_folds())))
 def q_persistence_scores(spark, sf_dir):
-    """L3: persistence baseline scored against next-day fire masks per split of fold 0."""
-    return rounded(persistence_scores(raster(spark, sf_dir), 2, 1, P.fold_table(spark), 0))
+    """L3: persistence baseline scored against next-day fire masks per split of all twelve folds."""
+    return rounded(persistence_scores(raster(spark, sf_dir), 2, 1, P.fold_table(spark), None))
 
 
 _L4_SQL = """with daily as (select user_id * 10 as fire_id, event_id, ts as time, cast(30 + (event_id % 100) * 0.01 as double) as lat,

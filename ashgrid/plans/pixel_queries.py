@@ -117,6 +117,19 @@ def q_keep_ignition_burning(spark, sf_dir):
     return ig.unionByName(bu)
 
 
+@register("keep_ignition_burning_last_day", sql=f"""with {_SAMPLES},
+c as (select year, fire_id, sample_idx, count(*) filter (where af_mask = 1 and lag = {T - 1}) as n_fire_pixels
+      from sp where lag < {T} group by 1, 2, 3)
+select year, fire_id, sample_idx, n_fire_pixels, case when n_fire_pixels < 1 then 'ignition' else 'burning' end as kind
+from c where n_fire_pixels < 1 or n_fire_pixels > 1""")
+def q_keep_ignition_burning_last_day(spark, sf_dir):
+    """E6 on samples flattened over time: the fire pixels of the last input day decide."""
+    c = P.fire_pixel_counts(sample_pixels(spark, sf_dir), T=T, last_day_only=True)
+    ig = P.keep_ignition(c).withColumn("kind", F.lit("ignition"))
+    bu = P.keep_burning(c).withColumn("kind", F.lit("burning"))
+    return ig.unionByName(bu)
+
+
 @register("ignition_report", sql=f"""with {_SAMPLES},
 c as (select year, fire_id, sample_idx, count(*) filter (where af_mask = 1 and lag < {T}) as n from sp group by 1, 2, 3),
 a as (select count(*) as total, count(*) filter (where n < 1) as ignition, count(*) filter (where n > 1) as burning from c)

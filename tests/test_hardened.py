@@ -83,20 +83,26 @@ def test_ragged_rows_do_not_fail_the_job(spark):
 
 
 def test_every_fold_has_the_weight_of_its_own_training_years(spark):
-    """The corrected form of the registered SQL: the weight w per fold, over the fold's training years."""
+    """The weight of each fold by hand: pixels over detections in the fold's two training years, times the loss."""
+    import numpy as np
     import __spark_entry__ as entry
-    from conftest import SF001
-    from oracle_harness import duck
-    sql = entry.oracle_sql()["fold_scores"]
-    for old, new in (("w as (select 1.0 / (1 - missing_rate) as pos_weight from st where band = 22)",
-                      """w as (select f.fold, count(*) * 1.0 / count(long.v) as pos_weight from long join f on f.year = long.year
-                               where band = 22 and split = 'train' group by 1)"""),
-                     ("avg((select pos_weight from w) * y", "avg(pos_weight * y"), ("as bce from s group by 1", "as bce from s join w using (fold) group by 1")):
-        assert sql.count(old) == 1
-        sql = sql.replace(old, new)
-    want = {r[0]: r[1:] for r in duck(SF001).execute(sql).fetchall()}
-    got = {r[0]: r[1:] for r in entry.queries()["fold_scores"](spark, SF001).collect()}
-    assert len(want) == 12 and set(got) == set(want) and len({w[-1] for w in want.values()}) > 4
+    from conftest import SF0001
+    from ashgrid.plans.pixel_queries import sample_pixels
+    from ashgrid.sources.fixtures import raster
+    px = raster(spark, SF0001).select("year", "b22").toPandas()
+    sp = sample_pixels(spark, SF0001).filter("lag >= 1").select("year", "fire_id", "sample_idx", "y", "x", "lag", "af_hh", "af_mask").toPandas()
+    key = ["year", "fire_id", "sample_idx", "y", "x"]
+    t = sp[sp.lag == 1].set_index(key).af_hh.to_frame("hh").join(sp[sp.lag == 2].set_index(key).af_mask.rename("label"), how="outer").fillna(0).reset_index()
+    want = {}
+    for fold in range(12):
+        years = {y: split for f, y, split in P.year_folds() if f == fold}
+        train = px[px.year.map(years).eq("train")]
+        weight = len(train) / train.b22.notna().sum()
+        s = t[t.year.map(years).eq("test")]
+        x, y = (s.hh - 6) / 6.0, s.label
+        want[fold] = (weight * y * np.log1p(np.exp(-x)) + (1 - y) * np.log1p(np.exp(x))).mean()
+    got = {r.fold: r.bce for r in entry.queries()["fold_scores"](spark, SF0001).collect()}
+    assert set(got) == set(range(12)) and len(set(want.values())) > 4
     for fold in want:
         assert got[fold] == pytest.approx(want[fold], abs=2e-6), fold
 

@@ -92,3 +92,31 @@ def test_weighted_agreement_equals_agreement_of_copies(spark):
     flat = df.withColumns({"truth": F.lit(7.1), "est": F.lit(7.3)})
     r = A.agreement(flat, "truth", ["est"], 2, 1000, weight="n").first()
     assert r.pearson is None and r.slope is None and r.spearman is None and r.rmse == pytest.approx(0.2)
+
+
+def test_nearest_in_time_is_one_sorted_merge_under_a_hot_id(spark):
+    rng = np.random.default_rng(5)
+    n = 30_000
+    # two thirds of the records belong to fire 0; times repeat, gaps exceed the tolerance
+    rec = pd.DataFrame({"fire_id": np.where(rng.uniform(size=n) < 2 / 3, 0, rng.integers(1, 40, n)), "event_id": rng.permutation(n),
+                        "s": np.where(rng.uniform(size=n) < 0.5, rng.integers(0, 40_000, n), rng.integers(2_000_000, 9_000_000, n))})
+    rec["lat"], rec["lon"] = rec.event_id * 0.5, rec.event_id * 2.0
+    fires = pd.DataFrame({"fire_id": np.r_[np.zeros(300, int), rng.integers(0, 45, 300)], "s": rng.integers(-100_000, 9_200_000, 600), "row": range(600)})
+    stamp = lambda d: d.assign(t=[T0 + dt.timedelta(seconds=int(x)) for x in d.s])
+    sd = lambda d, c: spark.createDataFrame(stamp(d).drop(columns="s")).withColumn("t", F.col("t").cast("timestamp_ntz")).withColumnRenamed("t", c)
+    out = J.nearest_in_time(sd(fires, "idate"), sd(rec, "time"), tie="event_id")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in p and sum("Join" in line for line in p.splitlines()) == 1  # only the fires get their record back
+    got = {r.row: (r.lat, r.lon) for r in out.collect()}
+    assert len(got) == 600
+    by_id = {k: g for k, g in rec.groupby("fire_id")}
+    for f in fires.itertuples():
+        g = by_id.get(f.fire_id)
+        want = (None, None)
+        if g is not None:
+            d = (g.s - f.s).abs()
+            best = g.assign(d=d).sort_values(["d", "s", "event_id"]).iloc[0]
+            want = (best.lat, best.lon) if best.d <= 86400 else want
+        assert got[f.row] == want, f
+    none = J.nearest_in_time(sd(fires, "idate"), sd(rec, "time").limit(0), tie="event_id")
+    assert none.filter("lat is not null").count() == 0 and none.count() == 600
