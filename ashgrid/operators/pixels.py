@@ -15,8 +15,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashgrid.functions.columns import col_of
+from ashgrid.session import cut_lineage
+from ashgrid.sources.files import path_exists
 
 # Band layout of the daily fire rasters.
 DEGREE_BANDS = (7, 13, 19)
@@ -414,13 +417,33 @@ def pack_fire_stack(pixels: DataFrame, existing: DataFrame | None = None, *,
     return p.groupBy(*keys).agg(*aggs)
 
 
-def write_fire_stacks(pixels: DataFrame, path: str, keys: Sequence[str] = ("year", "fire_id"),
-                      date: str = "obs_date") -> None:
-    """A9 sink: pixel rows partitioned by year, range-partitioned by (fire, date) so a large
-    fire is split across tasks, and sorted so each fire's images are contiguous."""
+def fire_images(pixels: DataFrame, bands: Sequence[str], width: int, keys: Sequence[str] = ("year", "fire_id"),
+                date: str = "obs_date") -> DataFrame:
+    """One row per image (fire and date): ``pixel``, the row-major indexes (y * width + x) of its pixels in
+    ascending order, and per band an array of their values.  An image's size is that of its raster."""
     keys = list(keys)
-    (pixels.repartitionByRange(*keys, date).sortWithinPartitions(*keys, date, "y", "x")
-           .write.mode("append").partitionBy(keys[0]).parquet(path))
+    one = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("pixel"), *bands)
+    got = pixels.groupBy(*keys, date).agg(F.sort_array(F.collect_list(one)).alias("_p"))
+    return got.select(*keys, date, *[F.col(f"_p.{n}").alias(n) for n in ("pixel", *bands)])
+
+
+def write_fire_stacks(pixels: DataFrame, path: str, bands: Sequence[str], width: int, keys: Sequence[str] = ("year", "fire_id"),
+                      date: str = "obs_date", rewrite: bool = False) -> None:
+    """A9 sink: the images of every fire that ``path`` does not hold yet (or, with ``rewrite``, of all), one folder
+    per fire.  A folder appears, or replaces the old one, as a whole when the job commits (dynamic
+    partition overwrite), so a job that is run again skips what is written and never doubles it, and
+    a job that failed leaves nothing behind.  Images are range-partitioned by (fire, date): a long fire
+    is written by several tasks."""
+    keys = list(keys)
+    spark = pixels.sparkSession
+    todo = pixels
+    if not rewrite and path_exists(spark, path):
+        held = T.StructType([pixels.schema[k] for k in keys])
+        done = cut_lineage(spark.read.schema(held).parquet(path).distinct())  # the folders' names
+        todo = pixels.join(done, keys, "left_anti")
+    images = fire_images(todo, bands, width, keys, date)
+    (images.repartitionByRange(*keys, date).sortWithinPartitions(*keys, date)
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
 def first_step_of_day(df: DataFrame, time: str, cell: Sequence[str], values: Sequence[str]) -> DataFrame:

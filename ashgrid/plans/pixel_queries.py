@@ -386,6 +386,22 @@ def q_stack_inventory(spark, sf_dir):
     return P.stack_inventory(raster_files(spark, sf_dir), fires)
 
 
+@register("write_fire_stacks", sql=f"""
+select year, fire_id, obs_date, list(cast(y * {HW} + x as int) order by y * {HW} + x) as pixel, list(round(b0, 6) order by y * {HW} + x) as b0,
+  list(b22 order by y * {HW} + x) as b22 from raster group by 1, 2, 3""")
+def q_write_fire_stacks(spark, sf_dir):
+    """A9 sink: the images of a third of the fires are written, then those of all fires, twice, the last time
+    in place; what is read back holds every image once."""
+    from ashgrid.plans.io_queries import scratch
+    r = raster(spark, sf_dir)
+    path = f"{scratch(spark, 'stacks')}/fires"
+    P.write_fire_stacks(r.filter(F.col("fire_id") % 3 == 0), path, ["b0", "b22"], HW)
+    for again in (False, True):
+        P.write_fire_stacks(r, path, ["b0", "b22"], HW, rewrite=again)
+    got = spark.read.parquet(path).select("year", F.col("fire_id").cast("long").alias("fire_id"), "obs_date", "pixel", "b0", "b22")
+    return got.withColumn("b0", F.transform("b0", lambda v: F.round(v, 6)))
+
+
 @register("pack_fire_stack", sql="""
 select year, fire_id, list_sort(list(distinct obs_date)) as dates, count(*) as n_pixels
 from raster where fire_id not in (select fire_id from raster where fire_id < 2) group by 1, 2""")

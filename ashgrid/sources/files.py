@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ashgrid.functions.columns import from_epoch_ms, nan_to_null, try_parse_ntz
 
-__all__ = ["list_files", "RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
+__all__ = ["path_exists", "list_files", "RAW_SENSOR_SCHEMA", "read_sensor_files", "read_coded_files", "explode_fire_map", "read_cells",
            "listing_to_fire_dates", "nested_listing_to_fire_dates", "rows_from_header_array", "write_matched_csv", "MATCHED_COLUMNS"]
 
 # The column names of the hourly sensor files.
@@ -26,6 +26,12 @@ RAW_SENSOR_SCHEMA = T.StructType([
 ])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the store that the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*.tif") -> DataFrame:
     """File listing as a DataFrame (path, length, modificationTime) for A5 / Q1, done by the
     ``binaryFile`` source on the executors; the content column is not read unless selected."""

@@ -117,3 +117,25 @@ def test_persistence_scores_of_all_folds(spark):
     for fold in (0, 7):
         one = {(fold, x.split): tuple(x)[1:] for x in persistence_scores(r, 2, 1, folds, fold).collect()}
         assert one == {k: v for k, v in every.items() if k[0] == fold}
+
+
+def test_fire_stacks_are_written_once_and_replaced_whole(spark):
+    import datetime as dt
+    import os
+    import tempfile
+    day = lambda d: dt.date(2024, 1, d)
+    rows = [(2018, 1, day(1), 0, 1, 1.5, 2.0), (2018, 1, day(1), 0, 0, 0.5, None), (2018, 1, day(2), 3, 3, 9.0, 1.0), (2019, 2, day(1), 0, 0, 7.0, None)]
+    schema = "year int, fire_id long, obs_date date, y long, x long, b0 double, b22 double"
+    px = spark.createDataFrame(rows, schema)
+    path = tempfile.mkdtemp(prefix="ashgrid-stacks-") + "/fires"
+    P.write_fire_stacks(px.filter("fire_id = 1"), path, ["b0", "b22"], 4)
+    first = sorted(os.listdir(f"{path}/year=2018/fire_id=1"))
+    P.write_fire_stacks(px, path, ["b0", "b22"], 4)
+    assert sorted(os.listdir(f"{path}/year=2018/fire_id=1")) == first  # the written fire is left alone
+    got = sorted((r.year, r.fire_id, r.obs_date, r.pixel, r.b0, r.b22) for r in spark.read.parquet(path).collect())
+    assert got == [(2018, 1, day(1), [0, 1], [0.5, 1.5], [None, 2.0]), (2018, 1, day(2), [15], [9.0], [1.0]), (2019, 2, day(1), [0], [7.0], [None])]
+    P.write_fire_stacks(px.filter("fire_id = 1").withColumn("b0", F.lit(4.0)), path, ["b0", "b22"], 4, rewrite=True)
+    got = {(r.fire_id, r.obs_date): r.b0 for r in spark.read.parquet(path).collect()}
+    assert got == {(1, day(1)): [4.0, 4.0], (1, day(2)): [4.0], (2, day(1)): [7.0]}
+    P.write_fire_stacks(px.limit(0), path, ["b0", "b22"], 4)
+    assert spark.read.parquet(path).count() == 3

@@ -97,6 +97,42 @@ def test_stream_restart_does_not_duplicate(spark):
     assert spark.read.parquet(f"{base}/out").count() > n1
 
 
+def test_a_batch_reads_only_the_tiles_of_its_readings(spark):
+    import datetime as dt
+    from ashgrid.operators import joins as J
+    from ashgrid.streaming.annotate import TileCache, sampled, stream_annotate, write_tiled_grid
+    base = tempfile.mkdtemp(prefix="ashgrid-tiles-")
+    origin, ay, ax, at = dt.datetime(2024, 1, 1), J.RegularAxis(0.0, 1.0, 32), J.RegularAxis(0.0, 1.0, 32), J.RegularAxis(0.0, 1.0, 48)
+    grid = spark.range(48 * 32 * 32).selectExpr("id div 1024 as t", "(id div 32) % 32 as y", "id % 32 as x", "cast(id as double) as v")
+    axes = dict(time_axis=at, time_origin=origin)
+
+    def readings(rows):
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, lat double, lon double, time timestamp_ntz")
+
+    some = [(0.2, 0.4, origin), (3.0, 7.4, origin + dt.timedelta(hours=20)), (31.0, 31.0, origin + dt.timedelta(hours=47)), (99.0, 0.0, origin),
+            (7.6, 0.0, origin)]
+    for method, whole in (("nearest", lambda o: J.sample_nearest(o, grid, ay, ax, ["v"], **axes)),
+                          ("linear", lambda o: J.sample_linear(o, grid, ay, ax, "v", **axes))):
+        tiled = write_tiled_grid(grid, f"{base}/{method}", ["v"], method, True, size=(24, 8, 8))
+        cache = TileCache(tiled, limit=3)
+        got = sampled(readings(some), cache, ay, ax, ["v"], **axes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole(readings(some)).collect()))
+        # 2 x 4 x 4 tiles lie in the store; the readings touch these (7.6 is nearest to row 8, above row 7)
+        touched = {(0, 0, 0), (1, 3, 3)} | ({(0, 1, 0)} if method == "nearest" else set())
+        files = tiled.read(sorted(touched)).inputFiles()
+        assert {tuple(int(p.split("=")[1]) for p in f.split("/")[-4:-1]) for f in files} == touched and len(files) == len(touched)
+        assert [k for k, _ in cache.groups] == [touched]
+        sampled(readings(some[:1]), cache, ay, ax, ["v"], **axes)
+        assert [k for k, _ in cache.groups] == [touched]                       # kept: nothing read again
+        late = [(9.0, 9.0, origin), (17.0, 9.0, origin), (9.0, 17.0, origin)]
+        sampled(readings(late), cache, ay, ax, ["v"], **axes)
+        assert len(cache.groups) == 1 and (0, 1, 1) in cache.groups[0][0]      # the older tiles went
+        unread = TileCache(tiled)
+        assert sampled(readings(some[3:4]), unread, ay, ax, ["v"], **axes).first().v is None and not unread.groups
+        assert tiled.read([(9, 9, 9)]) is None
+        cache.clear()
+
+
 def test_repeated_readings_and_irregular_axes_interpolate(spark):
     from ashgrid.operators import joins as J
     cells = spark.createDataFrame([(y, x, 10.0) for y in range(3) for x in range(3)], "y long, x long, v double")
