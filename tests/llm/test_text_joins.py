@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ashgrid.llm import jaccard
 from ashgrid.llm.components import components
 from ashgrid.llm.decontam import decontaminate, drop_contaminated
 from ashgrid.llm.jaccard import PrefixTree, drop_near_duplicates, near_duplicates
@@ -134,6 +135,40 @@ def test_jaccard_join_matches_brute_force(spark, seed):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("block, pairs", [(2, 4), (7, 1 << 17)])
+def test_passages_in_many_sets_are_compared_block_by_block(spark, monkeypatch, block, pairs):
+    """Documents made of few shared passages: every prefix shingle has many holders that are not similar."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rng = random.Random(block)
+    passages = [prose(rng, 30, 5000) for _ in range(6)]
+    rows = []
+    for i in range(160):
+        parts = rng.sample(passages, rng.randint(1, 3)) + [prose(rng, rng.randint(0, 9), 5000)]
+        if rng.random() < 0.3:
+            parts[0] = " ".join(w for w in parts[0].split() if rng.random() < 0.97)
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, rows)).collect()}
+    want = {d: c for d, _, c in classes(rows)}
+    assert got == want and 5 < len(set(want.values())) < 160
+
+
+def test_holders_of_a_shingle_give_up_no_more_pairs_than_join_them(spark):
+    """A hundred alike sets: the first round gives a forest, not all pairs."""
+    from ashgrid.llm.common import stored
+    hist = bytes([1] * jaccard.HIST)
+    rows = spark.range(100).selectExpr("5L as token", "id + 1 as sid", "130 as n", "3 as pos")
+    items = spark.range(100).selectExpr("id + 1 as sid", "130L as n").withColumn("hist", F.lit(bytearray(hist)))
+    none = spark.createDataFrame([], "node long, comp long")
+    assert jaccard.pairs_apart(rows, none, items, True).count() == 99
+    assert jaccard.pairs_apart(rows, none, items, False).count() == 4950
+    # two sets already lie in one component, one is too large, one has another histogram
+    comp = spark.createDataFrame([(1, 1), (2, 1)], "node long, comp long")
+    few = stored(rows.filter("sid <= 5").withColumn("n", F.when(F.col("sid") == 4, 180).otherwise(F.col("n"))))
+    other = items.withColumn("hist", F.when(F.col("sid") == 5, F.lit(bytearray([2] * 65 + [0] * 63))).otherwise(F.col("hist")))
+    assert {tuple(r) for r in jaccard.pairs_apart(few, comp, other, False).collect()} == {(1, 3), (2, 3)}
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = near_copy_rows(3) + ODD
     kept = drop_near_duplicates(docs_of(spark, rows))
