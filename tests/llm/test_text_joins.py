@@ -156,7 +156,7 @@ def test_passages_in_many_sets_are_compared_block_by_block(spark, monkeypatch, b
 def test_holders_of_a_shingle_give_up_no_more_pairs_than_join_them(spark):
     """A hundred alike sets: the first round gives a forest, not all pairs."""
     from ashgrid.llm.common import stored
-    hist = bytes([1] * jaccard.HIST)
+    hist = bytes([1] * 128)
     rows = spark.range(100).selectExpr("5L as token", "id + 1 as sid", "130 as n", "3 as pos")
     items = spark.range(100).selectExpr("id + 1 as sid", "130L as n").withColumn("hist", F.lit(bytearray(hist)))
     none = spark.createDataFrame([], "node long, comp long")
@@ -169,6 +169,19 @@ def test_holders_of_a_shingle_give_up_no_more_pairs_than_join_them(spark):
     assert {tuple(r) for r in jaccard.pairs_apart(few, comp, other, False).collect()} == {(1, 3), (2, 3)}
 
 
+def test_histograms_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for _ in range(300):
+        n = int(rng.integers(1, 1500))
+        x = np.unique(rng.choice(pool, n))
+        y = np.unique(np.concatenate([x[rng.uniform(size=len(x)) < rng.uniform(0.7, 1)], rng.choice(pool, int(n * rng.uniform(0, 0.3)))]))
+        differ = len(np.setxor1d(x, y))
+        hx, hy = jaccard._histogram(x), jaccard._histogram(y)
+        assert len(hx) >= max(32, len(x) / 2) and jaccard._distances([hx], [hy])[0] <= differ
+    assert jaccard._distances([], []).tolist() == []
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = near_copy_rows(3) + ODD
     kept = drop_near_duplicates(docs_of(spark, rows))
