@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashgrid.llm.common import RollingHash, longs, mix, shuffle_width, spans_of, stored, utf8
+from ashgrid.operators.ranks import running_totals
 
 SPAN, GRAM = 100, 32
 BUCKET_BYTES = 1 << 20     # bytes of regions indexed together
@@ -178,6 +180,17 @@ class RunLengthIndex:
         return np.sort(self.order[self.order != first[group]])
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """id (doc_id as it is), doc_id (a long in the order of the ids) and text.  Whole numbers keep their value; ids of
+    other types are numbered in their order, strings by their bytes."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return rows.withColumn("doc_id", F.col("id").cast("long"))
+    ids = stored(rows.select("id").filter("id is not null").distinct().withColumn("one", F.lit(1).cast("long")))
+    place = running_totals(ids, [], "id", ["one"]).select(F.col("id").alias("p_id"), F.col("one_before").alias("doc_id"))
+    return rows.join(place, F.col("id") == F.col("p_id"), "left").drop("p_id")
+
+
 def _order_key(docs: DataFrame) -> DataFrame:
     """d (doc_id as a long, null first), key (64-bit hash of the text) and text."""
     text = F.col("text").cast("string")
@@ -199,7 +212,7 @@ def _region_batches(batches, span: int, gram: int, flush: int):
         # rows stay in the order of the texts, so d and key repeat from row to row and compress
         return pa.RecordBatch.from_arrays(
             [longs(np.where(seen, apart, g)), longs(rh), pa.array(d, pa.int64()), pa.array(key, pa.int64()),
-             pa.array((seen.astype(np.int64) << 38) | (count << 31) | start, pa.int64())],
+             pa.array((seen.astype(np.int64) << 62) | (count << 31) | start, pa.int64())],
             ["g", "rh", "d", "key", "at"])
 
     for b in batches:
@@ -235,7 +248,8 @@ def region_rows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, flush: int
         lambda batches: _region_batches(batches, span, gram, flush), "g long, rh long, d long, key long, at long")
 
 
-_START, _COUNT, _SEEN = "cast(at & 2147483647 as int)", "cast((at >> 31) & 127 as int)", "(at >> 38) = 1"
+# 31 bits each for the start and the number of windows, as texts are shorter than 2 GB
+_START, _COUNT, _SEEN = "cast(at & 2147483647 as int)", "cast((at >> 31) & 2147483647 as int)", "(at >> 62) = 1"
 
 
 def candidate_regions(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -367,15 +381,21 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
 
     A null text is empty.  Earlier means a smaller doc_id (null is the smallest), for rows with equal
     doc_id and different texts a smaller hash of the text, and within a text a smaller start; rows
-    with equal doc_id and text are the same document and get equal results.  An empty table gives no
-    rows; other columns are ignored."""
+    with equal doc_id and text are the same document and get equal results.  Ids that are no whole numbers
+    are ordered as Spark sorts them.  ``span`` may be any length of ``gram`` bytes or more.  An empty
+    table gives no rows; other columns are ignored."""
+    if span < gram:
+        raise ValueError("a span holds at least one gram")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = _numbered(docs)
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        docs = stored(docs)
     marks = repeat_marks(docs, span, gram).groupBy(F.col("d").alias("m_d"), F.col("key").alias("m_key")).agg(
         F.collect_list(F.struct("start", "count")).alias("marks"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
+    base = docs.select("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
                        F.xxhash64(text).alias("key"), text.alias("text"))
-    met = base.join(marks, (F.col("d") == F.col("m_d")) & (F.col("key") == F.col("m_key")), "left").select("doc_id", "text", "marks")
+    met = base.join(marks, (F.col("d") == F.col("m_d")) & (F.col("key") == F.col("m_key")), "left").select("id", "text", "marks")
 
     def finish(batches):
         for b in batches:

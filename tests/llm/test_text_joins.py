@@ -260,6 +260,20 @@ def test_repeat_removal_matches_brute_force(spark, monkeypatch):
     assert remove_repeats(docs_of(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("span", [40, 128, 200, 300])
+def test_repeat_removal_of_any_span(spark, span):
+    rows = repeat_rows(span) + [(1000 + i, prose(random.Random(i % 3), 200, 10 ** 6)) for i in range(9)]
+    got = sorted((tuple(r) for r in remove_repeats(docs_of(spark, rows), span=span).collect()), key=str)
+    assert got == repeats(rows, span) and sum(r[2] for r in got) > 5 * span
+
+
+def test_repeats_under_ids_of_text(spark):
+    rows = [(f"doc-{i:03}" if i is not None else None, t) for i, t in repeat_rows(4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((tuple(r) for r in remove_repeats(df).collect()), key=str)
+    assert got == repeats([(d, t) for d, t in rows]) and any(r[2] for r in got)
+
+
 def test_periodic_text_and_repeated_ids(spark):
     rows = [(1, "long " * 3000), (1, "long " * 3000), (2, "long " * 50), (3, "q" * 1000)]
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs_of(spark, rows)).collect()), key=str)
