@@ -35,16 +35,16 @@ def quantised(embedding: Column) -> Column:
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """vec_id, v: one usable vector per vec_id.  Rows without an id or a usable vector take no part;
-    when an id repeats, its greatest vector (component by component) stands for it."""
+    """row, vec_id, v: the usable vectors, each with a number of its own.  Rows without an id or a usable vector
+    take no part; equal vectors of one id are one row, different ones stay apart."""
     return (table.select("vec_id", quantised(F.col("embedding")).alias("v"))
-            .filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-            .groupBy("vec_id").agg(F.max("v").alias("v")))
+            .filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).distinct()
+            .select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
 
 
-def _matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per dimension: ids (ascending) and the integer matrix."""
-    ids = t.column("vec_id").to_numpy().astype(np.int64)
+def _matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per dimension: row numbers, ids (ascending) and the integer matrix."""
+    ids, number = (t.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
     col = t.column("v").combine_chunks()
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
@@ -56,7 +56,7 @@ def _matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(size == d)
         rows = rows[np.argsort(ids[rows], kind="stable")]
         x = flat[(at[rows][:, None] + np.arange(d)[None, :])] if d else np.zeros((len(rows), 0), np.int64)
-        out[int(d)] = (ids[rows], x)
+        out[int(d)] = (number[rows], ids[rows], x)
     return out
 
 
@@ -77,9 +77,9 @@ def _exact(q: np.ndarray, x: np.ndarray, large: bool) -> np.ndarray:
     return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
 
 
-def search(q_ids, q, c_ids, c, k: int, resolutions=RESOLUTIONS):
-    """(query_id, vec_id, score) of the k best candidates per query; ties go to the smaller vec_id.
-    ``c_ids`` must ascend."""
+def search(q_rows, q_ids, q, c_ids, c, k: int, resolutions=RESOLUTIONS):
+    """(query row, vec_id, score) of the k best candidates of another id per query; ties go to the smaller
+    vec_id.  ``c_ids`` must ascend."""
     top = float(max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)))
     large = top * top * max(c.shape[1], 1) >= 2.0 ** 53
     qs = [summaries(q, p) for p in resolutions]
@@ -91,9 +91,7 @@ def search(q_ids, q, c_ids, c, k: int, resolutions=RESOLUTIONS):
         bound = qs[0][lo:lo + 256] @ cs[0].T
         for i in range(len(bound)):
             n, ub = lo + i, bound[i]
-            own = np.searchsorted(c_ids, q_ids[n])
-            if own < len(c_ids) and c_ids[own] == q_ids[n]:
-                ub[own] = -np.inf
+            ub[np.searchsorted(c_ids, q_ids[n], "left"):np.searchsorted(c_ids, q_ids[n], "right")] = -np.inf
             alive = np.flatnonzero(ub > -np.inf)
             if len(alive) > k:
                 seed = np.argpartition(ub, len(ub) - k)[-k:]
@@ -105,7 +103,7 @@ def search(q_ids, q, c_ids, c, k: int, resolutions=RESOLUTIONS):
             score = _exact(q[n], c[alive], large)
             best = np.lexsort((c_ids[alive], -score))[:k] if not large else np.array(
                 sorted(range(len(alive)), key=lambda j: (-score[j], c_ids[alive[j]]))[:k], int)
-            found.append((np.full(len(best), q_ids[n]), c_ids[alive][best], score[best]))
+            found.append((np.full(len(best), q_rows[n]), c_ids[alive][best], score[best]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
@@ -116,7 +114,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, rows_per_shard: int =
     """query_id, rank, vec_id, score: for each usable row that satisfies ``is_query`` (a condition on
     vec_id) its k best other rows by integer inner product, all if fewer; ties to the smaller vec_id.
 
-    Vectors of different length are never compared.  An empty table, or one without queries, gives
+    Different vectors under one id are rows of their own, each a query (with that query_id) and a candidate
+    of the other ids.  Vectors of different length are never compared.  An empty table, or one without queries, gives
     no rows.  Rows are copied once per query block and queries once per row shard, so the work is
     queries x rows (the contract of an exact search) but every group is of bounded size."""
     spark = table.sparkSession
@@ -125,23 +124,24 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, rows_per_shard: int =
     asked = rows.filter(is_query)
     blocks = max(1, -(-asked.count() // queries_per_block))
     shards = max(2 * shuffle_width(spark), -(-n // rows_per_shard))
-    pick = lambda tag, m: F.pmod(F.xxhash64(F.lit(tag), "vec_id"), F.lit(m)).cast("int")
+    pick = lambda tag, m: F.pmod(F.xxhash64(F.lit(tag), "row"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    q = asked.select("vec_id", "v", pick("block", blocks).alias("block"), every(shards).alias("shard"))
-    c = rows.select("vec_id", "v", pick("shard", shards).alias("shard"), every(blocks).alias("block"))
+    q = asked.select("row", "vec_id", "v", pick("block", blocks).alias("block"), every(shards).alias("shard"))
+    c = rows.select("row", "vec_id", "v", pick("shard", shards).alias("shard"), every(blocks).alias("block"))
 
     def pair(qt: pa.Table, ct: pa.Table) -> pa.Table:
         left, right = _matrix(qt), _matrix(ct)
-        got = [search(*left[d], *right[d], k) for d in left if d in right]
+        got = [search(*left[d], *right[d][1:], k) for d in left if d in right]
         cols = [np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(3)]
         return pa.table([pa.array([int(x) for x in col] if col.dtype == object else col.astype(np.int64), pa.int64())
-                         for col in cols], names=["query_id", "vec_id", "score"])
+                         for col in cols], names=["row", "vec_id", "score"])
 
     local = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(
-        pair, "query_id long, vec_id long, score long")
+        pair, "row long, vec_id long, score long")
     # the k best of a query's shards: sorted lists of at most shards x k short rows
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "vec_id", "score"))), 1, k)
-    return (local.groupBy("query_id").agg(best.alias("best"))
+    named = asked.select("row", F.col("vec_id").cast("long").alias("query_id"))
+    return (local.groupBy("row").agg(best.alias("best")).join(named, "row")
             .select("query_id", F.posexplode("best").alias("at", "hit"))
             .select("query_id", (F.col("at") + 1).cast("int").alias("rank"),
                     F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")))

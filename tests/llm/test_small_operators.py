@@ -95,6 +95,17 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_different_vectors_of_one_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [2.0, 0.0]), (2, [0.0, 4.0]), (2, [0.0, 4.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).collect()
+    one = 256 * 256
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == 0) == [
+        (1, 2, 4 * one), (2, 1, 3 * one), (3, 2, 2 * one), (4, 1, one), (5, 50, one)]
+    # the two vectors of id 50 are two queries; neither meets the other
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == 50) == sorted(
+        [(1, 2, 2 * one), (2, 0, one), (3, 1, one), (4, 1, 0), (5, 2, 0), (1, 2, 4 * one), (2, 1, 3 * one), (3, 0, one), (4, 1, 0), (5, 2, 0)])
+
+
 # ------------------------------------------------------------------ quality
 
 def test_quality_held_out_accuracy(spark):
