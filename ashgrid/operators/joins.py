@@ -195,17 +195,31 @@ class IrregularAxis:
         return self.values[-1]
 
 
+def _points_up_to(v: Column, axis: IrregularAxis, strict: bool) -> Column:
+    """How many axis points lie below ``v`` (``strict``) or at or below it: bisection over the constant array, about
+    log2(n) looks a value however long the axis is."""
+    n = len(axis.values)
+    arr = F.array(*[F.lit(float(a)) for a in axis.values])  # folded into one literal by the optimizer
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+
+    def further(k, s):
+        point = F.get(arr, k + s - 1)
+        return F.when((k + s <= n) & ((point < v) if strict else (point <= v)), k + s).otherwise(k)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def nearest_index(v, axis: RegularAxis | IrregularAxis) -> Column:
     """Index of the nearest axis point; ties go to the lower index; outside the axis hull
     (beyond the first or last point) -> null.
 
     Regular axes use index arithmetic; irregular axes (a short constant array shipped with the
-    plan) count the points below the value and pick the closer neighbour."""
+    plan) find the points below the value by bisection and pick the closer neighbour."""
     v = col_of(v)
     lo, hi = min(axis.origin, axis.last), max(axis.origin, axis.last)
     if isinstance(axis, IrregularAxis):
         arr = F.array(*[F.lit(float(a)) for a in axis.values])
-        k = F.size(F.filter(arr, lambda a: a < v))                  # first index with a >= v
+        k = _points_up_to(v, axis, True)                             # first index with a >= v
         above = F.element_at(arr, k + 1)                             # element_at is 1-based
         below = F.element_at(arr, F.greatest(k, F.lit(1)))
         idx = F.when(k == 0, F.lit(0)).when((v - below) <= (above - v), k - 1).otherwise(k)
@@ -253,7 +267,7 @@ def lower_index(v, axis: RegularAxis | IrregularAxis) -> tuple[Column, Column]:
     inside = v.between(min(axis.origin, axis.last), max(axis.origin, axis.last))
     if isinstance(axis, IrregularAxis):
         arr = F.array(*[F.lit(float(a)) for a in axis.values])
-        k = F.size(F.filter(arr, lambda a: a <= v)) - 1
+        k = _points_up_to(v, axis, False) - 1
         below, above = F.get(arr, k), F.get(arr, k + 1)
         frac = F.when(v == below, F.lit(0.0)).otherwise((v - below) / (above - below))
         return F.when(inside, k.cast("long")), F.when(inside, frac)

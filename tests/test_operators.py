@@ -445,3 +445,21 @@ def test_histogram_of_constant_values(spark):
 def test_density_of_constant_values_is_null_not_an_error(spark):
     df = ntz(spark, [(4.0,), (4.0,)], "v double")
     assert all(r.density is None for r in A.density(df, "v", 5).collect())
+
+
+def test_irregular_axis_bisection_equals_a_scan(spark):
+    import bisect
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 64, 1000):
+        axis = J.IrregularAxis(tuple(sorted(set(rng.uniform(-90, 90, n).round(2).tolist()))))
+        a = axis.values
+        v = [*rng.uniform(-95, 95, 200).tolist(), *a[:50], a[-1], *[(x + y) / 2 for x, y in zip(a[:40], a[1:])], None]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
+        low, frac = J.lower_index("v", axis)
+        for r in df.select("v", J.nearest_index("v", axis).alias("near"), low.alias("low"), frac.alias("frac")).collect():
+            if r.v is None or not a[0] <= r.v <= a[-1]:
+                assert (r.near, r.low, r.frac) == (None, None, None)
+                continue
+            k = bisect.bisect_right(a, r.v) - 1
+            assert r.low == k and r.frac == (0 if r.v == a[k] else pytest.approx((r.v - a[k]) / (a[k + 1] - a[k])))
+            assert r.near == (k if k + 1 == len(a) or r.v - a[k] <= a[k + 1] - r.v else k + 1)
