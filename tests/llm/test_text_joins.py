@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ashgrid.llm import jaccard
-from ashgrid.llm.components import components
+from ashgrid.llm.components import components, near_labels
 from ashgrid.llm.decontam import decontaminate, drop_contaminated
 from ashgrid.llm.jaccard import PrefixTree, drop_near_duplicates, near_duplicates
 from ashgrid.llm.mixing import mix_documents
@@ -212,6 +212,16 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{k: 7 for k in range(300, 360)}}
 
 
+def test_near_labels_only_join_connected_nodes(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(500, k) for k in range(100, 140)] + [(k, k + 1) for k in range(200, 230)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    exact, got = dict(components(df.filter("a <> b")).collect()), dict(near_labels(df).collect())
+    assert all(exact.get(n, n) == exact.get(c, c) for n, c in got.items()) and {n for e in edges for n in e} == set(got)
+    assert {got[k] for k in [500, *range(100, 140)]} == {100}  # a hub and its partners
+    assert near_labels(df.limit(0)).collect() == []
+
+
 # ------------------------------------------------------------------ repeats
 
 def repeats(rows, span=100):
