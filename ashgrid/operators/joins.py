@@ -131,7 +131,7 @@ def covering_fires(obs: DataFrame, fires: DataFrame, half: float, *, strict_box:
                    obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
                    fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
                    cell_deg: float | None = None, period_days: int = 7, out: str = "n_fires") -> DataFrame:
-    """Readings inside at least one fire's box during its period, once each, with the number of such fires.
+    """C4: readings inside at least one fire's box during its period, once each, with the number of such fires.
 
     Interval stabbing by differences: a fire adds one at its start and takes one away after its end.  The
     differences are summed per place and period, where a place is a distinct (lat, lon) that has readings in
