@@ -212,12 +212,19 @@ def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
                         F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
+# Kernel sums: moments kept per bin, bins per bandwidth, reach of the kernel in bandwidths.
+KERNEL_TERMS, KERNEL_BINS, KERNEL_REACH = 6, 16, 9.0
+
+
 def density(df: DataFrame, c: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth (sample std * n^(-1/5)) on an even
     grid from min - cut*bw to max + cut*bw: (g, x, density).
 
-    Each value contributes to every grid point, so the work is n * gridsize; values are
-    emitted per grid point with ``explode`` (no join) and summed by grid index.
+    Values are combined into bins a sixteenth of the bandwidth wide; a bin keeps the sums of the first
+    six powers of the distance to its middle, from which the kernel sums follow by the Hermite series
+    of the Gaussian.  The rest of the series is below 1e-11 / bw and what lies beyond nine
+    bandwidths below 1e-17 / bw, so the density is exact to about eleven digits of its scale.  The
+    work is n + bins * gridsize; only bins are shuffled and meet grid points.
     """
     vals = df.select(present(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
     st = vals.select(F.struct(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
@@ -225,13 +232,33 @@ def density(df: DataFrame, c: str, gridsize: int = 200, cut: float = 3.0) -> Dat
     n = st["n"]
     bw = st["sd"] * F.pow(n, F.lit(-0.2))
     lo = st["mn"] - bw * cut
-    hi = st["mx"] + bw * cut
-    step = (hi - lo) / (gridsize - 1)
-    g = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
-    pts = vals.select("v", g).withColumn("x", lo + F.col("g") * step)
-    # a zero bandwidth (constant or single value) has no density: null instead of a failure
-    k = F.try_divide(F.exp(-0.5 * F.pow(F.try_divide(F.col("x") - F.col("v"), bw), 2)), bw * math.sqrt(2 * math.pi))
-    return pts.groupBy("g", "x").agg((F.sum(k) / n).alias("density")).orderBy("g")
+    step = (st["mx"] + bw * cut - lo) / (gridsize - 1)
+    # in bandwidths from the minimum; a zero bandwidth (constant or single value) has no bins
+    gap = (F.try_divide(st["mx"] - st["mn"], bw) + 2 * cut) / (gridsize - 1)
+    placed = vals.select(F.try_divide(F.col("v") - st["mn"], bw).alias("u")).select(
+        "u", F.round(F.col("u") * KERNEL_BINS).try_cast("long").alias("bin"))
+    off = F.col("u") - F.col("bin") / KERNEL_BINS
+    power = [F.lit(1.0)]
+    for _ in range(1, KERNEL_TERMS):
+        power.append(power[-1] * off)
+    bins = placed.filter(F.col("bin").isNotNull()).groupBy("bin").agg(
+        *[(F.sum(p) / math.factorial(k)).alias(f"m{k}") for k, p in enumerate(power)])
+    at = F.col("bin") / KERNEL_BINS + cut
+    first = F.greatest(F.lit(0), F.ceil((at - KERNEL_REACH) / gap).cast("int"))
+    last = F.least(F.lit(gridsize - 1), F.floor((at + KERNEL_REACH) / gap).cast("int"))
+    near = (bins.withColumns({"_from": first, "_to": last}).filter(F.col("_from") <= F.col("_to"))
+                .withColumn("g", F.explode(F.sequence("_from", "_to"))).withColumn("d", F.col("g") * gap - at))
+    d = F.col("d")
+    hermite = [F.lit(1.0), d]
+    for k in range(1, KERNEL_TERMS - 1):
+        hermite.append(d * hermite[k] - k * hermite[k - 1])
+    total = sum((h * F.col(f"m{k}") for k, h in enumerate(hermite)), F.lit(0.0))
+    sums = near.groupBy("g").agg(F.sum(F.exp(-0.5 * d * d) * total).alias("s"))
+    grid = df.sparkSession.range(gridsize).select(F.col("id").cast("int").alias("g")).filter(n > 0)
+    scale = n * bw * math.sqrt(2 * math.pi)
+    return grid.join(sums, "g", "left").select(
+        "g", (lo + F.col("g") * step).alias("x"),
+        F.when(bw != 0, F.try_divide(F.coalesce(F.col("s"), F.lit(0.0)), scale)).alias("density")).orderBy("g")
 
 
 def share_at_least(df: DataFrame, c: str, threshold: float = 100.0) -> DataFrame:

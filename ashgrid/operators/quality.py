@@ -11,7 +11,8 @@ __all__ = ["verify_files", "already_done", "quarantine"]
 
 
 def verify_files(manifest: DataFrame, files: DataFrame, *, key: str = "url", expected_bytes: str = "expected_bytes",
-                 manifest_md5: str = "md5", etag: str = "etag", content: str = "content") -> DataFrame:
+                 manifest_md5: str = "md5", etag: str = "etag", content: str = "content",
+                 measured: tuple[str, str] | None = None) -> DataFrame:
     """Q1: check downloaded files against their manifest and the server tag.
 
     data check   : file size == manifest bytes and manifest md5 present and equal to md5(file)
@@ -19,10 +20,13 @@ def verify_files(manifest: DataFrame, files: DataFrame, *, key: str = "url", exp
     stale        : tag looks like a checksum and the manifest md5 is missing or differs from it
     status       : 'invalid_data' when both checks fail, else 'invalid_stale' when stale, else 'valid'
 
-    ``files`` holds (key, content) - e.g. ``spark.read.format("binaryFile")`` output; size and md5
-    are computed on the executors.
+    ``files`` holds (key, content) - e.g. ``spark.read.format("binaryFile")`` output - whose size and md5
+    are computed on the executors, or, with ``measured``, the names of columns that hold size and md5, as
+    ``file_digests`` gives them for files of any size.
     """
-    f = files.select(F.col(key), F.octet_length(F.col(content)).alias("_size"), F.md5(F.col(content)).alias("_md5"))
+    size, digest = ((F.col(c) for c in measured) if measured
+                    else (F.octet_length(F.col(content)), F.md5(F.col(content))))
+    f = files.select(F.col(key), size.alias("_size"), digest.alias("_md5"))
     j = manifest.join(f, key, "left")
     m, t = F.col(manifest_md5), F.col(etag)
     tag_like = t.isNotNull() & t.rlike(r"^[a-z0-9]+$")

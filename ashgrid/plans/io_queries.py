@@ -22,7 +22,10 @@ from ashgrid.operators import quality as Q
 from ashgrid.plans.catalog import register, rounded
 from ashgrid.plans.column_queries import image_rows, raw_sensor_rows, weather_rows, _RAW, _IMG, _WX
 from ashgrid.session import checkpoint_root
+from ashgrid.operators import pixels as P
 from ashgrid.sources import files as SRC
+from ashgrid.sources.digests import file_digests
+from ashgrid.sources.listing import listing_files_to_fire_dates
 from ashgrid.sources.fixtures import (CUBE_T, CUBE_X, CUBE_Y, EPOCH_2024, fire, grid_cell, manifest, raster, reading_cube,
                                       sensor_obs, table)
 
@@ -354,6 +357,61 @@ def q_nested_listing(spark, sf_dir):
     return SRC.nested_listing_to_fire_dates(_nested_listing(spark, sf_dir))
 
 
+@register("listing_files_to_fire_dates", sql="""
+select cast(user_id % 8 as varchar) as fire_id, min(cast(ts as date)) as start_date, max(cast(ts as date)) as end_date,
+       list_sort(list(distinct cast(ts as date))) as dates
+from events where event_id % 13 != 0 and event_id % 29 != 0 and user_id % 8 != 5 group by 1""")
+def q_listing_files(spark, sf_dir):
+    """The same trees as files without line breaks, read tag by tag by as many tasks as the files have splits."""
+    path = scratch(spark, "listing")
+    _nested_listing(spark, sf_dir).write.option("lineSep", " ").text(path)
+    return listing_files_to_fire_dates(spark, path)
+
+
+def _day_files(lines, path):
+    """One text file per day, its lines in id order."""
+    lines.repartition("day").sortWithinPartitions("day", "event_id").select("day", "line").write.partitionBy("day").text(path)
+
+
+@register("verify_stored_files", sql="""
+with l as (select strftime(ts, '%Y-%m-%d') as day, event_id, event_id || ',' || event_type || ',' || user_id as line from events),
+f as (select day, string_agg(line, chr(10) order by event_id) || chr(10) as body from l group by 1),
+t as (select day, cast(substr(day, 9) as int) % 7 = 0 as cut, body from f)
+select day, cast(octet_length(encode(body)) as bigint) as expected_bytes, not cut as data_ok, not cut as tag_ok, false as stale,
+       case when cut then 'invalid_data' else 'valid' end as status, md5(body) as md5 from t""")
+def q_verify_stored_files(spark, sf_dir):
+    """Q1 on stored files read in 64 KB blocks: the digests of one copy are the manifest of a second one, of which every
+    seventh day has lost its first lines."""
+    e = table(spark, sf_dir, "events")
+    lines = e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id",
+                     F.concat_ws(",", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")).alias("line"))
+    sent, got = scratch(spark, "sent"), scratch(spark, "got")
+    first = lines.groupBy("day").agg(F.min("event_id").alias("_first"))
+    cut = (F.substring("day", 9, 2).cast("int") % 7 == 0) & (F.col("event_id") == F.col("_first"))
+    _day_files(lines, sent)
+    _day_files(lines.join(first, "day").filter(~cut), got)
+    day = F.regexp_extract("path", r"^day=([^/]+)/", 1).alias("day")
+    m = file_digests(spark, sent, "part-*", block_bytes=1 << 16).select(day, F.col("length").alias("expected_bytes"), "md5", F.col("md5").alias("etag"))
+    f = file_digests(spark, got, "part-*", block_bytes=1 << 16).select(day, F.col("length").alias("_n"), F.col("md5").alias("_digest"))
+    return Q.verify_files(m, f, key="day", measured=("_n", "_digest")).drop("etag")
+
+
+@register("stored_inventory", sql="""
+select cast(year as int) as year, fire_id, count(distinct obs_date) as n_images, min(obs_date) as first_date, max(obs_date) as last_date
+from raster group by 1, 2""")
+def q_stored_inventory(spark, sf_dir):
+    """A5: rasters per fire from the listing of stored files (``list_files``), one folder per image and fire."""
+    path = scratch(spark, "stacks")
+    r = raster(spark, sf_dir)
+    image = r.select("y", F.concat(F.lit("fire_"), F.col("fire_id").cast("string")).alias("fire"), F.col("year").cast("string").alias("at"),
+                     F.concat(F.date_format("obs_date", "yyyy-MM-dd"), F.lit(".tif")).alias("image"))
+    (image.groupBy("at", "fire", "image").agg(F.count("y").cast("string").alias("value")).repartition("at", "fire")
+          .write.partitionBy("at", "fire", "image").text(path))
+    inside = F.regexp_replace(F.substring_index("path", path.rstrip("/").rsplit("/", 1)[1], -1), "/part-[^/]*$", "")
+    return P.stack_inventory(SRC.list_files(spark, path, "part-*").select(inside.alias("path"))).select(
+        "year", "fire_id", "n_images", "first_date", "last_date")
+
+
 @register("ragged_header_rows", sql="""
 select event_id, cast(event_id % 2 as int) as row_idx, case when event_id % 2 = 0 then epoch_ms(1704067200000 + event_id * 60000) end as time,
        case when event_id % 2 = 0 then round(value, 6) end as pm25, case when event_id % 2 = 1 then 'ragged' end as reason

@@ -1,0 +1,7 @@
+"""Readers and writers.  Functions of this package travel to the executors by value, so tasks need no copy of it there."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
