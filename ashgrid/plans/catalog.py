@@ -72,8 +72,8 @@ def with_views(sql: str) -> str:
     if not used:
         return body
     ctes = ",\n".join(f"{v} as ({ORACLE_VIEWS[v].strip()})" for v in used)
-    if re.match(r"(?is)^with\s", body):
-        return f"with {ctes},\n{body[5:]}"
+    if m := re.match(r"(?is)^with\s+(recursive\s)?", body):
+        return f"with {m.group(1) or ''}{ctes},\n{body[m.end():]}"
     return f"with {ctes}\n{body}"
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ashgrid.operators import aggregates as agg
 from ashgrid.operators import joins as J
 from ashgrid.operators import pixels as P
+from ashgrid.operators.logistic import fire_probability, newton_fit
 from ashgrid.plans.catalog import register, rounded
+from ashgrid.session import cut_lineage
 from ashgrid.sources.fixtures import raster, table
 
 T, SKIP, HW = 2, 1, 16
@@ -296,18 +298,86 @@ def q_focal_3x3(spark, sf_dir):
     return P.focal_3x3(r, ["fire_id", "obs_date"], "b0", HW, HW)
 
 
-@register("fire_classifier")
+FIT_STEPS, FIT_RIDGE = 5, 1e-3
+_SIDES = [f"{dy}{dx}" for dy in "mzp" for dx in "mzp"]
+CLASSIFIER_FEATURES = [f"b0_{s}" for s in _SIDES] + [f"af_{s}" for s in _SIDES] + ["wind_sine", "burnable"]
+
+
+def classifier_rows(spark, sf_dir):
+    """Per pixel of a sample's last input day: 3 x 3 of reflectance and of the fire mask, sine of the wind
+    direction, whether the land cover is one of the first eleven classes; the label is the next image's mask."""
+    sp = sample_pixels(spark, sf_dir)
+    last = sp.filter(F.col("lag") == T - 1)
+    at = [*KEYS, "y", "x"]
+    wide = last.select(*at, P.degrees_to_sine("b7").alias("wind_sine"), (F.col("b16") < 11).cast("double").alias("burnable"))
+    for band, c in (("b0", "b0"), ("af", "af_mask")):
+        near = P.focal_3x3(last.select(*at, F.col(c).cast("double").alias("v")), KEYS, "v", HW, HW)
+        wide = wide.join(near.withColumnsRenamed({f"n_{s}": f"{band}_{s}" for s in _SIDES}), at)
+    label = sp.filter(F.col("lag") == T).select(*at, F.col("af_mask").cast("double").alias("label"))
+    return wide.join(label, at, "left").na.fill(0.0, ["label"])
+
+
+def _classifier_sql() -> str:
+    """The same fit in SQL: rows per pair of training years, five Newton steps, elimination without pivots."""
+    m = len(CLASSIFIER_FEATURES) + 1
+    near = ", ".join(f"coalesce(max(case when q.y = r.y + {dy} and q.x = r.x + {dx} then q.{c} end), 0) as {b}_{s}"
+                     for b, c in (("b0", "b0"), ("af", "af_mask"))
+                     for s, (dy, dx) in zip(_SIDES, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    x = ["1.0", *CLASSIFIER_FEATURES]
+    ctes = [f"""last as (select * from sp where lag = {T - 1}),
+feat as materialized (select r.year, r.fire_id, r.sample_idx, r.y, r.x, any_value(sin(radians(r.b7))) as wind_sine,
+  any_value(cast(r.b16 < 11 as int)) as burnable, {near}, any_value(coalesce(l.af_mask, 0)) as label
+  from last r join last q on q.year = r.year and q.fire_id = r.fire_id and q.sample_idx = r.sample_idx
+    and q.y between r.y - 1 and r.y + 1 and q.x between r.x - 1 and r.x + 1
+  left join (select * from sp where lag = {T}) l on l.year = r.year and l.fire_id = r.fire_id
+    and l.sample_idx = r.sample_idx and l.y = r.y and l.x = r.x
+  group by r.year, r.fire_id, r.sample_idx, r.y, r.x)""",
+            """fold as (select * from (values """ + ", ".join(f"({f}, {y}, '{s}')" for f, y, s in P.year_folds()) + """) t(fold, year, split)),
+pairs as (select distinct fold // 2 as model, year from fold where split = 'train')""",
+            """base as materialized (select p.model, f.*, case when f.label = 1 then count(*) over (partition by p.model)
+  / cast(sum(f.label) over (partition by p.model) as double) else 1.0 end as w from feat f join pairs p on p.year = f.year)""",
+            f"b0 as materialized (select distinct model, list_value({', '.join(['0.0::double'] * m)}) as beta from base)"]
+    for k in range(FIT_STEPS):
+        z = " + ".join(f"b.beta[{i + 1}] * {c}" for i, c in enumerate(x))
+        sums = ", ".join([f"sum(q * {x[i]} * {x[j]}) as h{i}_{j}" for i in range(m) for j in range(i, m)]
+                         + [f"sum(r * {c}) as g{i}" for i, c in enumerate(x)])
+        rows = ", ".join("list_value(" + ", ".join(
+            [f"h{min(i, j)}_{max(i, j)} / n" + (f" + {FIT_RIDGE}" if i == j else "") for j in range(m)]
+            + [f"g{i} / n - {FIT_RIDGE} * beta[{i + 1}]"]) + ")" for i in range(m))
+        ctes += [f"""s{k} as materialized (select model, any_value(beta) as beta, sum(w) as n, {sums} from (
+  select *, w * p * (1 - p) as q, w * (label - p) as r from (
+    select d.*, b.beta, 1 / (1 + exp(-({z}))) as p from base d join b{k} b on b.model = d.model)) group by model)""",
+                 f"""e{k} as (select model, beta, 1 as piv, list_value({rows}) as a from s{k}
+  union all select model, beta, piv + 1, list_transform(a, lambda u, i: case when i = piv then u
+    else list_transform(u, lambda v, j: v - u[piv] / a[piv][piv] * a[piv][j]) end) from e{k} where piv <= {m})""",
+                 f"""b{k + 1} as materialized (select model, list_transform(beta, lambda v, i: v + a[i][{m + 1}] / a[i][i]) as beta
+  from e{k} where piv = {m + 1})"""]
+    z = " + ".join(f"b.beta[{i + 1}] * {c}" for i, c in enumerate(x))
+    body = ",\n".join(ctes)
+    return f"""with recursive {_SAMPLES},
+{body}
+select t.fold, f.year, f.fire_id, f.sample_idx, f.y, f.x, cast(f.label as int) as label,
+       round(1 / (1 + exp(-({z}))), 6) as score
+from feat f join fold t on t.year = f.year and t.split = 'test' left join b{FIT_STEPS} b on b.model = t.fold // 2"""
+
+
+@register("fire_classifier", sql=_classifier_sql())
 def q_fire_classifier(spark, sf_dir):
-    """Logistic regression on focal features, weighted by the positive-class weight,
-    scoring every pixel (rows-only check: iterative fit)."""
-    r = raster(spark, sf_dir)
-    feats = P.focal_3x3(r.select("fire_id", "obs_date", "y", "x", "b0"), ["fire_id", "obs_date"], "b0", HW, HW)
-    lab = r.select("fire_id", "obs_date", "y", "x", P.binary_mask(P.clean_fire_band("b22")).cast("double").alias("label"))
-    d = feats.join(lab, ["fire_id", "obs_date", "y", "x"])
-    cols = [c for c in feats.columns if c.startswith("n_")]
-    weight = agg.positive_weight(agg.band_statistics(raster_long(spark, sf_dir), [2018, 2019])).first()["pos_weight"]  # one number
-    va, model = P.train_fire_classifier(d, cols, "label", pos_weight=weight, max_iter=50)
-    return P.predict_fire(va, model, d).select("fire_id", "obs_date", "y", "x", "label", F.round("score", 6).alias("score"))
+    """H20 (+H19, E5, D20): next-day fire by logistic regression, fitted on the training years of each of the
+    twelve folds with their positive-class weight and scored on the fold's test year."""
+    rows = cut_lineage(classifier_rows(spark, sf_dir))
+    folds = P.fold_table(spark)
+    pairs = folds.filter("split = 'train'").select(F.expr("fold div 2").cast("int").alias("model"), "year").distinct()
+    train = rows.join(F.broadcast(pairs), "year")  # twelve rows
+    share = train.groupBy("model").agg(F.try_divide(F.count("label"), F.sum("label")).alias("_up"))
+    up = F.when(F.col("label") == 1, F.col("_up")).otherwise(1.0).alias("weight")
+    train = cut_lineage(train.join(F.broadcast(share), "model").select("model", "label", up, *CLASSIFIER_FEATURES))  # read by every step
+    fitted = newton_fit(train, CLASSIFIER_FEATURES, steps=FIT_STEPS, ridge=FIT_RIDGE)
+    models = spark.createDataFrame([(m, b.tolist()) for m, b in fitted.items()], "model int, beta array<double>")
+    test = rows.join(F.broadcast(folds.filter("split = 'test'")), "year").withColumn("model", F.expr("fold div 2").cast("int"))
+    scored = test.join(F.broadcast(models), "model", "left")  # six rows
+    return scored.select("fold", *KEYS, "y", "x", F.col("label").cast("int").alias("label"),
+                         F.round(fire_probability(F.col("beta"), CLASSIFIER_FEATURES), 6).alias("score"))
 
 
 @register("prediction_table", sql=f"""with {_SAMPLES},
