@@ -40,7 +40,7 @@ def _shares(batches, models: dict[int, np.ndarray], size: int):
 
 def newton_fit(rows: DataFrame, features: Sequence[str], *, label: str = "label", weight: str = "weight",
                model: str = "model", steps: int = 5, ridge: float = 1e-3) -> dict[int, np.ndarray]:
-    """Coefficients (intercept first) per value of ``model``: ``steps`` Newton steps from zero on the mean
+    """Coefficients (intercept first) per value of ``model``: ``steps`` Newton steps from zero on the mean
     weighted log loss plus ridge / 2 times the squared coefficients.
 
     Rows with a null or NaN in any used column take no part.  What reaches the driver is one
@@ -64,7 +64,7 @@ def newton_fit(rows: DataFrame, features: Sequence[str], *, label: str = "label"
 
 
 def fire_probability(beta: Column, features: Sequence[str]) -> Column:
-    """Probability under the coefficients in the array column ``beta`` (intercept first)."""
+    """Probability under the coefficients in the array column ``beta`` (intercept first)."""
     z = beta[0]
     for k, f in enumerate(features):
         z = z + beta[k + 1] * F.col(f).cast("double")

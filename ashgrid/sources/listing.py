@@ -93,7 +93,7 @@ def tree_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 
 def listing_files_to_fire_dates(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """A6 over files: as ``nested_listing_to_fire_dates``, for listings too large for one value."""
+    """Over files, as ``nested_listing_to_fire_dates``, for listings too large for one value."""
     t = tree_files(spark, paths)
     d = F.col("dirs")
     day = F.try_to_date(F.regexp_extract("file", r"^(\d{4}-\d{2}-\d{2})\.tif$", 1), "yyyy-MM-dd")
