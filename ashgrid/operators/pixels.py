@@ -90,10 +90,8 @@ def samples(pixels: DataFrame, T: int, skip: int = 0, keys: Sequence[str] = ("ye
     sample it belongs to (at most T + 1 times), via a join on the per-image table.
     """
     keys = list(keys)
-    idx = image_index(pixels, keys, date)
-    cnt = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    lags = idx.join(cnt, keys).select(*keys, date, "img_idx", "_n",
-                                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(T).cast("long"))).alias("lag"))
+    idx = image_index(pixels, keys, date).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))  # same partitioning
+    lags = idx.select(*keys, date, "img_idx", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(T).cast("long"))).alias("lag"))
     lags = lags.withColumn("sample_idx", F.col("img_idx") - skip - F.col("lag"))
     lags = lags.filter((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("_n") - skip - T))
     return pixels.join(lags.select(*keys, date, "sample_idx", "lag"), [*keys, date])
@@ -233,13 +231,13 @@ def center_crop(df: DataFrame, n: int, H: int, W: int, y: str = "y", x: str = "x
     return f.withColumns({y: F.col(y) - top, x: F.col(x) - left})
 
 
-def crop_offsets(keys: Sequence[str], k: int, H: int, W: int, n: int, seed: int) -> list[Column]:
-    """Deterministic pseudo-random crop offsets for candidate i (0..k-1) of a sample:
+def crop_offsets(keys: Sequence[str], i: Column, H: int, W: int, n: int, seed: int) -> list[Column]:
+    """Deterministic pseudo-random crop offsets for candidate ``i`` (0..k-1) of a sample:
     top, left in [0, H - n) and [0, W - n) from modular arithmetic on the key and seed."""
     h = F.lit(0).cast("long")
     for c in keys:
         h = F.pmod(h * 1000003 + F.col(c).cast("long"), F.lit(2147483647))
-    i = F.col("crop_i").cast("long")
+    i = i.cast("long")
     top = F.pmod(h * 31 + i * 7919 + seed * 104729, F.lit(H - n))
     left = F.pmod(h * 17 + i * 6007 + seed * 15485863, F.lit(W - n))
     return [top.alias("top"), left.alias("left")]
@@ -251,28 +249,23 @@ def best_of_k_crops(sample_pixels: DataFrame, k: int, n: int, H: int, W: int, se
     """K candidate crops per sample scored mean(input fire band) + 1000 * mean(label);
     the first candidate with the best score wins.  Returns (keys, crop_i, top, left).
 
-    Only pixels with a non-zero fire value or label contribute to a score, so the k-fold
-    fan-out runs over those sparse pixels, not the whole image."""
+    Offsets follow from the keys, so a pixel knows which of its sample's crops hold it: the scores are
+    2 k conditional sums per sample, combined before the one shuffle, with no row per candidate and no
+    join.  Samples without fire or label keep candidate 0."""
     if H - n <= 0 or W - n <= 0:
         raise ValueError("crop must be smaller than the image")
     keys = list(keys)
-    owners = sample_pixels.select(*keys).distinct()
-    cands = owners.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("crop_i"))
-    cands = cands.select(*keys, "crop_i", *crop_offsets(keys, k, H, W, n, seed))
-    is_in = F.col("lag") < T
-    hot = sample_pixels.filter((is_in & (F.col(fire) != 0)) | ((F.col("lag") == T) & (F.col(label) != 0)))
-    hot = hot.select(*keys, "y", "x", F.when(is_in, F.col(fire)).otherwise(F.lit(0.0)).alias("_f"),
-                     F.when(~is_in, F.col(label)).otherwise(F.lit(0.0)).alias("_l"))
-    j = hot.join(cands, keys)
-    inside = (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + n) & (F.col("x") >= F.col("left")) \
-        & (F.col("x") < F.col("left") + n)
-    sc = j.filter(inside).groupBy(*keys, "crop_i").agg(F.sum("_f").alias("_sf"), F.sum("_l").alias("_sl"))
-    scored = cands.join(sc, [*keys, "crop_i"], "left")
-    score = (F.coalesce(F.col("_sf"), F.lit(0.0)) / (T * n * n)
-             + 1000 * F.coalesce(F.col("_sl"), F.lit(0.0)) / (n * n))
-    best = scored.groupBy(*keys).agg(
-        F.max_by(F.struct("crop_i", "top", "left"), F.struct(score.alias("s"), (-F.col("crop_i")).alias("i"))).alias("_b"))
-    return best.select(*keys, "_b.*")
+    inputs = (F.col("lag") < T) & (F.col(fire) != 0)
+    labels = (F.col("lag") == T) & (F.col(label) != 0)
+    sums, scored = [], []
+    for i in range(k):
+        top, left = crop_offsets(keys, F.lit(i), H, W, n, seed)
+        inside = F.col("y").between(top, top + (n - 1)) & F.col("x").between(left, left + (n - 1))
+        sums += [F.sum(F.when(inputs & inside, F.col(fire))).alias(f"_f{i}"), F.sum(F.when(labels & inside, F.col(label))).alias(f"_l{i}")]
+        score = F.coalesce(f"_f{i}", F.lit(0)) / (T * n * n) + 1000 * F.coalesce(f"_l{i}", F.lit(0)) / (n * n)
+        scored.append(F.struct(score.alias("s"), F.lit(-i).alias("i"), F.lit(i).cast("long").alias("crop_i"), top, left))
+    best = F.greatest(*scored) if k > 1 else scored[0]
+    return sample_pixels.groupBy(*keys).agg(*sums).select(*keys, best.alias("_b")).select(*keys, "_b.crop_i", "_b.top", "_b.left")
 
 
 def flip_h(df: DataFrame, W: int, degree_cols: Sequence[str] = (), x: str = "x") -> DataFrame:

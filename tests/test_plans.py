@@ -170,3 +170,32 @@ def test_box_join_prefilter_reaches_the_scan(spark):
     scan = [l for l in p.splitlines() if "FileScan parquet" in l][0]
     pushed = scan[scan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(time" in pushed and "LessThanOrEqual(lat" in pushed
+
+
+def test_best_crop_is_one_shuffle_and_matches_a_loop(spark):
+    """H11 on a small stack against every candidate counted pixel by pixel."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ashgrid.operators import pixels as P
+    rng, T, n, size, k, seed = random.Random(3), 2, 3, 9, 6, 5
+    rows = [(2018, fire, s, lag, y, x, rng.choice([0, 0, 0, 0, 7, 15]) if fire != 3 else 0, int(fire != 3 and rng.random() < 0.1))
+            for fire in (1, 2, 3) for s in range(2) for lag in range(T + 1) for y in range(size) for x in range(size)]
+    rows[5] = (*rows[5][:6], None, None)
+    df = spark.createDataFrame(rows, "year int, fire_id long, sample_idx long, lag long, y int, x int, af_hh int, label int").repartition(3)
+    best = P.best_of_k_crops(df, k, n, size, size, seed, T)
+    shape = best._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in shape and "Generate" not in shape and plan(best).count("Exchange hashpartitioning") <= 1
+    offsets = {(r.fire_id, r.sample_idx, r.i): (r.top, r.left) for r in df.select("year", "fire_id", "sample_idx").distinct()
+               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+               .select("fire_id", "sample_idx", "i", *P.crop_offsets(("year", "fire_id", "sample_idx"), F.col("i"), size, size, n, seed)).collect()}
+    got = {(r.fire_id, r.sample_idx): (r.crop_i, r.top, r.left) for r in best.collect()}
+    assert len(got) == 6
+    for fire, s in got:
+        def score(i):
+            top, left = offsets[fire, s, i]
+            own = [r for r in rows if r[1:3] == (fire, s) and top <= r[4] < top + n and left <= r[5] < left + n]
+            return (sum(r[6] or 0 for r in own if r[3] < T) / (T * n * n) + 1000 * sum(r[7] or 0 for r in own if r[3] == T) / (n * n))
+        i = max(range(k), key=lambda i: (score(i), -i))
+        assert got[fire, s] == (i, *offsets[fire, s, i])
