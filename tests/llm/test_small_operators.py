@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ashgrid.llm.credentials import scan_documents
 from ashgrid.llm.html import main_text
-from ashgrid.llm.mixing import mix_documents, rake, sample_documents
+from ashgrid.llm.mixing import cell_table, mix_documents, sample_documents
 from ashgrid.llm.pii import replace_pii
 from ashgrid.llm.quality import pool_adjacent, score_documents
 from ashgrid.llm.sharding import shard_documents
@@ -137,13 +137,68 @@ def test_pool_adjacent_is_the_isotonic_fit():
 
 # ------------------------------------------------------------------ mixing
 
-def test_rake_meets_all_marginals():
+def raked_by_hand(cells, targets, power, keep):
+    """cell -> (weight, probability) of {(source, lang, topic): tokens}, cell by cell."""
+    goals = []
+    for k, axis in enumerate(("source", "lang", "topic")):
+        have = {}
+        for c, t in cells.items():
+            have[c[k]] = have.get(c[k], 0) + t
+        raw = {v: targets[axis].get(v, 0) if axis in targets else t ** power if t else 0 for v, t in have.items()}
+        goals.append({v: x / (sum(raw.values()) or 1) for v, x in raw.items()})
+    w = {c: t / sum(cells.values()) for c, t in cells.items()}
+    for _ in range(50):
+        for k, goal in enumerate(goals):
+            have = {}
+            for c in w:
+                have[c[k]] = have.get(c[k], 0) + w[c]
+            w = {c: x * goal[c[k]] / have[c[k]] if have[c[k]] else 0 for c, x in w.items()}
+    lo, hi = 0.0, 1e30  # the scale by bisection
+    for _ in range(400):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(cells[c], mid * w[c]) for c in w) < keep * sum(cells.values()) else (lo, mid)
+    return {c: (w[c], min(1.0, lo * w[c] / cells[c]) if cells[c] else 1.0) for c in w}, goals
+
+
+@pytest.mark.parametrize("targets", [{}, {"lang": {"a": 0.7, "b": 0.2, "absent": 0.5}, "topic": {"x": 3, "y": 1}}])
+@pytest.mark.parametrize("full", [True, False])
+def test_raked_cells_against_a_loop(spark, targets, full):
     rng = np.random.default_rng(1)
-    codes = [np.repeat([0, 1, 2], 4), np.tile([0, 0, 1, 1], 3), np.tile([0, 1], 6)]
-    goals = [np.array([0.2, 0.3, 0.5]), np.array([0.6, 0.4]), np.array([0.1, 0.9])]
-    w = rake(rng.uniform(1, 9, 12), codes, goals)
-    for c, g in zip(codes, goals):
-        assert np.allclose(np.bincount(c, weights=w), g, atol=1e-9)
+    cells = {(s, lang, t): int(rng.integers(1, 900)) for s in "pqrst" for lang in "abc" for t in "xy" if full or rng.random() < 0.8 or s in "pq"}
+    rows = [(*c, part) for c, n in cells.items() for part in (n // 3, n - n // 3)] + [("empty", "a", "x", 0)]
+    at = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, m_tokens long").repartition(3)
+    got = {(r.m_source, r.m_lang, r.m_topic): r for r in cell_table(at, targets, 0.7, 0.6).collect()}
+    want, goals = raked_by_hand({**cells, ("empty", "a", "x"): 0}, targets, 0.7, 0.6)
+    assert got.keys() == want.keys()
+    for c, (w, p) in want.items():
+        assert abs(got[c].m_weight - w) < 1e-6 and abs(got[c].m_prob - p) < 1e-5, (c, got[c], w, p)
+    if full:
+        assert all(r.m_gap < 1e-7 for r in got.values())
+        for k, goal in enumerate(goals):
+            for v, g in goal.items():
+                assert abs(sum(r.m_weight for c, r in got.items() if c[k] == v) - g) < 1e-7
+
+
+def test_contradicting_targets_are_told(spark):
+    at = spark.createDataFrame([("p", "a", "x", 10), ("q", "b", "x", 30)], "m_source string, m_lang string, m_topic string, m_tokens long")
+    got = cell_table(at, {"source": {"p": 0.9, "q": 0.1}, "lang": {"a": 0.2, "b": 0.8}}, 0.7, 0.5).collect()
+    assert all(abs(r.m_gap - 0.7) < 1e-6 for r in got)
+    assert {r.m_lang: round(r.m_weight, 6) for r in got} == {"a": 0.2, "b": 0.8}
+
+
+def test_many_sources_are_joined_without_a_broadcast(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1500)).alias("source"),
+                                    F.lit("en").alias("lang"), F.lit("a b c").alias("text"), F.lit(1).alias("m_prob"))
+    out, small = mix_documents(docs, most=100), mix_documents(docs)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert not hinted(out) and hinted(small)
+    got = out.agg(F.count("*"), F.countDistinct("source"), F.max("gap"), F.sum(F.col("prob") * F.col("n_tokens"))).first()
+    assert got[0] == 5000 and got[1] == 1001 and got[2] < 1e-7 and abs(got[3] - 0.8 * 15000) < 1e-3
+    kept = sorted(r.doc_id for r in small.filter("kept").collect())
+    assert kept == sorted(r.doc_id for r in out.filter("kept").collect())
+    for most in (100, 10 ** 6):
+        again = sample_documents(docs, most=most)
+        assert again.columns == docs.columns and sorted(r.doc_id for r in again.collect()) == kept
 
 
 def test_mixture_probabilities_and_draw(spark):
