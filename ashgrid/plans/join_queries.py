@@ -284,8 +284,9 @@ select coalesce(a.year, b.year) as year, coalesce(a.fires_with_data, 0) as fires
        round(coalesce(a.fires_with_data, 0) * 100.0 / nullif(coalesce(b.total_fires, 0), 0), 2) as percent_with_data
 from a full outer join b on a.year = b.year""")
 def q_coverage_by_year(spark, sf_dir):
-    """C15 (+D10): fires with matched readings per year against all fires per year."""
-    o = sensor_obs(spark, sf_dir).select("event_id", "lat", "lon", "time")
+    """C15 (+D10): fires with matched readings per year against all fires per year.  A fire has data at a place and
+    time or not: readings of one place and time are matched once."""
+    o = sensor_obs(spark, sf_dir).select("lat", "lon", "time").distinct()
     f = fire(spark, sf_dir)
     m = J.obs_near_fire(o, f)
     a = agg.fires_per_year(m, "fire_id", "time").withColumnRenamed("fires", "fires_with_data")
