@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ashgrid.functions.columns import abs_error, ntz_lit, positive_pairs, valid_pairs
 from ashgrid.functions.stats import (mean_bias, present, rmse, safe_corr, safe_slope, weighted_corr, weighted_mean,
                                      weighted_slope)
-from ashgrid.operators.ranks import rank_correlation
+from ashgrid.operators.ranks import rank_correlation, rank_correlation_of_groups
+from ashgrid.session import cut_lineage
 
 __all__ = [
     "station_spans", "station_count", "unpivot_estimates", "agreement", "agreement_by_year", "agreement_by",
@@ -111,12 +112,14 @@ def agreement_by_year(df: DataFrame, truth: str, est: str, time: str = "time", l
 def agreement_by(df: DataFrame, truth: str, est: str, keys: Sequence[str], lo: float = 2.0,
                  hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None) -> DataFrame:
     """D3 metrics of one estimate per arbitrary group (fire, station, season...); groups with
-    no valid rows are absent.  Ranks are computed per group in bucketed windows, so a group
-    holding most rows is still split across tasks."""
+    no valid rows are absent.  Ranks of a large group are computed in ranges of its rows, so a group
+    holding most rows is still split across tasks; small groups are ranked whole, many in a task."""
     keys = list(keys)
     base = df.select(*keys, F.col(truth).alias("truth"), F.col(est).alias("est"), lat, lon)
     base = valid_pairs(base, "truth", "est", lo, hi, extra_not_null=(lat, lon))
-    return _metrics(base, keys, lat, lon, buckets).select(*keys, *METRIC_COLUMNS)
+    sized = cut_lineage(base.groupBy(*keys).agg(*_metric_aggs(lat, lon)))  # one row a group; tells the large ones
+    sp = rank_correlation_of_groups(base, keys, "truth", "est", sized, "n", buckets)
+    return sized.join(sp, keys, "left").select(*keys, *METRIC_COLUMNS)
 
 
 def log_correlation_by_year(df: DataFrame, truth: str, est: str, time: str = "time",

@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 
 from ashgrid.session import cut_lineage
 
-__all__ = ["running_totals", "average_ranks", "rank_correlation", "cumulative_by_value"]
+__all__ = ["running_totals", "average_ranks", "rank_correlation", "rank_correlation_of_groups", "cumulative_by_value"]
+
+GROUP_ROWS = 1 << 18    # rows of a group that one task may rank at once
+RANK_ROWS = 1 << 17     # rows of small groups that are ranked together
 
 FIRST_KEY, FIRST_TIE, LAST_TIE = 1, 2, 4   # which edge of its partition a row belongs to
 
@@ -232,6 +235,73 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets
     return agg.select(*keys, F.when(F.col("_varies"), F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx")) * F.sqrt(F.col("_syy")))).alias("spearman"))
 
 
+def _group_ranks(batches, keys: list[str]):
+    """Rows (keys, _x, _y) sorted by key -> keys and Spearman correlation of every group, many groups at a time."""
+    def centered(v, group, first, n):
+        by = np.lexsort((v, group))
+        sv, sg = v[by], group[by]
+        lo = np.flatnonzero(np.r_[True, (sv[1:] != sv[:-1]) | (sg[1:] != sg[:-1])])
+        hi = np.r_[lo[1:], len(v)]
+        rank = np.empty(len(v))
+        rank[by] = np.repeat((lo + hi - 1) / 2.0, hi - lo)  # equal values share their middle position
+        return rank - first[group] - (n[group] - 1) / 2.0
+
+    def work(t, new):
+        first = np.flatnonzero(new)
+        group, n = np.cumsum(new) - 1, np.diff(np.r_[first, len(new)])
+        x, y = (centered(t.column(c).to_numpy(), group, first, n) for c in ("_x", "_y"))
+        sxy, sxx, syy = (np.add.reduceat(p, first) for p in (x * y, x * x, y * y))
+        varies = (sxx > 0) & (syy > 0)
+        rho = sxy / np.where(varies, np.sqrt(sxx) * np.sqrt(syy), 1.0)
+        out = t.select(keys).take(pa.array(first)).append_column("spearman", pa.array(rho, mask=~varies))
+        return out.combine_chunks().to_batches()
+
+    def starts(t):
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= _changed(t.column(k).combine_chunks())
+        return new
+
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= RANK_ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            new = starts(t)
+            cut = int(np.flatnonzero(new)[-1])  # the last group may go on
+            if cut:
+                yield from work(t.slice(0, cut), new[:cut])
+            held, n = t.slice(cut).to_batches(), n - cut
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from work(t, starts(t))
+
+
+def rank_correlation_of_groups(df: DataFrame, keys: Sequence[str], x: str, y: str, sizes: DataFrame, size: str = "n",
+                               buckets: int | None = None, most: int = GROUP_ROWS) -> DataFrame:
+    """D5 for many groups (fires, stations): as ``rank_correlation``, with one shuffle for all groups of at most ``most`` rows.
+
+    ``sizes`` holds every key's row count (``size``), or more.  Larger groups are ranked by ``rank_correlation``,
+    spread over all tasks; there are at most the rows over ``most`` of them.  Groups with a null in their key
+    are left out."""
+    keys = list(keys)
+    vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.select(*keys, vx.alias("_x"), vy.alias("_y")).dropna(subset=keys)
+    both = both.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    large = cut_lineage(sizes.filter(F.col(size) > most).select(*keys).dropna())
+    none = large.isEmpty()
+    small = both if none else both.join(F.broadcast(large), keys, "left_anti")
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("spearman", T.DoubleType())])
+    done = small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _group_ranks(b, keys), schema)
+    if none:
+        return done
+    return done.unionByName(rank_correlation(both.join(F.broadcast(large), keys, "left_semi"), keys, "_x", "_y", buckets))
+
+
 def cumulative_by_value(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
                         descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Running totals over the distinct values of ``value`` within each key.
