@@ -46,12 +46,18 @@ USA_RING = [
 ]
 
 
+def _bound(value, use) -> Column:
+    """``use(v)`` with ``value`` computed once a row: inside a lambda (or a filter that the optimizer writes a
+    projection into) an expression is computed at every use, a lambda's variable is not."""
+    return F.get(F.transform(F.array(col_of(value)), use), F.lit(0))
+
+
 def _edges(ring):
     """Consecutive (x0, y0, x1, y1) of a closed ring column (array<struct<lon, lat>>)."""
-    r = col_of(ring)
-    return F.transform(F.sequence(F.lit(1), F.size(r) - 1),
-                       lambda i: F.struct(F.element_at(r, i)["lon"].alias("x0"), F.element_at(r, i)["lat"].alias("y0"),
-                                          F.element_at(r, i + 1)["lon"].alias("x1"), F.element_at(r, i + 1)["lat"].alias("y1")))
+    return _bound(ring, lambda r: F.transform(
+        F.sequence(F.lit(1), F.size(r) - 1),
+        lambda i: F.struct(F.element_at(r, i)["lon"].alias("x0"), F.element_at(r, i)["lat"].alias("y0"),
+                           F.element_at(r, i + 1)["lon"].alias("x1"), F.element_at(r, i + 1)["lat"].alias("y1"))))
 
 
 def polygon_area(ring, radius: float = AREA_RADIUS) -> Column:
@@ -102,7 +108,8 @@ def inside_ring(lon: str, lat: str, ring: Sequence[tuple[float, float]] = USA_RI
 def polygons_in_region(df: DataFrame, ring_col: str = "ring",
                        ring: Sequence[tuple[float, float]] = USA_RING) -> DataFrame:
     """Keep the features whose closed polygon (array<struct<lon, lat>>) intersects the region polygon:
-    a vertex of one lies inside the other, or two of their edges cross."""
+    a vertex of one lies inside the other, or two of their edges cross.  A polygon's edges are made once, not once
+    per corner of the region."""
     poly = F.col(ring_col)
     region = F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("y0"),
                                 F.lit(float(c)).alias("x1"), F.lit(float(d)).alias("y1"))
@@ -125,15 +132,21 @@ def polygons_in_region(df: DataFrame, ring_col: str = "ring",
         d4 = side(b["x0"], b["y0"], b["x1"], b["y1"], a["x1"], a["y1"])
         return (d1 * d2 < 0) & (d3 * d4 < 0)
 
-    edges = _edges(ring_col)
-    vertex_in = F.exists(poly, lambda v: within(v["lon"], v["lat"], region))
-    corner_in = F.exists(region, lambda r: within(r["x0"], r["y0"], edges))
-    crossing = F.exists(edges, lambda a: F.exists(region, lambda b: cross(a, b)))
+    def meets(p):
+        # p: ring, edges, and the ring's lowest and highest latitude.  A corner at another latitude has no edge of the
+        # ring beside it, and region edges at other latitudes cross none
+        corner_in = F.exists(region, lambda r: (p["low"] <= r["y0"]) & (p["high"] > r["y0"]) & within(r["x0"], r["y0"], p["edges"]))
+        beside = F.filter(region, lambda b: (F.least(b["y0"], b["y1"]) <= p["high"]) & (F.greatest(b["y0"], b["y1"]) >= p["low"]))
+        crossing = _bound(beside, lambda near_edges: F.exists(p["edges"], lambda a: F.exists(near_edges, lambda b: cross(a, b))))
+        return F.exists(p["ring"], lambda v: within(v["lon"], v["lat"], region)) | corner_in | crossing
+
+    lats = F.transform(poly, lambda v: v["lat"])
+    known = F.struct(poly.alias("ring"), _edges(ring_col).alias("edges"), F.array_min(lats).alias("low"), F.array_max(lats).alias("high"))
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
     lon, lat = F.transform(poly, lambda v: v["lon"]), F.transform(poly, lambda v: v["lat"])
     near = ((F.array_max(lon) >= min(xs)) & (F.array_min(lon) <= max(xs))
             & (F.array_max(lat) >= min(ys)) & (F.array_min(lat) <= max(ys)))
-    return df.filter(near & (vertex_in | corner_in | crossing))
+    return df.filter(near & _bound(known, meets))
 
 
 def points_in_region(df: DataFrame, lon: str = "lon", lat: str = "lat",
