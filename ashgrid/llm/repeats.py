@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ashgrid.llm.common import RollingHash, longs, mix, shuffle_width, spans_of, stored, utf8
+from ashgrid.llm.common import RollingHash, likely, longs, mix, shuffle_width, spans_of, stored, utf8
 from ashgrid.operators.ranks import running_totals
 
 SPAN, GRAM = 100, 32
@@ -269,7 +269,7 @@ def region_bytes(docs: DataFrame, regions: DataFrame, span: int = SPAN) -> DataF
     """g, d, key, start, many, bytes: the regions' bytes, cut from the texts."""
     per = regions.groupBy(F.col("d").alias("r_d"), F.col("key").alias("r_key")).agg(
         F.collect_list(F.struct("g", "start", "count", "many")).alias("regions"))
-    t = _order_key(docs)
+    t = likely(_order_key(docs), "key", regions, "key", 1 << 26)  # texts without such regions stay where they are
     met = t.join(per, (t["d"] == per["r_d"]) & (t["key"] == per["r_key"])).select("d", "key", "text", "regions")
 
     def cut(batches):
