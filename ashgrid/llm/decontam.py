@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 from ashgrid.llm.common import stored
 
 SPAN, GRAM = 10, 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOW = (1 << 31) - 1  # the low 31 bits of a fingerprint hold the gram's position
 
 
 def words_of(text: Column) -> Column:
-    """Words of the whole text, A-Z lower-cased; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
+    """Words of the whole text, A-Z lower-cased; a null text has none.
+
+    Cutting at what lies between words takes a tenth of the time of extracting each word; the
+    empty pieces are those before a first and after a last separator."""
+    return F.coalesce(F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), ""),
                       F.array().cast("array<string>"))
 
 
