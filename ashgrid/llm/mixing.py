@@ -67,27 +67,31 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = 1e-8,
     """``cells`` with m_weight, whose sums along each axis equal the goals (shares of all), and m_gap, the
     largest difference from a goal that the last round met.
 
-    Every step sums the weights of one axis and joins the factor back; a round of all axes is written once and
-    the driver sees two numbers of it.  Ends when the goals are met, or when a round moves no weight: where
-    they contradict each other on the cells present, the last axis holds exactly, the rest are as near as the
-    cells allow, and m_gap says how near.  ``rounds`` only stops a fit that still creeps; m_gap shows that too."""
+    Every step sums the weights of one axis, joins the sum back and is written once, so that all rounds run the
+    same three small plans; of a round the driver sees two numbers.  Ends when the goals are met, or when a round
+    moves no weight: where they contradict each other on the cells present, the last axis holds exactly, the rest
+    are as near as the cells allow, and m_gap says how near.  ``rounds`` only stops a fit that still creeps; m_gap
+    shows that too."""
     whole = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    now = cells.withColumn("m_weight", F.col("tokens") / whole if whole > 0 else F.lit(0.0)).withColumn("m_gap", F.lit(0.0))
-    for _ in range(rounds if whole > 0 else 0):
+    now = cells.withColumn("m_weight", F.col("tokens") / whole if whole > 0 else F.lit(0.0))
+    if not whole > 0:
+        return now.withColumn("m_gap", F.lit(0.0))
+    for axis, goal in goals.items():
+        now = now.join(goal.withColumnRenamed("goal", f"goal_{axis}"), f"m_{axis}")
+    now, gap = _written(now), 0.0
+    for _ in range(rounds):
         step = now.withColumn("before", F.col("m_weight")).withColumn("gap", F.lit(0.0))
-        for axis, goal in goals.items():
-            name = f"m_{axis}"
-            factor = step.groupBy(name).agg(F.sum("m_weight").alias("have")).join(goal, name).select(
-                name, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("by"),
-                F.abs(F.col("have") - F.col("goal")).alias("off"))
-            step = step.join(factor, name).withColumn("m_weight", F.col("m_weight") * F.col("by")).withColumn(
-                "gap", F.greatest("gap", "off")).drop("by", "off")
-        step = _written(step)
+        for axis in goals:
+            have, goal = F.col("have"), F.col(f"goal_{axis}")
+            by = F.when(have > 0, goal / have).otherwise(0.0)
+            sums = step.groupBy(f"m_{axis}").agg(F.sum("m_weight").alias("have"))
+            step = _written(step.join(sums, f"m_{axis}").withColumn("m_weight", F.col("m_weight") * by).withColumn(
+                "gap", F.greatest("gap", F.abs(have - goal))).drop("have"))
         gap, moved = step.agg(F.max("gap"), F.max(F.abs(F.col("m_weight") - F.col("before")))).first()
-        now = step.drop("before", "gap").withColumn("m_gap", F.lit(float(gap)))
+        now = step.drop("before", "gap")
         if gap < tolerance or moved < tolerance:
             break
-    return now
+    return now.drop(*[f"goal_{a}" for a in goals]).withColumn("m_gap", F.lit(float(gap)))
 
 
 def probabilities(cells: DataFrame, keep: float) -> DataFrame:

@@ -151,7 +151,8 @@ def _vectors(batch) -> np.ndarray:
 
 def _summed(rows: DataFrame, of) -> list[np.ndarray]:
     """``of(stats, quality)`` -> tuple of arrays, summed over every partition and then over the
-    at most PARTS partials that reach the driver."""
+    at most PARTS partials that reach the driver (half a megabyte each), however many partitions
+    ``rows`` was dealt to."""
     def part(batches):
         acc = None
         for b in batches:
@@ -164,7 +165,7 @@ def _summed(rows: DataFrame, of) -> list[np.ndarray]:
     shapes = [np.shape(a) for a in of(np.zeros((1, len(STATS))), np.zeros(1))]
     schema = ", ".join(f"a{i} binary" for i in range(len(shapes)))
     total = [np.zeros(s) for s in shapes]
-    for r in rows.mapInArrow(part, schema).collect():
+    for r in rows.coalesce(PARTS).mapInArrow(part, schema).collect():
         total = [t + np.frombuffer(r[i], np.float64).reshape(t.shape) for i, t in enumerate(total)]
     return total
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ashgrid.llm import mixing, quality
 from ashgrid.llm.credentials import scan_documents
 from ashgrid.llm.html import main_text
 from ashgrid.llm.mixing import cell_table, mix_documents, sample_documents
@@ -135,6 +136,16 @@ def test_pool_adjacent_is_the_isotonic_fit():
     assert np.all(np.diff(fit) >= 0) and np.allclose(fit, [1 / 3, 1 / 3, 3 / 8, 3 / 8, 1.0])
 
 
+def test_few_partials_reach_the_driver_from_many_partitions(spark, monkeypatch):
+    rows = spark.range(400).select(F.array_repeat(F.col("id").cast("float"), len(quality.STATS)).alias("stats"),
+                                   (F.col("id") % 2).alias("quality")).repartition(40)
+    got, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: got.append(collect(df)) or got[-1])
+    n, pos, total = quality._summed(rows, lambda x, y: [np.array(float(len(y))), np.array(y.sum()), x.sum(0)])
+    assert n == 400 and pos == 200 and (total == 400 * 399 / 2).all()
+    assert len(got) == 1 and len(got[0]) <= quality.PARTS
+
+
 # ------------------------------------------------------------------ mixing
 
 def raked_by_hand(cells, targets, power, keep):
@@ -186,6 +197,21 @@ def test_contradicting_targets_are_told(spark):
     assert {r.m_lang: round(r.m_weight, 6) for r in got} == {"a": 0.2, "b": 0.8}
 
 
+def test_all_rounds_of_a_fit_run_the_same_small_plans(spark, monkeypatch):
+    at = spark.createDataFrame([(s, g, t, 1 + 7 * i % 11) for i, (s, g, t) in enumerate((s, g, t) for s in "pqr" for g in "ab" for t in "xy")],
+                               "m_source string, m_lang string, m_topic string, m_tokens long")
+    plans, written = [], mixing._written
+    monkeypatch.setattr(mixing, "_written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    got = cell_table(at, power=0.5).collect()
+    assert len(got) == 12 and all(r.m_gap < 1e-7 for r in got)
+    rounds = [p for p in plans if "before" in p and "have" in p]
+    assert len(rounds) > 3
+    # a round in one plan read the cells eight times, and held a number of the round before
+    assert all(p.count("Relation") <= 2 for p in rounds)
+    tidy = lambda p: re.sub(r"#\d+L?|\.{3}", "", p)
+    assert len({tidy(p) for p in rounds[3:]}) <= 3
+
+
 def test_many_sources_are_joined_without_a_broadcast(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1500)).alias("source"),
                                     F.lit("en").alias("lang"), F.lit("a b c").alias("text"), F.lit(1).alias("m_prob"))

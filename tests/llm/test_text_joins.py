@@ -231,6 +231,45 @@ def test_near_labels_only_join_connected_nodes(spark):
     assert near_labels(df.limit(0)).collect() == []
 
 
+def test_labels_of_many_steps_need_no_long_plan(spark, capsys):
+    path = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 130)]
+    loops = [(200, 200), (201, 202), (202, 203), (203, 201)]
+    edges = path + star + loops
+    near = {n: {n} for e in edges for n in e}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    least = {n: n for n in near}
+    for _ in range(10):
+        least = {n: min(least[m] for m in near[n]) for n in near}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for some, want in ((df, least), (df.filter("a >= 100"), {n: m for n, m in least.items() if n >= 100})):
+        got = near_labels(some, 10)
+        assert dict(got.collect()) == want
+        capsys.readouterr()
+        got.explain()  # a plan of nine joins, planned anew after each of its stages, filled the driver
+        assert capsys.readouterr().out.split("Initial Plan")[0].count("Join") <= 3
+
+
+def test_links_found_last_join_converged_labels(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 120, 4000).split()
+        for k in range(6):
+            t = list(base)
+            for _ in range(k):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((g * 10 + k, " ".join(t)))
+    want = near_duplicates(docs_of(spark, rows)).select("doc_id", "component_id")
+    want = sorted(map(tuple, want.collect()))
+    # labels of one step leave the rest to the links between them
+    monkeypatch.setattr(jaccard, "near_labels", lambda links, rounds: near_labels(links, 1))
+    got = near_duplicates(docs_of(spark, rows)).select("doc_id", "component_id")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # ------------------------------------------------------------------ repeats
 
 def repeats(rows, span=100):
