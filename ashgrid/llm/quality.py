@@ -23,6 +23,7 @@ from ashgrid.llm.common import RollingHash, spans_of, stored, utf8
 
 MAX_TRAIN_ROWS = 200_000
 PARTS = 16
+CHUNK = 1 << 18  # bytes of text whose statistics a task works out at once; a statistic looks at one text only
 CLASSES = ["lower", "upper", "digit", "blank", "newline", "stop", "comma", "bang", "pipe", "symbol", "quote",
            "bracket", "dash", "other", "lead", "tail"]
 STATS = [*(c for c in CLASSES), "log_chars", "log_words", "word_len", "long_words", "caps_words", "symbol_words",
@@ -104,7 +105,7 @@ def _stats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.nan_to_num(np.stack(cols, 1))
 
 
-def stats_of(text: pa.Array, chunk: int = 1 << 21) -> np.ndarray:
+def stats_of(text: pa.Array, chunk: int = CHUNK) -> np.ndarray:
     raw, starts, ends = utf8(text)
     out = [_stats(raw, starts[i:j], ends[i:j]) for i, j in spans_of(starts, ends, chunk)]
     return np.concatenate(out) if out else np.empty((0, len(STATS)))
