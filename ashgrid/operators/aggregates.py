@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashgrid.functions.columns import abs_error, ntz_lit, positive_pairs, valid_pairs
 from ashgrid.functions.stats import (mean_bias, present, rmse, safe_corr, safe_slope, weighted_corr, weighted_mean,
                                      weighted_slope)
-from ashgrid.operators.ranks import rank_correlation, rank_correlation_of_groups
+from ashgrid.operators.joins import FirePairs
+from ashgrid.operators.ranks import HELD_ROWS, _group_metrics, rank_correlation, rank_correlation_of_groups
 from ashgrid.session import cut_lineage
 
 __all__ = [
@@ -109,12 +112,30 @@ def agreement_by_year(df: DataFrame, truth: str, est: str, time: str = "time", l
     return _metrics(base, ["year"], lat, lon, buckets).select("year", *METRIC_COLUMNS).orderBy("year")
 
 
-def agreement_by(df: DataFrame, truth: str, est: str, keys: Sequence[str], lo: float = 2.0,
-                 hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None) -> DataFrame:
+def agreement_by(df: DataFrame | FirePairs, truth: str, est: str, keys: Sequence[str], lo: float = 2.0,
+                 hi: float = 1000.0, lat: str = "lat", lon: str = "lon", buckets: int | None = None,
+                 most: int = HELD_ROWS) -> DataFrame:
     """D3 metrics of one estimate per arbitrary group (fire, station, season...); groups with
     no valid rows are absent.  Ranks of a large group are computed in ranges of its rows, so a group
-    holding most rows is still split across tasks; small groups are ranked whole, many in a task."""
+    holding most rows is still split across tasks; small groups are ranked whole, many in a task.
+
+    Pairs that are not made yet (``FirePairs``) are made fire by fire in the tasks that work out the fires: no pair is
+    shuffled or stored, and a task holds the pairs of a few fires.  Only fires with more than ``most`` pairs
+    are worked out as rows are."""
     keys = list(keys)
+    if isinstance(df, FirePairs) and keys == df.keys and {truth, est, lat, lon} <= set(df.obs.columns):
+        obs = valid_pairs(df.obs.select(*dict.fromkeys([*df.position, lat, lon, truth, est])), truth, est, lo, hi, extra_not_null=(lat, lon))
+        schema = T.StructType([*[df.fires.schema[k] for k in keys],
+                               *[T.StructField(c, T.LongType() if c in ("n", "stations") else T.DoubleType()) for c in METRIC_COLUMNS]])
+        done = cut_lineage(replace(df, obs=obs).each(lambda b: _group_metrics(b, keys, truth, est, [lat, lon], most), schema,
+                                                     list(dict.fromkeys([lat, lon, truth, est])), [truth, est]))
+        large = done.filter(F.col("n").isNull()).select(*keys)
+        if large.isEmpty():
+            return done
+        rest = agreement_by(df.rows(large), truth, est, keys, lo, hi, lat, lon, buckets)
+        return done.filter(F.col("n").isNotNull()).unionByName(rest)
+    if isinstance(df, FirePairs):
+        df = df.rows()
     base = df.select(*keys, F.col(truth).alias("truth"), F.col(est).alias("est"), lat, lon)
     base = valid_pairs(base, "truth", "est", lo, hi, extra_not_null=(lat, lon))
     sized = cut_lineage(base.groupBy(*keys).agg(*_metric_aggs(lat, lon)))  # one row a group; tells the large ones

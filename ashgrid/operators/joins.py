@@ -20,15 +20,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ashgrid.functions.columns import col_of, micros_between, ntz_lit
 from ashgrid.functions.geo import LambertSpec, lambert_xy
 from ashgrid.operators.substrings import possible_keys
 
 __all__ = [
-    "hours_since", "attach_exact", "match_inner", "box_join", "obs_near_fire", "covering_fires",
+    "hours_since", "attach_exact", "match_inner", "box_join", "FirePairs", "obs_near_fire", "covering_fires",
     "obs_within_fire_box",
     "RegularAxis", "IrregularAxis", "nearest_index", "lower_index", "sample_nearest", "corner_table", "sample_linear",
     "sample_projected", "sample_stations", "nearest_in_time", "append_grid_bands", "append_grid_fields",
@@ -104,6 +107,156 @@ def _places_met(o: DataFrame, bins: DataFrame, at: dict[str, Column], half: floa
     return places.join(bins, ["_cy", "_cx", "_cp"]).filter(_in_box(F.col("_la"), F.col("_lo"), half, strict_box) & (F.col("_fs") <= F.col("_fe")))
 
 
+PAIR_ROWS = 1 << 16     # pairs that a task holds at once beside the readings of its block
+BLOCK_FIRES = 1 << 16   # fires of a block of space and time that one task takes
+
+
+def _indexed(held: list, lat: int, lon: int, time: int, kept: list[int], coded: list[int]):
+    """Readings of a block, sorted by place and time: the columns to give back, with whole numbers that order the values of
+    some; the places, the distinct times and where rows stand among both."""
+    rows = pa.chunked_array(held).combine_chunks().flatten()
+    la, lo = (rows[i].to_numpy(zero_copy_only=False) for i in (lat, lon))
+    t = rows[time].cast(pa.int64()).to_numpy()
+    by = np.lexsort((t, lo, la))
+    la, lo, t = la[by], lo[by], t[by]
+    new = np.r_[True, (la[1:] != la[:-1]) | (lo[1:] != lo[:-1])]
+    steps, step = np.unique(t, return_inverse=True)
+    by = pa.array(by)
+    codes = [pa.array(np.unique(rows[i].to_numpy(zero_copy_only=False), return_inverse=True)[1]) for i in coded]
+    return [c.take(by) for c in [*(rows[i] for i in kept), *codes]], la[new], lo[new], steps, (np.cumsum(new) - 1) * (len(steps) + 1) + step
+
+
+def _block_pairs(readings, fires, half: np.float64, strict_box: str, names: list[str]):
+    """Pairs of a block's indexed readings and some of its fires, fire by fire."""
+    rows, la, lo, steps, at = readings
+    *cols, flat, flon, fs, fe = fires.flatten()
+    flat, flon = (c.to_numpy(zero_copy_only=False)[:, None] for c in (flat, flon))
+    after, until = (np.searchsorted(steps, c.cast(pa.int64()).to_numpy(), side) for c, side in ((fs, "left"), (fe, "right")))
+    some = max(1, (1 << 21) // len(la))
+    for k in range(0, len(flat), some):
+        y, x = flat[k:k + some], flon[k:k + some]
+        if strict_box == "abs":
+            inside = (np.abs(la - y) < half) & (np.abs(lo - x) < half)
+        else:
+            inside = (lo > x - half) & (lo < x + half) & (la > y - half) & (la < y + half)
+        fire, place = np.nonzero(inside)
+        fire += k
+        place *= len(steps) + 1
+        start, n = np.searchsorted(at, place + after[fire]), np.searchsorted(at, place + until[fire])
+        n = n - start
+        fire, start, n = fire[n > 0], start[n > 0], n[n > 0]
+        through = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(through, through[i] - n[i] + PAIR_ROWS, "right")))
+            c = n[i:j]
+            row = np.repeat(start[i:j] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            of = np.repeat(fire[i:j], c)
+            for p in range(0, len(row), PAIR_ROWS):
+                r, f = pa.array(row[p:p + PAIR_ROWS]), pa.array(of[p:p + PAIR_ROWS])
+                yield pa.RecordBatch.from_arrays([*(a.take(r) for a in rows), *(a.take(f) for a in cols)], names)
+            i = j
+
+
+def _pairs_of_blocks(batches, half: float, strict_box: str, which: tuple, names: list[str]):
+    """Rows (block, reading or null, fire or null), each block's readings before its fires -> the pairs of each block.
+
+    The readings of one block are held, its fires stream past them."""
+    block, held, readings = None, [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        blocks, is_fire = b.column(0).to_numpy(), np.asarray(b.column(2).is_valid())
+        cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_fire[1:] != is_fire[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            if blocks[i] != block:
+                block, held, readings = blocks[i], [], None
+            if not is_fire[i]:
+                held.append(b.column(1).slice(i, j - i))
+                continue
+            if held:
+                readings, held = _indexed(held, *which), []
+            if readings is not None:
+                yield from _block_pairs(readings, b.column(2).slice(i, j - i), np.float64(half), strict_box, names)
+
+
+def _pairs_by_fire(obs: DataFrame, fires: DataFrame, half: float, work, schema: T.StructType, columns: Sequence[str], coded: Sequence[str], *, strict_box: str = "abs",
+                   obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
+                   fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
+                   fire_cols: Sequence[str] = ("fire_id",), cell_deg: float | None = None,
+                   period_days: int = 7, prefilter: bool = True) -> DataFrame:
+    """``work`` done on the pairs of ``box_join``, all pairs of a fire in one task, one after another, and no pair ever shuffled.
+
+    A fire belongs to the block of space and time in which it starts: a cell of its place and a span at least four times
+    its length (spans grow by powers of two).  All rows of one ``fire_cols`` share a block.  A block gets the readings of
+    the places and periods that its fires meet, so a reading is dealt to the blocks around it, however
+    many fires they have; there the pairs are made fire by fire."""
+    fire_cols, lat, lon, time, cell = list(fire_cols), obs_lat, obs_lon, obs_time, cell_deg or 2 * half
+    o = _near_any_fire(obs, fires, half, lat, lon, time, fire_lat, fire_lon, start, end) if prefilter else obs
+    place = ["_flat", "_flon", "_fs", "_fe"]
+    f = fires.select(*fire_cols, F.col(fire_lat).alias("_flat"), F.col(fire_lon).alias("_flon"), F.col(start).cast("timestamp_ntz").alias("_fs"),
+                     F.col(end).cast("timestamp_ntz").alias("_fe")).dropna(subset=place).filter("_fs <= _fe and not isnan(_flat) and not isnan(_flon)")
+    days = _day_number(F.col("_fe")) - _day_number(F.col("_fs"))
+    k = F.ceil(F.log2(F.greatest(days / period_days, F.lit(1.0))))
+    span = 4 * period_days * F.pow(F.lit(2.0), k)
+    f = f.withColumn("_block", F.struct(k, F.floor(F.col("_flat") / cell), F.floor(F.col("_flon") / cell), F.floor(_day_number(F.col("_fs")) / span)))
+    f = f.withColumn("_block", F.min("_block").over(Window.partitionBy(*fire_cols)))
+    many = f.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_FIRES).alias("_parts"))
+    f = f.join(many, "_block").select(F.xxhash64("_block", F.pmod(F.xxhash64(*fire_cols), "_parts")).alias("_b"), *fire_cols, *place)
+    bins = _fire_bins(f, half, cell, period_days, ["_b"], *place)
+    at = _bin_of(lat, lon, time, cell, period_days)
+    wanted = _places_met(o, bins, at, half, strict_box, lat, lon).select("_b", "_la", "_lo", "_cp").distinct()
+    r = o.withColumns({"_op": at["_cp"], "_t": F.col(time).cast("timestamp_ntz")}).join(
+        wanted.hint("merge"), (o[lat] == F.col("_la")) & (o[lon] == F.col("_lo")) & (F.col("_op") == F.col("_cp")))
+    plain = isinstance(o.schema[time].dataType, T.TimestampNTZType)
+    r = r.select("_b", F.struct(*[F.col(c) for c in o.columns], *([] if plain else ["_t"])).alias("_r"))
+    f = f.select("_b", F.struct(*fire_cols, *place).alias("_f"))
+    both = r.select("*", F.lit(None).cast(f.schema["_f"].dataType).alias("_f")).unionByName(
+        f.select("_b", F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), "_f"))
+    # a fixed number of partitions: a block's work is its pairs, so they are not merged by their bytes
+    dealt = both.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_b").sortWithinPartitions(
+        "_b", F.col("_f").isNotNull(), *[F.col("_f").getField(c) for c in fire_cols])
+    column = o.columns.index
+    which = (column(lat), column(lon), column(time) if plain else len(o.columns), [column(c) for c in columns], [column(c) for c in coded])
+    names = [*columns, *[f"_code_{c}" for c in coded], *fire_cols]
+    return dealt.mapInArrow(lambda b: work(_pairs_of_blocks(b, half, strict_box, which, names)), schema)
+
+
+@dataclass(frozen=True)
+class FirePairs:
+    """The pairs of ``box_join``, not made yet, for work per fire: ``each`` makes them in the task that uses them, all pairs of
+    a fire one after another, so that they are neither shuffled nor stored nor handed from Python to the JVM and back."""
+
+    obs: DataFrame
+    fires: DataFrame
+    half: float
+    how: dict
+
+    @property
+    def keys(self) -> list[str]:
+        return list(self.how.get("fire_cols", ("fire_id",)))
+
+    @property
+    def position(self) -> list[str]:
+        return [self.how.get(c, d) for c, d in (("obs_lat", "lat"), ("obs_lon", "lon"), ("obs_time", "time"))]
+
+    def rows(self, keys: DataFrame | None = None) -> DataFrame:
+        """The pairs as rows, of all fires or of those with the given keys."""
+        f = self.fires
+        if keys is not None:
+            some = F.broadcast(keys.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys]))
+            same = F.lit(True)
+            for k in self.keys:
+                same = same & f[k].eqNullSafe(some[f"_k_{k}"])
+            f = f.join(some, same, "left_semi")
+        return box_join(self.obs, f, self.half, **self.how)
+
+    def each(self, work, schema: T.StructType, columns: Sequence[str], coded: Sequence[str] = ()) -> DataFrame:
+        """``work``: an iterator of Arrow batches of pairs -> an iterator of Arrow batches.  A pair has ``columns`` of its reading,
+        ``_code_c`` for each c of ``coded``, a whole number that orders the fire's values of c, and the fire's keys."""
+        return _pairs_by_fire(self.obs, self.fires, self.half, work, schema, columns, coded, **self.how)
+
+
 def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str = "abs",
              obs_lat: str = "lat", obs_lon: str = "lon", obs_time: str = "time",
              fire_lat: str = "lat", fire_lon: str = "lon", start: str = "idate", end: str = "fdate",
@@ -140,9 +293,11 @@ def box_join(obs: DataFrame, fires: DataFrame, half: float, *, strict_box: str =
     return j.filter(during).drop("_op", "_od", "_cp", "_day", "_la", "_lo", "_fs", "_fe")
 
 
-def obs_near_fire(obs: DataFrame, fires: DataFrame, half: float = 0.5, **kw) -> DataFrame:
+def obs_near_fire(obs: DataFrame, fires: DataFrame, half: float = 0.5, together: bool = False, **kw) -> DataFrame | FirePairs:
     """One row per (reading, fire) with the reading within +/-half degrees (strict) during
-    the fire's period (closed)."""
+    the fire's period (closed).  ``together``: as pairs that are made fire by fire where they are used (``FirePairs``)."""
+    if together:
+        return FirePairs(obs, fires, half, {"strict_box": "abs", **kw})
     return box_join(obs, fires, half, strict_box="abs", **kw)
 
 

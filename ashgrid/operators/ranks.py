@@ -25,6 +25,7 @@ __all__ = ["running_totals", "average_ranks", "rank_correlation", "rank_correlat
 
 GROUP_ROWS = 1 << 18    # rows of a group that one task may rank at once
 RANK_ROWS = 1 << 17     # rows of small groups that are ranked together
+HELD_ROWS = 1 << 21     # rows of a group that one task may hold when its rows are not stored
 
 FIRST_KEY, FIRST_TIE, LAST_TIE = 1, 2, 4   # which edge of its partition a row belongs to
 
@@ -235,27 +236,9 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, buckets
     return agg.select(*keys, F.when(F.col("_varies"), F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx")) * F.sqrt(F.col("_syy")))).alias("spearman"))
 
 
-def _group_ranks(batches, keys: list[str]):
-    """Rows (keys, _x, _y) sorted by key -> keys and Spearman correlation of every group, many groups at a time."""
-    def centered(v, group, first, n):
-        by = np.lexsort((v, group))
-        sv, sg = v[by], group[by]
-        lo = np.flatnonzero(np.r_[True, (sv[1:] != sv[:-1]) | (sg[1:] != sg[:-1])])
-        hi = np.r_[lo[1:], len(v)]
-        rank = np.empty(len(v))
-        rank[by] = np.repeat((lo + hi - 1) / 2.0, hi - lo)  # equal values share their middle position
-        return rank - first[group] - (n[group] - 1) / 2.0
-
-    def work(t, new):
-        first = np.flatnonzero(new)
-        group, n = np.cumsum(new) - 1, np.diff(np.r_[first, len(new)])
-        x, y = (centered(t.column(c).to_numpy(), group, first, n) for c in ("_x", "_y"))
-        sxy, sxx, syy = (np.add.reduceat(p, first) for p in (x * y, x * x, y * y))
-        varies = (sxx > 0) & (syy > 0)
-        rho = sxy / np.where(varies, np.sqrt(sxx) * np.sqrt(syy), 1.0)
-        out = t.select(keys).take(pa.array(first)).append_column("spearman", pa.array(rho, mask=~varies))
-        return out.combine_chunks().to_batches()
-
+def _whole_groups(batches, keys: list[str], most: int | None = None):
+    """Rows whose groups follow one another -> tables of whole groups with the flags of their first rows, many groups
+    at a time.  Of a group of more than ``most`` rows only the first row is given, without flags, and no rows are held."""
     def starts(t):
         new = np.zeros(t.num_rows, bool)
         new[0] = True
@@ -263,10 +246,15 @@ def _group_ranks(batches, keys: list[str]):
             new[1:] |= _changed(t.column(k).combine_chunks())
         return new
 
-    held, n = [], 0
+    held, n, passed = [], 0, None  # passed: a row of the group whose rows are left out
     for b in batches:
         if not b.num_rows:
             continue
+        if passed is not None:
+            ends = np.flatnonzero(starts(pa.concat_tables([passed, pa.Table.from_batches([b])]))[1:])
+            if not len(ends):
+                continue
+            b, passed = b.slice(int(ends[0])), None
         held.append(b)
         n += b.num_rows
         if n >= RANK_ROWS:
@@ -274,11 +262,110 @@ def _group_ranks(batches, keys: list[str]):
             new = starts(t)
             cut = int(np.flatnonzero(new)[-1])  # the last group may go on
             if cut:
-                yield from work(t.slice(0, cut), new[:cut])
+                yield t.slice(0, cut), new[:cut]
             held, n = t.slice(cut).to_batches(), n - cut
+            if most is not None and n > most:
+                passed = t.slice(cut, 1)
+                held, n = [], 0
+                yield passed, None
     if held:
         t = pa.Table.from_batches(held).combine_chunks()
-        yield from work(t, starts(t))
+        yield t, starts(t)
+
+
+def _codes(v):
+    """Whole numbers in the order of the values, equal ones for equal values."""
+    by = np.argsort(v)
+    sv = v[by]
+    code = np.empty(len(v), np.int64)
+    code[by] = np.cumsum(np.r_[False, sv[1:] != sv[:-1]])
+    return code
+
+
+def _centered_ranks(code, group, first, n):
+    """Average ranks of whole numbers within groups that lie one after another, less the groups' mean rank."""
+    r = int(len(code) - 1).bit_length()
+    c = r + int(code.max()).bit_length()
+    if c + int(group[-1]).bit_length() < 63:  # (group, code, row) are sorted as one number
+        key = np.sort((group << c) | (code << r) | np.arange(len(code)))
+        by, key = key & ((1 << r) - 1), key >> r
+        lo = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    else:
+        by = np.lexsort((code, group))
+        sv, sg = code[by], group[by]
+        lo = np.flatnonzero(np.r_[True, (sv[1:] != sv[:-1]) | (sg[1:] != sg[:-1])])
+    hi = np.r_[lo[1:], len(code)]
+    rank = np.empty(len(code))
+    rank[by] = np.repeat((lo + hi - 1) / 2.0, hi - lo)  # equal values share their middle position
+    return rank - np.repeat(first + (n - 1) / 2.0, n)
+
+
+def _group_correlation(x, y, first):
+    """Per group the sums of products of centred values (xx, yy, xy), their correlation and whether both sides vary."""
+    sxy, sxx, syy = (np.add.reduceat(p, first) for p in (x * y, x * x, y * y))
+    varies = (sxx > 0) & (syy > 0)
+    return sxx, syy, sxy, sxy / np.where(varies, np.sqrt(sxx) * np.sqrt(syy), 1.0), varies
+
+
+def _group_ranks(batches, keys: list[str]):
+    """Rows (keys, _x, _y) sorted by key -> keys and Spearman correlation of every group, many groups at a time."""
+    for t, new in _whole_groups(batches, keys):
+        first = np.flatnonzero(new)
+        group, n = np.cumsum(new) - 1, np.diff(np.r_[first, len(new)])
+        x, y = (_centered_ranks(_codes(t.column(c).to_numpy()), group, first, n) for c in ("_x", "_y"))
+        *_, rho, varies = _group_correlation(x, y, first)
+        out = t.select(keys).take(pa.array(first)).append_column("spearman", pa.array(rho, mask=~varies))
+        yield from out.combine_chunks().to_batches()
+
+
+def _group_metrics(batches, keys: list[str], truth: str, est: str, places: list[str], most: int):
+    """Rows whose groups follow one another -> keys and the D3 metrics of every group; of a group of more than ``most``
+    rows the keys only.  The columns ``_code_...`` order truth and estimate as whole numbers."""
+    for t, new in _whole_groups(batches, keys, most):
+        if new is None:
+            out = t.select(keys)
+            for c in ("pearson", "log_pearson", "spearman", "rmse", "bias", "slope"):
+                out = out.append_column(c, pa.nulls(1, pa.float64()))
+            for c in ("n", "stations"):
+                out = out.append_column(c, pa.nulls(1, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+            continue
+        first = np.flatnonzero(new)
+        group, n = np.cumsum(new) - 1, np.diff(np.r_[first, len(new)])
+        x, y = (np.asarray(t.column(c).cast(pa.float64())) for c in (truth, est))
+
+        def centred(v, group, first, n):
+            v = v - np.repeat(v[first], n)  # a constant group becomes all zeros
+            return v - np.repeat(np.add.reduceat(v, first) / n, n)
+
+        _, syy, sxy, pearson, varies = _group_correlation(centred(x, group, first, n), centred(y, group, first, n), first)
+        log_pearson, log_varies = np.zeros(len(first)), np.zeros(len(first), bool)
+        positive = (x > 0) & (y > 0)
+        if positive.any():
+            g = group[positive]
+            f = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            of, m = g[f], np.diff(np.r_[f, len(g)])
+            g = np.repeat(np.arange(len(f)), m)
+            *_, log_pearson[of], log_varies[of] = _group_correlation(*(centred(np.log(v[positive]), g, f, m) for v in (x, y)), f)
+        *_, rho, ranked = _group_correlation(*(_centered_ranks(np.asarray(t.column(f"_code_{c}")), group, first, n) for c in (truth, est)), first)
+        for k in keys:  # as for groups ranked by themselves: none without a key
+            ranked &= ~np.asarray(t.column(k).take(pa.array(first)).is_null())
+        off = x - y
+        out = t.select(keys).take(pa.array(first))
+        varies_y = syy > 0
+        for c, v, known in (("pearson", pearson, varies), ("log_pearson", log_pearson, log_varies), ("spearman", rho, ranked),
+                            ("rmse", np.sqrt(np.add.reduceat(off * off, first) / n), True), ("bias", np.add.reduceat(off, first) / n, True),
+                            ("slope", sxy / np.where(varies_y, syy, 1.0), varies_y)):
+            out = out.append_column(c, pa.array(v, mask=np.broadcast_to(~np.asarray(known), len(first))))
+        # places: runs of rows of one place are told apart first, so rows that come place by place leave few
+        at = [np.where(np.isnan(p), np.nan, p + 0.0).view(np.int64) for p in (np.asarray(t.column(c).cast(pa.float64())) for c in places)]
+        run = np.flatnonzero(new | np.r_[True, np.any([p[1:] != p[:-1] for p in at], axis=0)])
+        runs = [group[run], *(p[run] for p in at)]
+        by = np.lexsort(runs[::-1])
+        fresh = np.r_[True, np.any([r[by][1:] != r[by][:-1] for r in runs], axis=0)]
+        stations = np.bincount(runs[0][by][fresh], minlength=len(first))
+        out = out.append_column("n", pa.array(n, pa.int64())).append_column("stations", pa.array(stations, pa.int64()))
+        yield from out.combine_chunks().to_batches()
 
 
 def rank_correlation_of_groups(df: DataFrame, keys: Sequence[str], x: str, y: str, sizes: DataFrame, size: str = "n",

@@ -428,7 +428,7 @@ def _agreement_by_fire_sql():
 @register("agreement_by_fire", sql=_agreement_by_fire_sql())
 def q_agreement_by_fire(spark, sf_dir):
     """D3 per fire (+C3, D12): agreement of one estimate with readings within +/-1 degree of each
-    fire during its period; one bucketed rank per fire."""
-    o = sensor_obs(spark, sf_dir).select("event_id", "lat", "lon", "time", "pm25", "est_a")
-    m = J.obs_near_fire(o, fire(spark, sf_dir), 1.0)
+    fire during its period; one rank per fire, worked out where its pairs are made."""
+    o = sensor_obs(spark, sf_dir).select("lat", "lon", "time", "pm25", "est_a")
+    m = J.obs_near_fire(o, fire(spark, sf_dir), 1.0, together=True)
     return rounded(agg.agreement_by(m, "pm25", "est_a", ["fire_id"]))
